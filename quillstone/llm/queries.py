@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, quality, urlfilter
+from quillstone.llm import chat, minhash, mixing, quality, sharding, urlfilter
 from quillstone.llm.common import table
 
 
@@ -17,6 +17,19 @@ def op4_range_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_filter(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, urlfilter.RULES))
 
 
+def op5_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.shuffled(mixing.mix(docs)).withColumnsRenamed({"__copy": "copy", "__order": "shuffle_order"})
+
+
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
@@ -25,8 +38,8 @@ def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_threshold_quality, op4_range_url_filter, op10_typed_chat)}
+    return {f.__name__: f for f in (op3_threshold_quality, op4_range_url_filter, op5_kdtree_sharding, op6_poisson_mixing, op8_minmax_near_dedup, op10_typed_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_quality": quality.oracle(), "op4_range_url_filter": urlfilter.oracle(), "op10_typed_chat": chat.oracle()}
+    return {"op3_threshold_quality": quality.oracle(), "op4_range_url_filter": urlfilter.oracle(), "op6_poisson_mixing": mixing.oracle(), "op8_minmax_near_dedup": minhash.oracle(), "op10_typed_chat": chat.oracle()}
