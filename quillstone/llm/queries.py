@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, minhash, mixing, quality, sharding, urlfilter
-from quillstone.llm.common import table
+from quillstone.llm import chat, decontam, langid, lmscore, minhash, mixing, quality, sharding, toxicity, urlfilter
+from quillstone.llm.common import fold, table
+
+
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, held_out = table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels.filter(~held_out), held_out)
+
+
+def op2_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return langid.identify(docs, docs.filter(~held_out), held_out)
 
 
 def op3_threshold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +37,19 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixing.mix(docs)).withColumnsRenamed({"__copy": "copy", "__order": "shuffle_order"})
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents that are labelled as of good quality."""
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
@@ -38,7 +58,7 @@ def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_threshold_quality, op4_range_url_filter, op5_kdtree_sharding, op6_poisson_mixing, op8_minmax_near_dedup, op10_typed_chat)}
+    return {f.__name__: f for f in (op1_counterfactual_toxicity, op2_segmentation_langid, op3_threshold_quality, op4_range_url_filter, op5_kdtree_sharding, op6_poisson_mixing, op7_cross_entropy_difference, op8_minmax_near_dedup, op9_pigeonhole_decontamination, op10_typed_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
