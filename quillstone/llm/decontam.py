@@ -25,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import materialize
+
 #: Edits allowed, per cent of an item's normalised length; least length of a piece; bytes of pieces in one automaton.
 ERROR_PERCENT, MIN_PIECE, BLOCK_BYTES = 5, 12, 8_000_000
+#: Ids of documents with leaks that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 2_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -151,5 +155,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns."""
-    leaks = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = materialize(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
+    few = leaks.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id") == F.col("__id"), "left_anti")

@@ -25,8 +25,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 400, 20_000, 256
@@ -232,7 +233,8 @@ class _Index(dict):
         return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], shared, text_at: int = 1, keep_text: bool = True, names: tuple[str, str] = ("__lang", "__score")) -> Iterator[pa.RecordBatch]:
+    """Batches with lang and score columns at their end; the text is the column text_at."""
     pieces, languages, p = shared.value
     lattice, index, known = Lattice(pieces), _Index(), np.empty((0, p.shape[1]))
     for batch in batches:
@@ -260,7 +262,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             if len(index) * max(1, p.shape[1]) > CACHE_CELLS:
                 index, known = _Index(), np.empty((0, p.shape[1]))
 
-        for text in batch.column(1):
+        for text in batch.column(text_at):
             text = text.as_py()
             found = words(text)
             pending.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
@@ -268,13 +270,24 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             if size > CHUNK_CHARS:
                 flush()
         flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        own = [i for i in range(batch.num_columns) if i != text_at or keep_text]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                         [*(batch.schema.names[i] for i in own), *names])
+
+
+def _model(spark: SparkSession, train: DataFrame, vocabulary: str):
+    pieces = load_pieces(vocabulary)
+    return spark.sparkContext.broadcast((pieces, *fit_model(pieces, sample_counts(train))))
+
+
+def with_language(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every column of docs (one is text), with __lang and __score."""
+    schema = StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
+    return docs.mapInArrow(partial(_predict, shared=_model(docs.sparkSession, train, vocabulary), text_at=docs.columns.index("text")), schema)
 
 
 def identify(docs: DataFrame, train: DataFrame, held_out: Column | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs (doc_id, text), learned from train (doc_id, text, lang)."""
-    pieces = load_pieces(vocabulary)
-    languages, p = fit_model(pieces, sample_counts(train))
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, p))
-    rows = docs.select("doc_id", "text", (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    return rows.mapInArrow(partial(_predict, shared=shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(False) if held_out is None else held_out).alias("held_out"))
+    predict = partial(_predict, shared=_model(docs.sparkSession, train, vocabulary), keep_text=False, names=("lang_pred", "score"))
+    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -218,6 +218,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that share an id and a component one stays."""
+    verdict = near_duplicates(docs, k, percent)
+    gone = verdict.filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("__id"), "left_anti")
+
+
 def oracle(k: int = 3, percent: int = 85) -> str:
     """Brute force over all pairs that share a shingle, for small tables only."""
     return rf"""
