@@ -176,7 +176,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         for text in batch.column(1):
             present = {i for x in map(found.__getitem__, words(text.as_py())) for i in x}
             scores.append(intercept + sum(values[i] for i in sorted(present)))
-        s = 1 / (1 + np.exp(-np.clip(np.array(scores, float), -500, 500)))
+        with np.errstate(over="ignore"):
+            s = 1 / (1 + np.exp(-np.array(scores, float)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
