@@ -26,7 +26,7 @@ def test_metrics_by_hand(spark):
 
 
 def test_ratios_are_null_without_rows(spark):
-    m = evaluation.metrics(rows(spark, []) if False else rows(spark, [("LIKE", "PASS")]).limit(0)).first()
+    m = evaluation.metrics(rows(spark, [("LIKE", "PASS")]).limit(0)).first()
     assert m.n == 0 and m.precision is None and m.balanced_accuracy is None and m.f1 is None
 
 
