@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import materialize
 
 #: Edits allowed, per cent of an item's normalised length; least length of a piece; bytes of pieces in one automaton.
-ERROR_PERCENT, MIN_PIECE, BLOCK_BYTES = 5, 12, 8_000_000
+ERROR_PERCENT, MIN_PIECE, BLOCK_BYTES = 8, 10, 8_000_000
 #: Ids of documents with leaks that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
