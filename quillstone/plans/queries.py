@@ -390,6 +390,38 @@ def training_overlap(v: Views) -> DataFrame:
     return audit.training_overlap(rows.filter(F.col("feedback_id") > CHECKPOINT), rows.filter(F.col("feedback_id") <= CHECKPOINT))
 
 
+#: Official and candidate rows with their assignment (by source), newest screening and exposures.
+AUDITED = f"""SELECT r.feedback_id, r.role, concat_ws(',', CASE WHEN role = 'official' AND feedback_origin <> 'BLIND_REVIEW' THEN 'OFFICIAL_NOT_BLIND' END, CASE WHEN feedback_origin = 'BLIND_REVIEW' AND a.assignment_id IS NULL THEN 'NO_ASSIGNMENT' END,
+ CASE WHEN holdout_eligible = 0 THEN 'NOT_HOLDOUT_ELIGIBLE' END, CASE WHEN excluded_from_learning = 1 THEN 'EXCLUDED' END, CASE WHEN feedback_parse_status <> 'PARSED' THEN 'NOT_PARSED' END, CASE WHEN s.screening_id IS NULL THEN 'NO_SCREENING' END,
+ CASE WHEN coalesce(x.n, 0) > 0 THEN 'PRIOR_EXPOSURE' END) AS problems FROM (SELECT f.*, m.feedback_parse_status FROM ({ROLE}) f JOIN p_messages m USING (message_id)) r LEFT JOIN p_assignments a ON a.source_id = r.source_id
+ LEFT JOIN (SELECT source_id, max(screening_id) AS screening_id FROM p_screenings GROUP BY 1) s ON s.source_id = r.source_id
+ LEFT JOIN (SELECT j.feedback_id, count(*) AS n FROM p_feedback j JOIN p_feedback e ON e.source_id = j.source_id AND e.feedback_origin = 'SCREEN_REVIEW' AND e.feedback_id < j.feedback_id GROUP BY 1) x ON x.feedback_id = r.feedback_id
+ WHERE role IN ('official', 'candidate')"""
+
+
+def _audited(v: Views) -> DataFrame:
+    f = v.feedback.withColumn("at", F.col("feedback_id"))
+    exposed = audit.exposure_counts(f, f.filter("feedback_origin = 'SCREEN_REVIEW'"), "at")
+    rows = _roles(v).filter(F.col("role").isin("official", "candidate")).drop("ticker", "company")
+    rows = rows.join(v.assignments.select("source_id", "assignment_id").withColumn("usable_judgments", F.lit(1)), "source_id", "left")
+    newest = sources.latest_screening(v.screenings).select("source_id", "screening_id")
+    return audit.validity_problems(rows.join(newest, "source_id", "left").join(exposed, "feedback_id", "left"))
+
+
+@query(AUDITED)
+def validity_problems(v: Views) -> DataFrame:
+    return _audited(v).select("feedback_id", "role", F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"""SELECT *, greatest(20 - n_official, 0) AS replacements_needed, n_official = 20 AND n_valid_unique = 20 AND n_problem_rows = 0 AND n_candidates = 0 AS clean FROM (SELECT count(*) FILTER (role = 'official') AS n_official,
+ count(*) FILTER (role = 'candidate') AS n_candidates, CAST(0 AS BIGINT) AS n_superseded, CAST(0 AS BIGINT) AS n_other, count(DISTINCT source_id) FILTER (role = 'official') AS n_unique, count(*) FILTER (role = 'official' AND problems = '' AND n = 1) AS n_valid_unique,
+ count(*) FILTER (role = 'official' AND problems <> '') AS n_problem_rows, count(*) FILTER (problems <> '' OR n > 1) AS n_questionable
+ FROM (SELECT a.*, f.source_id, count(*) OVER (PARTITION BY f.source_id) AS n FROM ({AUDITED}) a JOIN p_feedback f USING (feedback_id)))""")
+def audit_summary(v: Views) -> DataFrame:
+    rows = _audited(v)
+    return audit.audit_summary(rows, rows.select("feedback_id", F.col("source_id").alias("component")))
+
+
 # Texts and pages
 
 @query("SELECT source AS document, count(*) AS n_versions, count(DISTINCT sha256(coalesce(text, ''))) AS n_contents, min(sha256(coalesce(text, ''))) AS first_hash, count(DISTINCT sha256(coalesce(text, ''))) = 1 AS same FROM documents GROUP BY 1")
