@@ -42,7 +42,7 @@ PREFIXES = (4, 5, 6)
 #: Screening: least toxic documents, z value and ratio of frequencies; most features.
 LEAST_DOCS, LEAST_Z, LEAST_RATIO, MOST_FEATURES = 4, 5.0, 3.0, 4096
 #: Bound of the sample the weights are fitted on; weights of the ridge and the counterfactual penalty.
-TRAIN_ROWS, RIDGE, COUNTERFACTUAL = 20_000, 3e-4, 4.0
+TRAIN_ROWS, RIDGE, COUNTERFACTUAL = 20_000, 2e-5, 4.0
 THRESHOLD = 0.7
 #: Ids that are broadcast; counts and words that a worker remembers.
 MAX_BROADCAST_IDS, HELD, CACHE = 2_000_000, 400_000, 1_000_000
