@@ -6,13 +6,13 @@ the Jaccard similarity as its probability, and the two of one permutation are sl
 lowers the variance of the banded signature. BAND_ROWS values make a band key; there are as many bands as keep the
 chance to miss a pair right at the threshold below MISS.
 
-Equal sets become one class first. In each bucket of a band key, classes are compared with pivots only: the first
-member, then (where members that were not pivots are still in different components) more pivots, twice as many in each
-round, and all pairs of what is left once that is a handful. A bucket is done when its members that have not been
-pivots share one component, so no link that could join components goes untested, and no bucket is expanded into its
-pairs. Candidates are dropped by set sizes and by an estimate from the signatures that lies 8 standard deviations below
-the threshold; the rest is compared on full sets. Components come from alternating large-star and small-star steps on
-tables in the shared folder.
+Equal sets become one class first. Each bucket of a band key is compared with its first member, which joins the copies
+of one text into one component. Where other members are still in different components, a bucket of at most SMALL_BUCKET
+of them is compared in its task, signature against signature and then set against set, and only links that join
+components leave it; a larger one goes on with more pivots, twice as many in each round, until what is left is small. So
+no link that could join components goes untested, and no bucket is expanded into its pairs. Candidates are dropped by
+set sizes and by an estimate from the signatures DEVIATIONS standard deviations below the threshold; the rest is compared
+on full sets. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 Cases: null and blank texts have an empty set and link to nothing; a text of fewer than k words is one shingle; equal
 texts, and repeated rows, fall into one class; rows of one id and different texts are one node of the graph; a null id
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize, release
 
-BAND_ROWS, MISS = 6, 1e-6
-#: What a residual bucket may hold to be compared in pairs; larger ones go on with pivots.
-SMALL_BUCKET = 24
+BAND_ROWS, MISS = 7, 1e-6
+#: Members and shingles of a bucket that one task compares; larger buckets go on with pivots.
+SMALL_BUCKET, SMALL_SHINGLES = 2048, 4_000_000
+#: How far below the threshold, in standard deviations, a signature's estimate rules a pair out.
+DEVIATIONS = 5
 #: Ids that are sent to all executors to pick texts out; more are joined by shuffle. 8 bytes each.
 MAX_BROADCAST_IDS = 2_000_000
 #: Words whose hashes a worker remembers.
@@ -76,7 +78,8 @@ def shingle_set(text: bytes | None, k: int, cache: dict) -> np.ndarray:
 
 
 def bands_for(threshold: float) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - threshold**BAND_ROWS))
+    """An even number, so that the permutations, which give two values each, come out even."""
+    return 2 * math.ceil(math.log(MISS) / math.log(1 - threshold**BAND_ROWS) / 2)
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +119,58 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iterator[pa.
                                          ["doc_id", "n_shingles", "fp1", "fp2", "keys", "sig"])
 
 
+def _least_agreeing(percent: int, values: int) -> float:
+    t = percent / 100
+    return (t - DEVIATIONS * math.sqrt(t * (1 - t) / values)) * values
+
+
 def _likely(batches: Iterator[pa.RecordBatch], percent: int, values: int) -> Iterator[pa.RecordBatch]:
     """Candidates whose signatures agree often enough."""
-    t = percent / 100
-    least = (t - 8 * math.sqrt(t * (1 - t) / values)) * values
+    least = _least_agreeing(percent, values)
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, values) for i in (2, 3))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((a == b).sum(1) >= least))
 
 
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others, none empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat(one[at] == flat, np.cumsum([0, *map(len, others[:-1])]))
+
+
+def _within(bucket: pa.Table, k: int, percent: int, values: int) -> pa.Table:
+    """Links that join components in one small bucket (key, doc_id, component, sig, keys, text), found on full sets.
+
+    A pair is looked at in the bucket of the first band that it shares, and only while its components differ.
+    """
+    cache, least, m = _WordHash(), _least_agreeing(percent, values), bucket.num_rows
+    ids, of = bucket.column("doc_id").to_numpy(), bucket.column("component").to_numpy().copy()
+    sig = np.frombuffer(b"".join(bucket.column("sig").to_pylist()), np.uint8).reshape(m, values)
+    keys = bucket.column("keys").combine_chunks().flatten().to_numpy().reshape(m, -1)
+    before = keys[:, : int(np.nonzero(keys[0] == bucket.column("key")[0].as_py())[0][0])]
+    texts, sets, links = bucket.column("text"), {}, []
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i].cast(pa.large_binary()).as_py(), k, cache)
+        return sets[i]
+
+    for i in range(m - 1):
+        rest = np.nonzero(of[i + 1 :] != of[i])[0] + i + 1
+        rest = rest[(sig[rest] == sig[i]).sum(1) >= least]
+        rest = rest[~(before[rest] == before[i]).any(1)]
+        for a in range(0, len(rest), 512):
+            some = [int(j) for j in rest[a : a + 512] if of[j] != of[i]]
+            if some:
+                both, sizes = _common(full(i), [full(j) for j in some]), np.array([len(full(j)) for j in some])
+                for j in np.array(some)[100 * both >= percent * (len(full(i)) + sizes - both)]:
+                    if of[j] != of[i]:
+                        links.append((ids[i], ids[j]))
+                        of[of == of[j]] = of[i]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with 100 * |A and B| >= percent * |A or B| on full sets."""
     cache, last = _WordHash(), (None, None)
@@ -176,6 +222,12 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return out
 
 
+def links_and(edges: DataFrame, links: list[DataFrame]) -> DataFrame:
+    for x in links:
+        edges = edges.union(x)
+    return edges
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (doc_id = component_id) for every row of docs (doc_id, text)."""
     docs, bands = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bands_for(percent / 100)
@@ -188,30 +240,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     same_id = known.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct(*fps).alias("c")).filter("c > 1").select("doc_id")
     same = known.join(same_id, "doc_id").join(classes, fps).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
 
-    entries = reps.select("doc_id", F.explode("keys").alias("key"))
+    entries = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("key", "pivot")
     buckets = materialize(entries.join(shared, "key"))
     links = [_links(buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), reps, docs, k, percent, bands)]
-    rest, pivots = buckets.filter("doc_id <> pivot").select("key", "doc_id"), 8
+
+    def within(bucket: pa.Table) -> pa.Table:
+        return _within(bucket, k, percent, bands * BAND_ROWS)
+
+    rest, pivots = buckets.filter("doc_id <> pivot").select("key", "doc_id", "n_shingles"), 32
+    components = materialize(connected_components(links_and(same, links)))
     while True:
-        every = same
-        for x in links:
-            every = every.union(x)
-        components = materialize(connected_components(every))
-        labelled = rest.join(components, rest["doc_id"] == components["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).filter("x <> y").select("key", "m")
-        open_rows = materialize(labelled.join(split, "key"))
-        few, many = open_rows.filter(F.col("m") <= SMALL_BUCKET), open_rows.filter(F.col("m") > SMALL_BUCKET)
-        if not open_rows.limit(1).count():
+        labelled = rest.join(components, rest["doc_id"] == components["node"], "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.sum("n_shingles").alias("n")).filter("x <> y")
+        small = (F.col("m") <= SMALL_BUCKET) & (F.col("n") <= SMALL_SHINGLES)
+        open_rows = materialize(labelled.drop("n_shingles").join(split.select("key", small.alias("small")), "key"))
+        few, many = open_rows.filter("small"), open_rows.filter("NOT small")
+        ids = few.select(F.col("doc_id").alias("id")).distinct()
+        whole = _texts_of(docs, ids).join(reps.select("doc_id", "sig", "keys"), "doc_id")
+        found = few.drop("small").join(whole, "doc_id").select("key", "doc_id", "component", "sig", "keys", "text").groupBy("key").applyInArrow(within, "a long, b long")
+        found = [materialize(found)]
+        more = many.limit(1).count() > 0
+        if more:
+            chosen = many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(pivots))).groupBy("key", "salt").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("p")).select("key", "p.doc_id", "p.component")
+            others = many.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+            tests = chosen.join(others, "key").filter("doc_id <> b AND component <> cb").select(F.col("doc_id").alias("a"), "b")
+            found.append(_links(tests, reps, docs, k, percent, bands))
+            rest = materialize(many.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti").join(reps.select("doc_id", "n_shingles"), "doc_id").select("key", "doc_id", "n_shingles"))
+            pivots *= 2
+        new = [x for x in found if x.limit(1).count()]
+        if new:
+            links += new
+            components = materialize(connected_components(links_and(same, links)))
+        release(open_rows)
+        if not more:
             break
-        other = lambda x: x.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-        pairs = few.join(other(few), "key").filter("doc_id < b AND component <> cb").select(F.col("doc_id").alias("a"), "b")
-        chosen = many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(pivots))).groupBy("key", "salt").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("p")).select("key", "p.doc_id", "p.component")
-        tests = chosen.join(other(many), "key").filter("doc_id <> b AND component <> cb").select(F.col("doc_id").alias("a"), "b")
-        links.append(_links(pairs.union(tests), reps, docs, k, percent, bands))
-        rest = materialize(many.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select("key", "doc_id"))
-        pivots *= 2
-        release(components, open_rows)
     of_class = classes.join(components, classes["rep"] == components["node"], "left").select(*fps, F.coalesce("component", "rep").alias("class_component"))
     placed = signed.select("doc_id", *fps).join(of_class, fps, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
