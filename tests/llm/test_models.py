@@ -185,3 +185,26 @@ def test_leaks_match_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_covers_registered_queries(name):
     assert name in queries.queries()
+
+
+def test_words_have_counts_of_their_own(spark, monkeypatch):
+    import xxhash
+
+    seen, pair = {}, None
+    for i in range(5000):
+        word = f"w{i}"
+        slot = xxhash.xxh3_64_intdigest(word.encode()) % (2**17 - 1)
+        if slot in seen:
+            pair = seen[slot], word
+            break
+        seen[slot] = word
+    ids = spark.createDataFrame([(0,)], "doc_id long")
+
+    def scores(a, b):
+        docs = spark.createDataFrame([(0, f"{a} {a} {a} q"), (1, f"{b} q"), (2, f"q {b} {a}"), (None, "q q"), (4, None)], "doc_id long, text string")
+        return {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.cross_entropy_difference(docs, ids).collect()}
+
+    one = scores(*pair)
+    assert one == scores("one", "other")  # a word's name doesn't matter
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 4)
+    assert one == scores(*pair)  # nor do the number of blocks and parts
