@@ -363,13 +363,17 @@ def prior_exposure(v: Views) -> DataFrame:
     return out.withColumn("n_exposures", F.coalesce("n_exposures", F.lit(0)))
 
 
-#: Identity keys whose groups stay small on the projections: a document of three parts, and the part's assignment.
+#: The rows that the SQL of the two queries below takes: a seventh of one origin, without companies and most tickers. The queries themselves take all.
 IDENTITY_ROWS = "SELECT feedback_id, 'catalog' AS source_name, CAST(floor(source_id / 3) AS BIGINT) AS external_id, CASE WHEN source_id % 5 = 0 THEN message_id END AS ticker FROM p_feedback WHERE feedback_id % 7 = 0 AND feedback_origin = 'BLIND_REVIEW'"
 
 
-def _identity_rows(v: Views) -> DataFrame:
-    rows = v.feedback.filter("feedback_id % 7 = 0 AND feedback_origin = 'BLIND_REVIEW'")
-    return rows.select("feedback_id", F.lit("catalog").alias("source_name"), F.floor(F.col("source_id") / 3).alias("external_id"), F.when(F.col("source_id") % 5 == 0, F.col("message_id")).alias("ticker"))
+def _identified(v: Views, rows: DataFrame) -> DataFrame:
+    """Feedback with the identities it has: document, assignment and newest screening of its source, and ticker and company, the source's before its own."""
+    of = v.sources.select("source_id", "source_name", "external_id", F.col("ticker").alias("__ticker"), F.col("company").alias("__company"))
+    newest = sources.latest_screening(v.screenings).select("source_id", "screening_id", F.col("created_at").alias("screened_at"))
+    out = rows.join(of, "source_id", "left").join(v.assignments.select("source_id", "assignment_id", "judged_seq"), "source_id", "left").join(newest, "source_id", "left")
+    first = {c: F.coalesce(F.when(F.length(f"__{c}") > 0, F.col(f"__{c}")), c) for c in ("ticker", "company")}
+    return out.withColumns(first).drop("__ticker", "__company")
 
 
 KEYS = f"""SELECT feedback_id, 'D' AS level, source_name || ':' || CAST(external_id AS VARCHAR) AS value FROM i UNION ALL SELECT feedback_id, 'E', upper(ticker) FROM i WHERE ticker IS NOT NULL"""
@@ -379,14 +383,14 @@ KEYS = f"""SELECT feedback_id, 'D' AS level, source_name || ':' || CAST(external
  e AS (SELECT k.feedback_id AS a, h AS b FROM k JOIN hub USING (level, value)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  r(n, m) AS (SELECT feedback_id, feedback_id FROM i UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a) SELECT n AS feedback_id, min(m) AS component FROM r GROUP BY 1""")
 def duplicate_groups(v: Views) -> DataFrame:
-    return audit.duplicate_groups(_identity_rows(v))
+    return audit.duplicate_groups(_identified(v, v.feedback))
 
 
 @query(f"""WITH i AS ({IDENTITY_ROWS}), h AS (SELECT * FROM i WHERE feedback_id > {CHECKPOINT}), t AS (SELECT * FROM i WHERE feedback_id <= {CHECKPOINT}),
  kh AS ({KEYS.replace('FROM i', 'FROM h')}), kt AS (SELECT level, value, min(feedback_id) AS f FROM ({KEYS.replace('FROM i', 'FROM t')}) GROUP BY 1, 2)
  SELECT feedback_id, min(level) AS level, arg_min(f, level) AS training_feedback_id FROM kh JOIN kt USING (level, value) GROUP BY 1""")
 def training_overlap(v: Views) -> DataFrame:
-    rows = _identity_rows(v)
+    rows = _identified(v, v.feedback)
     return audit.training_overlap(rows.filter(F.col("feedback_id") > CHECKPOINT), rows.filter(F.col("feedback_id") <= CHECKPOINT))
 
 
