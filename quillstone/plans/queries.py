@@ -198,7 +198,7 @@ def latest_repairs(v: Views) -> DataFrame:
 POOL = f"""SELECT s.source_id, s.external_id, s.ticker, s.company, r.screening_id, r.created_at, r.overall_prediction FROM p_sources s JOIN ({CURRENT}) c USING (source_id)
  JOIN (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY screening_id DESC) AS rn FROM p_screenings WHERE taste_version = {TASTE}) r ON r.source_id = s.source_id AND r.rn = 1
  WHERE s.collection_status = 'COLLECTED' AND r.overall_prediction <> 'PASS' AND s.source_id NOT IN (SELECT source_id FROM p_shown)"""
-#: The projections' judgments name every ticker, so these take those of one origin and ticker number below 20.
+#: What the SQL restricts judgments to, as those of the projections name every ticker. The queries take all.
 JUDGED_BY = "feedback_origin = 'BLIND_REVIEW' AND source_id % 50 < 20"
 JUDGED = f"""SELECT p.*, CASE WHEN {NORM_TICKER.format('p.ticker')} IS NOT NULL THEN {NORM_TICKER.format('p.ticker')} IN (SELECT {NORM_TICKER.format('ticker')} FROM e WHERE ticker IS NOT NULL)
  ELSE coalesce({NORM_COMPANY.format('p.company')} IN (SELECT {NORM_COMPANY.format('company')} FROM e), false) END AS judged FROM pool p"""
@@ -207,7 +207,7 @@ JUDGED_CTES = f"WITH e AS (SELECT * FROM ({ELIGIBLE}) WHERE {JUDGED_BY}), pool A
 
 def _judged_pool(v: Views) -> DataFrame:
     pool = digest.digest_pool(v.sources, v.observations, v.screenings, v.shown, TASTE)
-    return digest.judged_pool(pool, v.feedback.filter(JUDGED_BY), v.messages)
+    return digest.judged_pool(pool, v.feedback, v.messages)
 
 
 @query(POOL)

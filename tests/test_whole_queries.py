@@ -59,3 +59,35 @@ def test_overlap_takes_all_training_rows(spark, monkeypatch):
     want = {i: next(((k[0], first[k]) for k in ks if k in first), None) for i, ks in keys.items() if i > middle}
     got = {r.feedback_id: (r.level, r.training_feedback_id) for r in QUERIES["training_overlap"](spark, SF).collect()}
     assert got == {i: w for i, w in want.items() if w}
+
+
+class Tables:
+    """Hand-made views."""
+
+    def __init__(self, spark, **rows):
+        for name, (data, schema) in rows.items():
+            setattr(self, name, spark.createDataFrame(data, schema))
+
+
+SOURCES = "source_id long, source_name string, external_id long, ticker string, company string, collection_status string, extraction_status string, discovered_seq long"
+
+
+def sources_of(*named):
+    return [(i, "s", i, t, f"Firm {i}", "COLLECTED", "EXTRACTED", i) for i, t in named], SOURCES
+
+
+def test_any_eligible_judgment_suppresses(spark, monkeypatch):
+    from quillstone.plans import queries
+
+    named = [(1, "AA"), (2, "BB"), (3, "CC"), (4, "DD")]
+    v = Tables(
+        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named], "source_id long, source_name string, external_id long, observed_seq long"),
+        screenings=([(i, i, "t", queries.TASTE, "WATCH") for i, _ in named], "screening_id long, source_id long, created_at string, taste_version int, overall_prediction string"),
+        shown=([], "source_id long"), messages=([("m", "PARSED"), ("n", "UNPARSED")], "message_id string, feedback_parse_status string"),
+        feedback=([(1, "m", 1, "aa", "DIRECT", 0), (2, "m", 45, "bb", "BLIND_REVIEW", 0), (3, "n", 3, "cc", "DIRECT", 0)],
+                  "feedback_id long, message_id string, source_id long, ticker string, feedback_origin string, excluded_from_learning int"),
+    )
+    v.feedback = v.feedback.selectExpr("*", "cast(null as string) AS company")
+    monkeypatch.setattr(queries, "Views", lambda *_: v)
+    assert [(r.position, r.source_id) for r in QUERIES["digest_selection_top5"](spark, SF).orderBy("position").collect()] == [(1, 3), (2, 4)]
+    assert tuple(QUERIES["digest_suppression_counters"](spark, SF).first()) == (4, 2, 0)
