@@ -241,7 +241,7 @@ def blind_review_pool(v: Views) -> DataFrame:
 
 @query()
 def greedy_blind_assignment(v: Views) -> DataFrame:
-    known = digest.identities(v.assignments.join(v.sources, "source_id").filter("source_id % 50 < 20"))
+    known = digest.identities(v.assignments.join(v.sources, "source_id"))
     return digest.greedy_assignments(_blind_pool(v), known, 20)
 
 

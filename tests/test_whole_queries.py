@@ -91,3 +91,16 @@ def test_any_eligible_judgment_suppresses(spark, monkeypatch):
     monkeypatch.setattr(queries, "Views", lambda *_: v)
     assert [(r.position, r.source_id) for r in QUERIES["digest_selection_top5"](spark, SF).orderBy("position").collect()] == [(1, 3), (2, 4)]
     assert tuple(QUERIES["digest_suppression_counters"](spark, SF).first()) == (4, 2, 0)
+
+
+def test_every_assignment_blocks_its_identities(spark, monkeypatch):
+    from quillstone.plans import queries
+
+    named = [(1, "AA"), (2, "BB"), (3, "CC"), (45, "BB"), (55, "AA")]
+    v = Tables(
+        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named], "source_id long, source_name string, external_id long, observed_seq long"),
+        screenings=([], "screening_id long, source_id long"), shown=([], "source_id long"), assignments=([(45, 45), (55, 55)], "assignment_id long, source_id long"),
+        feedback=([], "source_id long, feedback_origin string, excluded_from_learning int"),
+    )
+    monkeypatch.setattr(queries, "Views", lambda *_: v)
+    assert [tuple(r) for r in QUERIES["greedy_blind_assignment"](spark, SF).collect()] == [(1, 3)]  # 45's ticker is assigned, as is 55's
