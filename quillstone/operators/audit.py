@@ -98,7 +98,7 @@ def exposure_counts(judgments: DataFrame, exposures: DataFrame, order: str) -> D
 
 def validity_problems(rows: DataFrame) -> DataFrame:
     """Adds problems, an array of codes in a fixed order. rows: official and candidate rows with usable_judgments, screening_id,
-    explicit_screening_id, screened_at, shown_at, judged_at, n_exposures and training_level where known."""
+    explicit_screening_id, screened_at, shown_at, judged_at, n_exposures and training_level where known; shown_seq and judged_seq where these have no common clock."""
     have = lambda c, t: F.col(c) if c in rows.columns else F.lit(None).cast(t)
     ticker, company = norm_ticker(have("ticker", "string")), norm_company(have("company", "string"))
     origin, assignment, judged = F.col("feedback_origin"), have("assignment_id", "long"), have("judged_at", "string")
@@ -108,7 +108,7 @@ def validity_problems(rows: DataFrame) -> DataFrame:
         ("BLIND_WITH_SCREENING", (origin == "BLIND_REVIEW") & have("explicit_screening_id", "long").isNotNull()), ("NOT_HOLDOUT_ELIGIBLE", ~F.col("holdout_eligible").cast("boolean")),
         ("EXCLUDED", is_excluded()), ("NOT_PARSED", F.col("feedback_parse_status") != "PARSED"), ("USABLE_JUDGMENTS", assignment.isNotNull() & (have("usable_judgments", "long") != 1)),
         ("NO_SOURCE", source.isNull()), ("NO_SCREENING", source.isNotNull() & screening.isNull()), ("SCREENED_LATER", source.isNotNull() & (have("screened_at", "string") > judged)),
-        ("SHOWN_BEFORE", have("shown_at", "string") < judged), ("PRIOR_EXPOSURE", have("n_exposures", "long") > 0), ("SMOKE_TICKER", ticker.isin(*SMOKE_TICKERS)),
+        ("SHOWN_BEFORE", F.coalesce(have("shown_at", "string") < judged, have("shown_seq", "long") < have("judged_seq", "long"))), ("PRIOR_EXPOSURE", have("n_exposures", "long") > 0), ("SMOKE_TICKER", ticker.isin(*SMOKE_TICKERS)),
         ("SMOKE_COMPANY", company.isin(*[t.lower() for t in SMOKE_TICKERS])), ("TRAINING_OVERLAP", have("training_level", "string").isNotNull()),
     ]
     return rows.withColumn("problems", F.filter(F.array(*[F.when(c, name) for name, c in checks]), lambda x: x.isNotNull()))

@@ -394,7 +394,7 @@ def training_overlap(v: Views) -> DataFrame:
     return audit.training_overlap(rows.filter(F.col("feedback_id") > CHECKPOINT), rows.filter(F.col("feedback_id") <= CHECKPOINT))
 
 
-#: Official and candidate rows with their assignment (by source), newest screening and exposures.
+#: What the SQL of the two queries below knows: official and candidate rows with their assignment (by source), newest screening and exposures.
 AUDITED = f"""SELECT r.feedback_id, r.role, concat_ws(',', CASE WHEN role = 'official' AND feedback_origin <> 'BLIND_REVIEW' THEN 'OFFICIAL_NOT_BLIND' END, CASE WHEN feedback_origin = 'BLIND_REVIEW' AND a.assignment_id IS NULL THEN 'NO_ASSIGNMENT' END,
  CASE WHEN holdout_eligible = 0 THEN 'NOT_HOLDOUT_ELIGIBLE' END, CASE WHEN excluded_from_learning = 1 THEN 'EXCLUDED' END, CASE WHEN feedback_parse_status <> 'PARSED' THEN 'NOT_PARSED' END, CASE WHEN s.screening_id IS NULL THEN 'NO_SCREENING' END,
  CASE WHEN coalesce(x.n, 0) > 0 THEN 'PRIOR_EXPOSURE' END) AS problems FROM (SELECT f.*, m.feedback_parse_status FROM ({ROLE}) f JOIN p_messages m USING (message_id)) r LEFT JOIN p_assignments a ON a.source_id = r.source_id
@@ -404,17 +404,18 @@ AUDITED = f"""SELECT r.feedback_id, r.role, concat_ws(',', CASE WHEN role = 'off
 
 
 def _audited(v: Views) -> DataFrame:
+    """Feedback of every role after the checkpoint, with its identities and problems. Feedback has no time of its own: its message's stands for it, and shown and judged have sequence numbers."""
     f = v.feedback.withColumn("at", F.col("feedback_id"))
     exposed = audit.exposure_counts(f, f.filter("feedback_origin = 'SCREEN_REVIEW'"), "at")
-    rows = _roles(v).filter(F.col("role").isin("official", "candidate")).drop("ticker", "company")
-    rows = rows.join(v.assignments.select("source_id", "assignment_id").withColumn("usable_judgments", F.lit(1)), "source_id", "left")
-    newest = sources.latest_screening(v.screenings).select("source_id", "screening_id")
-    return audit.validity_problems(rows.join(newest, "source_id", "left").join(exposed, "feedback_id", "left"))
+    rows = _identified(v, _roles(v)).join(usable_judgments(v), "assignment_id", "left").join(v.shown.select("source_id", "shown_seq"), "source_id", "left")
+    rows = rows.join(v.messages.select("message_id", F.col("received_at").alias("judged_at")), "message_id", "left")
+    overlap = training_overlap(v).select("feedback_id", F.col("level").alias("training_level"))
+    return audit.validity_problems(rows.join(exposed, "feedback_id", "left").join(overlap, "feedback_id", "left"))
 
 
 @query(AUDITED)
 def validity_problems(v: Views) -> DataFrame:
-    return _audited(v).select("feedback_id", "role", F.array_join("problems", ",").alias("problems"))
+    return _audited(v).filter(F.col("role").isin("official", "candidate")).select("feedback_id", "role", F.array_join("problems", ",").alias("problems"))
 
 
 @query(f"""SELECT *, greatest(20 - n_official, 0) AS replacements_needed, n_official = 20 AND n_valid_unique = 20 AND n_problem_rows = 0 AND n_candidates = 0 AS clean FROM (SELECT count(*) FILTER (role = 'official') AS n_official,
@@ -423,7 +424,7 @@ def validity_problems(v: Views) -> DataFrame:
  FROM (SELECT a.*, f.source_id, count(*) OVER (PARTITION BY f.source_id) AS n FROM ({AUDITED}) a JOIN p_feedback f USING (feedback_id)))""")
 def audit_summary(v: Views) -> DataFrame:
     rows = _audited(v)
-    return audit.audit_summary(rows, rows.select("feedback_id", F.col("source_id").alias("component")))
+    return audit.audit_summary(rows, audit.duplicate_groups(_identified(v, _roles(v).filter(F.col("role").isin("official", "candidate")))))
 
 
 # Texts and pages

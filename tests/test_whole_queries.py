@@ -104,3 +104,31 @@ def test_every_assignment_blocks_its_identities(spark, monkeypatch):
     )
     monkeypatch.setattr(queries, "Views", lambda *_: v)
     assert [tuple(r) for r in QUERIES["greedy_blind_assignment"](spark, SF).collect()] == [(1, 3)]  # 45's ticker is assigned, as is 55's
+
+
+def audited(spark):
+    """Rows 1 and 2 are training; 11 and 12 share a company, 13 is superseded, 14 of another role."""
+    named = [(i, t) for i, t in ((1, "AA"), (2, "BB"), (3, "CC"), (4, "DD"), (5, "XYZ"), (6, "EE"))]
+    rows, schema = sources_of(*named)
+    rows = [(*r[:4], "Same Ltd" if r[0] in (3, 4) else r[4], *r[5:]) for r in rows]
+    f = [(1, 1), (2, 2), (11, 3), (12, 4), (13, 5), (14, 6), (15, 1), (16, 5), (17, 5)]
+    return Tables(
+        spark, sources=(rows, schema), messages=([("m", "PARSED", "2020-01-05")], "message_id string, feedback_parse_status string, received_at string"),
+        feedback=([(i, "m", s, None, None, "DIRECT" if i == 14 else "BLIND_REVIEW", 0 if i == 14 else 1, 1 if i == 13 else 0) for i, s in f],
+                  "feedback_id long, message_id string, source_id long, ticker string, company string, feedback_origin string, holdout_eligible int, excluded_from_learning int"),
+        assignments=([(i, i, 50) for i in (1, 3, 4, 5)], "assignment_id long, source_id long, judged_seq long"), shown=([(3, 40), (4, 60)], "source_id long, shown_seq long"),
+        screenings=([(i, i, "2020-01-09" if i == 4 else "2020-01-01") for i in range(1, 7)], "screening_id long, source_id long, created_at string"),
+    )
+
+
+def test_audit_sees_all_roles_components_and_problems(spark, monkeypatch):
+    from quillstone.plans import queries
+
+    v = audited(spark)
+    monkeypatch.setattr(queries, "Views", lambda *_: v)
+    monkeypatch.setattr(queries, "CHECKPOINT", 10)
+    monkeypatch.setattr(queries, "_roles", lambda v: queries.audit.roles(v.feedback, v.messages, 10, v.feedback.filter("feedback_id = 13").select("feedback_id")))
+    got = {r.feedback_id: r.problems for r in QUERIES["validity_problems"](spark, SF).collect()}
+    assert got == {11: "SHOWN_BEFORE", 12: "SCREENED_LATER", 15: "USABLE_JUDGMENTS,TRAINING_OVERLAP", 16: "USABLE_JUDGMENTS,SMOKE_TICKER", 17: "USABLE_JUDGMENTS,SMOKE_TICKER"}
+    r = QUERIES["audit_summary"](spark, SF).first()
+    assert (r.n_official, r.n_candidates, r.n_superseded, r.n_other, r.n_unique, r.n_valid_unique, r.n_problem_rows, r.n_questionable) == (5, 0, 1, 1, 3, 0, 5, 5)
