@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import chat, decontam, langid, lmscore, minhash, mixing, quality, sharding, toxicity, urlfilter
-from quillstone.llm.common import fold, table
+from quillstone.llm.common import fold, materialize, table
 
 
 def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def op5_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.shuffled(mixing.mix(docs)).withColumnsRenamed({"__copy": "copy", "__order": "shuffle_order"})
+    """Whole documents are mixed and written; the result names the copies in their order."""
+    mixed = materialize(mixing.shuffled(mixing.mix(table(spark, sf_dir, "documents"))))
+    return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_order"))
 
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
