@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.storage import materialize
+from quillstone.operators.storage import materialize, release
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -30,25 +30,36 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     return found.select(*on, "__left.*", *[F.col(f"__hit.{c}").alias(f"{prefix}{c}") for c in carried])
 
 
-def connected_components(nodes: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
-    """(node, component): the least node that pairs (a, b) connect it with; lone nodes are their own component.
+def components_of(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of ids to (node, component), materialized: the least id of each node's component. Nodes without edges have no row.
 
-    Alternates large-star and small-star steps, which converge in a logarithmic number of rounds; each round's edges are
-    written to the shared folder. Only counts reach the driver.
+    Alternates large-star and small-star steps, which converge in a logarithmic number of rounds. An edge is kept once,
+    with its greater end as a, so a hub stands in b only: its rows are joined with at most one row that has something to
+    say about it, a join that AQE can split, and no aggregate is keyed by it without map-side combine.
     """
-    edges = materialize(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if not state[0] or state == before:
             break
         before = state
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Large star: greater neighbours go to the least neighbour of their smaller end, if that has one below itself.
+        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        large = e.join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # Small star: smaller neighbours, and the node itself, go to the least of them.
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        edges = materialize(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select("b", "m")).distinct())
-    stars = edges.select(F.col("a").alias("__n"), F.col("b").alias("__c"))
+        new = materialize(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select("b", "m")).distinct())
+        release(e)
+        e = new
+    out = materialize(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct()))
+    release(e)
+    return out
+
+
+def connected_components(nodes: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
+    """(node, component) for every node: the least one that pairs (a, b) connect it with; lone nodes are their own component."""
+    stars = components_of(pairs).select(F.col("node").alias("__n"), F.col("component").alias("__c"))
     return nodes.select(node).distinct().join(stars, F.col(node) == F.col("__n"), "left").select(node, F.coalesce("__c", node).alias("component"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The shared folder, from spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -19,11 +22,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which ends its lineage; the files go with the session."""
+    """Writes df as Parquet to the shared folder and reads it back.
+
+    Lineage ends there, so a lost executor costs one stage, and choices that another run could make otherwise (range
+    bounds, partition ids) are fixed. The files go with the session, or earlier by release().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, fs = _at(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillstone_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what materialize() wrote for these frames, once no later plan reads it."""
+    for df in frames:
+        path = getattr(df, "_quillstone_path", None)
+        if path:
+            target, fs = _at(df.sparkSession, path)
+            fs.delete(target, True)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver knows, as one literal inside the plan: no RDD and no Python worker."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    made = F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in schema.split(', '))}>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(made))
