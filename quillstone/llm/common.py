@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.storage import literal_rows, materialize, release, shared_dir
+
+__all__ = ["byte_size", "default_parallelism", "fold", "literal_rows", "materialize", "release", "shared_dir", "spread", "table", "whole", "words_of"]
+
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Ids (8 bytes each) that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,40 +34,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(-1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, lost executors cost no recomputation, and non-deterministic choices (range bounds, partition ids) are fixed. The files go when the session ends, or earlier by release()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quillstone_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes what materialize() wrote for these frames, once no later plan reads it."""
-    for df in frames:
-        path = getattr(df, "_quillstone_path", None)
-        if path:
-            spark = df.sparkSession
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def whole(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that columns put beside it can't clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def spread(df: DataFrame, row: str = "row") -> DataFrame:
+    """The columns of a struct made by whole(), alone."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in df.schema[row].dataType.names])
 
 
 def default_parallelism(spark: SparkSession) -> int:

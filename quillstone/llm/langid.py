@@ -6,14 +6,16 @@ a text's log probability is the sum over its words. Words are runs of letters, l
 Piece probabilities are learned by expectation maximisation with the same lattice (forward and backward).
 
 Fitting reads a bounded sample: about SAMPLE_DOCS documents a language, chosen by a hash of the id, and of those the
-SAMPLE_WORDS most frequent words a language. At most MAX_LANGUAGES languages are learned. Scoring reads whole texts.
+SAMPLE_WORDS most frequent words a language, whatever their lengths. Every language that occurs is learned; a model takes
+some 0.3 MB for each of them. Scoring reads whole texts.
 
 The score is the posterior probability (equal priors) that EVIDENCE_WORDS words of the text's mean evidence would give,
 or all its words if they are fewer, so it does not saturate with length.
 
 Cases: null, empty and letterless texts are `und` with score 0; ties go to the language that sorts first; unknown
 characters have a small fixed probability, the same in each language; words of any length are scored in linear time;
-repeated rows are scored alike; without any labelled row every text is `und`; other columns of the input are ignored.
+repeated rows are scored alike; without any labelled row every text is `und`; an empty table gives an empty result;
+identify() ignores other columns, keep_identified() carries them in a struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quillstone.llm.common import whole
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 400, 20_000, 256
+SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 EVIDENCE_WORDS, ROUNDS = 12, 4
 #: Probability of a character outside the vocabulary; shares of the pooled and the uniform distribution in each language's.
 UNKNOWN, POOLED, UNIFORM = 1e-7, 0.02, 0.002
@@ -38,13 +42,16 @@ MARK, LONGEST, VECTOR_LENGTH = "▁", 16, 32
 #: Characters that are looked at together; probabilities that a worker remembers.
 CHUNK_CHARS, CACHE_CELLS = 1_000_000, 4_000_000
 _RUNS = re.compile(r"[^\W\d_]+")
+#: Characters that the pattern above takes though they are no letters: superscripts, Roman numerals and the like.
+_NUMERALS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if _RUNS.match(c) and not c.isalpha()) + "]")
 _BASE, _SPREAD, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20
 
 
 def words(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    found = _RUNS.findall((text or "").lower())
-    if len(found) > 50 and any(map(str.isalpha, found[:50])):
+    low = (text or "").lower()
+    found = _RUNS.findall(low)
+    if low.isascii() or not _NUMERALS.search(low):
         return found
     return [w for w in found if any(map(str.isalpha, w))]  # not numerals alone, such as superscripts
 
@@ -143,6 +150,25 @@ class Lattice:
         return total
 
 
+    def long_flows(self, word: str, p: np.ndarray) -> np.ndarray:
+        """Expected piece counts of one word of any length, by forward and backward sums of logarithms; p has one column."""
+        text = MARK + word
+        n, out = len(text), np.zeros(self.n + 2)
+        ids = {length: x[0] for length, x in self.edges(np.array([list(map(ord, text))], np.uint64)).items()}
+        with np.errstate(divide="ignore"):
+            steps = {length: np.log(p[x, 0]) for length, x in ids.items()}
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0
+        for j in range(1, n + 1):
+            alpha[j] = np.logaddexp.reduce([alpha[j - x] + s[j - x] for x, s in steps.items() if x <= j])
+        for j in range(n - 1, -1, -1):
+            beta[j] = np.logaddexp.reduce([s[j] + beta[j + x] for x, s in steps.items() if j + x <= n])
+        for length, x in ids.items():
+            flow = np.exp(alpha[: len(x)] + steps[length] + beta[length : length + len(x)] - alpha[n])
+            out += np.bincount(x, flow, self.n + 2)
+        return out
+
+
 def characters(found: list[str]) -> np.ndarray:
     """Code points of words with their word mark, padded with 0."""
     width = max(map(len, found))
@@ -159,6 +185,7 @@ def fit_language(lattice: Lattice, counts: dict[str, int], rounds: int = ROUNDS)
     expected = np.zeros(lattice.n + 2)
     short = sorted((w for w in counts if len(w) <= VECTOR_LENGTH), key=len)
     chunks = [short[i : i + 4000] for i in range(0, len(short), 4000)]
+    long = sorted(w for w in counts if len(w) > VECTOR_LENGTH)
     ready = [(lattice.edges(characters(c)), np.array([len(w) + 1 for w in c]), np.array([counts[w] for w in c], float)) for c in chunks]
     for _ in range(rounds):
         expected[:] = 0
@@ -175,6 +202,8 @@ def fit_language(lattice: Lattice, counts: dict[str, int], rounds: int = ROUNDS)
             for length, x in ids.items():
                 flow = alpha[:, : x.shape[1]] * p[x, 0] * beta[:, length:] * weight[:, None]
                 expected += np.bincount(x.ravel(), flow.ravel(), lattice.n + 2)
+        for w in long:
+            expected += counts[w] * lattice.long_flows(w, p)
         total = expected[: lattice.n].sum()
         p[: lattice.n, 0] = (expected[: lattice.n] + 1e-3) / (total + 1e-3 * lattice.n)
     return expected[: lattice.n]
@@ -206,7 +235,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample_counts(train: DataFrame) -> dict[str, dict[str, int]]:
     """Word counts by language of the bounded sample of train (doc_id, text, lang)."""
     train = train.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
@@ -233,8 +262,8 @@ class _Index(dict):
         return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], shared, text_at: int = 1, keep_text: bool = True, names: tuple[str, str] = ("__lang", "__score")) -> Iterator[pa.RecordBatch]:
-    """Batches with lang and score columns at their end; the text is the column text_at."""
+def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The first column of each batch, with lang_pred and score; the text is the second column, or else a field of the first."""
     pieces, languages, p = shared.value
     lattice, index, known = Lattice(pieces), _Index(), np.empty((0, p.shape[1]))
     for batch in batches:
@@ -262,7 +291,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, text_at: int = 1, keep_t
             if len(index) * max(1, p.shape[1]) > CACHE_CELLS:
                 index, known = _Index(), np.empty((0, p.shape[1]))
 
-        for text in batch.column(text_at):
+        for text in batch.column(1) if batch.num_columns > 1 else batch.column(0).field("text"):
             text = text.as_py()
             found = words(text)
             pending.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
@@ -270,9 +299,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, text_at: int = 1, keep_t
             if size > CHUNK_CHARS:
                 flush()
         flush()
-        own = [i for i in range(batch.num_columns) if i != text_at or keep_text]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                         [*(batch.schema.names[i] for i in own), *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
 
 def _model(spark: SparkSession, train: DataFrame, vocabulary: str):
@@ -280,14 +307,19 @@ def _model(spark: SparkSession, train: DataFrame, vocabulary: str):
     return spark.sparkContext.broadcast((pieces, *fit_model(pieces, sample_counts(train))))
 
 
-def with_language(docs: DataFrame, train: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Every column of docs (one is text), with __lang and __score."""
-    schema = StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
-    return docs.mapInArrow(partial(_predict, shared=_model(docs.sparkSession, train, vocabulary), text_at=docs.columns.index("text")), schema)
+def _predicted(rows: DataFrame, train: DataFrame, vocabulary: str) -> DataFrame:
+    """rows (row, a struct; text, if it isn't in the struct) to row, lang_pred and score."""
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(partial(_predict, shared=_model(rows.sparkSession, train, vocabulary)), schema)
+
+
+def keep_identified(docs: DataFrame, train: DataFrame, least: float, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows of docs whose language is identified with a score of least or more, with all their columns; lang is the identified one."""
+    found = _predicted(docs.select(whole(docs).alias("row")), train, vocabulary).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame, train: DataFrame, held_out: Column | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs (doc_id, text), learned from train (doc_id, text, lang)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    predict = partial(_predict, shared=_model(docs.sparkSession, train, vocabulary), keep_text=False, names=("lang_pred", "score"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
+    return _predicted(docs.select(row.alias("row"), "text"), train, vocabulary).select("row.doc_id", "row.held_out", "lang_pred", "score")
