@@ -3,28 +3,36 @@
 The dimensions are the language, the source and the size (on a log scale), each mapped to 20-bit numbers by a rule that
 needs no dictionary. A node of the tree that is to hold k shards is split along its widest dimension, at the point that
 gives floor(k/2) and ceil(k/2) shards their parts of its bytes, until each leaf is one shard of about the target bytes.
-Ties on the dimension are ordered by a hash of the text, then of the id, so equal texts stay next to each other and even
-a source or group of copies that holds most bytes is split where the balance needs it.
 
-The weighted medians are exact and distributed: the order key of a row has 20 + 23 + 20 bits, and a histogram of bytes
-over 12 bits at a time narrows the cut down, one pre-aggregated pass over (key, size) rows for a step, for all nodes of
-a level at once. The driver sees one row for each node and step. Texts are read once; the passes read a table of ids, keys and sizes.
+Equal texts stay together: their metadata are those of the copy that sorts first, so that they are one point of the
+space, and ties on the dimension are ordered by a hash of the text. A group of equal texts at a cut goes to one side as
+a whole if that leaves an error of at most GROUP_SLACK of a shard's bytes; a larger one, such as a third of all rows, is
+cut between its rows. So at most one group a cut, shards - 1 in all, is ever in two shards.
 
-Law: bytes. Cases: null texts have size 1; a null language or source is a value of its own; null and repeated ids are
-rows like others (ties in all 63 bits stay on one side); an empty table gives an empty result; other columns of the
-input are not carried by assign_shards() but can be joined or asked for by keep.
+The weighted medians are distributed: the order key of a row has 20 + 42 bits, and a histogram of bytes over the next
+digit narrows each cut down, one pre-aggregated pass over (key, size) rows for a step, for all nodes of a level at once,
+until what is left undecided is at most SLACK of a shard's bytes. The driver sees one row for each node and step. Texts
+are read once; the passes read a table of ids, keys and sizes.
+
+Law: bytes. Cases: null texts have size 1; a null language or source is a value of its own; null and repeated ids, and
+rows that are alike in all columns, are rows like others (their order is that in which they were written); an empty
+table gives an empty result; columns asked for by keep are carried, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import byte_size, materialize
+from quillstone.llm.common import MAX_BROADCAST_IDS, byte_size, literal_rows, materialize, release
 
-#: Bits of a dimension, of the text's hash and of the id's hash in the order key.
-DIM_BITS, TEXT_BITS, ID_BITS = 20, 23, 20
+#: Bits of a dimension and of the text's hash in the order key; the widths of its digits and of those of a row's number.
+DIM_BITS, TEXT_BITS = 20, 42
+DIGITS, ROW_DIGITS = (20, 14, 14, 14), (15, 16, 16, 16)
 DIMS = ("dim_language", "dim_source", "dim_size")
+#: Errors of a cut, in parts of a shard's bytes: where narrowing down ends, and what keeping equal texts together may cost.
+SLACK, GROUP_SLACK = 0.001, 0.01
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def dimensions(docs: DataFrame) -> dict[str, Column]:
@@ -36,55 +44,92 @@ def dimensions(docs: DataFrame) -> dict[str, Column]:
     return {n: found[n].cast("long") for n in DIMS}
 
 
+def _group_points(meta: DataFrame) -> DataFrame:
+    """meta with the language and source of each group of equal texts set to those of its least copy."""
+    point = F.struct("dim_language", "dim_source")
+    mixed = meta.groupBy("text_hash", "text_crc32", "size").agg(F.min(point).alias("p"), F.max(point).alias("q")).filter("p <> q").select("text_hash", "text_crc32", "size", "p")
+    mixed = materialize(mixed)  # groups whose copies differ in metadata
+    few = mixed.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    out = meta.join(F.broadcast(mixed) if few else mixed, ["text_hash", "text_crc32", "size"], "left")
+    return out.withColumns({d: F.coalesce(F.col("p").getField(d), F.col(d)) for d in DIMS[:2]}).drop("p")
+
+
 def _order_key() -> Column:
-    """The order key on the node's widest dimension; nodes that are leaves have dim 0 and aren't cut."""
-    dim = F.element_at(F.array(*DIMS), F.coalesce(F.col("dim"), F.lit(0)) + 1)
-    return F.shiftleft(dim, TEXT_BITS + ID_BITS) + F.shiftleft("text_hash", ID_BITS) + F.col("id_hash")
+    """The order key on the node's widest dimension."""
+    return F.shiftleft(F.element_at(F.array(*DIMS), F.coalesce(F.col("dim"), F.lit(0)) + 1), TEXT_BITS) + F.col("text_hash")
+
 
+_NODE = "node int, dim int, want double, prefix long, cut long, left long"
 
-#: How far each pass shifts the order key: 12 more bits of it decide each time.
-SHIFTS = (51, 39, 27, 15, 3, 0)
 
+def _step(rows: DataFrame, nodes: list[dict], number: Column, before: int, shift: int) -> dict[int, dict]:
+    """One histogram pass for some nodes: rows whose number has the node's prefix, by their next digit. The digit at which the running bytes reach want."""
+    table = literal_rows(rows.sparkSession, [(n["id"], n["dim"], n["want"], n["prefix"], n.get("cut"), n["left"]) for n in nodes], _NODE)
+    keyed = rows.join(F.broadcast(table), "node").filter(F.col("cut").isNull() | (_order_key() == F.col("cut"))).withColumn("number", number)
+    digits = keyed.filter(F.shiftright("number", before) == F.col("prefix")).groupBy("node", "want", "left", F.shiftright("number", shift).alias("digit"))
+    sums = digits.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("digit")  # at most 2**20 sums a node
+    sums = sums.select("*", (F.col("left") + F.sum("bytes").over(order)).alias("upto"), F.lead("digit").over(order).isNull().alias("last"))
+    found = sums.filter((F.col("upto") >= F.col("want")) | F.col("last")).groupBy("node").agg(F.min(F.struct("digit", "bytes", "upto", "n")).alias("at")).collect()
+    return {r["node"]: r["at"].asDict() for r in found}
 
-def _node_table(spark: SparkSession, nodes: list[dict]) -> DataFrame:
-    """At most a row for each shard, so it can always be broadcast."""
-    rows = [(n["id"], n["dim"], n["want"], n["prefix"], n["left"]) for n in nodes]
-    return F.broadcast(spark.createDataFrame(rows, "node int, dim int, want double, prefix long, left long"))
 
+def _narrow(rows: DataFrame, nodes: list[dict], number: Column, widths: tuple[int, ...], slack: float) -> None:
+    """Narrows each node's prefix down, digit by digit, until the bytes of one prefix are at most slack of a shard's, or the number's bits end.
 
-def _find_cuts(rows: DataFrame, nodes: list[dict]) -> None:
-    """Narrows each node's prefix down to the whole key of its weighted median. rows: node, size, hashes and DIMS."""
+    Sets shift, the bits that are still open, and keep: whether the rows of the prefix go to the left side, which has the smaller error then.
+    """
+    total = before = sum(widths)
     for n in nodes:
-        n |= {"prefix": 0, "left": 0}
-    before = SHIFTS[0] + 12
-    for shift in SHIFTS:
-        keyed = rows.join(_node_table(rows.sparkSession, nodes), "node").withColumn("key", _order_key())
-        sums = keyed.filter(F.shiftright("key", before) == F.col("prefix")).groupBy("node", "want", "left", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("bytes"))
-        order = Window.partitionBy("node").orderBy("digit")  # at most 4096 sums a node
-        sums = sums.select("*", (F.col("left") + F.sum("bytes").over(order)).alias("upto"), F.lead("digit").over(order).isNull().alias("last"))
-        found = sums.filter((F.col("upto") >= F.col("want")) | F.col("last")).groupBy("node").agg(F.min(F.struct("digit", "bytes", "upto")).alias("at")).collect()
-        for n, at in ((n, r["at"]) for n in nodes for r in found if r["node"] == n["id"]):
-            # The rows of the cut key itself go to the side that leaves the smaller error.
-            n |= {"prefix": at["digit"], "left": at["upto"] - at["bytes"], "keep": at["upto"] - n["want"] <= n["want"] - (at["upto"] - at["bytes"])}
-        before = shift
+        n |= {"prefix": 0, "shift": total}
+    open_nodes, at = nodes, 0
+    while open_nodes and at < len(widths):
+        shift = before - widths[at]
+        found = _step(rows, open_nodes, number, before, shift)
+        for n in open_nodes:
+            d = found[n["id"]]
+            n |= {"prefix": d["digit"], "shift": shift, "left": d["upto"] - d["bytes"], "bytes": d["bytes"], "rows": d["n"]}
+            n["keep"] = d["upto"] - n["want"] <= n["want"] - n["left"]
+            n["error"] = min(d["upto"] - n["want"], n["want"] - n["left"])
+        open_nodes = [n for n in open_nodes if n["bytes"] > slack * n["share"]]
+        before, at = shift, at + 1
+
+
+def _cuts(rows: DataFrame, nodes: list[dict]) -> list[tuple]:
+    """(node, dim, cut, row_cut, to): rows whose key is beyond cut, or at it and whose number is at row_cut or beyond, go to the node to."""
+    for n in nodes:
+        n |= {"left": 0}
+    _narrow(rows, nodes, _order_key(), DIGITS, SLACK)
+    for n in nodes:
+        n["first"] = n["prefix"] << n["shift"]  # the least key of the undecided prefix
+        n["next"] = (n["prefix"] + n["keep"]) << n["shift"]
+    heavy = [n for n in nodes if n["shift"] == 0 and n["rows"] > 1 and n["error"] > GROUP_SLACK * n["share"]]
+    halves = [{**n, "cut": n["prefix"]} for n in heavy]
+    if halves:
+        _narrow(rows, halves, F.col("row"), ROW_DIGITS, SLACK)
+    by_row = {n["id"]: (n["cut"], (n["prefix"] + n["keep"]) << n["shift"]) for n in halves}
+    # Without a cut inside a group, every row whose key is at least the cut goes right.
+    return [(n["id"], n["dim"], *by_row.get(n["id"], (n["next"], 0)), n["id"] + n["shards"] // 2) for n in nodes]
 
 
 def kd_tree_shards(meta: DataFrame, shards: int) -> DataFrame:
-    """meta: size, text_hash, id_hash and the DIMS, materialized. Adds shard (0..shards-1)."""
+    """meta: size, text_hash, row and the DIMS, materialized. Adds shard (0..shards-1)."""
     spark = meta.sparkSession
     rows, nodes = meta.withColumn("node", F.lit(0)), [{"id": 0, "shards": shards}]
+    share = None
     while nodes := [n for n in nodes if n["shards"] > 1]:
         stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMS]).collect()}
         nodes = [n for n in nodes if n["id"] in stats]  # a node without rows has nothing to split
         if not nodes:
             break
+        share = share or stats[0]["bytes"] / shards
         for n in nodes:
             s = stats[n["id"]]
-            n |= {"dim": max(range(len(DIMS)), key=lambda i: s[DIMS[i]]), "want": s["bytes"] * (n["shards"] // 2) / n["shards"]}
-        _find_cuts(rows, nodes)
-        cuts = spark.createDataFrame([(n["id"], n["dim"], n["prefix"] + n["keep"], n["id"] + n["shards"] // 2) for n in nodes], "node int, dim int, cut long, to int")
-        right = F.col("cut").isNotNull() & (_order_key() >= F.col("cut"))
-        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(right, F.col("to")).otherwise(F.col("node"))).drop("dim", "cut", "to")
+            n |= {"dim": max(range(len(DIMS)), key=lambda i: s[DIMS[i]]), "want": s["bytes"] * (n["shards"] // 2) / n["shards"], "share": share}
+        cuts = literal_rows(spark, _cuts(rows, nodes), "node int, dim int, cut long, row_cut long, to int")
+        key = _order_key()
+        right = F.col("cut").isNotNull() & ((key > F.col("cut")) | (key == F.col("cut")) & (F.col("row") >= F.col("row_cut")))
+        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(right, F.col("to")).otherwise(F.col("node"))).drop("dim", "cut", "row_cut", "to")
         nodes = [c for n in nodes for c in ({"id": n["id"], "shards": n["shards"] // 2}, {"id": n["id"] + n["shards"] // 2, "shards": n["shards"] - n["shards"] // 2})]
     return rows.withColumnRenamed("node", "shard")
 
@@ -97,24 +142,26 @@ def number_slots(rows: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: rows are numbered in parts of about ROWS_A_TASK, on top of the counts of the parts before."""
     total = rows.count()
     parts = max(32, -(-total // ROWS_A_TASK))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id_hash", "text_hash", "size", "row"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("c"))  # at most shards x parts rows
     before = counts.select("shard", "part", (F.sum("c").over(Window.partitionBy("shard").orderBy("part")) - F.col("c")).alias("base"))
-    within = Window.partitionBy("shard", "part").orderBy("text_hash", "id_hash", "row")
+    within = Window.partitionBy("shard", "part").orderBy("text_hash", "row")
     return rows.withColumn("n", F.row_number().over(within)).join(before, ["shard", "part"]).withColumn("slot", (F.col("base") + F.col("n") - 1).cast("long")).drop("part", "base", "n")
 
 
 def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, size, text_crc32, law, shard and slot for every row of docs; shards, or as many as target_bytes asks for."""
-    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    meta = materialize(docs.select(
-        *keep, byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(2**TEXT_BITS)).alias("text_hash"),
-        F.pmod(F.xxhash64(doc_id), F.lit(2**ID_BITS)).alias("id_hash"), F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in dimensions(docs).items()]))
+    text, keep = F.coalesce(F.col("text"), F.lit("")), tuple(c for c in keep if c.lower() not in RESULTS)
+    read = materialize(docs.select(
+        F.struct(F.lit(0).alias("none"), *keep).alias("kept"), byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(2**TEXT_BITS)).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in dimensions(docs).items()]))
     if shards is None:
-        total = meta.agg(F.sum("size")).first()[0] or 0
+        total = read.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
+    meta = materialize(_group_points(read))
+    release(read)
     placed = number_slots(kd_tree_shards(meta, shards))
-    return placed.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*[F.col("kept").getField(c).alias(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
@@ -122,4 +169,3 @@ def write_shards(docs: DataFrame, path: str, **how) -> None:
     placed = assign_shards(docs, **how).select("doc_id", "shard", "slot")
     out = docs.join(placed, "doc_id")
     out.repartition("shard", F.floor(F.col("slot") / ROWS_A_TASK)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
