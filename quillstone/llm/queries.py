@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import chat, decontam, langid, lmscore, minhash, mixing, quality, sharding, toxicity, urlfilter
-from quillstone.llm.common import fold, materialize, table
+from quillstone.llm.common import fold, literal_rows, materialize, table
 
 
 def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op5_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents are mixed and written; the result names the copies in their order."""
     mixed = materialize(mixing.shuffled(mixing.mix(table(spark, sf_dir, "documents"))))
-    return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_order"))
+    return mixed.select("row.doc_id", "row.source", "copy", F.col("place").alias("shuffle_order"))
 
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op9_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
+    probe = literal_rows(spark, [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
     messages = rows.unionByName(probe).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
     return chat.digests(chat.read_back(chat.format_chat(messages)))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import chat, quality, urlfilter
@@ -35,6 +36,12 @@ def test_quality_counts_match_brute_force(spark):
         assert r.base_failed == base and not (base and r.kept)
 
 
+def test_kept_columns_give_way_to_results(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "clash")], DOCS)
+    out = quality.quality_rules(df, keep=("doc_id", "lang", "n_words"))
+    assert out.columns.count("n_words") == 1 and out.first().n_words == 2 and out.first().lang == "en"
+
+
 def test_quality_verdicts(spark):
     good = "The cat sat on the mat and it was not at all sure of that until the end of the long and rainy day in town"
     df = spark.createDataFrame([(1, good), (2, good.replace(" ", "# ")), (3, " ".join(f"zq{i}" for i in range(200))), (4, good.upper().replace(" ", "!! "))], "doc_id long, text string")
@@ -83,30 +90,35 @@ def test_chat_round_trip_of_any_text(spark):
     got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_chat(df))).collect()}
     sizes = {r.conv_id: len(r.formatted) for r in chat.format_chat(df).select("conv_id", "formatted").collect()}
     for c in {r[0] for r in rows}:
-        own = sorted(((t, r or "", x or "") for cc, t, r, x in rows if cc == c), key=lambda v: (v[0], v[1].encode(), chat_escape(v[2]).encode()))
+        own = sorted(((t, r or "", x or "") for cc, t, r, x in rows if cc == c), key=lambda v: (v[0], v[1].encode(), v[2].encode()))
         whole, loss = "".join(f"{r}\n{x}\n" for _, r, x in own), "".join(x for _, r, x in own if r == "assistant")
         g = got[c]
         assert (g.n_turns, g.turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
         assert (g.loss_chars, g.loss_sha256, g.formatted_chars) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), sizes[c])
 
 
-def chat_escape(t):
-    for c in chat.CONTROL:
-        t = re.sub(re.escape(c[0]) + r"(\\*)" + re.escape(c[1:]), lambda m: c[0] + "\\" + m[1] + c[1:], t)
-    return t
-
-
 def test_chat_parts_become_placeholders(spark):
     parts = [text("see <|image|>"), ("image", None, "a.png", 57, 28, None, None), ("audio", None, "b.wav", None, None, 81, None), ("document", None, "c.pdf", None, None, None, 2), text(None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [text("ok")]), (2, 0, "user", None)], MESSAGE)
     r = {x.conv_id: x for x in chat.format_chat(df).collect()}
     assert r[1].formatted == "<|turn|>user<|text|>see <\\|image|><|image|><|audio|><|document|><|end|><|turn|>assistant<|text|>ok<|end|>"
     assert [(a.turn, a.part, a.ref, a.tokens) for a in r[1].attachments] == [(0, 1, "a.png", 3), (0, 2, "b.wav", 3), (0, 3, "c.pdf", 512)] and r[1].expanded_tokens == 518
-    span = r[1].loss_spans[1]
+    (span,) = r[1].loss_spans
     assert r[1].formatted[span.start : span.start + span.length] == "ok" and r[2].formatted == "<|turn|>user<|text|><|end|>"
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_the_loss_is_read_through_its_spans(spark):
+    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", [text(f"é{i} <|end|> text {i}")], "x") for i in range(6)], MESSAGE + ", formatted string")
+    chats = chat.format_chat(df)
+    assert chat.read_back(chats).first().loss_text == "".join(f"é{i} <|end|> text {i}" for i in (1, 3, 5))
+    moved = chats.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    assert chat.read_back(moved).first().loss_text == "".join(f"{i} <|end|> text {i}<" for i in (1, 3, 5))
+    lost = chats.withColumn("loss_spans", F.array(F.struct(F.lit(9_999).cast("long").alias("start"), F.lit(5).alias("length"))))
+    with pytest.raises(Exception, match="outside of every turn"):
+        chat.read_back(lost).collect()
+
+
 def test_chat_runs_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", [text("x")])], MESSAGE)
     plan = chat.digests(chat.read_back(chat.format_chat(df)))._jdf.queryExecution().executedPlan().toString()
