@@ -12,7 +12,8 @@ of the items are read to the driver, in blocks as well.
 Cases: null and blank texts match nothing, and null or blank items are never found; an item whose text is so short that
 its pieces would fall below MIN_PIECE bytes gets a smaller budget, down to exact matching; several items with one text
 are each reported; repeated documents are each reported; a text of any length is searched whole, in memory in
-proportion to it; an empty table of either kind gives an empty result; other columns are ignored.
+proportion to it; an empty table of either kind gives an empty result. find_leaks() ignores other columns; decontaminate()
+carries them, whatever their names, and judges rows with a null or repeated id each by its own text.
 """
 
 from __future__ import annotations
@@ -25,12 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize
-
 #: Edits allowed, per cent of an item's normalised length; least length of a piece; bytes of pieces in one automaton.
 ERROR_PERCENT, MIN_PIECE, BLOCK_BYTES = 8, 10, 8_000_000
-#: Ids of documents with leaks that are broadcast; more are joined by shuffle.
-MAX_BROADCAST_IDS = 2_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -150,11 +147,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _blocks(benchmark):
         found = docs.mapInArrow(partial(_scan, shared=spark.sparkContext.broadcast(items)), schema)
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.limit(0).mapInArrow(partial(_scan, shared=spark.sparkContext.broadcast([])), schema) if out is None else out
+
+
+def _clean(batches: Iterator[pa.RecordBatch], shared, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of whole batches in whose text no item is found."""
+    items, auto = shared.value, None
+    for batch in batches:
+        auto = auto or _automaton(items)
+        texts = batch.column(text_at).cast(pa.large_binary()).to_pylist()
+        yield batch.filter(pa.array([not match(normalise(t), items, auto) for t in texts], pa.bool_()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns."""
-    leaks = materialize(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    few = leaks.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows of docs in which no item is found, with all their columns: a filter row by row, so ids play no part in it."""
+    for items in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(partial(_clean, shared=shared, text_at=docs.columns.index("text")), docs.schema)
+    return docs

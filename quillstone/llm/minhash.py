@@ -11,12 +11,17 @@ of one text into one component. Where other members are still in different compo
 of them is compared in its task, signature against signature and then set against set, and only links that join
 components leave it; a larger one goes on with more pivots, twice as many in each round, until what is left is small. So
 no link that could join components goes untested, and no bucket is expanded into its pairs. Candidates are dropped by
-set sizes and by an estimate from the signatures DEVIATIONS standard deviations below the threshold; the rest is compared
-on full sets. Components come from alternating large-star and small-star steps on tables in the shared folder.
+set sizes and by an estimate from the signatures DEVIATIONS standard deviations below the threshold (for a pair right at
+it, a chance of some 3e-7 besides the banding's MISS); the rest is compared on full sets. For that, a pivot's candidates
+are dealt out by pivot and a salt: the pivot's text comes once to each such part and is held while the candidates stream
+by, so neither its text nor its candidates meet in one task. Components come from alternating large-star and small-star
+steps on tables in the shared folder.
 
 Cases: null and blank texts have an empty set and link to nothing; a text of fewer than k words is one shingle; equal
 texts, and repeated rows, fall into one class; rows of one id and different texts are one node of the graph; a null id
-keeps its row, unlinked, with a null component; an empty table gives an empty result; other columns are ignored.
+keeps its row, unlinked, with a null component; an empty table gives an empty result; near_duplicates() ignores other
+columns. deduplicate() carries them, whatever their names; of the rows of one component one stays, also where rows are
+repeated or share an id; every row without words stays, and every row with a null id.
 """
 
 from __future__ import annotations
@@ -30,15 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize, release
+from quillstone.llm.common import MAX_BROADCAST_IDS, default_parallelism, materialize, release, spread, whole
+from quillstone.operators.joins import components_of
 
 BAND_ROWS, MISS = 7, 1e-6
 #: Members and shingles of a bucket that one task compares; larger buckets go on with pivots.
 SMALL_BUCKET, SMALL_SHINGLES = 2048, 4_000_000
 #: How far below the threshold, in standard deviations, a signature's estimate rules a pair out.
 DEVIATIONS = 5
-#: Ids that are sent to all executors to pick texts out; more are joined by shuffle. 8 bytes each.
-MAX_BROADCAST_IDS = 2_000_000
+#: Classes of equal sets that are broadcast; of more, only those with HOT_CLASS rows or more are, and the rest joined by shuffle.
+MAX_BROADCAST_CLASSES, HOT_CLASS = 1_000_000, 10_000
+#: Parts, at least, that the candidates of one pivot can be dealt into.
+SALTS = 64
 #: Words whose hashes a worker remembers.
 CACHE = 1_000_000
 _MIX = np.random.default_rng(20240607)
@@ -172,36 +180,23 @@ def _within(bucket: pa.Table, k: int, percent: int, values: int) -> pa.Table:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with 100 * |A and B| >= percent * |A or B| on full sets."""
-    cache, last = _WordHash(), (None, None)
+    """Pairs with 100 * |A and B| >= percent * |A or B| on full sets. Rows (a, salt, b, text) come sorted, the pivot's own (b is null) first: one, or several where its id has several texts."""
+    cache, pivot, own, opened = _WordHash(), None, [], False
     for batch in batches:
         good = []
-        for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).cast(pa.large_binary()).to_pylist(), strict=True):
-            if last[0] != (a, ta):
-                last = (a, ta), shingle_set(ta, k, cache)
-            sa, sb = last[1], shingle_set(tb, k, cache)
-            both = len(np.intersect1d(sa, sb, assume_unique=True))
-            good.append(both > 0 and 100 * both >= percent * (len(sa) + len(sb) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) of ids to (node, component), component the least id of the node's component. Nodes without edges have no row."""
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        found = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if found == state or not found[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b")).distinct()
-        state = found
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        new = materialize(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select("b", "m")).distinct())
-        release(e)
-        e = new
+        for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.large_binary()).to_pylist(), strict=True):
+            found = shingle_set(text, k, cache)
+            if b is None:
+                own = [*own, found] if (pivot, opened) == ((a, salt), True) else [found]
+                pivot, opened = (a, salt), True
+                good.append(False)
+                continue
+            if pivot != (a, salt):
+                raise ValueError("a candidate came without its pivot")
+            opened = False
+            both = [len(np.intersect1d(x, found, assume_unique=True)) for x in own]
+            good.append(any(n > 0 and 100 * n >= percent * (len(x) + len(found) - n) for n, x in zip(both, own, strict=True)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -211,21 +206,25 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
-    """Which of the pairs (a, b) are links; materialized."""
+    """Which of the pairs (a, b) of a pivot and a candidate are links; materialized."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
-    likely = materialize(sized.mapInArrow(partial(_likely, percent=percent, values=bands * BAND_ROWS), "a long, b long").distinct())
+    likely = materialize(sized.mapInArrow(partial(_likely, percent=percent, values=bands * BAND_ROWS), "a long, b long"))
     texts = _texts_of(docs, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    out = materialize(likely.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long").distinct())
+    tests = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(SALTS, default_parallelism(docs.sparkSession)))))
+    pivots = tests.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    others = tests.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
+    dealt = pivots.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    out = materialize(dealt.mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long"))
     release(likely, texts)
     return out
 
 
-def links_and(edges: DataFrame, links: list[DataFrame]) -> DataFrame:
-    for x in links:
-        edges = edges.union(x)
-    return edges
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.union(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -233,9 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs, bands = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bands_for(percent / 100)
     signed = materialize(docs.mapInArrow(partial(_sign, k=k, bands=bands), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"))
     known = signed.filter("doc_id IS NOT NULL")
-    classes = known.filter("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     fps = ["n_shingles", "fp1", "fp2"]
-    reps = materialize(known.join(classes.withColumnRenamed("rep", "doc_id"), [*fps, "doc_id"], "left_semi").dropDuplicates(["doc_id", *fps]))
+    classes = materialize(known.filter("n_shingles > 0").groupBy(*fps).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))
+    reps = materialize(known.join(classes.select(*fps, F.col("rep").alias("doc_id")), [*fps, "doc_id"], "left_semi").dropDuplicates(["doc_id", *fps]))
     # Rows of one id and different texts are one node: their classes are linked.
     same_id = known.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct(*fps).alias("c")).filter("c > 1").select("doc_id")
     same = known.join(same_id, "doc_id").join(classes, fps).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
@@ -249,7 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return _within(bucket, k, percent, bands * BAND_ROWS)
 
     rest, pivots = buckets.filter("doc_id <> pivot").select("key", "doc_id", "n_shingles"), 32
-    components = materialize(connected_components(links_and(same, links)))
+    components = components_of(_united([same, *links]))
     while True:
         labelled = rest.join(components, rest["doc_id"] == components["node"], "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
         split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.sum("n_shingles").alias("n")).filter("x <> y")
@@ -271,22 +270,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         new = [x for x in found if x.limit(1).count()]
         if new:
             links += new
-            components = materialize(connected_components(links_and(same, links)))
+            release(components)
+            components = components_of(_united([same, *links]))
         release(open_rows)
         if not more:
             break
-    of_class = classes.join(components, classes["rep"] == components["node"], "left").select(*fps, F.coalesce("component", "rep").alias("class_component"))
-    placed = signed.select("doc_id", *fps).join(of_class, fps, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
+    release(reps, buckets)
+    linked = classes.join(components, classes["rep"] == components["node"], "left").select(*fps, "m", "rep", F.coalesce("component", "rep").alias("component_id"))
+    # A class of one row that is its own component needs no mention: such rows keep their own id.
+    placed = _with_class(signed.select("doc_id", *fps), linked.filter("m > 1 OR component_id <> rep").drop("rep"), fps)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_class(rows: DataFrame, linked: DataFrame, fps: list[str]) -> DataFrame:
+    """rows with the component_id of their class, null where linked has none. A class of very many rows is never a shuffle key."""
+    linked = materialize(linked)
+    if linked.limit(MAX_BROADCAST_CLASSES + 1).count() <= MAX_BROADCAST_CLASSES:
+        return rows.join(F.broadcast(linked.drop("m")), fps, "left")
+    hot, cold = linked.filter(F.col("m") >= HOT_CLASS).drop("m"), linked.filter(F.col("m") < HOT_CLASS).drop("m")
+    first = rows.join(F.broadcast(hot), fps, "left")  # at most a HOT_CLASS-th of the rows
+    rest = first.filter("component_id IS NULL").drop("component_id").join(cold, fps, "left")
+    return first.filter("component_id IS NOT NULL").unionByName(rest)
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that share an id and a component one stays."""
-    verdict = near_duplicates(docs, k, percent)
-    gone = verdict.filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("__id"), "left_anti")
+    """The rows of docs that near_duplicates() keeps, with all their columns; of the rows of one component one stays."""
+    verdict = near_duplicates(docs.select(docs[doc_id].alias("doc_id"), docs["text"]), k, percent).filter("doc_id IS NOT NULL AND n_shingles > 0")
+    # Ids that go, and kept ids that have several rows, all of which are in one component.
+    decided = verdict.groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("c")).filter("NOT kept OR c > 1")
+    decided = materialize(decided.select("id", F.when(F.col("kept"), "several").otherwise("gone").alias("what")))
+    few = decided.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    wordless = ~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(whole(docs).alias("row"), docs[doc_id].cast("long").alias("of"), wordless.alias("wordless"))
+    rows = rows.join(F.broadcast(decided) if few else decided, F.col("of") == F.col("id"), "left")
+    stay = rows.filter("what IS NULL OR wordless").select("row")
+    if decided.filter("what = 'several'").limit(1).count():
+        several = rows.filter("what = 'several' AND NOT wordless")
+        stay = stay.union(several.groupBy("of").agg(F.min_by("row", F.xxhash64(F.col("row").getField("text"))).alias("row")).select("row"))
+    return spread(stay)
 
 
 def oracle(k: int = 3, percent: int = 85) -> str:

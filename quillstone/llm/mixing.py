@@ -7,8 +7,8 @@ exploded by their counts and dealt out in the order of a second hash.
 
 Cases: a null source is a source of its own; a null id hashes as an empty text; repeated rows are counted and drawn
 each (the same id draws the same count); weights of sources that have no rows are ignored and the rest rescaled;
-sources without a weight get none of the copies; an empty table gives an empty result. Texts are carried unchanged,
-whatever their length. Only one row a source is ever joined to the documents; a hot source needs no salt, since counts
+sources without a weight get none of the copies; an empty table gives an empty result. Rows are carried unchanged in a
+struct, so no name of theirs can clash, whatever their length. Only one row a source is ever joined to the documents; a hot source needs no salt, since counts
 are pre-aggregated and the join is a broadcast up to MAX_BROADCAST_SOURCES sources and a skew-split join beyond.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import default_parallelism
+from quillstone.llm.common import default_parallelism, literal_rows, materialize, spread, whole
 
 SEED = "mix-1"
 #: Power of a source's rows that its target weight follows, where no weights are given.
@@ -34,14 +34,13 @@ def hash_bits(*parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source") -> DataFrame:
-    """One row a source: source, n, rate."""
-    n = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    """One row a source: source, n, rate. Sources are counted in one pass and written, as their rates are used more than once."""
+    n = materialize(docs.groupBy(docs[source].alias("source")).agg(F.count("*").alias("n")))
     if weights is None:
         n = n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
     else:
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
-        n = n.alias("a").join(given.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select(
-            "a.source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        given = literal_rows(docs.sparkSession, [(k, float(v)) for k, v in weights.items()], "given string, weight double")
+        n = n.join(given, F.col("source").eqNullSafe(F.col("given")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = n.agg(F.sum("n").alias("total"), F.sum("weight").alias("weights"))
     rate = F.round(F.coalesce(F.try_divide(F.col("weight") * F.col("total"), F.col("weights") * F.col("n")), F.lit(0.0)), 9)
     return n.join(F.broadcast(total)).select("source", "n", rate.alias("rate"))  # total has one row
@@ -64,22 +63,26 @@ def _with_tables(rates: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Every column of docs, once for each copy, with __copy (1, 2, ...) and __order (its place in the global shuffle)."""
+    """Once for each copy: row, a struct of all columns of docs; copy (1, 2, ...); place, its place in the global shuffle."""
     rates = _with_tables(source_rates(docs, weights, source))
     many = rates.limit(MAX_BROADCAST_SOURCES + 1).count() > MAX_BROADCAST_SOURCES
-    rates = rates.select(F.struct("rate", "low", "cdf").alias("__rate"), F.col("source").alias("__source"))
-    u = (hash_bits(F.lit(seed), F.col(doc_id)) + F.lit(0.5)) / F.lit(float(2**BITS))
-    drawn = docs.withColumn("__u", u).join(rates if many else F.broadcast(rates), F.col(source).eqNullSafe(F.col("__source")))
-    copies = F.col("__rate.low") + F.size(F.filter("__rate.cdf", lambda c: c <= F.col("__u")))
-    drawn = drawn.withColumn("__n", F.when(F.col("__rate.rate") > 0, copies).otherwise(0)).filter(F.col("__n") > 0)
-    out = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
-    return out.withColumn("__order", hash_bits(F.lit(seed), F.col(doc_id), F.col("__copy")))
+    u = (hash_bits(F.lit(seed), docs[doc_id]) + F.lit(0.5)) / F.lit(float(2**BITS))
+    rows = docs.select(whole(docs).alias("row"), docs[source].alias("of"), docs[doc_id].alias("id"), u.alias("u"))
+    drawn = rows.join(rates if many else F.broadcast(rates), F.col("of").eqNullSafe(F.col("source")))
+    n = F.when(F.col("rate") > 0, F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(0)
+    copies = drawn.select("row", "id", n.alias("n")).filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return copies.select("row", "copy", hash_bits(F.lit(seed), F.col("id"), F.col("copy")).alias("place"))
 
 
 def shuffled(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Deals mixed rows out by their hash and orders each part by it: a global shuffle, the same in each run."""
     n = default_parallelism(mixed.sparkSession)
-    return mixed.repartition(n, "__order", "__copy").sortWithinPartitions("__order", doc_id, "__copy")
+    return mixed.repartition(n, "place", "copy").sortWithinPartitions("place", F.col("row").getField(doc_id), "copy")
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The mixed and shuffled copies with the columns of docs alone."""
+    return spread(shuffled(mix(docs, **how)))
 
 
 def oracle(seed: str = SEED) -> str:
