@@ -2,7 +2,8 @@
 
 Cases: null text is an empty text (no words: base_failed, not kept); a text of any length is read whole and
 handled inside its own row, so no shuffle and no skew arise; repeated rows are judged alike, one result each;
-columns of the input other than the text are carried along only if asked for, so clashing names can't arise.
+columns of the input other than the text are carried along only if asked for, and of these one that has the name of a
+result gives way to the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,6 +70,9 @@ RULES = (
 STOP_FORMS = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
 #: A text of so many words needs no stop word.
 STOP_FREE = 50
+#: Names of the results, which columns carried along give way to.
+RESULTS = ("n_words word_chars n_symbols n_dup_lines n_repeat_words n_exclamations n_stop_words n_words_beyond n_lines n_bullet_lines n_ellipsis_lines "
+           "base_failed kept failed_rules").split()
 
 
 def _removed(text: Column, chars: str) -> Column:
@@ -80,8 +84,9 @@ def _removed(text: Column, chars: str) -> Column:
 
 def quality_metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: the kept columns and the counts that the rules use."""
+    keep = tuple(c for c in keep if c.lower() not in RESULTS)
     t, words, n = F.col("__t"), F.col("__words"), F.size("__words")
-    out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    out = docs.select(F.struct(F.lit(0).alias("none"), *keep).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     out = out.select("*", words_of(t).alias("__words"), F.split(t, "\n").alias("__lines"))
     starts = F.sequence(F.lit(1), n - (WINDOW - 1))
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WINDOW)]))
@@ -102,7 +107,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                           F.lit(WINDOW).cast("long"), lambda s, x: s + x)
     long = lambda c: c.cast("long")
     return out.select(
-        *keep, long(n).alias("n_words"), long(F.length(F.array_join(words, ""))).alias("word_chars"),
+        *[F.col("__row").getField(c).alias(c) for c in keep], long(n).alias("n_words"), long(F.length(F.array_join(words, ""))).alias("word_chars"),
         _removed(t, SYMBOLS).alias("n_symbols"), long(F.size("__full") - F.size(F.array_distinct("__full"))).alias("n_dup_lines"),
         F.when(k > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         _removed(t, "!").alias("n_exclamations"), long(F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS)))).alias("n_stop_words"), long(F.greatest(n - STOP_FREE, F.lit(0))).alias("n_words_beyond"), long(F.size("__full")).alias("n_lines"),

@@ -81,10 +81,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(held)
 
 
-def screen(train: DataFrame) -> list[str]:
-    """Features of toxic documents, from the counts over all of train (text, toxic), and the identity terms."""
-    n = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
+def screen(train: DataFrame, n1: int, n0: int) -> list[str]:
+    """Features of toxic documents, from the counts over all of train (text, toxic), n1 of it toxic and n0 clean, and the identity terms."""
     if not n1 or not n0:
         return []
     c = train.select("text", "toxic").mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("x"), F.sum("clean").alias("y"))
@@ -142,11 +140,12 @@ def fit_weights(labels: list[int], own: list[list[int]], other: list[list[int] |
 
 def fit(train: DataFrame, penalty: float = COUNTERFACTUAL) -> tuple[dict[str, float], float]:
     """Weights by feature and the intercept, from train (doc_id, text, toxic)."""
-    train = train.filter("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    names = screen(train)
-    total, toxic = train.agg(F.count("*"), F.sum("toxic")).first()
+    train = train.filter("toxic IS NOT NULL").select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    n = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}  # needs ids alone, no texts
+    toxic, total = n.get(1, 0), sum(n.values())
+    names = screen(train, toxic, total - toxic)
     if not names:
-        share = (toxic or 0) / total if total else 0.0
+        share = toxic / total if total else 0.0
         return {}, float("-inf") if share == 0 else float("inf") if share == 1 else float(np.log(share / (1 - share)))
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(1_000_000)) / 1_000_000
     rows = train.filter(u < min(1.0, TRAIN_ROWS / total)).select("text", "toxic").mapInArrow(partial(_encode, names=names), "label int, own array<int>, other array<int>").toArrow()

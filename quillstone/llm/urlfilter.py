@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import default_parallelism, materialize
+from quillstone.llm.common import default_parallelism, literal_rows, materialize, release
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def rules_frame(spark: SparkSession, rules: tuple[UrlRule, ...]) -> DataFrame:
     """Rules as rows (verdict, host, path); any DataFrame of that form will do."""
     if len({(r.host, r.path) for r in rules}) < len(rules):
         raise ValueError("two rules have the same host and path")
-    return spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    return literal_rows(spark, [(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
 
 
 def _top_of_stack(events: DataFrame) -> DataFrame:
