@@ -21,7 +21,7 @@ SHARDS = 8
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified with a score of LEAST_SCORE or more; lang is then the identified one."""
     train = docs.filter(fold(F.col("doc_id"), 5) != 0)
-    return langid.with_language(docs, train).filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).withColumn("lang", F.col("__lang")).select(*docs.columns)
+    return langid.keep_identified(docs, train, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as its source's target weight asks, in a global shuffle."""
-    return mixing.shuffled(mixing.mix(docs)).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Language models and min-max signatures can't be expressed in SQL; tests hold the stages against brute force.
+#: Language models and min-max signatures can't be expressed in SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
