@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone import cli, config
+from quillstone.functions import text
 from quillstone.operators import evaluation, reports
 
 ITEM = "position int, source_name string, company string, ticker string, overall_prediction string, confidence string, key_reasons array<string>, key_concerns array<string>, critical_questions array<string>, mispricing string, variant_perception string, upside string, business_quality string, downside string, canonical_url string"
@@ -12,9 +14,12 @@ def item(spark, *rows):
 
 def test_digest_body(spark):
     one = reports.digest_body(item(spark, ("Foo", "FO")), 5)
-    assert one.startswith("Foo (FO)\nSource: src\n") and "- a\n- b\n\n" in one and "- c" not in one and "Main concerns:\n- (none noted)" in one and "- Downside: -" in one and one.endswith("LIKE\nGood margins, worth tracking next quarter.")
+    assert one.startswith("Foo / FO / WATCH / HIGH confidence\nFor: a\nFor: b\nmispricing x, variant perception x, upside x, business quality x\nsrc\nhttp://u\n\n")
+    assert "For: c" not in one and "Against" not in one and "\n  <rating>\n" in one and "STRONG LIKE, LIKE" in one
     two = reports.digest_body(item(spark, (None, "AB"), ("Bar", None)), 5)
-    assert two.startswith("AB\nSource") and "\n\nBar\nSource" in two and "AB - LIKE" in two
+    assert two.startswith("AB / WATCH") and "\n\nBar / WATCH" in two and "\n  AB - <rating>\n" in two
+    reply = spark.createDataFrame([("AB - LIKE\nwhy", 2), ("LIKE\nwhy", 1)], "t string, n int").select(text.reply_blocks(F.col("t"), F.col("n")).alias("r"))
+    assert [r.r.ok for r in reply.collect()] == [True, True]  # what the instructions ask for can be read
     assert reports.digest_subject("2026-01-02").startswith("Quillstone — new ideas worth attention")
 
 
