@@ -10,12 +10,30 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 ATTEMPTS, BUDGET_GROWTH = 3, 1.5
 
+_RATING = ("Strong", "Plausible", "Weak", "Unknown")
+_TEXTS = ("company", "ticker", "business_summary", "core_thesis", "why_mispriced", "future_earnings_change", "upside_case",
+          "downside_or_key_risks", "catalysts", "what_must_be_true", "evidence_of_market_misunderstanding", "known_unknowns")
+# What models are asked for. A field is a type, a tuple of allowed texts, list (of texts), or a pair (one of those, default).
+EXTRACTED_IDEA = dict.fromkeys(_TEXTS, str)
+PREDICTION = {
+    "overall_prediction": ("INVESTIGATE_NOW", "WATCH", "PASS", "INSUFFICIENT_INFORMATION"), "mispricing": _RATING, "variant_perception": _RATING,
+    "upside": ("Potentially sufficient", "Probably insufficient", "Unknown"), "business_quality": _RATING, "downside": ("Attractive", "Acceptable", "Problematic", "Unknown"),
+    "key_reasons": [list, []], "key_concerns": [list, []], "critical_questions": [list, []], "confidence": ("HIGH", "MEDIUM", "LOW"),
+}
+FEEDBACK_EVENT = {
+    "event_type": ("FEEDBACK", "NEW_IDEA", "MISSED_IDEA", "UNCLEAR"), "verdict": [("STRONG_LIKE", "LIKE", "MAYBE", "PASS", "STRONG_PASS"), None], "ticker": [str, None], "company": [str, None],
+    "novelty": [("NEW", "KNOWN", "UNKNOWN"), None], "user_comment": [str, ""], "positive_reasons": [list, []], "concerns": [list, []], "not_a_concern": [list, []], "confidence": float,
+}
+CANDIDATE_RULE = {"rule": str, "evidence": str, "reusability": str, "confidence": ("HIGH", "MEDIUM", "LOW")}
+#: Most items of a list and characters of an item in a narrative repair; of the three fields only those that are missing are asked for.
+REPAIR_ITEMS, REPAIR_CHARS = 2, 300
+
 
 class Truncated(RuntimeError):
     """The answer ran into its token limit."""
@@ -25,27 +43,147 @@ class Transient(RuntimeError):
     """A failure that a later run may not meet."""
 
 
-def generate(call: Callable[[str, int], str], prompt: str, fields: dict[str, type], budget: int = 1024) -> tuple[str, str | None]:
-    """(status, JSON): up to ATTEMPTS calls, again only for truncated answers, with a larger budget, or for invalid JSON."""
-    status = "INVALID_JSON"
+class ModelFailure(RuntimeError):
+    """A call that failed for good. code is a category; detail holds names of types and fields, never a provider's text."""
+
+    def __init__(self, code: str, detail: str | None = None):
+        super().__init__(code if detail is None else f"{code}: {detail}")
+        self.code, self.detail = code, detail
+
+
+def is_transient(e: BaseException) -> bool:
+    """Time-outs, lost connections, rate limits and server errors; anything else needs a person first."""
+    status = getattr(e, "status_code", None)
+    return isinstance(e, (Transient, TimeoutError, ConnectionError)) or isinstance(status, int) and (status == 429 or status >= 500)
+
+
+def provider_detail(e: BaseException) -> str:
+    status = getattr(e, "status_code", None)
+    return type(e).__name__ + (f" HTTP {status}" if isinstance(status, int) else "")
+
+
+def repair_fields(missing: list[str]) -> dict:
+    """The form of a narrative repair that asks for the missing fields alone."""
+    return {f: [list, []] for f in missing}
+
+
+def json_schema(fields: dict) -> dict:
+    """A strict JSON schema of a form, for models that take one."""
+    def kind(t) -> dict:
+        if isinstance(t, list):
+            inner = kind(t[0])
+            return {"anyOf": [inner, {"type": "null"}]} if t[1] is None else inner
+        if isinstance(t, tuple):
+            return {"type": "string", "enum": list(t)}
+        return {list: {"type": "array", "items": {"type": "string"}}, str: {"type": "string"}, float: {"type": "number"}, int: {"type": "integer"}, bool: {"type": "boolean"}, dict: {"type": "object"}}[t]
+
+    return {"type": "object", "additionalProperties": False, "required": [f for f, t in fields.items() if not isinstance(t, list)], "properties": {f: kind(t) for f, t in fields.items()}}
+
+
+def problems_of(answer: dict, fields: dict) -> list[str]:
+    """field: what is wrong with it, for each field that doesn't fit. Values are never quoted."""
+    out = []
+    for name, t in fields.items():
+        optional = isinstance(t, list)
+        t, value = (t[0] if optional else t), answer.get(name)
+        if value is None:
+            out += [] if optional else [f"{name}: missing"]
+        elif isinstance(t, _Nested):
+            whole = isinstance(value, list) and all(isinstance(x, dict) for x in value)
+            out += [f"{name}.{i}.{p}" for i, x in enumerate(value) for p in problems_of(x, t.fields)] if whole else [f"{name}: no list of objects"]
+        elif isinstance(t, tuple):
+            out += [] if value in t else [f"{name}: not allowed"]
+        elif t is list:
+            out += [] if isinstance(value, list) and all(isinstance(x, str) for x in value) else [f"{name}: no list of texts"]
+        elif not isinstance(value, (int, float) if t is float else t) or isinstance(value, bool) and t is not bool:
+            out.append(f"{name}: no {t.__name__}")
+    return out
+
+
+def filled(answer: dict, fields: dict) -> dict:
+    """The fields alone, with their defaults; what else an answer holds is dropped."""
+    def value(f: str, t):
+        v = answer.get(f)
+        if isinstance(t, _Nested):
+            return [filled(x, t.fields) for x in v]
+        return v if v is not None else t[1] if isinstance(t, list) else None
+
+    return {f: value(f, t) for f, t in fields.items()}
+
+
+def generate(call: Callable[[str, int], str], prompt: str, fields: dict, budget: int = 1024) -> tuple[str, str | None]:
+    """(status, JSON): up to ATTEMPTS calls, again only for truncated answers, with a larger budget, or for answers of another form.
+
+    status: OK; EMPTY_RESPONSE, RESPONSE_PARSE_ERROR, VALIDATION_ERROR or TRUNCATED of the last attempt; RETRYABLE_ERROR
+    for what a later run may not meet; PROVIDER_ERROR for anything else that the call raises.
+    """
+    status = "UNKNOWN_ERROR"
     for _ in range(ATTEMPTS):
         try:
-            answer = json.loads(call(prompt, budget))
+            text = call(prompt, budget)
         except Truncated:
             status, budget = "TRUNCATED", int(budget * BUDGET_GROWTH)
             continue
+        except Exception as e:  # whatever a provider raises becomes a status; the row isn't lost
+            return ("RETRYABLE_ERROR" if is_transient(e) else "PROVIDER_ERROR"), None
+        if not (text or "").strip():
+            status = "EMPTY_RESPONSE"
+            continue
+        try:
+            answer = json.loads(text)
         except json.JSONDecodeError:
-            status = "INVALID_JSON"
+            status = "RESPONSE_PARSE_ERROR"
             continue
-        except Transient:
-            return "RETRYABLE_ERROR", None
-        if not isinstance(answer, dict) or any(not isinstance(answer.get(k), t) for k, t in fields.items()):
-            return "SCHEMA_MISMATCH", None
-        return "OK", json.dumps({k: answer[k] for k in fields}, sort_keys=True, ensure_ascii=False)
+        if not isinstance(answer, dict) or problems_of(answer, fields):
+            status = "VALIDATION_ERROR"
+            continue
+        return "OK", json.dumps(filled(answer, fields), sort_keys=True, ensure_ascii=False)
     return status, None
 
 
-def apply_model(rows: DataFrame, prompt: str, factory: Callable[[], Callable[[str, int], str]], fields: dict[str, type]) -> DataFrame:
+def _ddl(fields: dict) -> str:
+    def kind(t) -> str:
+        t = t[0] if isinstance(t, list) else t
+        return "string" if isinstance(t, tuple) else {list: "array<string>", str: "string", float: "double", int: "long", bool: "boolean", dict: "map<string,string>"}[t]
+
+    return ", ".join(f"{f} {kind(t)}" for f, t in fields.items())
+
+
+def checked_json(answer: Column, fields: dict) -> Column:
+    """The answer's JSON as a struct of its fields."""
+    return F.from_json(answer, _ddl(fields))
+
+
+def feedback_events(messages: DataFrame, prompt: str, factory: Callable[[], Callable[[str, int], str]]) -> tuple[DataFrame, DataFrame]:
+    """(events, outcomes) of a model's reading of messages.
+
+    A message gives any number of events; it needs review if one of them does. outcomes: message_id and status: PARSED,
+    NO_FEEDBACK, NEEDS_REVIEW, RETRYABLE_ERROR or ERROR. Events keep their whole JSON.
+    """
+    from quillstone.functions.exprs import review_reason
+    from quillstone.operators.storage import materialize
+
+    answered = materialize(apply_model(messages.select("message_id", prompt), prompt, factory, {"events": _EVENTS}))  # a call is made once
+    read = answered.select("message_id", "status", F.from_json("answer", f"events array<struct<{_ddl(FEEDBACK_EVENT).replace(' ', ':').replace(',:', ',')}>>").getField("events").alias("events"))
+    events = read.select("message_id", F.posexplode("events").alias("event_index", "e")).select(
+        "message_id", "event_index", "e.*", F.to_json("e").alias("parsed_json"), review_reason(F.col("e.event_type"), F.col("e.verdict"), F.col("e.confidence")).alias("review_reason"))
+    doubt = events.groupBy("message_id").agg(F.bool_or(F.col("review_reason").isNotNull()).alias("doubt"))
+    outcome = (F.when(F.col("status") == "RETRYABLE_ERROR", "RETRYABLE_ERROR").when(F.col("status") != "OK", "ERROR").when(F.coalesce(F.size("events"), F.lit(0)) <= 0, "NO_FEEDBACK")
+               .when(F.coalesce("doubt", F.lit(False)), "NEEDS_REVIEW").otherwise("PARSED"))
+    return events, read.join(doubt, "message_id", "left").select("message_id", outcome.alias("status"))
+
+
+class _Nested:
+    """A list of objects of one form."""
+
+    def __init__(self, fields: dict):
+        self.fields = fields
+
+
+_EVENTS = _Nested(FEEDBACK_EVENT)
+
+
+def apply_model(rows: DataFrame, prompt: str, factory: Callable[[], Callable[[str, int], str]], fields: dict) -> DataFrame:
     """rows with status and answer (JSON). Put the anti-join against what is already answered before this, not after."""
     schema = StructType([*rows.schema.fields, StructField("status", StringType()), StructField("answer", StringType())])
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import isolation
 from quillstone.operators import models
-from quillstone.operators.log import EventLog, consume_authorisation, row_guard
+from quillstone.operators.log import EventLog, Store, consume_authorisation, row_guard
 from quillstone.sources import mail, raw_store
 from quillstone.streaming import ingest
 
@@ -114,7 +114,60 @@ def answers():
 def test_model_answers_become_statuses(spark):
     df = spark.createDataFrame([("ok",), ("bad",), ("odd",), ("long",)], "p string")
     got = {r.p: (r.status, r.answer) for r in models.apply_model(df, "p", answers, {"a": str}).collect()}
-    assert got == {"ok": ("OK", '{"a": "y"}'), "bad": ("INVALID_JSON", None), "odd": ("SCHEMA_MISMATCH", None), "long": ("OK", '{"a": "x"}')}
+    assert got == {"ok": ("OK", '{"a": "y"}'), "bad": ("RESPONSE_PARSE_ERROR", None), "odd": ("VALIDATION_ERROR", None), "long": ("OK", '{"a": "x"}')}
+
+
+def test_forms_are_checked_without_quoting_values():
+    good = {"event_type": "FEEDBACK", "verdict": "LIKE", "confidence": 1, "extra": "gone", "concerns": ["x"]}
+    assert models.problems_of(good, models.FEEDBACK_EVENT) == [] and "extra" not in models.filled(good, models.FEEDBACK_EVENT)
+    bad = good | {"verdict": "secret", "confidence": True, "concerns": [1], "event_type": None}
+    assert models.problems_of(bad, models.FEEDBACK_EVENT) == ["event_type: missing", "verdict: not allowed", "concerns: no list of texts", "confidence: no float"]
+    schema = models.json_schema(models.PREDICTION)
+    assert "key_reasons" not in schema["required"] and schema["properties"]["confidence"] == {"type": "string", "enum": ["HIGH", "MEDIUM", "LOW"]}
+
+    class Broken(Exception):
+        status_code = 503
+
+    def raising(e):
+        def call(prompt, budget):
+            raise e
+        return call
+
+    assert models.generate(raising(Broken("x")), "p", {}) == ("RETRYABLE_ERROR", None) and models.generate(raising(ValueError("secret")), "p", {}) == ("PROVIDER_ERROR", None)
+    assert models.generate(lambda p, b: " ", "p", {}) == ("EMPTY_RESPONSE", None) and models.provider_detail(Broken("secret")) == "Broken HTTP 503"
+
+
+def reader():
+    def call(prompt, budget):
+        event = {"event_type": "FEEDBACK", "verdict": "LIKE", "confidence": 0.9}
+        return json.dumps({"events": {"one": [event], "two": [event, event | {"confidence": 0.1}], "none": []}.get(prompt, "nonsense")})
+    return call
+
+
+def test_messages_are_read_as_events(spark):
+    df = spark.createDataFrame([(x, x) for x in ("one", "two", "none", "odd")], "message_id string, body string")
+    events, outcomes = models.feedback_events(df, "body", reader)
+    assert sorted((r.message_id, r.event_index, r.verdict, r.review_reason) for r in events.collect()) == [("one", 0, "LIKE", None), ("two", 0, "LIKE", None), ("two", 1, "LIKE", "LOW_CONFIDENCE")]
+    assert {r.message_id: r.status for r in outcomes.collect()} == {"one": "PARSED", "two": "NEEDS_REVIEW", "none": "NO_FEEDBACK", "odd": "ERROR"}
+
+
+def test_a_store_is_made_once_and_guards_its_rows(spark, tmp_path):
+    make = lambda version=1: Store(spark, f"file://{tmp_path}/s", {"messages": EVENTS}, "messages", version)
+    with pytest.raises(FileNotFoundError):
+        make().open()
+    log = make().create()
+    with pytest.raises(FileExistsError):
+        make().create()
+    log.commit(messages=spark.createDataFrame([("a", "x"), ("b", "y")], EVENTS))
+    make().open()
+    assert make().daily_snapshot("2026-01-01") and make().daily_snapshot("2026-01-01") is None and make().daily_snapshot("2026-01-02")
+    assert make(2).open().table("messages").count() == 2
+    with pytest.raises(RuntimeError, match="newer"):
+        make().open()
+    record = make(2)._record()
+    make(2)._write(record | {"rows": 3})
+    with pytest.raises(RuntimeError, match="fewer"):
+        make(2).open()
 
 
 def test_every_query_is_registered_without_the_llm_folder():
