@@ -87,7 +87,13 @@ def prior_exposure(judgments: DataFrame, exposures: DataFrame, order: str) -> Da
 
 
 def exposure_counts(judgments: DataFrame, exposures: DataFrame, order: str) -> DataFrame:
-    """(feedback_id, n_exposures) by running counts in each source's time order: linear where prior_exposure() lists every pair."""
+    """(feedback_id, n_exposures) by running counts in each source's time order: linear where prior_exposure() lists every pair.
+
+    An exposure counts once for its own source and once for the one of its screening (screened_source_id), if that is another.
+    """
+    if "screened_source_id" in exposures.columns:
+        ways = F.filter(F.array_distinct(F.array("source_id", "screened_source_id")), lambda x: x.isNotNull())
+        exposures = exposures.withColumn("source_id", F.explode(ways))
     mine = judgments.select("source_id", "feedback_id", F.col(order).alias("__at"), F.lit(0).alias("__is"))
     theirs = exposures.select("source_id", F.lit(None).cast("long").alias("feedback_id"), F.col(order).alias("__at"), F.lit(1).alias("__is"))
     running = Window.partitionBy("source_id").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -69,13 +69,29 @@ def feedback_about(feedback: DataFrame, value: str) -> DataFrame:
     return feedback.filter((F.lower("ticker") == low) | (F.lower("company") == low))
 
 
-def latest_feedback(feedback: DataFrame, messages: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """The n newest events with their message and, if any, their source. Top-n comes first: only n rows are joined."""
+def latest_feedback(feedback: DataFrame, messages: DataFrame, sources: DataFrame, n: int, screenings: DataFrame | None = None) -> DataFrame:
+    """The n newest events with their message and, if any, their source and the screening they speak of (screening_id). Top-n comes first: only n rows are joined."""
     top = feedback.join(messages.select("message_id"), "message_id", "left_semi").orderBy(F.desc("feedback_id")).limit(n)
     m = messages.select("message_id", "thread_id", "received_at", "feedback_parse_status")
     s = sources.select("source_id", F.col("ticker").alias("source_ticker"), F.col("collection_status"))
-    return top.join(m, "message_id").join(s, "source_id", "left").select(
-        "feedback_id", "message_id", "thread_id", "received_at", "feedback_parse_status", "verdict", "ticker", "source_id", "source_ticker", "collection_status")
+    own = ["feedback_id", "message_id", "thread_id", "received_at", "feedback_parse_status", "verdict", "ticker", "source_id", "source_ticker", "collection_status"]
+    out = top.join(m, "message_id").join(s, "source_id", "left")
+    if screenings is None:
+        return out.select(*own)
+    reviewed = screenings.select("screening_id", F.col("taste_version").alias("reviewed_taste_version"), F.col("overall_prediction").alias("reviewed_prediction"))
+    return out.join(reviewed, "screening_id", "left").select(*own, "reviewed_taste_version", "reviewed_prediction")
+
+
+def events_of(feedback: DataFrame, messages: DataFrame) -> DataFrame:
+    """Every event of some messages with its number among them, for a review."""
+    return feedback.join(messages.select("message_id"), "message_id", "left_semi").orderBy("message_id", "event_index")
+
+
+def under_review(messages: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Messages in review with how many events they have; those without any can't be approved."""
+    n = feedback.groupBy("message_id").agg(F.count("*").alias("n_events"))
+    rows = messages.filter("feedback_parse_status = 'NEEDS_REVIEW'").join(n, "message_id", "left")
+    return rows.select("message_id", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.col("n_events").isNotNull().alias("approvable"))
 
 
 def label_distribution(rows: DataFrame) -> DataFrame:

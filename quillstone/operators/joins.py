@@ -14,20 +14,41 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
+#: Rows of one key beyond which an as-of join cuts its time into slices, and rows of a slice.
+HOT_ROWS, SLICE_ROWS = 2_000_000, 500_000
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, right_order: list[str], prefix: str = "r_") -> DataFrame:
     """Each left row with the last right row of its key at or before its time (null columns where there is none).
 
     Both sides are merged into one sorted stream for each key, in which a running last() carries the right row, so the
-    cost is that of a sort and a key with many rows on both sides doesn't multiply them.
+    cost is that of a sort and a key with many rows on both sides doesn't multiply them. If some key has more than
+    HOT_ROWS rows, time is cut into slices at approximate quantiles: each (key, slice) is a stream of its own, and a row
+    that finds nothing in its slice takes the last right row of the key's slices before, of which there is one row each.
     """
     carried = [c for c in right.columns if c not in on]
     packed = F.struct(*carried)
     rows = right.select(*on, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), packed.alias("__right"), F.struct(*right_order).alias("__order"))
     own = left.select(*on, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c not in on]).alias("__left"))
     stream = own.unionByName(rows, allowMissingColumns=True)
-    running = Window.partitionBy(*on).orderBy("__t", "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
-    found = stream.withColumn("__hit", F.last("__right", ignorenulls=True).over(running)).filter("__side = 1")
-    return found.select(*on, "__left.*", *[F.col(f"__hit.{c}").alias(f"{prefix}{c}") for c in carried])
+    most = stream.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    result = lambda df, hit: df.select(*on, "__left.*", *[F.col(f"{hit}.{c}").alias(f"{prefix}{c}") for c in carried])
+    if most <= HOT_ROWS:
+        running = Window.partitionBy(*on).orderBy("__t", "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
+        return result(stream.withColumn("__hit", F.last("__right", ignorenulls=True).over(running)).filter("__side = 1"), "__hit")
+    n = -(-most // SLICE_ROWS)
+    hot = stream.join(F.broadcast(stream.groupBy(*on).count().filter(F.col("count") == most).limit(1).select(*on)), on, "left_semi")
+    number = F.col("__t").cast("double") if dict(stream.dtypes)["__t"] != "string" else F.col("__t").cast("timestamp").cast("double")
+    cuts = hot.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10_000)).first()[0]  # n - 1 numbers
+    stream = stream.withColumn("__slice", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= number)))
+    running = Window.partitionBy(*on, "__slice").orderBy("__t", "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    ends = stream.filter("__side = 0").groupBy(*on, "__slice").agg(F.max_by("__right", F.struct("__t", "__order")).alias("__end"))
+    # Slices of a key without a right row pass on what came before; at most one row for each (key, slice).
+    slices = stream.select(*on, "__slice").distinct().join(ends, [*on, "__slice"], "left")
+    earlier = Window.partitionBy(*on).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.select(*on, "__slice", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    found = stream.withColumn("__here", F.last("__right", ignorenulls=True).over(running)).filter("__side = 1").join(before, [*on, "__slice"])
+    return result(found.withColumn("__hit", F.coalesce("__here", "__before")), "__hit")
 
 
 def components_of(edges: DataFrame) -> DataFrame:

@@ -51,9 +51,12 @@ def pending_extraction(sources: DataFrame, observations: DataFrame, source_name:
     return mine.join(current_pointers(observations).select("source_id"), "source_id", "left_semi")
 
 
-def missing_screening(sources: DataFrame, observations: DataFrame, screenings: DataFrame, taste_version: int) -> DataFrame:
-    """Ready sources without a screening of this version, whatever its prompt version: a new prompt alone re-screens nothing."""
-    done = screenings.filter(F.col("taste_version") == taste_version).select("source_id").distinct()
+def missing_screening(sources: DataFrame, observations: DataFrame, screenings: DataFrame, taste_version: int, rules_sha256: str | None = None) -> DataFrame:
+    """Ready sources without a screening of this version and, where it is given, these rules; whatever its prompt version: a new prompt alone re-screens nothing."""
+    of = F.col("taste_version") == taste_version
+    if rules_sha256 is not None:
+        of = of & (F.col("screen_rules_sha256") == rules_sha256)
+    done = screenings.filter(of).select("source_id").distinct()
     return ready_sources(sources, observations).join(done, "source_id", "left_anti")
 
 

@@ -79,3 +79,27 @@ def test_theme_and_hurdle(spark):
     h = evaluation.hurdle_hits(t, "id", "pos", "text").collect()
     assert [(r.id, r.categories, r.permanent_framing) for r in h] == [(1, "3x-style multiple, three-bagger", True)] and h[0].excerpt == "A 3x return; no edge"
     assert t.select(evaluation.rule_excerpts(F.lit("a\n 5 % b \n\n7% c")).alias("x")).first().x == ["5 % b", "7% c"]
+
+
+def test_asof_in_slices_gives_the_same_rows(spark, monkeypatch):
+    import random
+
+    from quillstone.operators import joins
+
+    rng = random.Random(3)
+    left = spark.createDataFrame([(rng.choice("aaaab"), f"2026-01-{rng.randint(1, 28):02d}", i) for i in range(300)], "k string, t string, id long")
+    right = spark.createDataFrame([(rng.choice("aaab"), f"2026-01-{rng.randint(5, 28):02d}", i) for i in range(60)], "k string, at string, rid long")
+    for l, r in ((left, right), (left.withColumn("t", F.col("t").cast("timestamp")), right.withColumn("at", F.col("at").cast("timestamp"))), (left, right.limit(0))):
+        monkeypatch.setattr(joins, "HOT_ROWS", 10**9)
+        want = sorted(map(tuple, joins.asof_join(l, r, ["k"], "t", "at", ["rid"]).collect()), key=str)
+        monkeypatch.setattr(joins, "HOT_ROWS", 50)
+        monkeypatch.setattr(joins, "SLICE_ROWS", 40)
+        assert sorted(map(tuple, joins.asof_join(l, r, ["k"], "t", "at", ["rid"]).collect()), key=str) == want
+
+
+def test_a_screening_exposes_its_source(spark):
+    j = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "feedback_id long, source_id long").withColumn("at", F.col("feedback_id"))
+    e = spark.createDataFrame([(5, 1, 1), (6, 9, 1), (7, 2, None), (20, 3, 3)], "feedback_id long, source_id long, screened_source_id long").withColumn("at", F.col("feedback_id"))
+    got = {r.feedback_id: r.n_exposures for r in audit.exposure_counts(j, e, "at").collect()}
+    assert {k: v or 0 for k, v in got.items()} == {10: 2, 11: 1, 12: 0}
+    assert {(r.feedback_id, r.exposed_feedback_id) for r in audit.prior_exposure(j, e, "at").collect()} == {(10, 5), (10, 6), (11, 7)}
