@@ -1,4 +1,7 @@
-"""The registered queries over the projections, each with the SQL that must give the same rows in DuckDB."""
+"""The registered queries over the projections, each with the SQL that must give the same rows in DuckDB.
+
+Queries without SQL are held against brute force in the tests.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import exprs, html, text
-from quillstone.operators import audit, digest, evaluation, feedback, sources
+from quillstone.operators import audit, digest, evaluation, feedback, ideas, labels, narratives, sources, state, training
 from quillstone.plans.projections import projection, with_projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,10 +96,147 @@ def count_by_origin(v: Views) -> DataFrame:
     return feedback.count_by_origin(v.feedback)
 
 
-@query("""SELECT feedback_id, f.message_id, thread_id, received_at, feedback_parse_status, verdict, f.ticker, f.source_id, s.ticker AS source_ticker, collection_status
- FROM p_feedback f JOIN p_messages m USING (message_id) LEFT JOIN p_sources s ON s.source_id = f.source_id ORDER BY feedback_id DESC LIMIT 25""")
+@query("""SELECT feedback_id, f.message_id, thread_id, received_at, feedback_parse_status, verdict, f.ticker, f.source_id, s.ticker AS source_ticker, collection_status, r.taste_version AS reviewed_taste_version, r.overall_prediction AS reviewed_prediction
+ FROM p_feedback f JOIN p_messages m USING (message_id) LEFT JOIN p_sources s ON s.source_id = f.source_id LEFT JOIN p_screenings r ON r.screening_id = f.feedback_id % 5000 ORDER BY feedback_id DESC LIMIT 25""")
 def latest_feedback_topn(v: Views) -> DataFrame:
-    return feedback.latest_feedback(v.feedback, v.messages, v.sources, 25)
+    return feedback.latest_feedback(v.feedback.withColumn("screening_id", F.col("feedback_id") % 5000), v.messages, v.sources, 25, v.screenings)
+
+
+@query("""SELECT m.message_id, coalesce(n, 0) AS n_events, n IS NOT NULL AS approvable FROM p_messages m LEFT JOIN (SELECT message_id, count(*) AS n FROM p_feedback GROUP BY 1) USING (message_id) WHERE feedback_parse_status = 'NEEDS_REVIEW'""")
+def messages_under_review(v: Views) -> DataFrame:
+    return feedback.under_review(v.messages, v.feedback)
+
+
+# States as views over events
+
+@query("""SELECT m.message_id, CASE WHEN s.seq IS NULL THEN m.feedback_parse_status ELSE s.status END AS feedback_parse_status, s.error, coalesce(n, 0) AS attempt_count, last_attempt_at FROM p_messages m
+ LEFT JOIN (SELECT * FROM p_message_events WHERE kind = 'STATUS' QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY seq DESC) = 1) s USING (message_id)
+ LEFT JOIN (SELECT message_id, count(*) AS n, max("at") AS last_attempt_at FROM p_message_events WHERE kind = 'ATTEMPT' GROUP BY 1) a USING (message_id)""")
+def current_message_states(v: Views) -> DataFrame:
+    return state.current_messages(v.messages, v.message_events).select("message_id", "feedback_parse_status", "error", "attempt_count", "last_attempt_at")
+
+
+CURRENT_FEEDBACK = """SELECT f.feedback_id, f.message_id, CASE WHEN e.kind IS NULL THEN f.excluded_from_learning = 1 ELSE e.kind = 'EXCLUDE' END AS excluded_from_learning FROM p_feedback f
+ LEFT JOIN (SELECT * FROM p_feedback_events WHERE kind <> 'DELETE' QUALIFY row_number() OVER (PARTITION BY feedback_id ORDER BY seq DESC) = 1) e USING (feedback_id)
+ WHERE f.feedback_id NOT IN (SELECT feedback_id FROM p_feedback_events WHERE kind = 'DELETE')"""
+
+
+@query(CURRENT_FEEDBACK)
+def current_feedback_states(v: Views) -> DataFrame:
+    return state.current_feedback(v.feedback, v.feedback_events).select("feedback_id", "message_id", "excluded_from_learning")
+
+
+@query("""SELECT s.source_id, coalesce(c.collection_status, s.collection_status) AS collection_status, CASE WHEN x.source_id IS NOT NULL THEN 'EXTRACTED' ELSE s.extraction_status END AS extraction_status, i.reason AS invalid_reason, o.seen AS last_observed_at
+ FROM p_sources s LEFT JOIN (SELECT source_id, arg_max(collection_status, seq) AS collection_status FROM p_source_events WHERE kind IN ('STATUS', 'INVALID') GROUP BY 1) c USING (source_id)
+ LEFT JOIN (SELECT DISTINCT source_id FROM p_source_events WHERE kind = 'EXTRACTED') x USING (source_id) LEFT JOIN (SELECT source_id, arg_max(reason, seq) AS reason FROM p_source_events WHERE kind = 'INVALID' GROUP BY 1) i USING (source_id)
+ LEFT JOIN (SELECT source_id, max("at") AS seen FROM p_source_events WHERE kind = 'OBSERVED' GROUP BY 1) o USING (source_id)""")
+def current_source_states(v: Views) -> DataFrame:
+    return state.current_source_state(v.sources, v.source_events).select("source_id", "collection_status", "extraction_status", "invalid_reason", "last_observed_at")
+
+
+@query("""SELECT feedback_id, CASE WHEN excluded_from_learning = 1 THEN 'INCLUDE' ELSE 'EXCLUDE' END AS kind FROM p_feedback WHERE (lower(ticker) = 'tk7' OR lower(company) = 'tk7') AND excluded_from_learning = 0""")
+def exclusions_of_an_idea(v: Views) -> DataFrame:
+    return state.exclusions(v.feedback, "t", about="TK7").select("feedback_id", "kind")
+
+
+@query("""SELECT message_id AS id, 'message' AS what FROM p_messages WHERE feedback_parse_status = 'NEEDS_REVIEW' UNION ALL
+ SELECT CAST(feedback_id AS VARCHAR), 'feedback' FROM p_feedback WHERE message_id IN (SELECT message_id FROM p_messages WHERE feedback_parse_status = 'NEEDS_REVIEW')""")
+def requeue_events(v: Views) -> DataFrame:
+    changed, gone = state.requeued(v.messages, v.feedback, "t")
+    return changed.select(F.col("message_id").alias("id"), F.lit("message").alias("what")).union(gone.select(F.col("feedback_id").cast("string"), F.lit("feedback")))
+
+
+# Idea records and predictions
+
+@query("SELECT idea_id, max(prediction_id) AS prediction_id, arg_max(overall_prediction, prediction_id) AS overall_prediction FROM p_predictions GROUP BY 1")
+def latest_idea_predictions(v: Views) -> DataFrame:
+    return ideas.latest_predictions(v.predictions).select("idea_id", "prediction_id", "overall_prediction")
+
+
+@query(f"""SELECT idea_id, message_id FROM p_ideas WHERE source_status = 'ISOLATED' AND extraction_status = 'EXTRACTED' AND idea_id NOT IN (SELECT idea_id FROM p_predictions WHERE taste_version = {TASTE} AND screen_rules_sha256 = 'r1')""")
+def ideas_without_prediction(v: Views) -> DataFrame:
+    return ideas.without_prediction(v.ideas, v.predictions, TASTE, "r1").select("idea_id", "message_id")
+
+
+@query("SELECT idea_id, ticker FROM p_ideas WHERE source_status = 'ISOLATED' AND extraction_status <> 'EXTRACTED'")
+def ideas_pending_extraction(v: Views) -> DataFrame:
+    return ideas.pending_extraction(v.ideas).select("idea_id", "ticker")
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({ELIGIBLE}) WHERE feedback_id > {CHECKPOINT} AND holdout_eligible = 1) AS n_holdout, (SELECT count(*) FROM p_ideas WHERE source_status = 'ISOLATED') AS n_isolated,
+ (SELECT count(*) FROM p_ideas WHERE source_status = 'UNSCORABLE_SOURCE') AS n_unscorable, (SELECT count(*) FROM p_predictions WHERE taste_version = {TASTE}) AS n_predictions""")
+def shadow_counters(v: Views) -> DataFrame:
+    return ideas.sweep_counters(v.ideas, v.predictions, v.feedback, v.messages, CHECKPOINT, TASTE)
+
+
+@query(f"""SELECT idea_id, e.feedback_id, e.verdict, p.overall_prediction FROM (SELECT * FROM p_predictions QUALIFY row_number() OVER (PARTITION BY idea_id ORDER BY prediction_id DESC) = 1) p JOIN p_ideas USING (idea_id) JOIN ({ELIGIBLE}) e USING (message_id)""")
+def revealed_predictions(v: Views) -> DataFrame:
+    return ideas.revealed(v.ideas, v.predictions, v.feedback, v.messages).select("idea_id", "feedback_id", "verdict", "overall_prediction")
+
+
+@query("""SELECT min(prediction_id) AS prediction_id, idea_id, taste_version, screen_rules_sha256 FROM p_predictions WHERE prediction_id >= 5000 AND (idea_id, taste_version, screen_rules_sha256) NOT IN
+ (SELECT (idea_id, taste_version, screen_rules_sha256) FROM p_predictions WHERE prediction_id < 5000) GROUP BY ALL""")
+def predictions_to_insert(v: Views) -> DataFrame:
+    """The later half of the predictions against a store that has the earlier: each (idea, version, rules) goes in once, by its first."""
+    made = v.predictions.filter("prediction_id >= 5000").groupBy(*ideas.VERSION).agg(F.min("prediction_id").alias("prediction_id"))
+    return ideas.new_predictions(made, v.predictions.filter("prediction_id < 5000")).select("prediction_id", *ideas.VERSION)
+
+
+# Narratives
+
+def _substantive(c: str) -> str:
+    words = ", ".join(f"'{p}'" for p in text.PLACEHOLDERS)
+    return f"list_filter(list_transform({c}, lambda x: trim(x)), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]') AND rtrim(lower(x), '.:;!,') NOT IN ({words}))"
+
+
+def _effective(c: str) -> str:
+    return f"CASE WHEN len({_substantive('n.' + c)}) > 0 THEN {_substantive('n.' + c)} ELSE coalesce({_substantive('r.' + c)}, []) END AS {c}"
+
+
+EFFECTIVE = f"""SELECT screening_id, {', '.join(_effective(c) for c in text.NARRATIVE)} FROM p_narratives n LEFT JOIN (SELECT * FROM p_repairs WHERE status = 'REPAIRED' QUALIFY row_number() OVER (PARTITION BY screening_id ORDER BY repair_id DESC) = 1) r USING (screening_id)"""
+GAPS = f"""SELECT e.*, s.source_id, s.overall_prediction, CASE WHEN s.overall_prediction IN ('WATCH', 'INVESTIGATE_NOW') THEN concat_ws(',', {', '.join(f"CASE WHEN len({c}) = 0 THEN '{c}' END" for c in text.NARRATIVE)}) ELSE '' END AS gaps FROM ({EFFECTIVE}) e JOIN p_screenings s USING (screening_id)"""
+
+
+def _narrated(v: Views) -> DataFrame:
+    return v.screenings.join(v.narratives, "screening_id")
+
+
+@query(f"SELECT screening_id, {', '.join(f"array_to_string({c}, '|') AS {c}" for c in text.NARRATIVE)}, gaps FROM ({GAPS})")
+def effective_narratives(v: Views) -> DataFrame:
+    rows = narratives.with_gaps(narratives.effective(_narrated(v), v.repairs))
+    return rows.select("screening_id", *[F.array_join(c, "|").alias(c) for c in text.NARRATIVE], F.array_join("gaps", ",").alias("gaps"))
+
+
+@query(f"""SELECT g.overall_prediction, count(*) AS n, count(*) FILTER (o.gaps <> '') AS n_own_gap, count(*) FILTER (g.gaps <> '') AS n_gap FROM ({GAPS}) g
+ JOIN ({GAPS.replace("status = 'REPAIRED'", "false")}) o USING (screening_id) GROUP BY 1""")
+def narrative_audit(v: Views) -> DataFrame:
+    return narratives.audit(_narrated(v), v.repairs)
+
+
+@query(f"""SELECT screening_id, overall_prediction, gaps FROM ({GAPS.replace("status = 'REPAIRED'", "false")}) WHERE gaps <> '' AND screening_id NOT IN (SELECT screening_id FROM p_repairs)""")
+def repairable_narratives(v: Views) -> DataFrame:
+    return narratives.repairable(_narrated(v), v.repairs).select("screening_id", "overall_prediction", F.array_join("gaps", ",").alias("gaps"))
+
+
+@query(f"""SELECT screening_id, repair_id, status, source_id, concat_ws(',', {', '.join(f"CASE WHEN len({_substantive('p.' + c)}) > 0 THEN '{c}' END" for c in text.NARRATIVE)}) AS returned, g.gaps = '' AS complete FROM p_repairs p JOIN ({GAPS}) g USING (screening_id)
+ WHERE screening_id IN (SELECT max(screening_id) FROM p_screenings GROUP BY source_id)""")
+def narrative_repair_listing(v: Views) -> DataFrame:
+    return narratives.repair_listing(_narrated(v), v.repairs).select("screening_id", "repair_id", "status", "source_id", F.array_join("returned", ",").alias("returned"), "complete")
+
+
+# Training corpus and labels
+
+@query("""SELECT feedback_id, concat_ws(chr(10), 'idea = ' || coalesce(nullif(ticker, ''), nullif(company, ''), '?'), 'kind = ' || event_type, 'verdict = ' || coalesce(verdict, 'none'), 'comment = ' || user_comment,
+ CASE WHEN parsed_json LIKE '{%' THEN 'positive_reasons = p' || feedback_id || ' | q' END) AS text FROM p_judged_notes""")
+def training_texts(v: Views) -> DataFrame:
+    return training.record_texts(training.training_records(v.judged_notes))
+
+
+@query("""SELECT feedback_id, concat_ws(' | ', 'FB ' || feedback_id, coalesce(ticker, nullif(company, ''), '-'), '-', coalesce(verdict, '-'), '-') AS label, concat_ws(' / ', coalesce(ticker, '-'), coalesce(company, '-')) AS pair FROM p_feedback""")
+def feedback_labels(v: Views) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = v.feedback.withColumn("event_type", none).withColumn("user_comment", none)
+    return rows.select("feedback_id", labels.feedback_label().alias("label"), labels.idea_pair().alias("pair"))
 
 
 @query("SELECT feedback_id, ticker, company FROM p_feedback WHERE lower(ticker) = 'tk7' OR lower(company) = 'tk7'")
@@ -198,16 +338,16 @@ def latest_repairs(v: Views) -> DataFrame:
 POOL = f"""SELECT s.source_id, s.external_id, s.ticker, s.company, r.screening_id, r.created_at, r.overall_prediction FROM p_sources s JOIN ({CURRENT}) c USING (source_id)
  JOIN (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY screening_id DESC) AS rn FROM p_screenings WHERE taste_version = {TASTE}) r ON r.source_id = s.source_id AND r.rn = 1
  WHERE s.collection_status = 'COLLECTED' AND r.overall_prediction <> 'PASS' AND s.source_id NOT IN (SELECT source_id FROM p_shown)"""
-#: What the SQL restricts judgments to, as those of the projections name every ticker. The queries take all.
-JUDGED_BY = "feedback_origin = 'BLIND_REVIEW' AND source_id % 50 < 20"
 JUDGED = f"""SELECT p.*, CASE WHEN {NORM_TICKER.format('p.ticker')} IS NOT NULL THEN {NORM_TICKER.format('p.ticker')} IN (SELECT {NORM_TICKER.format('ticker')} FROM e WHERE ticker IS NOT NULL)
- ELSE coalesce({NORM_COMPANY.format('p.company')} IN (SELECT {NORM_COMPANY.format('company')} FROM e), false) END AS judged FROM pool p"""
-JUDGED_CTES = f"WITH e AS (SELECT * FROM ({ELIGIBLE}) WHERE {JUDGED_BY}), pool AS ({POOL}), j AS ({JUDGED})"
+ ELSE coalesce({NORM_COMPANY.format('p.company')} IN (SELECT {NORM_COMPANY.format('company')} FROM e), false) END AS judged, g.gaps <> '' AS gap FROM pool p JOIN ({GAPS}) g USING (screening_id)"""
+JUDGED_CTES = f"WITH e AS ({ELIGIBLE}), pool AS ({POOL}), j AS ({JUDGED})"
 
 
 def _judged_pool(v: Views) -> DataFrame:
+    """The digest's pool with judged and gap: whether the effective narrative lacks what its prediction needs."""
     pool = digest.digest_pool(v.sources, v.observations, v.screenings, v.shown, TASTE)
-    return digest.judged_pool(pool, v.feedback, v.messages)
+    told = narratives.with_gaps(narratives.effective(_narrated(v), v.repairs)).select("screening_id", "gap")
+    return digest.judged_pool(pool.join(told, "screening_id"), v.feedback, v.messages)
 
 
 @query(POOL)
@@ -216,12 +356,12 @@ def digest_pool(v: Views) -> DataFrame:
 
 
 @query(f"""{JUDGED_CTES} SELECT source_id, screening_id, overall_prediction, row_number() OVER (ORDER BY CASE WHEN overall_prediction = 'INVESTIGATE_NOW' THEN 0 ELSE 1 END, created_at, screening_id) AS position
- FROM j WHERE NOT judged AND overall_prediction IN ('INVESTIGATE_NOW', 'WATCH') QUALIFY position <= 5""")
+ FROM j WHERE NOT judged AND NOT gap AND overall_prediction IN ('INVESTIGATE_NOW', 'WATCH') QUALIFY position <= 5""")
 def digest_selection_top5(v: Views) -> DataFrame:
     return digest.select_digest(_judged_pool(v)).select("source_id", "screening_id", "overall_prediction", "position")
 
 
-@query(f"{JUDGED_CTES} SELECT count(*) AS n_candidates, count(*) FILTER (judged) AS n_already_judged, CAST(0 AS BIGINT) AS n_narrative_gaps FROM j")
+@query(f"{JUDGED_CTES} SELECT count(*) AS n_candidates, count(*) FILTER (judged) AS n_already_judged, count(*) FILTER (NOT judged AND gap) AS n_narrative_gaps FROM j")
 def digest_suppression_counters(v: Views) -> DataFrame:
     return digest.suppression_counters(_judged_pool(v))
 
@@ -355,18 +495,21 @@ def usable_judgments(v: Views) -> DataFrame:
     return audit.usable_judgments(f, v.messages, v.assignments)
 
 
-@query("""SELECT j.feedback_id, count(e.feedback_id) AS n_exposures FROM p_feedback j LEFT JOIN p_feedback e ON e.source_id = j.source_id AND e.feedback_origin = 'SCREEN_REVIEW' AND e.feedback_id < j.feedback_id
- WHERE j.feedback_origin = 'BLIND_REVIEW' GROUP BY 1""")
+EXPOSED = """SELECT j.feedback_id, count(e.feedback_id) AS n_exposures FROM p_feedback j LEFT JOIN (SELECT feedback_id, source_id FROM p_exposures UNION SELECT feedback_id, screened_source_id FROM p_exposures) e
+ ON e.source_id = j.source_id AND e.feedback_id < j.feedback_id GROUP BY 1"""
+
+
+def _exposures(v: Views) -> DataFrame:
+    return v.exposures.withColumn("at", F.col("feedback_id"))
+
+
+@query(f"SELECT * FROM ({EXPOSED}) WHERE feedback_id IN (SELECT feedback_id FROM p_feedback WHERE feedback_origin = 'BLIND_REVIEW')")
 def prior_exposure(v: Views) -> DataFrame:
     f = v.feedback.withColumn("at", F.col("feedback_id"))
-    out = audit.exposure_counts(f.filter("feedback_origin = 'BLIND_REVIEW'"), f.filter("feedback_origin = 'SCREEN_REVIEW'"), "at")
+    out = audit.exposure_counts(f.filter("feedback_origin = 'BLIND_REVIEW'"), _exposures(v), "at")
     return out.withColumn("n_exposures", F.coalesce("n_exposures", F.lit(0)))
 
 
-#: The rows that the SQL of the two queries below takes: a seventh of one origin, without companies and most tickers. The queries themselves take all.
-IDENTITY_ROWS = "SELECT feedback_id, 'catalog' AS source_name, CAST(floor(source_id / 3) AS BIGINT) AS external_id, CASE WHEN source_id % 5 = 0 THEN message_id END AS ticker FROM p_feedback WHERE feedback_id % 7 = 0 AND feedback_origin = 'BLIND_REVIEW'"
-
-
 def _identified(v: Views, rows: DataFrame) -> DataFrame:
     """Feedback with the identities it has: document, assignment and newest screening of its source, and ticker and company, the source's before its own."""
     of = v.sources.select("source_id", "source_name", "external_id", F.col("ticker").alias("__ticker"), F.col("company").alias("__company"))
@@ -376,52 +519,61 @@ def _identified(v: Views, rows: DataFrame) -> DataFrame:
     return out.withColumns(first).drop("__ticker", "__company")
 
 
-KEYS = f"""SELECT feedback_id, 'D' AS level, source_name || ':' || CAST(external_id AS VARCHAR) AS value FROM i UNION ALL SELECT feedback_id, 'E', upper(ticker) FROM i WHERE ticker IS NOT NULL"""
+#: Feedback with its document and normalised ticker and company, the source's before its own; assignment and screening belong to a source and so to its document.
+IDENTIFIED = f"""SELECT f.feedback_id, s.source_name || ':' || CAST(s.external_id AS VARCHAR) AS d, {NORM_TICKER.format("coalesce(nullif(s.ticker, ''), f.ticker)")} AS e, {NORM_COMPANY.format("coalesce(nullif(s.company, ''), f.company)")} AS f FROM rows f LEFT JOIN p_sources s USING (source_id)"""
+#: Components of rows over their documents: two documents are linked through the least one that has a ticker or company of theirs.
+COMPONENTS = f"""i AS ({IDENTIFIED}), v AS (SELECT DISTINCT d, 'E' AS k, e AS x FROM i WHERE e IS NOT NULL UNION ALL SELECT DISTINCT d, 'F', f FROM i WHERE f IS NOT NULL), hub AS (SELECT k, x, min(d) AS h FROM v GROUP BY 1, 2),
+ link AS (SELECT DISTINCT d AS a, h AS b FROM v JOIN hub USING (k, x)), u AS (SELECT a, b FROM link UNION SELECT b, a FROM link), r(a, b) AS (SELECT DISTINCT d, d FROM i UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+ least AS (SELECT d, min(feedback_id) AS m FROM i GROUP BY 1), c AS (SELECT r.a AS d, min(m) AS component FROM r JOIN least ON least.d = r.b GROUP BY 1)"""
 
 
-@query(f"""WITH RECURSIVE i AS ({IDENTITY_ROWS}), k AS ({KEYS}), hub AS (SELECT level, value, min(feedback_id) AS h FROM k GROUP BY 1, 2),
- e AS (SELECT k.feedback_id AS a, h AS b FROM k JOIN hub USING (level, value)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
- r(n, m) AS (SELECT feedback_id, feedback_id FROM i UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a) SELECT n AS feedback_id, min(m) AS component FROM r GROUP BY 1""")
+@query(f"WITH RECURSIVE rows AS (SELECT * FROM p_feedback), {COMPONENTS} SELECT feedback_id, component FROM i JOIN c USING (d)")
 def duplicate_groups(v: Views) -> DataFrame:
     return audit.duplicate_groups(_identified(v, v.feedback))
 
 
-@query(f"""WITH i AS ({IDENTITY_ROWS}), h AS (SELECT * FROM i WHERE feedback_id > {CHECKPOINT}), t AS (SELECT * FROM i WHERE feedback_id <= {CHECKPOINT}),
- kh AS ({KEYS.replace('FROM i', 'FROM h')}), kt AS (SELECT level, value, min(feedback_id) AS f FROM ({KEYS.replace('FROM i', 'FROM t')}) GROUP BY 1, 2)
- SELECT feedback_id, min(level) AS level, arg_min(f, level) AS training_feedback_id FROM kh JOIN kt USING (level, value) GROUP BY 1""")
+OVERLAP = f"""SELECT feedback_id, min(level) AS level, arg_min(first, level) AS training_feedback_id FROM (SELECT feedback_id, unnest(['D', 'E', 'F']) AS level, unnest([d, e, f]) AS value FROM i WHERE feedback_id > {CHECKPOINT}) h
+ JOIN (SELECT level, value, min(feedback_id) AS first FROM (SELECT feedback_id, unnest(['D', 'E', 'F']) AS level, unnest([d, e, f]) AS value FROM i WHERE feedback_id <= {CHECKPOINT}) GROUP BY 1, 2) t USING (level, value) GROUP BY 1"""
+
+
+@query(f"WITH rows AS (SELECT * FROM p_feedback), i AS ({IDENTIFIED}) {OVERLAP}")
 def training_overlap(v: Views) -> DataFrame:
     rows = _identified(v, v.feedback)
     return audit.training_overlap(rows.filter(F.col("feedback_id") > CHECKPOINT), rows.filter(F.col("feedback_id") <= CHECKPOINT))
 
 
-#: What the SQL of the two queries below knows: official and candidate rows with their assignment (by source), newest screening and exposures.
-AUDITED = f"""SELECT r.feedback_id, r.role, concat_ws(',', CASE WHEN role = 'official' AND feedback_origin <> 'BLIND_REVIEW' THEN 'OFFICIAL_NOT_BLIND' END, CASE WHEN feedback_origin = 'BLIND_REVIEW' AND a.assignment_id IS NULL THEN 'NO_ASSIGNMENT' END,
- CASE WHEN holdout_eligible = 0 THEN 'NOT_HOLDOUT_ELIGIBLE' END, CASE WHEN excluded_from_learning = 1 THEN 'EXCLUDED' END, CASE WHEN feedback_parse_status <> 'PARSED' THEN 'NOT_PARSED' END, CASE WHEN s.screening_id IS NULL THEN 'NO_SCREENING' END,
- CASE WHEN coalesce(x.n, 0) > 0 THEN 'PRIOR_EXPOSURE' END) AS problems FROM (SELECT f.*, m.feedback_parse_status FROM ({ROLE}) f JOIN p_messages m USING (message_id)) r LEFT JOIN p_assignments a ON a.source_id = r.source_id
- LEFT JOIN (SELECT source_id, max(screening_id) AS screening_id FROM p_screenings GROUP BY 1) s ON s.source_id = r.source_id
- LEFT JOIN (SELECT j.feedback_id, count(*) AS n FROM p_feedback j JOIN p_feedback e ON e.source_id = j.source_id AND e.feedback_origin = 'SCREEN_REVIEW' AND e.feedback_id < j.feedback_id GROUP BY 1) x ON x.feedback_id = r.feedback_id
- WHERE role IN ('official', 'candidate')"""
+_PROBLEMS = (
+    ("OFFICIAL_NOT_BLIND", "role = 'official' AND feedback_origin <> 'BLIND_REVIEW'"), ("NO_ASSIGNMENT", "feedback_origin = 'BLIND_REVIEW' AND a.assignment_id IS NULL"), ("BLIND_WITH_SCREENING", "feedback_origin = 'BLIND_REVIEW' AND r.feedback_id % 50 = 0"),
+    ("NOT_HOLDOUT_ELIGIBLE", "holdout_eligible = 0"), ("EXCLUDED", "excluded_from_learning = 1"), ("NOT_PARSED", "m.feedback_parse_status <> 'PARSED'"), ("USABLE_JUDGMENTS", "a.assignment_id IS NOT NULL AND u.n <> 1"), ("NO_SOURCE", "r.source_id IS NULL"),
+    ("NO_SCREENING", "r.source_id IS NOT NULL AND s.source_id IS NULL"), ("SCREENED_LATER", "s.created_at > m.received_at"), ("SHOWN_BEFORE", "h.shown_seq < a.judged_seq"), ("PRIOR_EXPOSURE", "x.n_exposures > 0"), ("SMOKE_TICKER", "i.e IN ('TESTCO', 'XYZ')"),
+    ("SMOKE_COMPANY", "i.f IN ('testco', 'xyz')"), ("TRAINING_OVERLAP", "t.level IS NOT NULL"),
+)
+AUDITED = f"""WITH rows AS (SELECT * FROM p_feedback), i AS ({IDENTIFIED}) SELECT r.feedback_id, r.role, r.source_id, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PROBLEMS)}) AS problems FROM ({ROLE}) r
+ JOIN p_messages m USING (message_id) JOIN i ON i.feedback_id = r.feedback_id LEFT JOIN p_assignments a ON a.source_id = r.source_id
+ LEFT JOIN (SELECT source_id, coalesce(n, 0) AS n FROM p_assignments LEFT JOIN (SELECT f.source_id, count(*) AS n FROM p_feedback f JOIN p_messages p USING (message_id) WHERE f.feedback_origin = 'BLIND_REVIEW' AND f.excluded_from_learning = 0 AND p.feedback_parse_status = 'PARSED' GROUP BY 1) USING (source_id)) u ON u.source_id = a.source_id
+ LEFT JOIN (SELECT source_id, max(screening_id) AS screening_id, arg_max(created_at, screening_id) AS created_at FROM p_screenings GROUP BY 1) s ON s.source_id = r.source_id LEFT JOIN p_shown h ON h.source_id = r.source_id
+ LEFT JOIN ({EXPOSED}) x ON x.feedback_id = r.feedback_id LEFT JOIN ({OVERLAP}) t ON t.feedback_id = r.feedback_id"""
 
 
 def _audited(v: Views) -> DataFrame:
     """Feedback of every role after the checkpoint, with its identities and problems. Feedback has no time of its own: its message's stands for it, and shown and judged have sequence numbers."""
-    f = v.feedback.withColumn("at", F.col("feedback_id"))
-    exposed = audit.exposure_counts(f, f.filter("feedback_origin = 'SCREEN_REVIEW'"), "at")
-    rows = _identified(v, _roles(v)).join(usable_judgments(v), "assignment_id", "left").join(v.shown.select("source_id", "shown_seq"), "source_id", "left")
+    exposed = audit.exposure_counts(v.feedback.withColumn("at", F.col("feedback_id")), _exposures(v), "at")
+    rows = _identified(v, _roles(v).withColumn("explicit_screening_id", F.expr("CASE WHEN feedback_id % 50 = 0 THEN feedback_id END"))).join(usable_judgments(v), "assignment_id", "left").join(v.shown.select("source_id", "shown_seq"), "source_id", "left")
     rows = rows.join(v.messages.select("message_id", F.col("received_at").alias("judged_at")), "message_id", "left")
     overlap = training_overlap(v).select("feedback_id", F.col("level").alias("training_level"))
     return audit.validity_problems(rows.join(exposed, "feedback_id", "left").join(overlap, "feedback_id", "left"))
 
 
-@query(AUDITED)
+@query(f"SELECT feedback_id, role, problems FROM ({AUDITED}) WHERE role IN ('official', 'candidate')")
 def validity_problems(v: Views) -> DataFrame:
     return _audited(v).filter(F.col("role").isin("official", "candidate")).select("feedback_id", "role", F.array_join("problems", ",").alias("problems"))
 
 
-@query(f"""SELECT *, greatest(20 - n_official, 0) AS replacements_needed, n_official = 20 AND n_valid_unique = 20 AND n_problem_rows = 0 AND n_candidates = 0 AS clean FROM (SELECT count(*) FILTER (role = 'official') AS n_official,
- count(*) FILTER (role = 'candidate') AS n_candidates, CAST(0 AS BIGINT) AS n_superseded, CAST(0 AS BIGINT) AS n_other, count(DISTINCT source_id) FILTER (role = 'official') AS n_unique, count(*) FILTER (role = 'official' AND problems = '' AND n = 1) AS n_valid_unique,
- count(*) FILTER (role = 'official' AND problems <> '') AS n_problem_rows, count(*) FILTER (problems <> '' OR n > 1) AS n_questionable
- FROM (SELECT a.*, f.source_id, count(*) OVER (PARTITION BY f.source_id) AS n FROM ({AUDITED}) a JOIN p_feedback f USING (feedback_id)))""")
+@query(f"""WITH RECURSIVE judged AS ({AUDITED}), rows AS (SELECT * FROM ({ROLE}) WHERE role IN ('official', 'candidate')), {COMPONENTS}, g AS (SELECT feedback_id, component, count(*) OVER (PARTITION BY component) AS n FROM i JOIN c USING (d))
+ SELECT *, greatest(20 - n_official, 0) AS replacements_needed, n_official = 20 AND n_valid_unique = 20 AND n_problem_rows = 0 AND n_candidates = 0 AS clean FROM (SELECT count(*) FILTER (role = 'official') AS n_official,
+ count(*) FILTER (role = 'candidate') AS n_candidates, count(*) FILTER (role = 'superseded') AS n_superseded, count(*) FILTER (role = 'other') AS n_other, count(DISTINCT component) FILTER (role = 'official') AS n_unique,
+ count(*) FILTER (role = 'official' AND problems = '' AND n = 1) AS n_valid_unique, count(*) FILTER (role = 'official' AND problems <> '') AS n_problem_rows,
+ count(*) FILTER (role IN ('official', 'candidate') AND (problems <> '' OR n > 1)) AS n_questionable FROM judged LEFT JOIN g USING (feedback_id))""")
 def audit_summary(v: Views) -> DataFrame:
     rows = _audited(v)
     return audit.audit_summary(rows, audit.duplicate_groups(_identified(v, _roles(v).filter(F.col("role").isin("official", "candidate")))))
@@ -439,15 +591,16 @@ def theme_counts(v: Views) -> DataFrame:
     return evaluation.theme_counts(v.table("documents"), "doc_id", "text")
 
 
-@query()
+@query("""SELECT note_id, CASE note_id % 8 WHEN 2 THEN 'effective hurdle' WHEN 5 THEN '3-bagger' WHEN 7 THEN 'effective hurdle, three-bagger' ELSE '3x-style multiple' END AS categories,
+ CASE note_id % 8 WHEN 0 THEN 'We require at least 3x here' WHEN 1 THEN 'It does not require 3x' WHEN 2 THEN 'an effective hurdle of sorts' ELSE 'three bagger, effective hurdle' END || ' and more' AS excerpt, false AS permanent_framing FROM p_notes WHERE note_id % 8 IN (0, 1, 2, 7)""")
 def hurdle_hits(v: Views) -> DataFrame:
-    return evaluation.hurdle_hits(v.table("conversations"), "conv_id", "turn", "text")
+    return evaluation.hurdle_hits(v.notes.withColumn("place", F.lit(0)), "note_id", "place", "text")
 
 
 @query()
 def html_canonical_text(v: Views) -> DataFrame:
-    pages = v.table("pages").select("page_id", html.title_of(F.col("html")).alias("title"), html.html_to_text("html").alias("plain"))
-    return pages.select("page_id", "title", html.canonical_text(F.col("plain")).alias("canonical"))
+    pages = v.table("pages").select("page_id", html.parsed_page("html").alias("p"))
+    return pages.select("page_id", F.col("p.title").alias("title"), html.canonical_text(F.col("p.plain")).alias("canonical"))
 
 
 @query()
@@ -457,13 +610,37 @@ def page_validity(v: Views) -> DataFrame:
 
 
 @query()
-def discover_links(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", F.explode(html.html_links("html")).alias("a")).select("page_id", "a.href", "a.text")
+def page_links(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", html.parsed_page("html").alias("p")).select("page_id", F.posexplode("p.links").alias("position", "a")).select("page_id", "position", "a.href", "a.text")
 
 
-@query()
+LETTERS = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZABCD', CAST(p_partkey % 26 + 1 AS INT), {0})"
+
+
+@query(f"""SELECT p_partkey AS part, 0 AS position, CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title, 'Ann Lee' AS author, NULL AS published_at, 'Jan ' || p_size AS added_at, {LETTERS.format(3)} AS ticker, p_type || ' Works' AS company FROM part
+ UNION ALL SELECT p_partkey, 1, CAST(1000000 + p_partkey AS VARCHAR), {LETTERS.format(2)}, 'Value Club', '2026-01-02', NULL, {LETTERS.format(2)}, NULL FROM part""")
+def discover_pitches(v: Views) -> DataFrame:
+    """Both cards of every feed page, from its HTML; the SQL has the fields from the rows that the HTML was made of."""
+    found = html.discovered_pitches(v.feed.select("part", html.parsed_page("html").alias("p")), "p", ["part"])
+    return found.select("part", "position", "external_id", "title", "author", "published_at", "added_at", "ticker", "company")
+
+
+@query("""SELECT part, 'Feed & more' AS title, sha256(html) AS raw_capture_hash, part % 4 < 2 AS content_complete FROM p_feed""")
+def pitch_documents(v: Views) -> DataFrame:
+    return html.pitch_documents(v.feed).select("part", "title", "raw_capture_hash", "content_complete")
+
+
+@query("""SELECT reply_id, reply_id % 7 NOT IN (3, 5) AS ok, CASE reply_id % 7 WHEN 0 THEN 'LIKE' WHEN 1 THEN 'maybe.' || chr(10) || 'so so' WHEN 2 THEN 'PASS' WHEN 4 THEN 'LIKE' WHEN 6 THEN 'PASS' || chr(10) || 'no' END AS text,
+ CASE reply_id % 7 WHEN 3 THEN 'INTERLEAVED_QUOTES' WHEN 5 THEN 'EMPTY_BODY' END AS reason FROM p_replies""")
 def reply_isolation(v: Views) -> DataFrame:
-    return v.table("conversations").select("conv_id", "turn", text.isolate_reply(F.col("text")).alias("r")).select("conv_id", "turn", "r.*")
+    return v.replies.select("reply_id", text.isolate_reply(F.col("body")).alias("r")).select("reply_id", "r.*")
+
+
+@query("""SELECT reply_id, CASE reply_id % 7 WHEN 0 THEN 'LIKE' WHEN 1 THEN 'MAYBE' WHEN 2 THEN 'PASS' WHEN 4 THEN 'LIKE' ELSE 'PASS' END AS verdict, CASE reply_id % 7 WHEN 1 THEN 'so so' WHEN 6 THEN 'no' ELSE '' END AS comment FROM p_replies WHERE reply_id % 7 NOT IN (3, 5)""")
+def reply_verdicts(v: Views) -> DataFrame:
+    """What isolated replies to one idea say."""
+    own = reply_isolation(v).filter("ok").select("reply_id", F.explode(text.reply_blocks(F.col("text"), F.lit(1))["blocks"]).alias("b"))
+    return own.select("reply_id", "b.verdict", "b.comment")
 
 
 @query("""SELECT conv_id, turn, regexp_matches(trim(text), '^(?i)(strong\\s+like|strong\\s+pass|like|maybe|pass)\\s*[.:!]?$') AS is_verdict FROM conversations""")
@@ -471,9 +648,9 @@ def verdict_lines(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", F.trim("text").rlike(text.BARE_VERDICT).alias("is_verdict"))
 
 
-@query()
+@query("""SELECT note_id, 1 AS line, CASE note_id % 8 WHEN 0 THEN 'We require at least 3x here' WHEN 2 THEN 'an effective hurdle of sorts' WHEN 3 THEN 'must reach 90% or more' WHEN 4 THEN 'a 4x floor' WHEN 5 THEN '100% of the floor, a 3-bagger' ELSE 'three bagger, effective hurdle' END AS excerpt,
+ CASE note_id % 8 WHEN 0 THEN 'MULTIPLE_REQUIRED' WHEN 2 THEN 'EFFECTIVE_HURDLE' WHEN 3 THEN 'PERCENTAGE_REQUIRED' WHEN 4 THEN 'MULTIPLE_AS_HURDLE' WHEN 5 THEN 'PERCENTAGE_AS_HURDLE' ELSE 'EFFECTIVE_HURDLE' END AS reason FROM p_notes WHERE note_id % 8 NOT IN (1, 6)""")
 def threshold_conflicts(v: Views) -> DataFrame:
     none = F.array().cast("array<double>")
-    found = v.table("conversations").select("conv_id", "turn", F.explode(text.threshold_conflicts(F.col("text"), none, none)).alias("c"))
-    return found.select("conv_id", "turn", "c.*")
-
+    found = v.notes.select("note_id", F.explode(text.threshold_conflicts(F.col("text"), none, none)).alias("c"))
+    return found.select("note_id", "c.*")

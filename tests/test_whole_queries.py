@@ -76,10 +76,13 @@ def sources_of(*named):
     return [(i, "s", i, t, f"Firm {i}", "COLLECTED", "EXTRACTED", i) for i, t in named], SOURCES
 
 
+TOLD = ", ".join(f"{c} array<string>" for c in ("key_reasons", "key_concerns", "critical_questions"))
+
+
 def test_any_eligible_judgment_suppresses(spark, monkeypatch):
     from quillstone.plans import queries
 
-    named = [(1, "AA"), (2, "BB"), (3, "CC"), (4, "DD")]
+    named = [(1, "AA"), (2, "BB"), (3, "CC"), (4, "DD"), (5, "EE")]
     v = Tables(
         spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named], "source_id long, source_name string, external_id long, observed_seq long"),
         screenings=([(i, i, "t", queries.TASTE, "WATCH") for i, _ in named], "screening_id long, source_id long, created_at string, taste_version int, overall_prediction string"),
@@ -88,9 +91,11 @@ def test_any_eligible_judgment_suppresses(spark, monkeypatch):
                   "feedback_id long, message_id string, source_id long, ticker string, feedback_origin string, excluded_from_learning int"),
     )
     v.feedback = v.feedback.selectExpr("*", "cast(null as string) AS company")
+    v.narratives = spark.createDataFrame([(i, ["r"], ["n/a"] if i > 3 else ["c"], ["q"]) for i, _ in named], f"screening_id long, {TOLD}")
+    v.repairs = spark.createDataFrame([(1, 4, "REPAIRED", [], ["c"], []), (2, 5, "FAILED", [], ["c"], [])], f"repair_id long, screening_id long, status string, {TOLD}")
     monkeypatch.setattr(queries, "Views", lambda *_: v)
     assert [(r.position, r.source_id) for r in QUERIES["digest_selection_top5"](spark, SF).orderBy("position").collect()] == [(1, 3), (2, 4)]
-    assert tuple(QUERIES["digest_suppression_counters"](spark, SF).first()) == (4, 2, 0)
+    assert tuple(QUERIES["digest_suppression_counters"](spark, SF).first()) == (5, 2, 1)  # 5's narrative stayed incomplete
 
 
 def test_every_assignment_blocks_its_identities(spark, monkeypatch):
@@ -118,6 +123,7 @@ def audited(spark):
                   "feedback_id long, message_id string, source_id long, ticker string, company string, feedback_origin string, holdout_eligible int, excluded_from_learning int"),
         assignments=([(i, i, 50) for i in (1, 3, 4, 5)], "assignment_id long, source_id long, judged_seq long"), shown=([(3, 40), (4, 60)], "source_id long, shown_seq long"),
         screenings=([(i, i, "2020-01-09" if i == 4 else "2020-01-01") for i in range(1, 7)], "screening_id long, source_id long, created_at string"),
+        exposures=([(10, 9, 6), (13, 3, 3)], "feedback_id long, source_id long, screened_source_id long"),
     )
 
 
@@ -132,3 +138,39 @@ def test_audit_sees_all_roles_components_and_problems(spark, monkeypatch):
     assert got == {11: "SHOWN_BEFORE", 12: "SCREENED_LATER", 15: "USABLE_JUDGMENTS,TRAINING_OVERLAP", 16: "USABLE_JUDGMENTS,SMOKE_TICKER", 17: "USABLE_JUDGMENTS,SMOKE_TICKER"}
     r = QUERIES["audit_summary"](spark, SF).first()
     assert (r.n_official, r.n_candidates, r.n_superseded, r.n_other, r.n_unique, r.n_valid_unique, r.n_problem_rows, r.n_questionable) == (5, 0, 1, 1, 3, 0, 5, 5)
+
+
+def test_links_and_texts_of_pages_match_a_plain_parser(spark):
+    import re
+    from html import unescape
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.texts, self.hrefs = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "nav", "footer", "header")
+            self.hrefs += [dict(attrs).get("href") or ""] * (tag == "a")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "nav", "footer", "header") and self.hidden > 0
+
+        def handle_data(self, data):
+            self.texts += [data] * (not self.hidden)
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        p = Plain()
+        p.feed(r.html)
+        lines = [re.sub(r"[ \t]+", " ", x).strip() for t in p.texts for x in t.splitlines()]
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html)
+        want[r.page_id] = ("\n".join(x for x in lines if x), title and unescape(title[1]).strip() or None, p.hrefs)
+    assert {r.page_id: (r.canonical, r.title) for r in QUERIES["html_canonical_text"](spark, SF).collect()} == {k: v[:2] for k, v in want.items()}
+    hrefs = {}
+    for r in QUERIES["page_links"](spark, SF).orderBy("page_id", "position").collect():
+        hrefs.setdefault(r.page_id, []).append(r.href)
+    assert hrefs == {k: v[2] for k, v in want.items() if v[2]}
+    problems = {r.page_id: (r.problem, r.n_chars) for r in QUERIES["page_validity"](spark, SF).collect()}
+    assert problems == {k: (None if len(v[0]) >= 50 else "NO_PITCH_CONTENT", len(v[0])) for k, v in want.items()}
