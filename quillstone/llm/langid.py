@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillstone.llm.common import whole
+from quillstone.llm.common import short_batches, whole
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
@@ -40,10 +40,8 @@ EVIDENCE_WORDS, ROUNDS = 12, 4
 UNKNOWN, POOLED, UNIFORM = 1e-7, 0.02, 0.002
 MARK, LONGEST, VECTOR_LENGTH = "▁", 16, 32
 #: Characters that are looked at together; probabilities that a worker remembers.
-CHUNK_CHARS, CACHE_CELLS = 1_000_000, 4_000_000
+CHUNK_CHARS, CACHE_CELLS = 1_000_000, 1_000_000
 _RUNS = re.compile(r"[^\W\d_]+")
-#: Characters that the pattern above takes though they are no letters: superscripts, Roman numerals and the like.
-_NUMERALS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if _RUNS.match(c) and not c.isalpha()) + "]")
 _BASE, _SPREAD, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20
 
 
@@ -51,9 +49,9 @@ def words(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
     low = (text or "").lower()
     found = _RUNS.findall(low)
-    if low.isascii() or not _NUMERALS.search(low):
+    if low.isascii():
         return found
-    return [w for w in found if any(map(str.isalpha, w))]  # not numerals alone, such as superscripts
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]  # not numerals alone, such as superscripts
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -303,6 +301,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
 
 
 def _model(spark: SparkSession, train: DataFrame, vocabulary: str):
+    short_batches(spark)
     pieces = load_pieces(vocabulary)
     return spark.sparkContext.broadcast((pieces, *fit_model(pieces, sample_counts(train))))
 
