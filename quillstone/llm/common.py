@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.storage import literal_rows, materialize, release, shared_dir
 
-__all__ = ["byte_size", "default_parallelism", "fold", "literal_rows", "materialize", "release", "shared_dir", "spread", "table", "whole", "words_of"]
+__all__ = ["byte_size", "default_parallelism", "fold", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread", "table", "whole", "words_of"]
 
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Ids (8 bytes each) that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,5 +45,12 @@ def spread(df: DataFrame, row: str = "row") -> DataFrame:
     return df.select(*[F.col(row).getField(c).alias(c) for c in df.schema[row].dataType.names])
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lets Python see at most BATCH_ROWS rows at once in this session: texts are long, and a batch is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

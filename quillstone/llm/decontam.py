@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import short_batches
+
 #: Edits allowed, per cent of an item's normalised length; least length of a piece; bytes of pieces in one automaton.
 ERROR_PERCENT, MIN_PIECE, BLOCK_BYTES = 8, 10, 8_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -142,6 +144,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[list[int], bytes]]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, end, item_length) for every item found in a document within its error budget."""
     spark, out = docs.sparkSession, None
+    short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, distance long, end long, item_length long"
     for items in _blocks(benchmark):
@@ -161,6 +164,7 @@ def _clean(batches: Iterator[pa.RecordBatch], shared, text_at: int) -> Iterator[
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns: a filter row by row, so ids play no part in it."""
+    short_batches(docs.sparkSession)
     for items in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         docs = docs.mapInArrow(partial(_clean, shared=shared, text_at=docs.columns.index("text")), docs.schema)

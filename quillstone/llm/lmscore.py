@@ -30,7 +30,7 @@ WORD_SLOTS = 2**17
 #: Weight of the unigram model in tokens, and what each slot of that has from the start.
 PRIOR, FLOOR = 20.0, 0.1
 #: Target ids that are broadcast; more are joined by shuffle. Words whose hashes a worker remembers.
-MAX_BROADCAST_IDS, CACHE = 2_000_000, 1_000_000
+MAX_BROADCAST_IDS, CACHE = 2_000_000, 250_000
 #: Text of a block of documents, and blocks for each part of the hash range.
 BLOCK_BYTES, BLOCKS_PER_PART = 8_000_000, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import MAX_BROADCAST_IDS, default_parallelism, materialize, release, spread, whole
+from quillstone.llm.common import MAX_BROADCAST_IDS, default_parallelism, materialize, release, short_batches, spread, whole
 from quillstone.operators.joins import components_of
 
 BAND_ROWS, MISS = 7, 1e-6
@@ -48,7 +48,7 @@ MAX_BROADCAST_CLASSES, HOT_CLASS = 1_000_000, 10_000
 #: Parts, at least, that the candidates of one pivot can be dealt into.
 SALTS = 64
 #: Words whose hashes a worker remembers.
-CACHE = 1_000_000
+CACHE = 250_000
 _MIX = np.random.default_rng(20240607)
 _WEIGHTS = _MIX.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -229,6 +229,7 @@ def _united(tables: list[DataFrame]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (doc_id = component_id) for every row of docs (doc_id, text)."""
+    short_batches(docs.sparkSession)
     docs, bands = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bands_for(percent / 100)
     signed = materialize(docs.mapInArrow(partial(_sign, k=k, bands=bands), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"))
     known = signed.filter("doc_id IS NOT NULL")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import short_batches
+
 #: Terms that may stand for one another, by group.
 IDENTITY = {
     "gender": "woman man women men girl boy female male lady gentleman mother father frau mann femme homme mujer hombre".split(),
@@ -45,7 +47,7 @@ LEAST_DOCS, LEAST_Z, LEAST_RATIO, MOST_FEATURES = 4, 5.0, 3.0, 4096
 TRAIN_ROWS, RIDGE, COUNTERFACTUAL = 20_000, 2e-5, 4.0
 THRESHOLD = 0.7
 #: Ids that are broadcast; counts and words that a worker remembers.
-MAX_BROADCAST_IDS, HELD, CACHE = 2_000_000, 400_000, 1_000_000
+MAX_BROADCAST_IDS, HELD, CACHE = 2_000_000, 400_000, 250_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -182,6 +184,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text), learned from labels (doc_id, toxic)."""
+    short_batches(docs.sparkSession)
     given = labels.select(F.col("doc_id").alias("__id"), "toxic").filter("__id IS NOT NULL")
     few = given.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     train = docs.select("doc_id", "text").join(F.broadcast(given) if few else given, F.col("doc_id") == F.col("__id"))
