@@ -46,6 +46,73 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(lattice._long("ab" * 6000, p)).all()
 
 
+def plain_counts(word, pieces, p):
+    """Expected piece counts of a word over all its segmentations, by dictionaries of sums of its beginnings and ends."""
+    text, n = langid.MARK + word, len(word) + 1
+    steps = []
+    for i in range(n):
+        for size in range(1, min(langid.LONGEST, n - i) + 1):
+            piece = text[i : i + size]
+            if piece in pieces:
+                steps.append((i, i + size, pieces.index(piece), p[pieces.index(piece)]))
+            elif size == 1:
+                steps.append((i, i + 1, len(pieces), langid.UNKNOWN))
+    ahead, back = {0: 1.0}, {n: 1.0}
+    for i, j, _, q in steps:
+        ahead[j] = ahead.get(j, 0.0) + ahead.get(i, 0.0) * q
+    for i, j, _, q in reversed(steps):
+        back[i] = back.get(i, 0.0) + q * back.get(j, 0.0)
+    out = Counter()
+    for i, j, k, q in steps:
+        out[k] += ahead.get(i, 0.0) * q * back.get(j, 0.0) / ahead[n]
+    return out
+
+
+def test_expectation_maximisation_matches_plain_counts():
+    pieces = sorted(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab", "c"])
+    counts = {"abab": 5, "a": 2, "baxb": 1, "ab" * 20: 3, "c" * 33: 1}  # two words are longer than what is vectorised
+    lattice = langid.Lattice(pieces)
+    p = [1 / len(pieces)] * len(pieces)
+    for rounds in (1, 2, 3):
+        want = Counter()
+        for w, n in counts.items():
+            for k, x in plain_counts(w, pieces, p).items():
+                want[k] += n * x
+        got = langid.fit_language(lattice, counts, rounds)
+        assert np.allclose(got, [want[i] for i in range(len(pieces))], rtol=1e-6)
+        total = sum(want[i] for i in range(len(pieces)))
+        p = [(want[i] + 1e-3) / (total + 1e-3 * len(pieces)) for i in range(len(pieces))]
+
+
+def test_numerals_are_no_words_wherever_they_stand():
+    for n in (1, 49, 50, 51, 200):
+        assert langid.words("a " * n + "²²") == ["a"] * n and langid.words("²² " * n + "é") == ["é"]
+    assert langid.words("x²y Ⅻ") == ["x²y"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 7 + j, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}", f"l{i}") for i in range(300) for j in range(2)]
+    counts = langid.sample_counts(spark.createDataFrame([*rows, (1, "x", None), (2, None, "none")], "doc_id long, text string, lang string"))
+    assert set(counts) == {f"l{i}" for i in range(300)} and all(sum(c.values()) == 2 for c in counts.values())
+
+
+def test_scores_are_posteriors_of_the_mean_evidence(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    pieces = langid.load_pieces()
+    languages, p = langid.fit_model(pieces, langid.sample_counts(docs))
+    lattice = langid.Lattice(pieces)
+    some = docs.filter("length(text) < 800").limit(40)
+    got = {r.doc_id: r for r in langid.identify(some, docs).collect()}
+    for r in some.collect():
+        own = langid.words(r.text)
+        each = lattice.log_probabilities(own, p) if own else np.zeros((0, len(languages)))
+        total = [math.fsum(each[:, c]) for c in range(len(languages))]
+        if own:
+            best = max(range(len(languages)), key=lambda c: total[c])
+            share = min(len(own), langid.EVIDENCE_WORDS) / len(own)
+            assert got[r.doc_id].lang_pred == languages[best] and math.isclose(got[r.doc_id].score, 1 / sum(math.exp((t - total[best]) * share) for t in total), rel_tol=1e-6)
+
+
 def test_language_id_held_out_and_odd_rows(spark):
     docs = queries.table(spark, SF, "documents")
     got = {r.doc_id: r for r in queries.op2_segmentation_langid(spark, SF).collect()}
@@ -89,6 +156,55 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
     assert got[1].predicted == 0 and got[2].predicted == 1 and got[3].score == got[4].score and got[3].predicted == 0 and 0 <= got[5].score <= 1
 
 
+def test_toxicity_matches_plain_counts_losses_and_scores(spark):
+    rows = labelled(400, seed=9)
+    docs = spark.createDataFrame([(d, t, "clash", 1) for d, t, _ in rows], "doc_id long, text string, toxic string, score int")
+    labels = spark.createDataFrame([(d, x, "clash") for d, _, x in rows] + [(None, 1, "")], "doc_id long, toxic int, text string")
+    n1 = sum(x for *_, x in rows)
+    n0 = len(rows) - n1
+    seen = {0: Counter(), 1: Counter()}
+    for _, t, x in rows:
+        seen[x].update({f for w in set(t.split()) for f in toxicity.features(w)})
+    kept = set()
+    for f, x in seen[1].items():
+        y = seen[0][f]
+        q = (x + y) / (n1 + n0)
+        z = (x / n1 - y / n0) / math.sqrt(q * (1 - q + 1e-9) * (1 / n1 + 1 / n0))
+        if x >= toxicity.LEAST_DOCS and z >= toxicity.LEAST_Z and x / n1 >= toxicity.LEAST_RATIO * y / n0:
+            kept.add(f)
+    train = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    names = toxicity.screen(train, n1, n0)
+    assert set(names) == kept | {"=" + t for t in toxicity.GROUP_OF}
+
+    def encoded(words):
+        return [i for i, f in enumerate(names) if any(f in toxicity.features(w) for w in words)]
+
+    own = [encoded(set(t.split())) for _, t, _ in rows]
+    turned = [toxicity.swapped(set(t.split())) for _, t, _ in rows]
+    other = [None if w is None else encoded(w) for w in turned]
+    y = [x for *_, x in rows]
+
+    def loss(w, b):
+        total = 2 * 0.0
+        for o, x in zip(own, y, strict=True):
+            z = b + sum(w[i] for i in o)
+            total += math.log1p(math.exp(-z if x else z)) / len(y)
+        pairs = [(a, o) for a, o in zip(own, other, strict=True) if o is not None]
+        total += toxicity.COUNTERFACTUAL * sum((sum(w[i] for i in a) - sum(w[i] for i in o)) ** 2 for a, o in pairs) / len(pairs)
+        return total + toxicity.RIDGE * sum(x * x for x in w)
+
+    w, b = toxicity.fit_weights(y, own, other, len(names))
+    here, rng = loss(w, b), random.Random(1)
+    assert here < loss([0.0] * len(names), b)
+    for _ in range(60):  # a step in any direction doesn't help
+        step = [rng.gauss(0, 0.02) for _ in names]
+        assert loss([a + x for a, x in zip(w, step, strict=True)], b) > here - 1e-4
+    weights, intercept = toxicity.fit(train)
+    for r in toxicity.classify(docs, labels).collect():
+        z = intercept + sum(weights.get(f, 0.0) for f in {f for x in set(rows[r.doc_id][1].split()) for f in toxicity.features(x)})
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9) and r.predicted == (r.score >= 0.7)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert [r.score for r in toxicity.classify(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()] == [0.0, 0.0]
@@ -100,7 +216,9 @@ def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in queries.op1_counterfactual_toxicity(spark, SF).collect()}
     truth = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}
     held = [(truth[d], got[d].predicted) for d in truth if got[d].held_out]
-    assert sum(p for y, p in held if y == 0) <= 1 and sum(p for y, p in held if y == 1) >= 0.6 * sum(y for y, _ in held)
+    false, found, toxic = sum(p for y, p in held if y == 0), sum(p for y, p in held if y == 1), sum(y for y, _ in held)
+    print(f"held out: {found} of {toxic} toxic found, {false} of {len(held) - toxic} others")
+    assert false <= 1 and found >= 0.75 * toxic
 
 
 def test_losses_match_counts_by_hand(spark):
@@ -176,7 +294,7 @@ def test_leaks_match_brute_force(spark):
             if e <= decontam.budget(len(p)):
                 want[j, i] = e
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.find_leaks(a, b).collect()}
-    assert set(got) == set(want) and all(got[k] >= want[k] and got[k] <= decontam.budget(len(items[k[1]])) for k in got)
+    assert got == want
     left = decontam.decontaminate(a, b)
     assert left.columns == a.columns and {r.doc_id for r in left.collect()} == set(range(len(docs))) - {j for j, _ in want}
     assert decontam.find_leaks(a, b.limit(0)).count() == 0 and decontam.find_leaks(a.limit(0), b).count() == 0
