@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ POSITIVE = ("INVESTIGATE_NOW", "WATCH")
 REVIEW_CONFIDENCE = 0.5
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value's expression in the plan once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
