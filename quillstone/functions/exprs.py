@@ -28,7 +28,7 @@ def strip(c: Column) -> Column:
 
 
 def none_if_blank(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def norm_ticker(c: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import norm_company, norm_ticker
 from quillstone.operators.feedback import holdout_pool, is_excluded
-from quillstone.operators.joins import connected_components, link_by_keys
+from quillstone.operators.joins import components_of, link_by_keys
+from quillstone.operators.storage import materialize
 
 #: Levels from the strongest identity down, with their ranks, and those that count against training rows.
 LEVELS = ("A", "D", "C", "E", "F")
@@ -35,19 +36,31 @@ def roles(feedback: DataFrame, messages: DataFrame, checkpoint: int, repaired: D
     return rows.withColumn("role", role).drop("__official", "__repaired")
 
 
-def identity_keys(rows: DataFrame) -> DataFrame:
-    """(feedback_id, level, rank, value) for each identity a row has. Columns that rows lacks give none."""
+def _identities(rows: DataFrame) -> DataFrame:
+    """(feedback_id, keys): the identities of each row as an array of (level, rank, value). Columns that rows lack give none."""
     have = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
     document = F.when((F.length(have("source_name")) > 0) & (F.length(have("external_id")) > 0), F.concat_ws(":", have("source_name"), have("external_id")))
     values = {"A": F.concat(F.lit("assignment:"), have("assignment_id")), "D": document, "C": F.concat(F.lit("screening:"), have("screening_id")), "E": norm_ticker(have("ticker")), "F": norm_company(have("company"))}
     keys = F.array(*[F.struct(F.lit(x).alias("level"), F.lit(i).alias("rank"), values[x].alias("value")) for i, x in enumerate(LEVELS)])
-    return rows.select("feedback_id", F.explode(F.filter(keys, lambda k: k["value"].isNotNull())).alias("k")).select("feedback_id", "k.*")
+    return rows.select("feedback_id", F.filter(keys, lambda k: k["value"].isNotNull()).alias("keys"))
+
+
+def identity_keys(rows: DataFrame) -> DataFrame:
+    """(feedback_id, level, rank, value) for each identity that a row has."""
+    return _identities(rows).select("feedback_id", F.explode("keys").alias("k")).select("feedback_id", "k.*")
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """(feedback_id, component): the least feedback_id that a row is connected with."""
-    keys = identity_keys(rows)
-    return connected_components(rows, "feedback_id", link_by_keys(keys.select("feedback_id", "level", "value"), "feedback_id"))
+    """(feedback_id, component): the least feedback_id that a row is connected with.
+
+    Rows with the same identities become one node first, so the search is over distinct sets of identities, however many
+    judgments speak of one idea.
+    """
+    own = materialize(_identities(rows).groupBy("feedback_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys")))
+    nodes = materialize(own.filter(F.size("keys") > 0).groupBy("keys").agg(F.min("feedback_id").alias("rep")))
+    placed = components_of(link_by_keys(nodes.select("rep", F.explode("keys").alias("k")).select("rep", "k.level", "k.value"), "rep"))
+    named = nodes.join(placed, nodes["rep"] == placed["node"], "left").select("keys", F.coalesce("component", "rep").alias("component"))
+    return own.join(named, "keys", "left").select("feedback_id", F.coalesce("component", "feedback_id").alias("component"))
 
 
 def group_report(groups: DataFrame, keys: DataFrame) -> DataFrame:
