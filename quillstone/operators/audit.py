@@ -133,6 +133,21 @@ def validity_problems(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problems", F.filter(F.array(*[F.when(c, name) for name, c in checks]), lambda x: x.isNotNull()))
 
 
+def reconciliation(rows: DataFrame, pool: DataFrame, feedback: DataFrame, checkpoint: int) -> DataFrame:
+    """One row: whether the official rows are exactly the hold-out pool (holdout_pool()), and whether the roles add up to all feedback after the checkpoint.
+
+    rows: of roles(). A row on one side only makes the full join's other side null; nothing but counts is gathered.
+    """
+    official = rows.filter("role = 'official'").select("feedback_id", F.lit(1).alias("__in_audit"))
+    both = official.join(pool.select("feedback_id", F.lit(1).alias("__in_pool")), "feedback_id", "full")
+    same = both.agg(F.count_if(F.col("__in_audit").isNull() | F.col("__in_pool").isNull()).alias("n_different"))
+    after = feedback.filter(F.col("feedback_id") > checkpoint).agg(F.count("*").alias("n_after"))
+    n = rows.agg(*[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("official", "candidate", "superseded", "other")])
+    out = n.join(F.broadcast(same)).join(F.broadcast(after))  # one row each
+    total = F.col("n_official") + F.col("n_candidate") + F.col("n_superseded") + F.col("n_other")
+    return out.select("*", (F.col("n_different") == 0).alias("reconciles"), (total == F.col("n_after")).alias("reconciles_total"))
+
+
 def audit_summary(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: members by role, unique and valid unique ideas, and whether the hold-out is clean. rows: with role and problems."""
     sized = groups.withColumn("n", F.count("*").over(Window.partitionBy("component")))

@@ -488,6 +488,12 @@ def holdout_roles(v: Views) -> DataFrame:
     return _roles(v).groupBy("role").agg(F.count("*").alias("n"), F.min("feedback_id").alias("first_feedback_id"))
 
 
+@query(f"""SELECT *, 0 = n_different AS reconciles, n_official + n_candidate + n_superseded + n_other = n_after AS reconciles_total FROM (SELECT {', '.join(f"count(*) FILTER (role = '{r}') AS n_{r}" for r in ('official', 'candidate', 'superseded', 'other'))},
+ CAST(0 AS BIGINT) AS n_different, (SELECT count(*) FROM p_feedback WHERE feedback_id > {CHECKPOINT}) AS n_after FROM ({ROLE}))""")
+def audit_reconciliation(v: Views) -> DataFrame:
+    return audit.reconciliation(_roles(v), feedback.holdout_pool(v.feedback, v.messages, CHECKPOINT), v.feedback, CHECKPOINT)
+
+
 @query("""SELECT a.assignment_id, count(m.message_id) AS usable_judgments FROM p_assignments a LEFT JOIN p_feedback f ON f.source_id = a.source_id AND f.feedback_origin = 'BLIND_REVIEW' AND f.excluded_from_learning = 0
  LEFT JOIN p_messages m ON m.message_id = f.message_id AND m.feedback_parse_status = 'PARSED' GROUP BY 1""")
 def usable_judgments(v: Views) -> DataFrame:

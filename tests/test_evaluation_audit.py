@@ -103,3 +103,13 @@ def test_a_screening_exposes_its_source(spark):
     got = {r.feedback_id: r.n_exposures for r in audit.exposure_counts(j, e, "at").collect()}
     assert {k: v or 0 for k, v in got.items()} == {10: 2, 11: 1, 12: 0}
     assert {(r.feedback_id, r.exposed_feedback_id) for r in audit.prior_exposure(j, e, "at").collect()} == {(10, 5), (10, 6), (11, 7)}
+
+
+def test_reconciliation_sees_rows_on_one_side_only(spark):
+    rows = spark.createDataFrame([(11, "official"), (12, "official"), (13, "candidate"), (14, "other")], "feedback_id long, role string")
+    feedback = spark.createDataFrame([(i,) for i in (1, 11, 12, 13, 14)], "feedback_id long")
+    same = audit.reconciliation(rows, feedback.filter("feedback_id IN (11, 12)"), feedback, 10).first()
+    assert (same.reconciles, same.reconciles_total, same.n_after) == (True, True, 4)
+    other = audit.reconciliation(rows, feedback.filter("feedback_id IN (11, 13)"), feedback, 1).first()
+    assert (other.reconciles, other.n_different) == (False, 2)
+    assert not audit.reconciliation(rows, feedback.limit(0), feedback, 0).first().reconciles_total
