@@ -326,3 +326,15 @@ def test_words_have_counts_of_their_own(spark, monkeypatch):
     assert one == scores("one", "other")  # a word's name doesn't matter
     monkeypatch.setattr(lmscore, "BLOCK_BYTES", 4)
     assert one == scores(*pair)  # nor do the number of blocks and parts
+
+
+def test_many_labels_are_joined_by_shuffle_alike(spark, monkeypatch):
+    rows = labelled(300, seed=5)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, x) for d, _, x in rows] + [(None, 1)], "doc_id long, toxic int")
+    score = lambda: {r.doc_id: round(r.score, 9) for r in toxicity.classify(docs, labels).collect()}
+    loss = lambda: {r.doc_id: r.score for r in lmscore.cross_entropy_difference(docs, labels.filter("toxic = 1").select("doc_id")).collect()}
+    want = score(), loss()
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr(lmscore, "MAX_BROADCAST_IDS", 0)
+    assert (score(), loss()) == want
