@@ -51,7 +51,8 @@ def unescape(text: Column) -> Column:
 
 def text_part(text: Column) -> Column:
     """A text as an array of one part."""
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("millis", "int"), ("pages", "int"))]
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("millis", "int"),
+        ("pages", "int"))]
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *nothing))
 
 
@@ -78,19 +79,23 @@ def format_chat(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     raw = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], p["ref"], F.lit(""))), "")
-    m = m.select("conv_id", "turn", "role", raw.alias("raw"), F.array_join(F.transform("parts", _visit), "").alias("content"), F.filter(F.transform("parts", lambda p, i: F.struct(
-        i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"] != "text").alias("files"))
+    m = m.select("conv_id", "turn", "role", raw.alias("raw"), F.array_join(F.transform("parts", _visit), "").alias("content"),
+        F.filter(F.transform("parts", lambda p, i: F.struct(
+        i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))),
+        lambda a: a["type"] != "text").alias("files"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     m = m.select("*", F.concat(head, "content", F.lit(END)).alias("segment"), F.length(head).alias("head"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
-    m = m.select("*", (F.row_number().over(order) - 1).alias("n"), (F.sum(F.length("segment")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("segment")).alias("at"))
+    m = m.select("*", (F.row_number().over(order) - 1).alias("n"),
+        (F.sum(F.length("segment")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("segment")).alias("at"))
     loss = F.when(F.col("role").isin(*loss_roles), F.length("content"))
     turn = F.struct("n", "segment", F.struct((F.col("at") + F.col("head")).alias("start"), loss.alias("length")).alias("span"), "files")
     g = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     files = F.flatten(F.transform("turns", lambda t: F.transform(t["files"], lambda f: F.struct(
         t["n"].alias("turn"), f["part"].alias("part"), f["type"].alias("type"), f["ref"].alias("ref"), f["tokens"].alias("tokens")))))
     spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda x: x["length"].isNotNull())
-    out = g.select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), spans.alias("loss_spans"), files.alias("attachments"))
+    out = g.select("conv_id", F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), spans.alias("loss_spans"),
+        files.alias("attachments"))
     return out.select("*", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"))
 
 
@@ -105,7 +110,8 @@ def read_back(chats: DataFrame) -> DataFrame:
     pieces = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p: F.concat(F.lit(TURN), p))
     out = chats.select("*", pieces.alias("__p"))
     starts = F.aggregate("__p", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-                         lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
+                         lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"),
+                         F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
     out = out.select("*", starts.alias("__at"))
     body = lambda p: F.substr(p, F.lit(len(TURN) + 1), F.length(p) - len(TURN + END))
     cut = lambda p: F.split(body(p), r"<\|text\|>")
@@ -113,23 +119,29 @@ def read_back(chats: DataFrame) -> DataFrame:
     # Spans and turns both go by their start: one merged walk gives each span its turn.
     marks = F.array_sort(F.concat(
         F.transform("__at", lambda a, i: F.struct(a.alias("start"), F.lit(0).alias("is_span"), i.alias("piece"), F.lit(0).alias("length"))),
-        F.transform("loss_spans", lambda x: F.struct(x["start"].cast("long").alias("start"), F.lit(1).alias("is_span"), F.lit(0).alias("piece"), x["length"].alias("length")))))
-    walk = F.aggregate(marks, F.struct(F.lit(-1).alias("piece"), F.array().cast("array<string>").alias("texts")), lambda s, m: F.when(m["is_span"] == 0, F.struct(m["piece"].alias("piece"), s["texts"].alias("texts"))).otherwise(
-        F.struct(s["piece"].alias("piece"), F.concat(s["texts"], F.array(_under(m, F.get("__p", s["piece"]), F.get("__at", s["piece"])))).alias("texts"))))["texts"]
-    return out.select("conv_id", turns.alias("turns"), F.array_join(walk, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"), "attachments", "expanded_tokens")
+        F.transform("loss_spans", lambda x: F.struct(x["start"].cast("long").alias("start"), F.lit(1).alias("is_span"),
+        F.lit(0).alias("piece"), x["length"].alias("length")))))
+    walk = F.aggregate(marks, F.struct(F.lit(-1).alias("piece"), F.array().cast("array<string>").alias("texts")), lambda s,
+        m: F.when(m["is_span"] == 0, F.struct(m["piece"].alias("piece"), s["texts"].alias("texts"))).otherwise(
+        F.struct(s["piece"].alias("piece"), F.concat(s["texts"], F.array(_under(m, F.get("__p", s["piece"]),
+        F.get("__at", s["piece"])))).alias("texts"))))["texts"]
+    return out.select("conv_id", turns.alias("turns"), F.array_join(walk, "").alias("loss_text"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "attachments", "expanded_tokens")
 
 
 def _under(span: Column, piece: Column, at: Column) -> Column:
     """The unescaped text of a span of the formatted text, found in the turn that starts at a position at or before it."""
     first = (span["start"] - at).cast("int")
     inside = piece.isNotNull() & (first + span["length"] <= F.length(piece))
-    return F.when(inside, unescape(F.substr(piece, first + 1, span["length"]))).otherwise(F.raise_error(F.lit("a loss span lies outside of every turn")).cast("string"))
+    return F.when(inside, unescape(F.substr(piece, first + 1,
+        span["length"]))).otherwise(F.raise_error(F.lit("a loss span lies outside of every turn")).cast("string"))
 
 
 def digests(back: DataFrame) -> DataFrame:
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       "formatted_chars",
                        F.to_json("attachments").alias("attachments"), "expanded_tokens")
 
 

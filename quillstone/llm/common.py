@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.storage import literal_rows, materialize, release, shared_dir
 
-__all__ = ["byte_size", "default_parallelism", "fold", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread", "table", "whole", "words_of"]
+__all__ = ["byte_size", "default_parallelism", "fold", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread",
+    "table", "whole", "words_of"]
 
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"

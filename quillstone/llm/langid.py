@@ -141,7 +141,8 @@ class Lattice:
             ids = self.edges(np.array([list(map(ord, text[max(0, a - LONGEST) : a + 4096]))], np.uint64))
             base = max(0, a - LONGEST)
             for j in range(a + 1, min(len(text), a + 4096) + 1):
-                new = sum(window[-length] * p[x[0, j - length - base]] for length, x in ids.items() if length <= len(window) and j - length >= base)
+                new = sum(window[-length] * p[x[0, j - length - base]] for length,
+                    x in ids.items() if length <= len(window) and j - length >= base)
                 scale = np.where(new > 0, new, 1)
                 total += np.log(scale)
                 window = [w / scale for w in window[-LONGEST + 1 :]] + [new / scale]
@@ -227,7 +228,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.setdefault(lang, Counter()).update(words(text))
         rows = [(x, w, n) for x, c in found.items() for w, n in c.items()]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
+            ["lang", "word", "n"])
 
 
 def sample_counts(train: DataFrame) -> dict[str, dict[str, int]]:
@@ -297,7 +299,8 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             if size > CHUNK_CHARS:
                 flush()
         flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+            ["row", "lang_pred", "score"])
 
 
 def _model(spark: SparkSession, train: DataFrame, vocabulary: str):
@@ -314,7 +317,8 @@ def _predicted(rows: DataFrame, train: DataFrame, vocabulary: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, train: DataFrame, least: float, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of docs whose language is identified with a score of least or more, with all their columns; lang is the identified one."""
-    found = _predicted(docs.select(whole(docs).alias("row")), train, vocabulary).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    found = _predicted(docs.select(whole(docs).alias("row")), train,
+        vocabulary).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

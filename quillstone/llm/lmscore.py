@@ -113,7 +113,8 @@ def _count(key: tuple, rows: pa.Table, parts: int) -> pa.Table:
     target[np.searchsorted(keys, of_target)] = n
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the key
     starts = np.unique(part, return_index=True)[1]
-    return _pack([_packed(int(part[a]), key[0].as_py(), keys[a:b], background[a:b], target[a:b]) for a, b in zip(starts, np.append(starts, len(keys))[1:], strict=True)])
+    return _pack([_packed(int(part[a]), key[0].as_py(), keys[a:b], background[a:b], target[a:b]) for a,
+        b in zip(starts, np.append(starts, len(keys))[1:], strict=True)])
 
 
 def _sum(rows: pa.Table) -> pa.Table:
@@ -165,7 +166,8 @@ def _score(rows: pa.Table, sums: pa.Table, all_b: int, all_t: int) -> pa.Table:
         lt.append(float(losses(target[i1] - out * o1, target[i2] - out * o2, all_t - out * len(pairs), 1.0).mean()))
         lb.append(float(losses(background[i1] - o1, background[i2] - o2, all_b - len(pairs), scale).mean()))
     diff = [None if t is None else t - b for t, b in zip(lt, lb, strict=True)]
-    return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(lt, pa.float64()), "background_loss": pa.array(lb, pa.float64()), "score": pa.array(diff, pa.float64())})
+    return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(lt, pa.float64()),
+        "background_loss": pa.array(lb, pa.float64()), "score": pa.array(diff, pa.float64())})
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -174,7 +176,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__id").isNotNull().alias("is_target"))
-    size = rows.select("text", "is_target").mapInArrow(_size, "size long, background long, target long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "background", "target")]).first()
+    size = rows.select("text", "is_target").mapInArrow(_size, "size long, background long, target long").agg(*[F.coalesce(F.sum(c),
+        F.lit(0)) for c in ("size", "background", "target")]).first()
     blocks = 1 + size[0] // BLOCK_BYTES
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     parts, (_, all_b, all_t) = 1 + blocks // BLOCKS_PER_PART, size

@@ -123,7 +123,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iterator[pa.
             else:
                 keys.append(np.empty(0, np.int64))
                 sigs.append(b"")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()),
+            pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                                          ["doc_id", "n_shingles", "fp1", "fp2", "keys", "sig"])
 
 
@@ -184,7 +185,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
     cache, pivot, own, opened = _WordHash(), None, [], False
     for batch in batches:
         good = []
-        for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.large_binary()).to_pylist(), strict=True):
+        for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.large_binary()).to_pylist(),
+                strict=True):
             found = shingle_set(text, k, cache)
             if b is None:
                 own = [*own, found] if (pivot, opened) == ((a, salt), True) else [found]
@@ -207,12 +209,15 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     """Which of the pairs (a, b) of a pivot and a candidate are links; materialized."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"),
+        F.col("n_shingles").alias(f"n_{x}"))
+    sized = pairs.distinct().join(side("a"), "a").join(side("b"),
+        "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
     likely = materialize(sized.mapInArrow(partial(_likely, percent=percent, values=bands * BAND_ROWS), "a long, b long"))
     texts = _texts_of(docs, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     tests = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(SALTS, default_parallelism(docs.sparkSession)))))
-    pivots = tests.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    pivots = tests.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt",
+        F.lit(None).cast("long").alias("b"), "text")
     others = tests.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
     dealt = pivots.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     out = materialize(dealt.mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long"))
@@ -231,19 +236,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (doc_id = component_id) for every row of docs (doc_id, text)."""
     short_batches(docs.sparkSession)
     docs, bands = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bands_for(percent / 100)
-    signed = materialize(docs.mapInArrow(partial(_sign, k=k, bands=bands), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"))
+    signed = materialize(docs.mapInArrow(partial(_sign, k=k, bands=bands),
+        "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary"))
     known = signed.filter("doc_id IS NOT NULL")
     fps = ["n_shingles", "fp1", "fp2"]
     classes = materialize(known.filter("n_shingles > 0").groupBy(*fps).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")))
-    reps = materialize(known.join(classes.select(*fps, F.col("rep").alias("doc_id")), [*fps, "doc_id"], "left_semi").dropDuplicates(["doc_id", *fps]))
+    reps = materialize(known.join(classes.select(*fps, F.col("rep").alias("doc_id")), [*fps, "doc_id"],
+        "left_semi").dropDuplicates(["doc_id", *fps]))
     # Rows of one id and different texts are one node: their classes are linked.
     same_id = known.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct(*fps).alias("c")).filter("c > 1").select("doc_id")
     same = known.join(same_id, "doc_id").join(classes, fps).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
 
     entries = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("key", "pivot")
+    shared = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("key",
+        "pivot")
     buckets = materialize(entries.join(shared, "key"))
-    links = [_links(buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), reps, docs, k, percent, bands)]
+    links = [_links(buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), reps, docs, k,
+        percent, bands)]
 
     def within(bucket: pa.Table) -> pa.Table:
         return _within(bucket, k, percent, bands * BAND_ROWS)
@@ -251,22 +260,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest, pivots = buckets.filter("doc_id <> pivot").select("key", "doc_id", "n_shingles"), 32
     components = components_of(_united([same, *links]))
     while True:
-        labelled = rest.join(components, rest["doc_id"] == components["node"], "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.sum("n_shingles").alias("n")).filter("x <> y")
+        labelled = rest.join(components, rest["doc_id"] == components["node"], "left").select("key", "doc_id", "n_shingles",
+            F.coalesce("component", "doc_id").alias("component"))
+        split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"),
+            F.sum("n_shingles").alias("n")).filter("x <> y")
         small = (F.col("m") <= SMALL_BUCKET) & (F.col("n") <= SMALL_SHINGLES)
         open_rows = materialize(labelled.drop("n_shingles").join(split.select("key", small.alias("small")), "key"))
         few, many = open_rows.filter("small"), open_rows.filter("NOT small")
         ids = few.select(F.col("doc_id").alias("id")).distinct()
         whole = _texts_of(docs, ids).join(reps.select("doc_id", "sig", "keys"), "doc_id")
-        found = few.drop("small").join(whole, "doc_id").select("key", "doc_id", "component", "sig", "keys", "text").groupBy("key").applyInArrow(within, "a long, b long")
+        found = few.drop("small").join(whole, "doc_id").select("key", "doc_id", "component", "sig", "keys",
+            "text").groupBy("key").applyInArrow(within, "a long, b long")
         found = [materialize(found)]
         more = many.limit(1).count() > 0
         if more:
-            chosen = many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(pivots))).groupBy("key", "salt").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("p")).select("key", "p.doc_id", "p.component")
+            chosen = many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(pivots))).groupBy("key",
+                "salt").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("p")).select("key", "p.doc_id", "p.component")
             others = many.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
             tests = chosen.join(others, "key").filter("doc_id <> b AND component <> cb").select(F.col("doc_id").alias("a"), "b")
             found.append(_links(tests, reps, docs, k, percent, bands))
-            rest = materialize(many.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_anti").join(reps.select("doc_id", "n_shingles"), "doc_id").select("key", "doc_id", "n_shingles"))
+            rest = materialize(many.join(chosen.select("key", "doc_id"), ["key", "doc_id"],
+                "left_anti").join(reps.select("doc_id", "n_shingles"), "doc_id").select("key", "doc_id", "n_shingles"))
             pivots *= 2
         new = [x for x in found if x.limit(1).count()]
         if new:
@@ -277,11 +291,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not more:
             break
     release(reps, buckets)
-    linked = classes.join(components, classes["rep"] == components["node"], "left").select(*fps, "m", "rep", F.coalesce("component", "rep").alias("component_id"))
+    linked = classes.join(components, classes["rep"] == components["node"], "left").select(*fps, "m", "rep",
+        F.coalesce("component", "rep").alias("component_id"))
     # A class of one row that is its own component needs no mention: such rows keep their own id.
     placed = _with_class(signed.select("doc_id", *fps), linked.filter("m > 1 OR component_id <> rep").drop("rep"), fps)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _with_class(rows: DataFrame, linked: DataFrame, fps: list[str]) -> DataFrame:
@@ -297,9 +313,11 @@ def _with_class(rows: DataFrame, linked: DataFrame, fps: list[str]) -> DataFrame
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns; of the rows of one component one stays."""
-    verdict = near_duplicates(docs.select(docs[doc_id].alias("doc_id"), docs["text"]), k, percent).filter("doc_id IS NOT NULL AND n_shingles > 0")
+    verdict = near_duplicates(docs.select(docs[doc_id].alias("doc_id"), docs["text"]), k,
+        percent).filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Ids that go, and kept ids that have several rows, all of which are in one component.
-    decided = verdict.groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("c")).filter("NOT kept OR c > 1")
+    decided = verdict.groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("kept"),
+        F.count("*").alias("c")).filter("NOT kept OR c > 1")
     decided = materialize(decided.select("id", F.when(F.col("kept"), "several").otherwise("gone").alias("what")))
     few = decided.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     wordless = ~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -40,7 +40,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         n = n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
     else:
         given = literal_rows(docs.sparkSession, [(k, float(v)) for k, v in weights.items()], "given string, weight double")
-        n = n.join(given, F.col("source").eqNullSafe(F.col("given")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        n = n.join(given, F.col("source").eqNullSafe(F.col("given")), "left").select("source", "n",
+            F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = n.agg(F.sum("n").alias("total"), F.sum("weight").alias("weights"))
     rate = F.round(F.coalesce(F.try_divide(F.col("weight") * F.col("total"), F.col("weights") * F.col("n")), F.lit(0.0)), 9)
     return n.join(F.broadcast(total)).select("source", "n", rate.alias("rate"))  # total has one row
@@ -49,8 +50,10 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def _with_tables(rates: DataFrame) -> DataFrame:
     """Adds low and cdf, the Poisson distribution function at low, low + 1, ... to where it is 1 in double precision."""
     rate, spread = F.col("rate"), 12 * F.sqrt("rate") + 30
-    out = rates.withColumn("low", F.greatest(F.lit(0), F.floor(rate - spread)).cast("int")).withColumn("high", F.ceil(rate + spread).cast("int"))
-    log_factorial = F.when(F.col("low") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest("low", F.lit(1))), F.lit(0.0), lambda s, k: s + F.ln(k))).otherwise(0.0)
+    out = rates.withColumn("low", F.greatest(F.lit(0), F.floor(rate - spread)).cast("int")).withColumn("high",
+        F.ceil(rate + spread).cast("int"))
+    log_factorial = F.when(F.col("low") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest("low", F.lit(1))), F.lit(0.0), lambda s,
+        k: s + F.ln(k))).otherwise(0.0)
     first = F.exp(-rate + F.when(F.col("low") > 0, F.col("low") * F.ln(rate)).otherwise(0.0) - log_factorial)
     start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("cdf"))
 
@@ -62,7 +65,8 @@ def _with_tables(rates: DataFrame) -> DataFrame:
     return out.select("source", "rate", "low", table.alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED, source: str = "source",
+        doc_id: str = "doc_id") -> DataFrame:
     """Once for each copy: row, a struct of all columns of docs; copy (1, 2, ...); place, its place in the global shuffle."""
     rates = _with_tables(source_rates(docs, weights, source))
     many = rates.limit(MAX_BROADCAST_SOURCES + 1).count() > MAX_BROADCAST_SOURCES
@@ -70,7 +74,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
     rows = docs.select(whole(docs).alias("row"), docs[source].alias("of"), docs[doc_id].alias("id"), u.alias("u"))
     drawn = rows.join(rates if many else F.broadcast(rates), F.col("of").eqNullSafe(F.col("source")))
     n = F.when(F.col("rate") > 0, F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(0)
-    copies = drawn.select("row", "id", n.alias("n")).filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    copies = drawn.select("row", "id", n.alias("n")).filter("n > 0").select("row", "id",
+        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     return copies.select("row", "copy", hash_bits(F.lit(seed), F.col("id"), F.col("copy")).alias("place"))
 
 

@@ -107,10 +107,12 @@ def quality_metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                           F.lit(WINDOW).cast("long"), lambda s, x: s + x)
     long = lambda c: c.cast("long")
     return out.select(
-        *[F.col("__row").getField(c).alias(c) for c in keep], long(n).alias("n_words"), long(F.length(F.array_join(words, ""))).alias("word_chars"),
+        *[F.col("__row").getField(c).alias(c) for c in keep], long(n).alias("n_words"),
+        long(F.length(F.array_join(words, ""))).alias("word_chars"),
         _removed(t, SYMBOLS).alias("n_symbols"), long(F.size("__full") - F.size(F.array_distinct("__full"))).alias("n_dup_lines"),
         F.when(k > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        _removed(t, "!").alias("n_exclamations"), long(F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS)))).alias("n_stop_words"), long(F.greatest(n - STOP_FREE, F.lit(0))).alias("n_words_beyond"), long(F.size("__full")).alias("n_lines"),
+        _removed(t, "!").alias("n_exclamations"), long(F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS)))).alias("n_stop_words"),
+        long(F.greatest(n - STOP_FREE, F.lit(0))).alias("n_words_beyond"), long(F.size("__full")).alias("n_lines"),
         long(F.size(F.filter("__full", lambda x: F.substring(F.ltrim(x), 1, 1).isin(*BULLETS)))).alias("n_bullet_lines"),
         long(F.size(F.filter("__full", lambda x: F.rtrim(x).endswith("...")))).alias("n_ellipsis_lines"),
     )

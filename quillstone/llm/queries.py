@@ -53,14 +53,18 @@ def op9_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = literal_rows(spark, [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    probe = literal_rows(spark, [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)],
+        "conv_id long, turn long, role string, text string")
     messages = rows.unionByName(probe).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
     return chat.digests(chat.read_back(chat.format_chat(messages)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_counterfactual_toxicity, op2_segmentation_langid, op3_threshold_quality, op4_range_url_filter, op5_kdtree_sharding, op6_poisson_mixing, op7_cross_entropy_difference, op8_minmax_near_dedup, op9_pigeonhole_decontamination, op10_typed_chat)}
+    return {f.__name__: f for f in (op1_counterfactual_toxicity, op2_segmentation_langid, op3_threshold_quality, op4_range_url_filter,
+        op5_kdtree_sharding, op6_poisson_mixing, op7_cross_entropy_difference, op8_minmax_near_dedup, op9_pigeonhole_decontamination,
+        op10_typed_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_quality": quality.oracle(), "op4_range_url_filter": urlfilter.oracle(), "op6_poisson_mixing": mixing.oracle(), "op8_minmax_near_dedup": minhash.oracle(), "op10_typed_chat": chat.oracle()}
+    return {"op3_threshold_quality": quality.oracle(), "op4_range_url_filter": urlfilter.oracle(), "op6_poisson_mixing": mixing.oracle(),
+        "op8_minmax_near_dedup": minhash.oracle(), "op10_typed_chat": chat.oracle()}

@@ -47,7 +47,8 @@ def dimensions(docs: DataFrame) -> dict[str, Column]:
 def _group_points(meta: DataFrame) -> DataFrame:
     """meta with the language and source of each group of equal texts set to those of its least copy."""
     point = F.struct("dim_language", "dim_source")
-    mixed = meta.groupBy("text_hash", "text_crc32", "size").agg(F.min(point).alias("p"), F.max(point).alias("q")).filter("p <> q").select("text_hash", "text_crc32", "size", "p")
+    mixed = meta.groupBy("text_hash", "text_crc32", "size").agg(F.min(point).alias("p"),
+        F.max(point).alias("q")).filter("p <> q").select("text_hash", "text_crc32", "size", "p")
     mixed = materialize(mixed)  # groups whose copies differ in metadata
     few = mixed.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     out = meta.join(F.broadcast(mixed) if few else mixed, ["text_hash", "text_crc32", "size"], "left")
@@ -65,12 +66,15 @@ _NODE = "node int, dim int, want double, prefix long, cut long, left long"
 def _step(rows: DataFrame, nodes: list[dict], number: Column, before: int, shift: int) -> dict[int, dict]:
     """One histogram pass for some nodes: rows whose number has the node's prefix, by their next digit. The digit at which the running bytes reach want."""
     table = literal_rows(rows.sparkSession, [(n["id"], n["dim"], n["want"], n["prefix"], n.get("cut"), n["left"]) for n in nodes], _NODE)
-    keyed = rows.join(F.broadcast(table), "node").filter(F.col("cut").isNull() | (_order_key() == F.col("cut"))).withColumn("number", number)
-    digits = keyed.filter(F.shiftright("number", before) == F.col("prefix")).groupBy("node", "want", "left", F.shiftright("number", shift).alias("digit"))
+    keyed = rows.join(F.broadcast(table),
+        "node").filter(F.col("cut").isNull() | (_order_key() == F.col("cut"))).withColumn("number", number)
+    digits = keyed.filter(F.shiftright("number", before) == F.col("prefix")).groupBy("node", "want", "left",
+        F.shiftright("number", shift).alias("digit"))
     sums = digits.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     order = Window.partitionBy("node").orderBy("digit")  # at most 2**20 sums a node
     sums = sums.select("*", (F.col("left") + F.sum("bytes").over(order)).alias("upto"), F.lead("digit").over(order).isNull().alias("last"))
-    found = sums.filter((F.col("upto") >= F.col("want")) | F.col("last")).groupBy("node").agg(F.min(F.struct("digit", "bytes", "upto", "n")).alias("at")).collect()
+    found = sums.filter((F.col("upto") >= F.col("want")) | F.col("last")).groupBy("node").agg(F.min(F.struct("digit", "bytes", "upto",
+        "n")).alias("at")).collect()
     return {r["node"]: r["at"].asDict() for r in found}
 
 
@@ -118,19 +122,23 @@ def kd_tree_shards(meta: DataFrame, shards: int) -> DataFrame:
     rows, nodes = meta.withColumn("node", F.lit(0)), [{"id": 0, "shards": shards}]
     share = None
     while nodes := [n for n in nodes if n["shards"] > 1]:
-        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMS]).collect()}
+        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"),
+            *[(F.max(d) - F.min(d)).alias(d) for d in DIMS]).collect()}
         nodes = [n for n in nodes if n["id"] in stats]  # a node without rows has nothing to split
         if not nodes:
             break
         share = share or stats[0]["bytes"] / shards
         for n in nodes:
             s = stats[n["id"]]
-            n |= {"dim": max(range(len(DIMS)), key=lambda i: s[DIMS[i]]), "want": s["bytes"] * (n["shards"] // 2) / n["shards"], "share": share}
+            n |= {"dim": max(range(len(DIMS)), key=lambda i: s[DIMS[i]]), "want": s["bytes"] * (n["shards"] // 2) / n["shards"],
+                "share": share}
         cuts = literal_rows(spark, _cuts(rows, nodes), "node int, dim int, cut long, row_cut long, to int")
         key = _order_key()
         right = F.col("cut").isNotNull() & ((key > F.col("cut")) | (key == F.col("cut")) & (F.col("row") >= F.col("row_cut")))
-        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(right, F.col("to")).otherwise(F.col("node"))).drop("dim", "cut", "row_cut", "to")
-        nodes = [c for n in nodes for c in ({"id": n["id"], "shards": n["shards"] // 2}, {"id": n["id"] + n["shards"] // 2, "shards": n["shards"] - n["shards"] // 2})]
+        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node",
+            F.when(right, F.col("to")).otherwise(F.col("node"))).drop("dim", "cut", "row_cut", "to")
+        nodes = [c for n in nodes for c in ({"id": n["id"], "shards": n["shards"] // 2},
+            {"id": n["id"] + n["shards"] // 2, "shards": n["shards"] - n["shards"] // 2})]
     return rows.withColumnRenamed("node", "shard")
 
 
@@ -146,14 +154,17 @@ def number_slots(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("c"))  # at most shards x parts rows
     before = counts.select("shard", "part", (F.sum("c").over(Window.partitionBy("shard").orderBy("part")) - F.col("c")).alias("base"))
     within = Window.partitionBy("shard", "part").orderBy("text_hash", "row")
-    return rows.withColumn("n", F.row_number().over(within)).join(before, ["shard", "part"]).withColumn("slot", (F.col("base") + F.col("n") - 1).cast("long")).drop("part", "base", "n")
+    return rows.withColumn("n", F.row_number().over(within)).join(before, ["shard", "part"]).withColumn("slot",
+        (F.col("base") + F.col("n") - 1).cast("long")).drop("part", "base", "n")
 
 
-def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None,
+        keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, size, text_crc32, law, shard and slot for every row of docs; shards, or as many as target_bytes asks for."""
     text, keep = F.coalesce(F.col("text"), F.lit("")), tuple(c for c in keep if c.lower() not in RESULTS)
     read = materialize(docs.select(
-        F.struct(F.lit(0).alias("none"), *keep).alias("kept"), byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(2**TEXT_BITS)).alias("text_hash"),
+        F.struct(F.lit(0).alias("none"), *keep).alias("kept"), byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"),
+        F.pmod(F.xxhash64(text), F.lit(2**TEXT_BITS)).alias("text_hash"),
         F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in dimensions(docs).items()]))
     if shards is None:
         total = read.agg(F.sum("size")).first()[0] or 0
@@ -161,11 +172,13 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     meta = materialize(_group_points(read))
     release(read)
     placed = number_slots(kd_tree_shards(meta, shards))
-    return placed.select(*[F.col("kept").getField(c).alias(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*[F.col("kept").getField(c).alias(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Writes whole documents to path, a folder for each shard. The documents' id must be unique."""
     placed = assign_shards(docs, **how).select("doc_id", "shard", "slot")
     out = docs.join(placed, "doc_id")
-    out.repartition("shard", F.floor(F.col("slot") / ROWS_A_TASK)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartition("shard", F.floor(F.col("slot") / ROWS_A_TASK)).sortWithinPartitions("shard",
+        "slot").write.partitionBy("shard").parquet(path)

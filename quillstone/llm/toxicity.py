@@ -71,7 +71,8 @@ def swapped(found: set[str], turn: int = 1) -> set[str] | None:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(held: dict) -> pa.RecordBatch:
         names = list(held[0].keys() | held[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([held[c][x] for x in names], pa.int64()) for c in (1, 0))], ["feature", "toxic", "clean"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()),
+            *(pa.array([held[c][x] for x in names], pa.int64()) for c in (1, 0))], ["feature", "toxic", "clean"])
 
     held = {0: Counter(), 1: Counter()}
     for batch in batches:
@@ -87,7 +88,8 @@ def screen(train: DataFrame, n1: int, n0: int) -> list[str]:
     """Features of toxic documents, from the counts over all of train (text, toxic), n1 of it toxic and n0 clean, and the identity terms."""
     if not n1 or not n0:
         return []
-    c = train.select("text", "toxic").mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("x"), F.sum("clean").alias("y"))
+    c = train.select("text", "toxic").mapInArrow(_count,
+        "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("x"), F.sum("clean").alias("y"))
     p1, p0, p = F.col("x") / n1, F.col("y") / n0, (F.col("x") + F.col("y")) / (n1 + n0)
     z = (p1 - p0) / F.sqrt(p * (1 - p + 1e-9) * (1 / n1 + 1 / n0))
     good = c.filter(F.col("x") >= LEAST_DOCS).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (p1 >= LEAST_RATIO * p0))
@@ -114,7 +116,8 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
 
 
-def fit_weights(labels: list[int], own: list[list[int]], other: list[list[int] | None], size: int, penalty: float = COUNTERFACTUAL, steps: int = 600) -> tuple[np.ndarray, float]:
+def fit_weights(labels: list[int], own: list[list[int]], other: list[list[int] | None], size: int, penalty: float = COUNTERFACTUAL,
+        steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and intercept: logistic loss + RIDGE * |w|^2 + penalty * mean squared change of the logit over counterfactual pairs."""
     y, n = np.array(labels, float), len(labels)
     r, k = _flat(own)
@@ -150,7 +153,8 @@ def fit(train: DataFrame, penalty: float = COUNTERFACTUAL) -> tuple[dict[str, fl
         share = toxic / total if total else 0.0
         return {}, float("-inf") if share == 0 else float("inf") if share == 1 else float(np.log(share / (1 - share)))
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    rows = train.filter(u < min(1.0, TRAIN_ROWS / total)).select("text", "toxic").mapInArrow(partial(_encode, names=names), "label int, own array<int>, other array<int>").toArrow()
+    rows = train.filter(u < min(1.0, TRAIN_ROWS / total)).select("text", "toxic").mapInArrow(partial(_encode, names=names),
+        "label int, own array<int>, other array<int>").toArrow()
     w, b = fit_weights(*(rows.column(c).to_pylist() for c in ("label", "own", "other")), len(names), penalty)
     return {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}, b
 
@@ -179,7 +183,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             scores.append(intercept + sum(values[i] for i in sorted(present)))
         with np.errstate(over="ignore"):
             s = 1 / (1 + np.exp(-np.array(scores, float)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+            ["doc_id", "held_out", "score", "predicted"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -189,5 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None)
     few = given.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     train = docs.select("doc_id", "text").join(F.broadcast(given) if few else given, F.col("doc_id") == F.col("__id"))
     model = fit(train)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    return rows.mapInArrow(partial(_score, shared=docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+        (F.lit(False) if held_out is None else held_out).alias("held_out"))
+    return rows.mapInArrow(partial(_score, shared=docs.sparkSession.sparkContext.broadcast(model)),
+        "doc_id long, held_out boolean, score double, predicted int")

@@ -87,20 +87,25 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     rules = rules.select("verdict", "host", "path", F.split("host", "[.]").alias("labels"))
     depths = [r[0] for r in rules.select(F.size("labels")).distinct().collect()]  # as many as label counts of rules
     labels = F.split("host", "[.]")
-    levels = pages.filter(F.col("host") != "").select("uid", "path", labels.alias("labels"), F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("k"))
+    levels = pages.filter(F.col("host") != "").select("uid", "path", labels.alias("labels"),
+        F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("k"))
     levels = levels.filter(F.size("labels") >= F.col("k")).select(
         _reversed(F.slice("labels", -F.col("k"), F.col("k"))).alias("k1"), F.encode("path", "UTF-8").alias("k2"),
-        F.lit(PAGE).alias("kind"), F.lit(0).alias("width"), "uid", F.lit(None).cast("struct<verdict:string,host:string,path:string>").alias("rule"))
+        F.lit(PAGE).alias("kind"), F.lit(0).alias("width"), "uid",
+        F.lit(None).cast("struct<verdict:string,host:string,path:string>").alias("rule"))
     rule, lo = F.struct("verdict", "host", "path"), F.encode("path", "UTF-8")
-    opens = rules.select(_reversed(F.col("labels")).alias("k1"), lo.alias("k2"), F.lit(OPEN).alias("kind"), F.length("path").alias("width"), F.lit(-1).cast("long").alias("uid"), rule.alias("rule"))
-    closes = rules.select(_reversed(F.col("labels")).alias("k1"), F.concat(lo, F.lit(bytearray(b"\xff"))).alias("k2"), F.lit(CLOSE).alias("kind"), (-F.length("path")).alias("width"), F.lit(-1).cast("long").alias("uid"), rule.alias("rule"))
+    opens = rules.select(_reversed(F.col("labels")).alias("k1"), lo.alias("k2"), F.lit(OPEN).alias("kind"), F.length("path").alias("width"),
+        F.lit(-1).cast("long").alias("uid"), rule.alias("rule"))
+    closes = rules.select(_reversed(F.col("labels")).alias("k1"), F.concat(lo, F.lit(bytearray(b"\xff"))).alias("k2"),
+        F.lit(CLOSE).alias("kind"), (-F.length("path")).alias("width"), F.lit(-1).cast("long").alias("uid"), rule.alias("rule"))
     events = levels.unionByName(opens).unionByName(closes)
     dealt = materialize(events.repartitionByRange(n, "k1", "k2", "kind", "width", "uid").withColumn("range", F.spark_partition_id()))
     top = _top_of_stack(dealt)
     longest = F.struct((F.length("top.host") + F.length("top.path")).alias("n"), F.length("top.host").alias("h"))
     best = top.groupBy("uid").agg(F.max_by("top", longest).alias("best"))
     return pages.join(best, "uid", "left").select(
-        "page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        "page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def oracle(rules: tuple[UrlRule, ...] = RULES, default: str = DEFAULT) -> str:

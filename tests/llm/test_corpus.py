@@ -17,8 +17,10 @@ DOCS = "doc_id long, text string, lang string, source string, size string"
 
 def documents(n=400, seed=1):
     rng = random.Random(seed)
-    rows = [(i, "x" * rng.randint(0, 400) if i % 9 else None, rng.choice(["en", "de", None]), "hot" if rng.random() < 0.5 else f"s{rng.randint(0, 5)}", "clash") for i in range(n)]
-    return rows + [(10_000 + i, "copy of one text " * 10, "en", "hot", "clash") for i in range(n // 2)] + [(7, "again", "en", "hot", "clash"), (None, "no id", None, None, "clash")]
+    rows = [(i, "x" * rng.randint(0, 400) if i % 9 else None, rng.choice(["en", "de", None]),
+        "hot" if rng.random() < 0.5 else f"s{rng.randint(0, 5)}", "clash") for i in range(n)]
+    return rows + [(10_000 + i, "copy of one text " * 10, "en", "hot", "clash") for i in range(n // 2)] + [(7, "again", "en", "hot",
+        "clash"), (None, "no id", None, None, "clash")]
 
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
@@ -42,7 +44,8 @@ def plain_kd_tree(rows, shards):
         g = groups.setdefault(t or "", [0, (1 << 20, 0)])
         g[0] += len((t or "").encode()) + 1
         g[1] = min(g[1], (code(lang), code(source)))
-    points = [(t, n, (*p, min(2**20 - 1, math.floor(math.log2(len(t.encode()) + 1) * (2**20 / 40))), xxhash.xxh64_intdigest(t.encode(), seed=42) & mask)) for t, (n, p) in groups.items()]
+    points = [(t, n, (*p, min(2**20 - 1, math.floor(math.log2(len(t.encode()) + 1) * (2**20 / 40))),
+        xxhash.xxh64_intdigest(t.encode(), seed=42) & mask)) for t, (n, p) in groups.items()]
     out = {}
 
     def split(own, first, k):
@@ -68,7 +71,8 @@ def plain_kd_tree(rows, shards):
 def test_shards_match_a_plain_kd_tree(spark, monkeypatch, shards):
     monkeypatch.setattr(sharding, "SLACK", 0.0)
     monkeypatch.setattr(sharding, "GROUP_SLACK", 1e9)
-    rows = [(i, t, lang, s, x) for i, (d, t, lang, s, x) in enumerate(documents(300, seed=4))] + [(900 + i, "two copies " * 3, f"l{i}", f"s{i}", "x") for i in range(6)]
+    rows = [(i, t, lang, s, x) for i, (d, t, lang, s, x) in enumerate(documents(300, seed=4))] + [(900 + i, "two copies " * 3, f"l{i}",
+        f"s{i}", "x") for i in range(6)]
     want = plain_kd_tree(rows, shards)
     got = sharding.assign_shards(spark.createDataFrame(rows, DOCS), shards=shards).collect()
     text = {r[0]: r[1] or "" for r in rows}
@@ -205,7 +209,8 @@ def test_near_duplicates_match_brute_force(spark, k, percent, monkeypatch):
 
 def test_one_row_of_each_component_stays(spark):
     texts = [f"document {i} has words of its own {i * 7} and {i * 11} more of them {i}" for i in range(20)]
-    rows = [(i, t, "a", i, "b", True) for i, t in enumerate(texts)] * 2 + [(100, texts[3], "a", 1, "b", None), (5, None, "a", 1, "b", None), (None, texts[4], "a", 1, "b", None), (None, texts[4], "a", 1, "b", None)]
+    rows = [(i, t, "a", i, "b", True) for i, t in enumerate(texts)] * 2 + [(100, texts[3], "a", 1, "b", None), (5, None, "a", 1, "b", None),
+        (None, texts[4], "a", 1, "b", None), (None, texts[4], "a", 1, "b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string, n long, what string, wordless boolean")
     left = minhash.deduplicate(df)
     assert left.columns == df.columns and Counter(r.doc_id for r in left.collect()) == Counter([*range(20), 5, None, None])

@@ -91,8 +91,10 @@ def test_numerals_are_no_words_wherever_they_stand():
 
 
 def test_every_language_is_learned(spark):
-    rows = [(i * 7 + j, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}", f"l{i}") for i in range(300) for j in range(2)]
-    counts = langid.sample_counts(spark.createDataFrame([*rows, (1, "x", None), (2, None, "none")], "doc_id long, text string, lang string"))
+    rows = [(i * 7 + j, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}",
+        f"l{i}") for i in range(300) for j in range(2)]
+    counts = langid.sample_counts(spark.createDataFrame([*rows, (1, "x", None), (2, None, "none")],
+        "doc_id long, text string, lang string"))
     assert set(counts) == {f"l{i}" for i in range(300)} and all(sum(c.values()) == 2 for c in counts.values())
 
 
@@ -110,7 +112,8 @@ def test_scores_are_posteriors_of_the_mean_evidence(spark):
         if own:
             best = max(range(len(languages)), key=lambda c: total[c])
             share = min(len(own), langid.EVIDENCE_WORDS) / len(own)
-            assert got[r.doc_id].lang_pred == languages[best] and math.isclose(got[r.doc_id].score, 1 / sum(math.exp((t - total[best]) * share) for t in total), rel_tol=1e-6)
+            assert got[r.doc_id].lang_pred == languages[best] and math.isclose(got[r.doc_id].score,
+                1 / sum(math.exp((t - total[best]) * share) for t in total), rel_tol=1e-6)
 
 
 def test_language_id_held_out_and_odd_rows(spark):
@@ -151,8 +154,10 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
     plain, fair = toxicity.fit(train, penalty=0.0), toxicity.fit(train)
     side = lambda m: sum(m[0].get(f, 0.0) for f in toxicity.features("muslim"))
     assert side(plain) > 1.0 and abs(side(fair)) < 0.5 * side(plain)
-    tests = spark.createDataFrame([(1, "lorem muslim dolor"), (2, "you wretchling"), (3, None), (4, ""), (5, "Wretchoid sit " * 2000), (2, "you wretchling")], "doc_id long, text string")
-    got = {r.doc_id: r for r in toxicity.classify(tests.union(docs.selectExpr("doc_id + 1000", "text")), labels.selectExpr("doc_id + 1000 AS doc_id", "toxic")).collect()}
+    tests = spark.createDataFrame([(1, "lorem muslim dolor"), (2, "you wretchling"), (3, None), (4, ""), (5, "Wretchoid sit " * 2000),
+        (2, "you wretchling")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.classify(tests.union(docs.selectExpr("doc_id + 1000", "text")),
+        labels.selectExpr("doc_id + 1000 AS doc_id", "toxic")).collect()}
     assert got[1].predicted == 0 and got[2].predicted == 1 and got[3].score == got[4].score and got[3].predicted == 0 and 0 <= got[5].score <= 1
 
 
@@ -266,7 +271,8 @@ def edit_distance_in(pattern, text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.binary(min_size=1, max_size=70).map(lambda b: bytes(97 + x % 3 for x in b)), st.binary(max_size=90).map(lambda b: bytes(97 + x % 3 for x in b)))
+@given(st.binary(min_size=1, max_size=70).map(lambda b: bytes(97 + x % 3 for x in b)),
+    st.binary(max_size=90).map(lambda b: bytes(97 + x % 3 for x in b)))
 def test_myers_is_the_edit_distance(pattern, text):
     assert decontam.myers(pattern, text)[0] == edit_distance_in(pattern, text)
 
@@ -274,7 +280,8 @@ def test_myers_is_the_edit_distance(pattern, text):
 def test_leaks_match_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(rng.randint(4, 40))).capitalize() + "." for _ in range(12)] + ["Ok", None, " ", "same text twice over here", "Same TEXT, twice over here!"]
+    items = [" ".join(word() for _ in range(rng.randint(4, 40))).capitalize() + "." for _ in range(12)] + ["Ok", None, " ",
+        "same text twice over here", "Same TEXT, twice over here!"]
     docs = [" ".join(word() for _ in range(rng.randint(0, 150))) for _ in range(40)] + [None, "", "ok"]
     for i in range(60):
         t, d = list(rng.choice(items[:12])), docs[i % 40].split()
@@ -319,8 +326,10 @@ def test_words_have_counts_of_their_own(spark, monkeypatch):
     ids = spark.createDataFrame([(0,)], "doc_id long")
 
     def scores(a, b):
-        docs = spark.createDataFrame([(0, f"{a} {a} {a} q"), (1, f"{b} q"), (2, f"q {b} {a}"), (None, "q q"), (4, None)], "doc_id long, text string")
-        return {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.cross_entropy_difference(docs, ids).collect()}
+        docs = spark.createDataFrame([(0, f"{a} {a} {a} q"), (1, f"{b} q"), (2, f"q {b} {a}"), (None, "q q"), (4, None)],
+            "doc_id long, text string")
+        return {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lmscore.cross_entropy_difference(docs,
+            ids).collect()}
 
     one = scores(*pair)
     assert one == scores("one", "other")  # a word's name doesn't matter
@@ -333,7 +342,8 @@ def test_many_labels_are_joined_by_shuffle_alike(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(d, x) for d, _, x in rows] + [(None, 1)], "doc_id long, toxic int")
     score = lambda: {r.doc_id: round(r.score, 9) for r in toxicity.classify(docs, labels).collect()}
-    loss = lambda: {r.doc_id: r.score for r in lmscore.cross_entropy_difference(docs, labels.filter("toxic = 1").select("doc_id")).collect()}
+    loss = lambda: {r.doc_id: r.score for r in lmscore.cross_entropy_difference(docs,
+        labels.filter("toxic = 1").select("doc_id")).collect()}
     want = score(), loss()
     monkeypatch.setattr(toxicity, "MAX_BROADCAST_IDS", 0)
     monkeypatch.setattr(lmscore, "MAX_BROADCAST_IDS", 0)

@@ -25,7 +25,8 @@ def brute_quality(text):
 
 def test_quality_counts_match_brute_force(spark):
     rng = random.Random(3)
-    texts = [None, "", " \n\t", "a", "a b c d", "a b c d e a b c d e", "x x x x x x x", "é ü|#\n\né ü|#\n", "a\u00a0b\x0bc\x0cd\re", "😀 😀 # <b>"]
+    texts = [None, "", " \n\t", "a", "a b c d", "a b c d e a b c d e", "x x x x x x x", "é ü|#\n\né ü|#\n", "a\u00a0b\x0bc\x0cd\re",
+        "😀 😀 # <b>"]
     texts += [" ".join(rng.choice("ab\ncd") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["word " * 3000 + "end"]
     df = spark.createDataFrame([(i, t, "en", "clash") for i, t in enumerate(texts)] + [(0, None, "en", "clash")], DOCS)
     got = quality.quality_rules(df).collect()
@@ -44,14 +45,16 @@ def test_kept_columns_give_way_to_results(spark):
 
 def test_quality_verdicts(spark):
     good = "The cat sat on the mat and it was not at all sure of that until the end of the long and rainy day in town"
-    df = spark.createDataFrame([(1, good), (2, good.replace(" ", "# ")), (3, " ".join(f"zq{i}" for i in range(200))), (4, good.upper().replace(" ", "!! "))], "doc_id long, text string")
+    df = spark.createDataFrame([(1, good), (2, good.replace(" ", "# ")), (3, " ".join(f"zq{i}" for i in range(200))),
+        (4, good.upper().replace(" ", "!! "))], "doc_id long, text string")
     got = {r.doc_id: (r.kept, r.failed_rules) for r in quality.quality_rules(df).collect()}
     assert got == {1: (True, ""), 2: (False, "symbols_per_word"), 3: (False, "stop_words"), 4: (False, "shouting")}
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
 def test_quality_runs_no_python(spark):
-    plan = quality.quality_rules(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    plan = quality.quality_rules(spark.createDataFrame([(1, "a")],
+        "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
@@ -65,10 +68,13 @@ def brute_url(url, rules, default):
 
 def test_url_rules_match_brute_force(spark):
     rng = random.Random(5)
-    hosts = ["org", "example.org", "a.example.org", "EXAMPLE.org", "xexample.org", "com", "b.com", "", "d.c.b.com", "org.", "example.org:80"]
+    hosts = ["org", "example.org", "a.example.org", "EXAMPLE.org", "xexample.org", "com", "b.com", "", "d.c.b.com", "org.",
+        "example.org:80"]
     paths = ["", "/", "/es/", "/es/1", "/en/1", "/en/12/3", "/fr/", "/de/x?y", "/en", "/e#/es/"]
-    urls = [None, "", "no", "x://", "mailto:a", "http://h://x/es/"] + [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)] + ["https://example.org/es/1"] * 50
-    more = [urlfilter.UrlRule(rng.choice(["allow", "block"]), h, p) for h in ("org", "example.org", "b.com", "c.b.com") for p in ("/", "/e", "/en/", "/en/12", "/es/1")]
+    urls = [None, "", "no", "x://", "mailto:a",
+        "http://h://x/es/"] + [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)] + ["https://example.org/es/1"] * 50
+    more = [urlfilter.UrlRule(rng.choice(["allow", "block"]), h, p) for h in ("org", "example.org", "b.com", "c.b.com") for p in ("/", "/e",
+        "/en/", "/en/12", "/es/1")]
     for rules in (urlfilter.RULES, tuple({(r.host, r.path): r for r in more}.values()), ()):
         df = spark.createDataFrame([(i // 2, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
         frame = urlfilter.rules_frame(spark, rules) if rules else spark.createDataFrame([], "verdict string, host string, path string")
@@ -84,7 +90,9 @@ text = lambda t: ("text", t, None, None, None, None, None)
 def test_chat_round_trip_of_any_text(spark):
     rng = random.Random(9)
     bits = [*chat.CONTROL, "\\", "<", "[", "|", "turn|>", "INST]", "a", "\n", "é", "😀", "$1", "<\\|turn|>", "<\\\\|end|>"]
-    rows = [(c, rng.randint(0, 3), rng.choice(["user", "assistant", None, "<|turn|>"]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))])) for c in range(80) for _ in range(rng.randint(1, 6))]
+    rows = [(c, rng.randint(0, 3), rng.choice(["user", "assistant", None, "<|turn|>"]),
+        rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0,
+        9)))])) for c in range(80) for _ in range(rng.randint(1, 6))]
     rows += [(500, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(300)] + rows[:5]
     df = spark.createDataFrame([(c, t, r, [text(x)]) for c, t, r, x in rows], MESSAGE)
     got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_chat(df))).collect()}
@@ -98,21 +106,25 @@ def test_chat_round_trip_of_any_text(spark):
 
 
 def test_chat_parts_become_placeholders(spark):
-    parts = [text("see <|image|>"), ("image", None, "a.png", 57, 28, None, None), ("audio", None, "b.wav", None, None, 81, None), ("document", None, "c.pdf", None, None, None, 2), text(None)]
+    parts = [text("see <|image|>"), ("image", None, "a.png", 57, 28, None, None), ("audio", None, "b.wav", None, None, 81, None),
+        ("document", None, "c.pdf", None, None, None, 2), text(None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [text("ok")]), (2, 0, "user", None)], MESSAGE)
     r = {x.conv_id: x for x in chat.format_chat(df).collect()}
     assert r[1].formatted == "<|turn|>user<|text|>see <\\|image|><|image|><|audio|><|document|><|end|><|turn|>assistant<|text|>ok<|end|>"
-    assert [(a.turn, a.part, a.ref, a.tokens) for a in r[1].attachments] == [(0, 1, "a.png", 3), (0, 2, "b.wav", 3), (0, 3, "c.pdf", 512)] and r[1].expanded_tokens == 518
+    assert [(a.turn, a.part, a.ref, a.tokens) for a in r[1].attachments] == [(0, 1, "a.png", 3), (0, 2, "b.wav", 3),
+        (0, 3, "c.pdf", 512)] and r[1].expanded_tokens == 518
     (span,) = r[1].loss_spans
     assert r[1].formatted[span.start : span.start + span.length] == "ok" and r[2].formatted == "<|turn|>user<|text|><|end|>"
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
 def test_the_loss_is_read_through_its_spans(spark):
-    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", [text(f"é{i} <|end|> text {i}")], "x") for i in range(6)], MESSAGE + ", formatted string")
+    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", [text(f"é{i} <|end|> text {i}")], "x") for i in range(6)],
+        MESSAGE + ", formatted string")
     chats = chat.format_chat(df)
     assert chat.read_back(chats).first().loss_text == "".join(f"é{i} <|end|> text {i}" for i in (1, 3, 5))
-    moved = chats.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    moved = chats.withColumn("loss_spans", F.transform("loss_spans",
+        lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
     assert chat.read_back(moved).first().loss_text == "".join(f"{i} <|end|> text {i}<" for i in (1, 3, 5))
     lost = chats.withColumn("loss_spans", F.array(F.struct(F.lit(9_999).cast("long").alias("start"), F.lit(5).alias("length"))))
     with pytest.raises(Exception, match="outside of every turn"):

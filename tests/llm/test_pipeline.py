@@ -13,7 +13,8 @@ from tests.llm.test_corpus import brute_components, plain_kd_tree, poisson_count
 
 SF = "/root/testdata/sf0.001"
 #: Names that the operators use inside.
-CLASHING = ("row", "id", "copy", "place", "rate", "n", "u", "of", "node", "key", "what", "size", "shard", "lang_pred", "score", "__id", "__lang", "__rate", "__source", "__copy", "__order", "__u", "__n")
+CLASHING = ("row", "id", "copy", "place", "rate", "n", "u", "of", "node", "key", "what", "size", "shard", "lang_pred", "score", "__id",
+    "__lang", "__rate", "__source", "__copy", "__order", "__u", "__n")
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,9 @@ def documents(spark):
     own = docs.filter("length(text) < 1500")
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("text IS NOT NULL").limit(3).select((F.col("item_id") + 9000).alias("doc_id"), F.concat(F.lit("the and of it is said that "), "text").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).cast("long").alias("n_chars"))
     few = own.limit(12)
-    odd = spark.createDataFrame([(-1, "12 34", None, None, 5), (-2, None, None, None, None), (None, "the cat and the dog are in the house of the man", "en", "web", 1), (-3, "the house and the garden of it " * 40_000, None, "web", 1)], docs.schema)
+    odd = spark.createDataFrame([(-1, "12 34", None, None, 5), (-2, None, None, None, None),
+        (None, "the cat and the dog are in the house of the man", "en", "web", 1),
+        (-3, "the house and the garden of it " * 40_000, None, "web", 1)], docs.schema)
     more = few.withColumn("doc_id", F.col("doc_id") + 5000)
     return materialize(own.unionByName(few).unionByName(more).unionByName(leak).unionByName(odd))
 
@@ -34,7 +37,8 @@ def rows_of(df):
 
 def test_every_stage_matches_plain_python(spark, documents, monkeypatch):
     stages, docs = dict(corpus_pipeline.STAGES), documents
-    assert list(stages) == ["language ID", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "sharding"]
+    assert list(stages) == ["language ID", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights",
+        "sharding"]
 
     def run(name):
         nonlocal docs
@@ -81,13 +85,15 @@ def test_every_stage_matches_plain_python(spark, documents, monkeypatch):
     monkeypatch.setattr(sharding, "GROUP_SLACK", 1e9)
     before, after = run("sharding")
     shards = plain_kd_tree([(d, t, lang, s, n) for d, t, lang, s, n in before], corpus_pipeline.SHARDS)
-    assert Counter((r.doc_id, r.lang, r.source, r.size, r.shard) for r in after) == Counter((d, lang, s, len((t or "").encode()) + 1, shards[t or ""]) for d, t, lang, s, _ in before)
+    assert Counter((r.doc_id, r.lang, r.source, r.size, r.shard) for r in after) == Counter((d, lang, s, len((t or "").encode()) + 1,
+        shards[t or ""]) for d, t, lang, s, _ in before)
     for s in range(corpus_pipeline.SHARDS):
         assert sorted(r.slot for r in after if r.shard == s) == list(range(sum(r.shard == s for r in after)))
 
 
 def test_stages_take_empty_tables_and_clashing_columns(spark, documents):
-    clashing = documents.filter("doc_id >= 0 AND doc_id < 40 OR doc_id IS NULL").select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    clashing = documents.filter("doc_id >= 0 AND doc_id < 40 OR doc_id IS NULL").select("*",
+        *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
     for docs in (clashing, clashing.limit(0), documents.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = materialize(stage(spark, docs, SF))
