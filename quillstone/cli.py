@@ -33,8 +33,10 @@ def report(spark: SparkSession, command: str, data: str) -> str:
         return "\n".join([*(f"{k}: {v}" for k, v in row.items()), f"violations: {QUERIES['invariant_violations'](spark, data).count()}"])
     if command == "evaluate":
         rows = evaluation.evaluation_rows(evaluation.asof_predictions(view("judgments"), view("screenings"), TASTE))
-        return reports.evaluation_report(evaluation.metrics(rows), evaluation.confusion_matrix(rows), [("judgments with a prediction", True)])
-    rows = audit.validity_problems(audit.roles(view("feedback"), view("messages"), CHECKPOINT).withColumn("screening_id", F.col("source_id")))
+        return reports.evaluation_report(evaluation.metrics(rows), evaluation.confusion_matrix(rows),
+            [("judgments with a prediction", True)])
+    rows = audit.validity_problems(audit.roles(view("feedback"), view("messages"), CHECKPOINT).withColumn("screening_id",
+        F.col("source_id")))
     held = rows.filter(F.col("role").isin("official", "candidate"))
     groups = audit.duplicate_groups(held)
     return reports.audit_report(audit.audit_summary(rows, groups), held, audit.group_report(groups, audit.identity_keys(held)), at_most=20)

@@ -36,7 +36,8 @@ def load_config(needs: tuple[str, ...] = (), env: Mapping[str, str] | None = Non
     """Settings QUILLSTONE_*; needs names those that must be there."""
     env = os.environ if env is None else env
     get = lambda k: (env.get(f"QUILLSTONE_{k.upper()}") or "").strip() or None
-    c = Config(data_dir=get("data_dir") or "data", log_root=get("log_root") or "log", allowed_senders=parse_senders(get("allowed_senders")), mail_client=get("mail_client"),
+    c = Config(data_dir=get("data_dir") or "data", log_root=get("log_root") or "log", allowed_senders=parse_senders(get("allowed_senders")),
+        mail_client=get("mail_client"),
                model_factory=get("model_factory"), recipient=get("recipient"), strict=parse_flag(get("strict"), True), needs=needs)
     missing = [k for k in needs if not getattr(c, k)]
     if missing:

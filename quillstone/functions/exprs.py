@@ -96,7 +96,8 @@ def review_ref(prefix: str, number: Column) -> Column:
 
 def parse_review_ref(prefix: str, text: Column) -> Column:
     """The number of a reference such as BR-12, in any case; null if it isn't one."""
-    return F.expr("try_cast(null as bigint)") if text is None else F.regexp_extract(strip(text), rf"(?i)^{prefix}-(\d+)$", 1).try_cast("bigint")
+    return F.expr("try_cast(null as bigint)") if text is None else F.regexp_extract(strip(text), rf"(?i)^{prefix}-(\d+)$",
+        1).try_cast("bigint")
 
 
 def first_of(items: Column, n: int) -> Column:
@@ -125,4 +126,5 @@ def safe_component(c: Column) -> Column:
 
 
 def artifact_path(source_name: Column, external_id: Column, content_hash: Column) -> Column:
-    return F.concat(safe_component(source_name), F.lit("/"), safe_component(external_id), F.lit("/"), safe_component(content_hash), F.lit(".html"))
+    return F.concat(safe_component(source_name), F.lit("/"), safe_component(external_id), F.lit("/"), safe_component(content_hash),
+        F.lit(".html"))

@@ -24,7 +24,8 @@ HOLDOUT_SIZE = 20
 def roles(feedback: DataFrame, messages: DataFrame, checkpoint: int, repaired: DataFrame | None = None) -> DataFrame:
     """Feedback after the checkpoint with role: official, superseded, candidate or other. repaired: feedback_id of recorded duplicate exclusions."""
     official = holdout_pool(feedback, messages, checkpoint).select("feedback_id", F.lit(True).alias("__official"))
-    rows = feedback.filter(F.col("feedback_id") > checkpoint).join(messages.select("message_id", "feedback_parse_status"), "message_id").join(official, "feedback_id", "left")
+    rows = feedback.filter(F.col("feedback_id") > checkpoint).join(messages.select("message_id", "feedback_parse_status"),
+        "message_id").join(official, "feedback_id", "left")
     if repaired is not None:
         rows = rows.join(repaired.select("feedback_id", F.lit(True).alias("__repaired")), "feedback_id", "left")
     else:
@@ -32,15 +33,18 @@ def roles(feedback: DataFrame, messages: DataFrame, checkpoint: int, repaired: D
     blind = F.col("feedback_origin") == "BLIND_REVIEW"
     if "assignment_id" in feedback.columns:
         blind = blind | F.col("assignment_id").isNotNull()
-    role = (F.when(F.col("__official"), "official").when(blind & is_excluded() & F.coalesce("__repaired", F.lit(False)), "superseded").when(blind, "candidate").otherwise("other"))
+    role = (F.when(F.col("__official"), "official").when(blind & is_excluded() & F.coalesce("__repaired", F.lit(False)),
+        "superseded").when(blind, "candidate").otherwise("other"))
     return rows.withColumn("role", role).drop("__official", "__repaired")
 
 
 def _identities(rows: DataFrame) -> DataFrame:
     """(feedback_id, keys): the identities of each row as an array of (level, rank, value). Columns that rows lack give none."""
     have = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
-    document = F.when((F.length(have("source_name")) > 0) & (F.length(have("external_id")) > 0), F.concat_ws(":", have("source_name"), have("external_id")))
-    values = {"A": F.concat(F.lit("assignment:"), have("assignment_id")), "D": document, "C": F.concat(F.lit("screening:"), have("screening_id")), "E": norm_ticker(have("ticker")), "F": norm_company(have("company"))}
+    document = F.when((F.length(have("source_name")) > 0) & (F.length(have("external_id")) > 0),
+        F.concat_ws(":", have("source_name"), have("external_id")))
+    values = {"A": F.concat(F.lit("assignment:"), have("assignment_id")), "D": document,
+        "C": F.concat(F.lit("screening:"), have("screening_id")), "E": norm_ticker(have("ticker")), "F": norm_company(have("company"))}
     keys = F.array(*[F.struct(F.lit(x).alias("level"), F.lit(i).alias("rank"), values[x].alias("value")) for i, x in enumerate(LEVELS)])
     return rows.select("feedback_id", F.filter(keys, lambda k: k["value"].isNotNull()).alias("keys"))
 
@@ -68,7 +72,8 @@ def group_report(groups: DataFrame, keys: DataFrame) -> DataFrame:
     sizes = groups.groupBy("component").agg(F.count("*").alias("n_members")).filter("n_members > 1")
     shared = keys.join(groups, "feedback_id").groupBy("component", "level", "rank", "value").agg(F.count("*").alias("c")).filter("c > 1")
     best = shared.groupBy("component").agg(F.min(F.struct("rank", "value", "level")).alias("b"))
-    return sizes.join(best, "component", "left").select("component", "n_members", F.coalesce("b.level", F.lit("-")).alias("level"), F.coalesce("b.value", F.lit("linked transitively")).alias("value"))
+    return sizes.join(best, "component", "left").select("component", "n_members", F.coalesce("b.level", F.lit("-")).alias("level"),
+        F.coalesce("b.value", F.lit("linked transitively")).alias("value"))
 
 
 def training_overlap(holdout: DataFrame, training: DataFrame) -> DataFrame:
@@ -76,14 +81,17 @@ def training_overlap(holdout: DataFrame, training: DataFrame) -> DataFrame:
     of = lambda rows: identity_keys(rows).filter(F.col("level").isin(*TRAINING_LEVELS))
     first = of(training).groupBy("level", "value").agg(F.min("feedback_id").alias("training_feedback_id"))
     hits = of(holdout).join(first, ["level", "value"])
-    return hits.groupBy("feedback_id").agg(F.min(F.struct("rank", "level", "training_feedback_id")).alias("h")).select("feedback_id", "h.level", "h.training_feedback_id")
+    return hits.groupBy("feedback_id").agg(F.min(F.struct("rank", "level", "training_feedback_id")).alias("h")).select("feedback_id",
+        "h.level", "h.training_feedback_id")
 
 
 def usable_judgments(feedback: DataFrame, messages: DataFrame, assignments: DataFrame) -> DataFrame:
     """How many counted, parsed judgments each assignment has; 0 where none. feedback: with assignment_id."""
-    parsed = feedback.filter(~is_excluded()).join(messages.filter("feedback_parse_status = 'PARSED'").select("message_id"), "message_id", "left_semi")
+    parsed = feedback.filter(~is_excluded()).join(messages.filter("feedback_parse_status = 'PARSED'").select("message_id"), "message_id",
+        "left_semi")
     n = parsed.groupBy("assignment_id").agg(F.count("*").alias("n"))
-    return assignments.select("assignment_id").join(n, "assignment_id", "left").select("assignment_id", F.coalesce("n", F.lit(0)).alias("usable_judgments"))
+    return assignments.select("assignment_id").join(n, "assignment_id", "left").select("assignment_id",
+        F.coalesce("n", F.lit(0)).alias("usable_judgments"))
 
 
 def prior_exposure(judgments: DataFrame, exposures: DataFrame, order: str) -> DataFrame:
@@ -91,7 +99,8 @@ def prior_exposure(judgments: DataFrame, exposures: DataFrame, order: str) -> Da
 
     exposures: feedback_id, order column, and source_id or screened_source_id. The two ways are two equi-joins, united.
     """
-    theirs = lambda c: exposures.select(F.col("feedback_id").alias("exposed_feedback_id"), F.col(order).alias("__at"), F.col(c).alias("source_id")).filter("source_id IS NOT NULL")
+    theirs = lambda c: exposures.select(F.col("feedback_id").alias("exposed_feedback_id"), F.col(order).alias("__at"),
+        F.col(c).alias("source_id")).filter("source_id IS NOT NULL")
     ways = [c for c in ("source_id", "screened_source_id") if c in exposures.columns]
     every = theirs(ways[0])
     for c in ways[1:]:
@@ -108,7 +117,8 @@ def exposure_counts(judgments: DataFrame, exposures: DataFrame, order: str) -> D
         ways = F.filter(F.array_distinct(F.array("source_id", "screened_source_id")), lambda x: x.isNotNull())
         exposures = exposures.withColumn("source_id", F.explode(ways))
     mine = judgments.select("source_id", "feedback_id", F.col(order).alias("__at"), F.lit(0).alias("__is"))
-    theirs = exposures.select("source_id", F.lit(None).cast("long").alias("feedback_id"), F.col(order).alias("__at"), F.lit(1).alias("__is"))
+    theirs = exposures.select("source_id", F.lit(None).cast("long").alias("feedback_id"), F.col(order).alias("__at"),
+        F.lit(1).alias("__is"))
     running = Window.partitionBy("source_id").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     at_now = Window.partitionBy("source_id", "__at")
     both = mine.unionByName(theirs).withColumn("n_exposures", F.sum("__is").over(running) - F.sum("__is").over(at_now))
@@ -123,12 +133,18 @@ def validity_problems(rows: DataFrame) -> DataFrame:
     origin, assignment, judged = F.col("feedback_origin"), have("assignment_id", "long"), have("judged_at", "string")
     source, screening = have("source_id", "long"), have("screening_id", "long")
     checks = [
-        ("OFFICIAL_NOT_BLIND", (F.col("role") == "official") & (origin != "BLIND_REVIEW")), ("NO_ASSIGNMENT", (origin == "BLIND_REVIEW") & assignment.isNull()),
-        ("BLIND_WITH_SCREENING", (origin == "BLIND_REVIEW") & have("explicit_screening_id", "long").isNotNull()), ("NOT_HOLDOUT_ELIGIBLE", ~F.col("holdout_eligible").cast("boolean")),
-        ("EXCLUDED", is_excluded()), ("NOT_PARSED", F.col("feedback_parse_status") != "PARSED"), ("USABLE_JUDGMENTS", assignment.isNotNull() & (have("usable_judgments", "long") != 1)),
-        ("NO_SOURCE", source.isNull()), ("NO_SCREENING", source.isNotNull() & screening.isNull()), ("SCREENED_LATER", source.isNotNull() & (have("screened_at", "string") > judged)),
-        ("SHOWN_BEFORE", F.coalesce(have("shown_at", "string") < judged, have("shown_seq", "long") < have("judged_seq", "long"))), ("PRIOR_EXPOSURE", have("n_exposures", "long") > 0), ("SMOKE_TICKER", ticker.isin(*SMOKE_TICKERS)),
-        ("SMOKE_COMPANY", company.isin(*[t.lower() for t in SMOKE_TICKERS])), ("TRAINING_OVERLAP", have("training_level", "string").isNotNull()),
+        ("OFFICIAL_NOT_BLIND", (F.col("role") == "official") & (origin != "BLIND_REVIEW")),
+        ("NO_ASSIGNMENT", (origin == "BLIND_REVIEW") & assignment.isNull()),
+        ("BLIND_WITH_SCREENING", (origin == "BLIND_REVIEW") & have("explicit_screening_id", "long").isNotNull()),
+        ("NOT_HOLDOUT_ELIGIBLE", ~F.col("holdout_eligible").cast("boolean")),
+        ("EXCLUDED", is_excluded()), ("NOT_PARSED", F.col("feedback_parse_status") != "PARSED"),
+        ("USABLE_JUDGMENTS", assignment.isNotNull() & (have("usable_judgments", "long") != 1)),
+        ("NO_SOURCE", source.isNull()), ("NO_SCREENING", source.isNotNull() & screening.isNull()),
+        ("SCREENED_LATER", source.isNotNull() & (have("screened_at", "string") > judged)),
+        ("SHOWN_BEFORE", F.coalesce(have("shown_at", "string") < judged, have("shown_seq", "long") < have("judged_seq", "long"))),
+        ("PRIOR_EXPOSURE", have("n_exposures", "long") > 0), ("SMOKE_TICKER", ticker.isin(*SMOKE_TICKERS)),
+        ("SMOKE_COMPANY", company.isin(*[t.lower() for t in SMOKE_TICKERS])),
+        ("TRAINING_OVERLAP", have("training_level", "string").isNotNull()),
     ]
     return rows.withColumn("problems", F.filter(F.array(*[F.when(c, name) for name, c in checks]), lambda x: x.isNotNull()))
 
@@ -153,9 +169,12 @@ def audit_summary(rows: DataFrame, groups: DataFrame) -> DataFrame:
     sized = groups.withColumn("n", F.count("*").over(Window.partitionBy("component")))
     r = rows.join(sized, "feedback_id", "left")
     official, ok = F.col("role") == "official", F.size("problems") == 0
-    out = r.agg(F.count_if(official).alias("n_official"), F.count_if(F.col("role") == "candidate").alias("n_candidates"), F.count_if(F.col("role") == "superseded").alias("n_superseded"),
-                F.count_if(F.col("role") == "other").alias("n_other"), F.count_distinct(F.when(official, F.col("component"))).alias("n_unique"), F.count_if(official & ok & (F.col("n") == 1)).alias("n_valid_unique"),
-                F.count_if(official & ~ok).alias("n_problem_rows"), F.count_if(F.col("role").isin("official", "candidate") & (~ok | (F.col("n") > 1))).alias("n_questionable"))
+    out = r.agg(F.count_if(official).alias("n_official"), F.count_if(F.col("role") == "candidate").alias("n_candidates"),
+        F.count_if(F.col("role") == "superseded").alias("n_superseded"),
+                F.count_if(F.col("role") == "other").alias("n_other"), F.count_distinct(F.when(official,
+                F.col("component"))).alias("n_unique"), F.count_if(official & ok & (F.col("n") == 1)).alias("n_valid_unique"),
+                F.count_if(official & ~ok).alias("n_problem_rows"), F.count_if(F.col("role").isin("official",
+                "candidate") & (~ok | (F.col("n") > 1))).alias("n_questionable"))
     full = F.lit(HOLDOUT_SIZE)
     return out.select("*", F.greatest(full - F.col("n_official"), F.lit(0)).alias("replacements_needed"),
                       ((F.col("n_official") == full) & (F.col("n_valid_unique") == full) & (F.col("n_problem_rows") == 0) & (F.col("n_candidates") == 0)).alias("clean"))

@@ -19,13 +19,15 @@ def with_identity(df: DataFrame) -> DataFrame:
 
 def identities(rows: DataFrame) -> DataFrame:
     """(kind, value): the normalised tickers and companies of rows, each once."""
-    both = F.array(F.struct(F.lit("ticker").alias("kind"), F.col("norm_ticker").alias("value")), F.struct(F.lit("company").alias("kind"), F.col("norm_company").alias("value")))
+    both = F.array(F.struct(F.lit("ticker").alias("kind"), F.col("norm_ticker").alias("value")),
+        F.struct(F.lit("company").alias("kind"), F.col("norm_company").alias("value")))
     return with_identity(rows).select(F.explode(both).alias("i")).select("i.kind", "i.value").filter("value IS NOT NULL").distinct()
 
 
 def with_hits(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Adds hit_ticker and hit_company: whether the candidate's identity is among the known ones."""
-    of = lambda kind: known.filter(F.col("kind") == kind).select(F.col("value").alias(f"norm_{kind}"), F.lit(True).alias(f"__{kind}"))
+    of = lambda kind: known.filter(F.col("kind") == kind).select(F.col("value").alias(f"norm_{kind}"),
+        F.lit(True).alias(f"__{kind}"))
     out = with_identity(candidates).join(of("ticker"), "norm_ticker", "left").join(of("company"), "norm_company", "left")
     return out.withColumns({f"hit_{k}": F.coalesce(f"__{k}", F.lit(False)) for k in ("ticker", "company")}).drop("__ticker", "__company")
 
@@ -41,8 +43,10 @@ def digest_pool(sources: DataFrame, observations: DataFrame, screenings: DataFra
     The newest is taken over all predictions first: a newer PASS hides an older WATCH.
     """
     newest = latest_screening(screenings.filter(F.col("taste_version") == taste_version)).filter("overall_prediction <> 'PASS'")
-    live = current_sources(sources, observations).filter("collection_status = 'COLLECTED'").join(shown.select("source_id").distinct(), "source_id", "left_anti")
-    return live.select("source_id", "external_id", "ticker", "company").join(newest.select("source_id", "screening_id", "created_at", "overall_prediction"), "source_id")
+    live = current_sources(sources, observations).filter("collection_status = 'COLLECTED'").join(shown.select("source_id").distinct(),
+        "source_id", "left_anti")
+    return live.select("source_id", "external_id", "ticker", "company").join(newest.select("source_id", "screening_id", "created_at",
+        "overall_prediction"), "source_id")
 
 
 def judged_pool(pool: DataFrame, feedback: DataFrame, messages: DataFrame) -> DataFrame:
@@ -56,16 +60,20 @@ def select_digest(pool: DataFrame, size: int = DIGEST_SIZE) -> DataFrame:
 
     gap = F.col("gap") if "gap" in pool.columns else F.lit(False)
     rank = F.when(F.col("overall_prediction") == "INVESTIGATE_NOW", 0).otherwise(1)
-    best = pool.filter(~F.col("judged") & ~gap & F.col("overall_prediction").isin(*SHOWN_PREDICTIONS)).withColumn("__rank", rank).orderBy("__rank", "created_at", "screening_id").limit(size)
-    return best.withColumn("position", F.row_number().over(Window.orderBy("__rank", "created_at", "screening_id"))).drop("__rank")  # at most size rows
+    best = pool.filter(~F.col("judged") & ~gap & F.col("overall_prediction").isin(*SHOWN_PREDICTIONS)).withColumn("__rank",
+        rank).orderBy("__rank", "created_at", "screening_id").limit(size)
+    return best.withColumn("position", F.row_number().over(Window.orderBy("__rank", "created_at",
+        "screening_id"))).drop("__rank")  # at most size rows
 
 
 def suppression_counters(pool: DataFrame) -> DataFrame:
     gap = F.col("gap") if "gap" in pool.columns else F.lit(False)
-    return pool.agg(F.count("*").alias("n_candidates"), F.count_if("judged").alias("n_already_judged"), F.count_if(~F.col("judged") & gap).alias("n_narrative_gaps"))
+    return pool.agg(F.count("*").alias("n_candidates"), F.count_if("judged").alias("n_already_judged"),
+        F.count_if(~F.col("judged") & gap).alias("n_narrative_gaps"))
 
 
-def blind_review_pool(sources: DataFrame, observations: DataFrame, shown: DataFrame, assignments: DataFrame, screenings: DataFrame, feedback: DataFrame) -> DataFrame:
+def blind_review_pool(sources: DataFrame, observations: DataFrame, shown: DataFrame, assignments: DataFrame, screenings: DataFrame,
+        feedback: DataFrame) -> DataFrame:
     """Ready sources never shown, never assigned, and with no screening that a counted screen review speaks of."""
     reviewed = feedback.filter((F.col("feedback_origin") == "SCREEN_REVIEW") & ~is_excluded()).select("source_id")
     spoken = screenings.select("source_id").join(reviewed, "source_id", "left_semi")

@@ -37,28 +37,33 @@ THEMES = (
 
 def asof_predictions(judgments: DataFrame, screenings: DataFrame, taste_version: int) -> DataFrame:
     """Each judgment with the screening it is held against (null columns if there was none)."""
-    s = screenings.filter(F.col("taste_version") == taste_version).select("source_id", "screening_id", "created_at", "overall_prediction", "screening_prompt_version")
+    s = screenings.filter(F.col("taste_version") == taste_version).select("source_id", "screening_id", "created_at", "overall_prediction",
+        "screening_prompt_version")
     return asof_join(judgments, s, ["source_id"], "judged_at", "created_at", ["screening_id"], prefix="")
 
 
 def kind(actual: Column, predicted: Column) -> Column:
     """The outcome; the first that fits."""
-    return (F.when(predicted == INSUFFICIENT, "unscored").when(predicted == actual, "correct").when(actual.isin(*POSITIVE) & (predicted == "PASS"), "false_negative")
+    return (F.when(predicted == INSUFFICIENT, "unscored").when(predicted == actual,
+        "correct").when(actual.isin(*POSITIVE) & (predicted == "PASS"), "false_negative")
             .when((actual == "PASS") & predicted.isin(*POSITIVE), "false_positive").otherwise("severity_mismatch"))
 
 
 def error_bucket(verdict: Column, actual: Column, predicted: Column) -> Column:
     """1 (costliest) to 8 (correct)."""
     missed = F.when(verdict == "STRONG_LIKE", 1).when(verdict == "LIKE", 2).when(verdict == "MAYBE", 3).otherwise(7)
-    return (F.when(predicted == actual, 8).when(predicted == "PASS", missed).when(verdict.isin("STRONG_LIKE", "LIKE") & (predicted == "WATCH"), 4)
-            .when(verdict.isin("PASS", "STRONG_PASS") & (predicted == "INVESTIGATE_NOW"), 5).when(verdict.isin("PASS", "STRONG_PASS") & (predicted == "WATCH"), 6).otherwise(7))
+    return (F.when(predicted == actual, 8).when(predicted == "PASS",
+        missed).when(verdict.isin("STRONG_LIKE", "LIKE") & (predicted == "WATCH"), 4)
+            .when(verdict.isin("PASS", "STRONG_PASS") & (predicted == "INVESTIGATE_NOW"),
+            5).when(verdict.isin("PASS", "STRONG_PASS") & (predicted == "WATCH"), 6).otherwise(7))
 
 
 def evaluation_rows(predictions: DataFrame) -> DataFrame:
     """Judgments with a known label and a prediction: adds actual, kind, bucket and sign_matches."""
     rows = predictions.withColumn("actual", verdict_class(F.col("verdict"))).filter("actual IS NOT NULL AND overall_prediction IS NOT NULL")
     p = F.col("overall_prediction")
-    return rows.withColumns({"kind": kind(F.col("actual"), p), "bucket": error_bucket(F.col("verdict"), F.col("actual"), p), "sign_matches": categorical_match(F.col("verdict"), p)})
+    return rows.withColumns({"kind": kind(F.col("actual"), p), "bucket": error_bucket(F.col("verdict"), F.col("actual"), p),
+        "sign_matches": categorical_match(F.col("verdict"), p)})
 
 
 def confusion_matrix(rows: DataFrame) -> DataFrame:
@@ -75,21 +80,29 @@ def metrics(rows: DataFrame) -> DataFrame:
     a, p = F.col("actual"), F.col("overall_prediction")
     yes, said, scored = a.isin(*POSITIVE), p.isin(*POSITIVE), p != INSUFFICIENT
     n = rows.agg(
-        F.count("*").alias("n"), F.count_if(p == a).alias("exact_correct"), F.count_if(scored).alias("n_scored"), F.count_if(scored & yes & said).alias("tp"),
-        F.count_if(scored & ~yes & said).alias("fp"), F.count_if(scored & ~yes & ~said).alias("tn"), F.count_if(scored & yes & ~said).alias("fn"),
-        F.count_if(a == "INVESTIGATE_NOW").alias("hc_actual"), F.count_if((a == "INVESTIGATE_NOW") & (p == "INVESTIGATE_NOW")).alias("hc_hit"),
-        F.count_if(p == "PASS").alias("n_pass_predicted"), F.count_if(a == "PASS").alias("n_pass_actual"), F.count_if(yes).alias("n_positive_actual"))
+        F.count("*").alias("n"), F.count_if(p == a).alias("exact_correct"), F.count_if(scored).alias("n_scored"),
+        F.count_if(scored & yes & said).alias("tp"),
+        F.count_if(scored & ~yes & said).alias("fp"), F.count_if(scored & ~yes & ~said).alias("tn"),
+        F.count_if(scored & yes & ~said).alias("fn"),
+        F.count_if(a == "INVESTIGATE_NOW").alias("hc_actual"),
+        F.count_if((a == "INVESTIGATE_NOW") & (p == "INVESTIGATE_NOW")).alias("hc_hit"),
+        F.count_if(p == "PASS").alias("n_pass_predicted"), F.count_if(a == "PASS").alias("n_pass_actual"),
+        F.count_if(yes).alias("n_positive_actual"))
     c = F.col
-    n = n.select("*", ratio(c("tp"), c("tp") + c("fp")).alias("precision"), ratio(c("tp"), c("tp") + c("fn")).alias("recall"), ratio(c("tn"), c("tn") + c("fp")).alias("specificity"),
+    n = n.select("*", ratio(c("tp"), c("tp") + c("fp")).alias("precision"), ratio(c("tp"), c("tp") + c("fn")).alias("recall"),
+        ratio(c("tn"), c("tn") + c("fp")).alias("specificity"),
                  ratio(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1"), ratio(c("hc_hit"), c("hc_actual")).alias("hc_recall"),
-                 ratio(c("n_pass_predicted"), c("n")).alias("pass_predicted_share"), ratio(c("n_pass_actual"), c("n")).alias("pass_actual_share"), ratio(c("n_positive_actual"), c("n")).alias("positive_actual_share"))
+                 ratio(c("n_pass_predicted"), c("n")).alias("pass_predicted_share"),
+                 ratio(c("n_pass_actual"), c("n")).alias("pass_actual_share"),
+                 ratio(c("n_positive_actual"), c("n")).alias("positive_actual_share"))
     return n.withColumn("balanced_accuracy", (c("recall") + c("specificity")) / 2)
 
 
 def balance_warnings(m: DataFrame) -> DataFrame:
     """(warning) rows for a one-row metrics frame."""
     share = F.col("positive_actual_share")
-    found = F.array(F.when(F.col("pass_predicted_share") >= DEGENERATE, "ALMOST_ALL_PASS"), F.when(share < LOW, "FEW_POSITIVES"), F.when(share > HIGH, "MANY_POSITIVES"))
+    found = F.array(F.when(F.col("pass_predicted_share") >= DEGENERATE, "ALMOST_ALL_PASS"), F.when(share < LOW, "FEW_POSITIVES"),
+        F.when(share > HIGH, "MANY_POSITIVES"))
     return m.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("warning"))
 
 
@@ -118,11 +131,14 @@ def hurdle_hits(texts: DataFrame, row_id: str, position: str, text: str) -> Data
     """Rows with a hurdle: its categories, the excerpt of the first match by position then category, and whether any text frames it as permanent."""
     t = F.col(text)
     at = lambda p: F.regexp_instr(t, F.lit(p))
-    found = F.filter(F.array(*[F.when(at(p) > 0, F.struct(F.lit(i).alias("i"), F.lit(name).alias("category"), excerpt(t, at(p), F.length(F.regexp_substr(t, F.lit(p)))).alias("excerpt"))) for i, (name, p) in enumerate(HURDLES)]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(at(p) > 0, F.struct(F.lit(i).alias("i"), F.lit(name).alias("category"),
+        excerpt(t, at(p), F.length(F.regexp_substr(t, F.lit(p)))).alias("excerpt"))) for i, (name, p) in enumerate(HURDLES)]),
+        lambda x: x.isNotNull())
     rows = texts.select(row_id, position, found.alias("found"), F.rlike(t, F.lit(PERMANENT_FRAMING)).alias("framed"))
     framed = rows.groupBy(row_id).agg(F.bool_or("framed").alias("permanent_framing"))
     hits = rows.select(row_id, position, F.explode("found").alias("x")).groupBy(row_id).agg(
-        F.array_join(F.array_sort(F.collect_set("x.category")), ", ").alias("categories"), F.min_by("x.excerpt", F.struct(position, "x.i")).alias("excerpt"))
+        F.array_join(F.array_sort(F.collect_set("x.category")), ", ").alias("categories"),
+        F.min_by("x.excerpt", F.struct(position, "x.i")).alias("excerpt"))
     return hits.join(framed, row_id)
 
 

@@ -74,11 +74,13 @@ def latest_feedback(feedback: DataFrame, messages: DataFrame, sources: DataFrame
     top = feedback.join(messages.select("message_id"), "message_id", "left_semi").orderBy(F.desc("feedback_id")).limit(n)
     m = messages.select("message_id", "thread_id", "received_at", "feedback_parse_status")
     s = sources.select("source_id", F.col("ticker").alias("source_ticker"), F.col("collection_status"))
-    own = ["feedback_id", "message_id", "thread_id", "received_at", "feedback_parse_status", "verdict", "ticker", "source_id", "source_ticker", "collection_status"]
+    own = ["feedback_id", "message_id", "thread_id", "received_at", "feedback_parse_status", "verdict", "ticker", "source_id",
+        "source_ticker", "collection_status"]
     out = top.join(m, "message_id").join(s, "source_id", "left")
     if screenings is None:
         return out.select(*own)
-    reviewed = screenings.select("screening_id", F.col("taste_version").alias("reviewed_taste_version"), F.col("overall_prediction").alias("reviewed_prediction"))
+    reviewed = screenings.select("screening_id", F.col("taste_version").alias("reviewed_taste_version"),
+        F.col("overall_prediction").alias("reviewed_prediction"))
     return out.join(reviewed, "screening_id", "left").select(*own, "reviewed_taste_version", "reviewed_prediction")
 
 
@@ -107,14 +109,18 @@ def requeue_decision(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     """message_id, may_requeue, reason and drops_events: the state machine behind putting messages back in the queue."""
     n = feedback.groupBy("message_id").agg(F.count("*").alias("n_events"), F.count_if(is_excluded()).alias("n_excluded"))
     s, e = F.col("feedback_parse_status"), F.coalesce("n_events", F.lit(0))
-    reason = (F.when(s.isin(*PENDING), "ALREADY_PENDING").when(s == "PARSED", "ALREADY_PARSED").when(s.startswith("SKIPPED"), "SKIPPED_ON_PURPOSE")
-              .when(s == "NO_FEEDBACK", "HAS_NO_FEEDBACK").when((s == "ERROR") & (e > 0), "ERROR_WITH_EVENTS").when(~s.isin(*REQUEUEABLE), "UNKNOWN_STATUS"))
-    return messages.join(n, "message_id", "left").select("message_id", s, reason.isNull().alias("may_requeue"), reason.alias("reason"), ((s == "NEEDS_REVIEW") & (e > 0)).alias("drops_events"))
+    reason = (F.when(s.isin(*PENDING), "ALREADY_PENDING").when(s == "PARSED", "ALREADY_PARSED").when(s.startswith("SKIPPED"),
+        "SKIPPED_ON_PURPOSE")
+              .when(s == "NO_FEEDBACK", "HAS_NO_FEEDBACK").when((s == "ERROR") & (e > 0), "ERROR_WITH_EVENTS").when(~s.isin(*REQUEUEABLE),
+              "UNKNOWN_STATUS"))
+    return messages.join(n, "message_id", "left").select("message_id", s, reason.isNull().alias("may_requeue"), reason.alias("reason"),
+        ((s == "NEEDS_REVIEW") & (e > 0)).alias("drops_events"))
 
 
 def approvable(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     """Messages in review that have at least one event."""
-    return messages.filter("feedback_parse_status = 'NEEDS_REVIEW'").join(feedback.select("message_id").distinct(), "message_id", "left_semi")
+    return messages.filter("feedback_parse_status = 'NEEDS_REVIEW'").join(feedback.select("message_id").distinct(), "message_id",
+        "left_semi")
 
 
 def route_messages(messages: DataFrame, events: DataFrame, deliveries: DataFrame, allowed: list[str]) -> DataFrame:
@@ -130,6 +136,9 @@ def route_messages(messages: DataFrame, events: DataFrame, deliveries: DataFrame
     sender = exprs.sender_address(F.col("sender"))
     route = (F.when(F.col("__has"), "RESYNC").when(~F.coalesce(sender.isin(*[a.lower() for a in allowed]), F.lit(False)), "SKIPPED_SENDER")
              .when(F.coalesce(F.col("sender_authenticated"), F.lit("")) != "AUTHENTICATED", "SKIPPED_UNAUTHENTICATED")
-             .when(text.is_screen_review_subject(F.col("subject")), "SCREEN_REVIEW").when(text.is_blind_review_subject(F.col("subject")), "BLIND_REVIEW")
-             .when(F.col("__delivery"), "DIGEST_REPLY").when(text.is_digest_reply_subject(F.col("subject")), "NEEDS_REVIEW").otherwise("MODEL"))
-    return messages.join(known, "message_id", "left").join(threads, "thread_id", "left").withColumn("route", route).select(*messages.columns, "route")
+             .when(text.is_screen_review_subject(F.col("subject")), "SCREEN_REVIEW").when(text.is_blind_review_subject(F.col("subject")),
+             "BLIND_REVIEW")
+             .when(F.col("__delivery"), "DIGEST_REPLY").when(text.is_digest_reply_subject(F.col("subject")),
+             "NEEDS_REVIEW").otherwise("MODEL"))
+    return messages.join(known, "message_id", "left").join(threads, "thread_id", "left").withColumn("route",
+        route).select(*messages.columns, "route")

@@ -32,11 +32,13 @@ def isolated(messages: DataFrame, pool: DataFrame, ideas: DataFrame) -> DataFram
     new record, so a run that finds nothing new writes nothing.
     """
     known = ideas.select("message_id", F.col("source_status").alias("__before"))
-    todo = messages.join(first_comments(pool), "message_id").join(known, "message_id", "left").filter(F.col("__before").isNull() | (F.col("__before") == UNSCORABLE))
+    todo = messages.join(first_comments(pool), "message_id").join(known, "message_id",
+        "left").filter(F.col("__before").isNull() | (F.col("__before") == UNSCORABLE))
     read = isolate_source(todo.select("message_id", "body_raw", "comment", "__before"), "body_raw", "comment", to="__r")
     ok = F.col("__r.ok")
     return read.filter(ok | F.col("__before").isNull()).select(
-        "message_id", F.when(ok, ISOLATED).otherwise(UNSCORABLE).alias("source_status"), F.col("__r.kind").alias("source_type"), F.col("__r.text").alias("source_text"),
+        "message_id", F.when(ok, ISOLATED).otherwise(UNSCORABLE).alias("source_status"), F.col("__r.kind").alias("source_type"),
+        F.col("__r.text").alias("source_text"),
         F.sha2("__r.text", 256).alias("source_hash"), F.col("__r.reason").alias("unscorable_reason"))
 
 
@@ -47,7 +49,8 @@ def pending_extraction(ideas: DataFrame) -> DataFrame:
 def without_prediction(ideas: DataFrame, predictions: DataFrame, taste_version: int, rules_sha256: str) -> DataFrame:
     """Extracted ideas without a prediction of exactly this version and these rules."""
     done = predictions.filter((F.col("taste_version") == taste_version) & (F.col("screen_rules_sha256") == rules_sha256)).select("idea_id").distinct()
-    return ideas.filter((F.col("source_status") == ISOLATED) & (F.col("extraction_status") == "EXTRACTED")).join(done, "idea_id", "left_anti")
+    return ideas.filter((F.col("source_status") == ISOLATED) & (F.col("extraction_status") == "EXTRACTED")).join(done, "idea_id",
+        "left_anti")
 
 
 def new_predictions(made: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -60,9 +63,11 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
     return latest_per_key(predictions, ["idea_id"], "prediction_id")
 
 
-def sweep_counters(ideas: DataFrame, predictions: DataFrame, feedback: DataFrame, messages: DataFrame, checkpoint: int, taste_version: int) -> DataFrame:
+def sweep_counters(ideas: DataFrame, predictions: DataFrame, feedback: DataFrame, messages: DataFrame, checkpoint: int,
+        taste_version: int) -> DataFrame:
     """One row of counts, none of which tells a single prediction: hold-out judgments, isolated and unscorable sources, predictions of the version."""
-    n = ideas.agg(F.count_if(F.col("source_status") == ISOLATED).alias("n_isolated"), F.count_if(F.col("source_status") == UNSCORABLE).alias("n_unscorable"))
+    n = ideas.agg(F.count_if(F.col("source_status") == ISOLATED).alias("n_isolated"),
+        F.count_if(F.col("source_status") == UNSCORABLE).alias("n_unscorable"))
     p = predictions.agg(F.count_if(F.col("taste_version") == taste_version).alias("n_predictions"))
     h = holdout_pool(feedback, messages, checkpoint).agg(F.count("*").alias("n_holdout"))
     return h.join(F.broadcast(n)).join(F.broadcast(p))  # one row each
@@ -73,7 +78,8 @@ def revealed(ideas: DataFrame, predictions: DataFrame, feedback: DataFrame, mess
     judged = eligible_feedback(feedback, messages)
     comment = F.col("user_comment") if "user_comment" in feedback.columns else F.lit(None).cast("string")
     judged = judged.select("message_id", "feedback_id", "verdict", comment.alias("user_comment"))
-    return latest_predictions(predictions).join(ideas.select("idea_id", "message_id", "ticker", "company"), "idea_id").join(judged, "message_id")
+    return latest_predictions(predictions).join(ideas.select("idea_id", "message_id", "ticker", "company"), "idea_id").join(judged,
+        "message_id")
 
 
 def extraction(ideas: DataFrame, factory: Callable) -> DataFrame:
@@ -85,5 +91,7 @@ def extraction(ideas: DataFrame, factory: Callable) -> DataFrame:
 def screening(ideas: DataFrame, predictions: DataFrame, prompt: str, factory: Callable, taste_version: int, rules_sha256: str) -> DataFrame:
     """Rows for new_predictions() of the ideas that lack one: the anti-join comes before the model."""
     todo = without_prediction(ideas, predictions, taste_version, rules_sha256)
-    answered = apply_model(todo, prompt, factory, PREDICTION).filter("status = 'OK'").withColumn("__p", checked_json(F.col("answer"), PREDICTION))
-    return answered.select("idea_id", F.lit(taste_version).alias("taste_version"), F.lit(rules_sha256).alias("screen_rules_sha256"), "source_hash", *[F.col(f"__p.{c}").alias(c) for c in PREDICTION])
+    answered = apply_model(todo, prompt, factory, PREDICTION).filter("status = 'OK'").withColumn("__p",
+        checked_json(F.col("answer"), PREDICTION))
+    return answered.select("idea_id", F.lit(taste_version).alias("taste_version"), F.lit(rules_sha256).alias("screen_rules_sha256"),
+        "source_hash", *[F.col(f"__p.{c}").alias(c) for c in PREDICTION])

@@ -18,7 +18,8 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 HOT_ROWS, SLICE_ROWS = 2_000_000, 500_000
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, right_order: list[str], prefix: str = "r_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, right_order: list[str],
+        prefix: str = "r_") -> DataFrame:
     """Each left row with the last right row of its key at or before its time (null columns where there is none).
 
     Both sides are merged into one sorted stream for each key, in which a running last() carries the right row, so the
@@ -28,8 +29,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     """
     carried = [c for c in right.columns if c not in on]
     packed = F.struct(*carried)
-    rows = right.select(*on, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), packed.alias("__right"), F.struct(*right_order).alias("__order"))
-    own = left.select(*on, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c not in on]).alias("__left"))
+    rows = right.select(*on, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), packed.alias("__right"),
+        F.struct(*right_order).alias("__order"))
+    own = left.select(*on, F.col(left_time).alias("__t"), F.lit(1).alias("__side"),
+        F.struct(*[c for c in left.columns if c not in on]).alias("__left"))
     stream = own.unionByName(rows, allowMissingColumns=True)
     most = stream.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
     result = lambda df, hit: df.select(*on, "__left.*", *[F.col(f"{hit}.{c}").alias(f"{prefix}{c}") for c in carried])
@@ -47,7 +50,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     slices = stream.select(*on, "__slice").distinct().join(ends, [*on, "__slice"], "left")
     earlier = Window.partitionBy(*on).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.select(*on, "__slice", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
-    found = stream.withColumn("__here", F.last("__right", ignorenulls=True).over(running)).filter("__side = 1").join(before, [*on, "__slice"])
+    found = stream.withColumn("__here", F.last("__right", ignorenulls=True).over(running)).filter("__side = 1").join(before,
+        [*on, "__slice"])
     return result(found.withColumn("__hit", F.coalesce("__here", "__before")), "__hit")
 
 
@@ -81,7 +85,8 @@ def components_of(edges: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, node: str, pairs: DataFrame) -> DataFrame:
     """(node, component) for every node: the least one that pairs (a, b) connect it with; lone nodes are their own component."""
     stars = components_of(pairs).select(F.col("node").alias("__n"), F.col("component").alias("__c"))
-    return nodes.select(node).distinct().join(stars, F.col(node) == F.col("__n"), "left").select(node, F.coalesce("__c", node).alias("component"))
+    return nodes.select(node).distinct().join(stars, F.col(node) == F.col("__n"), "left").select(node,
+        F.coalesce("__c", node).alias("component"))
 
 
 def link_by_keys(keys: DataFrame, node: str) -> DataFrame:

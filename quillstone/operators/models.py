@@ -22,13 +22,17 @@ _TEXTS = ("company", "ticker", "business_summary", "core_thesis", "why_mispriced
 # What models are asked for. A field is a type, a tuple of allowed texts, list (of texts), or a pair (one of those, default).
 EXTRACTED_IDEA = dict.fromkeys(_TEXTS, str)
 PREDICTION = {
-    "overall_prediction": ("INVESTIGATE_NOW", "WATCH", "PASS", "INSUFFICIENT_INFORMATION"), "mispricing": _RATING, "variant_perception": _RATING,
-    "upside": ("Potentially sufficient", "Probably insufficient", "Unknown"), "business_quality": _RATING, "downside": ("Attractive", "Acceptable", "Problematic", "Unknown"),
+    "overall_prediction": ("INVESTIGATE_NOW", "WATCH", "PASS", "INSUFFICIENT_INFORMATION"), "mispricing": _RATING,
+    "variant_perception": _RATING,
+    "upside": ("Potentially sufficient", "Probably insufficient", "Unknown"), "business_quality": _RATING,
+    "downside": ("Attractive", "Acceptable", "Problematic", "Unknown"),
     "key_reasons": [list, []], "key_concerns": [list, []], "critical_questions": [list, []], "confidence": ("HIGH", "MEDIUM", "LOW"),
 }
 FEEDBACK_EVENT = {
-    "event_type": ("FEEDBACK", "NEW_IDEA", "MISSED_IDEA", "UNCLEAR"), "verdict": [("STRONG_LIKE", "LIKE", "MAYBE", "PASS", "STRONG_PASS"), None], "ticker": [str, None], "company": [str, None],
-    "novelty": [("NEW", "KNOWN", "UNKNOWN"), None], "user_comment": [str, ""], "positive_reasons": [list, []], "concerns": [list, []], "not_a_concern": [list, []], "confidence": float,
+    "event_type": ("FEEDBACK", "NEW_IDEA", "MISSED_IDEA", "UNCLEAR"),
+    "verdict": [("STRONG_LIKE", "LIKE", "MAYBE", "PASS", "STRONG_PASS"), None], "ticker": [str, None], "company": [str, None],
+    "novelty": [("NEW", "KNOWN", "UNKNOWN"), None], "user_comment": [str, ""], "positive_reasons": [list, []], "concerns": [list, []],
+    "not_a_concern": [list, []], "confidence": float,
 }
 CANDIDATE_RULE = {"rule": str, "evidence": str, "reusability": str, "confidence": ("HIGH", "MEDIUM", "LOW")}
 #: Most items of a list and characters of an item in a narrative repair; of the three fields only those that are missing are asked for.
@@ -75,9 +79,11 @@ def json_schema(fields: dict) -> dict:
             return {"anyOf": [inner, {"type": "null"}]} if t[1] is None else inner
         if isinstance(t, tuple):
             return {"type": "string", "enum": list(t)}
-        return {list: {"type": "array", "items": {"type": "string"}}, str: {"type": "string"}, float: {"type": "number"}, int: {"type": "integer"}, bool: {"type": "boolean"}, dict: {"type": "object"}}[t]
+        return {list: {"type": "array", "items": {"type": "string"}}, str: {"type": "string"}, float: {"type": "number"},
+            int: {"type": "integer"}, bool: {"type": "boolean"}, dict: {"type": "object"}}[t]
 
-    return {"type": "object", "additionalProperties": False, "required": [f for f, t in fields.items() if not isinstance(t, list)], "properties": {f: kind(t) for f, t in fields.items()}}
+    return {"type": "object", "additionalProperties": False, "required": [f for f, t in fields.items() if not isinstance(t, list)],
+        "properties": {f: kind(t) for f, t in fields.items()}}
 
 
 def problems_of(answer: dict, fields: dict) -> list[str]:
@@ -90,7 +96,8 @@ def problems_of(answer: dict, fields: dict) -> list[str]:
             out += [] if optional else [f"{name}: missing"]
         elif isinstance(t, _Nested):
             whole = isinstance(value, list) and all(isinstance(x, dict) for x in value)
-            out += [f"{name}.{i}.{p}" for i, x in enumerate(value) for p in problems_of(x, t.fields)] if whole else [f"{name}: no list of objects"]
+            out += [f"{name}.{i}.{p}" for i, x in enumerate(value) for p in problems_of(x,
+                t.fields)] if whole else [f"{name}: no list of objects"]
         elif isinstance(t, tuple):
             out += [] if value in t else [f"{name}: not allowed"]
         elif t is list:
@@ -144,7 +151,8 @@ def generate(call: Callable[[str, int], str], prompt: str, fields: dict, budget:
 def _ddl(fields: dict) -> str:
     def kind(t) -> str:
         t = t[0] if isinstance(t, list) else t
-        return "string" if isinstance(t, tuple) else {list: "array<string>", str: "string", float: "double", int: "long", bool: "boolean", dict: "map<string,string>"}[t]
+        return "string" if isinstance(t, tuple) else {list: "array<string>", str: "string", float: "double", int: "long", bool: "boolean",
+            dict: "map<string,string>"}[t]
 
     return ", ".join(f"{f} {kind(t)}" for f, t in fields.items())
 
@@ -164,11 +172,14 @@ def feedback_events(messages: DataFrame, prompt: str, factory: Callable[[], Call
     from quillstone.operators.storage import materialize
 
     answered = materialize(apply_model(messages.select("message_id", prompt), prompt, factory, {"events": _EVENTS}))  # a call is made once
-    read = answered.select("message_id", "status", F.from_json("answer", f"events array<struct<{_ddl(FEEDBACK_EVENT).replace(' ', ':').replace(',:', ',')}>>").getField("events").alias("events"))
+    read = answered.select("message_id", "status", F.from_json("answer",
+        f"events array<struct<{_ddl(FEEDBACK_EVENT).replace(' ', ':').replace(',:', ',')}>>").getField("events").alias("events"))
     events = read.select("message_id", F.posexplode("events").alias("event_index", "e")).select(
-        "message_id", "event_index", "e.*", F.to_json("e").alias("parsed_json"), review_reason(F.col("e.event_type"), F.col("e.verdict"), F.col("e.confidence")).alias("review_reason"))
+        "message_id", "event_index", "e.*", F.to_json("e").alias("parsed_json"),
+        review_reason(F.col("e.event_type"), F.col("e.verdict"), F.col("e.confidence")).alias("review_reason"))
     doubt = events.groupBy("message_id").agg(F.bool_or(F.col("review_reason").isNotNull()).alias("doubt"))
-    outcome = (F.when(F.col("status") == "RETRYABLE_ERROR", "RETRYABLE_ERROR").when(F.col("status") != "OK", "ERROR").when(F.coalesce(F.size("events"), F.lit(0)) <= 0, "NO_FEEDBACK")
+    outcome = (F.when(F.col("status") == "RETRYABLE_ERROR", "RETRYABLE_ERROR").when(F.col("status") != "OK",
+        "ERROR").when(F.coalesce(F.size("events"), F.lit(0)) <= 0, "NO_FEEDBACK")
                .when(F.coalesce("doubt", F.lit(False)), "NEEDS_REVIEW").otherwise("PARSED"))
     return events, read.join(doubt, "message_id", "left").select("message_id", outcome.alias("status"))
 

@@ -28,7 +28,8 @@ def effective(screenings: DataFrame, repairs: DataFrame) -> DataFrame:
 
 def with_gaps(screenings: DataFrame) -> DataFrame:
     """Adds gaps, the narrative fields that the prediction needs and lacks, and gap, whether there are any."""
-    return screenings.withColumn("gaps", narrative_gaps(F.col("overall_prediction"), *[F.col(c) for c in NARRATIVE])).withColumn("gap", F.size("gaps") > 0)
+    return screenings.withColumn("gaps", narrative_gaps(F.col("overall_prediction"), *[F.col(c) for c in NARRATIVE])).withColumn("gap",
+        F.size("gaps") > 0)
 
 
 def repairable(screenings: DataFrame, repairs: DataFrame) -> DataFrame:
@@ -56,14 +57,17 @@ def judged_repairs(answers: DataFrame) -> DataFrame:
     failed), code and detail of the failure. Only fields that were missing are taken from an answer. status: REPAIRED,
     STILL_INCOMPLETE or FAILED; the latter give nothing.
     """
-    given = {c: F.when(F.array_contains("gaps", c), substantive(F.col("answer").getField(c))).otherwise(F.array().cast("array<string>")) for c in NARRATIVE}
+    given = {c: F.when(F.array_contains("gaps", c),
+        substantive(F.col("answer").getField(c))).otherwise(F.array().cast("array<string>")) for c in NARRATIVE}
     rows = answers.withColumns({f"__{c}": F.coalesce(v, F.array().cast("array<string>")) for c, v in given.items()})
     left = narrative_gaps(F.col("overall_prediction"), *[merged_narrative(F.col(c), F.col(f"__{c}")) for c in NARRATIVE])
     rows = rows.withColumn("__left", left)
     failed = F.col("answer").isNull()
     status = F.when(failed, "FAILED").when(F.size("__left") > 0, "STILL_INCOMPLETE").otherwise("REPAIRED")
-    reason = F.when(failed, sanitized_reason(F.coalesce("code", F.lit("UNKNOWN_ERROR")), F.col("detail"))).when(F.size("__left") > 0, sanitized_reason(F.lit("STILL_INCOMPLETE"), F.array_join("__left", ", ")))
-    return rows.select("screening_id", status.alias("status"), F.col("gaps").alias("missing_fields"), *[F.col(f"__{c}").alias(c) for c in NARRATIVE], reason.alias("reason"))
+    reason = F.when(failed, sanitized_reason(F.coalesce("code", F.lit("UNKNOWN_ERROR")), F.col("detail"))).when(F.size("__left") > 0,
+        sanitized_reason(F.lit("STILL_INCOMPLETE"), F.array_join("__left", ", ")))
+    return rows.select("screening_id", status.alias("status"), F.col("gaps").alias("missing_fields"),
+        *[F.col(f"__{c}").alias(c) for c in NARRATIVE], reason.alias("reason"))
 
 
 def repair_listing(screenings: DataFrame, repairs: DataFrame) -> DataFrame:
@@ -79,4 +83,5 @@ def audit(screenings: DataFrame, repairs: DataFrame) -> DataFrame:
     """How many screenings of each prediction have a gap of their own, and how many still have one with repairs."""
     own = with_gaps(screenings).select("screening_id", F.col("gap").alias("own_gap"))
     now = with_gaps(effective(screenings, repairs)).join(own, "screening_id")
-    return now.groupBy("overall_prediction").agg(F.count("*").alias("n"), F.count_if("own_gap").alias("n_own_gap"), F.count_if("gap").alias("n_gap"))
+    return now.groupBy("overall_prediction").agg(F.count("*").alias("n"), F.count_if("own_gap").alias("n_own_gap"),
+        F.count_if("gap").alias("n_gap"))

@@ -31,10 +31,13 @@ def _told(items: Column, name: str, n: int) -> Column:
 def digest_item() -> Column:
     """One idea's text, from the columns of a screened source: a line of facts, the narrative, the ratings, the address."""
     known = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
-    head = F.concat_ws(" / ", known("company"), known("ticker"), known("overall_prediction"), F.concat(known("confidence"), F.lit(" confidence")))
+    head = F.concat_ws(" / ", known("company"), known("ticker"), known("overall_prediction"),
+        F.concat(known("confidence"), F.lit(" confidence")))
     told = [_told(F.col(c), name, n) for c, name, n in SHOWN]
-    ratings = F.array_join(F.filter(F.array(*[F.concat(F.lit(f"{d.replace('_', ' ')} "), known(d)) for d in DIMENSIONS]), lambda x: x.isNotNull()), ", ")
-    return F.array_join(F.concat(F.array(head), *told, F.filter(F.array(ratings, known("source_name"), known("canonical_url")), lambda x: x.isNotNull() & (x != ""))), "\n")
+    ratings = F.array_join(F.filter(F.array(*[F.concat(F.lit(f"{d.replace('_', ' ')} "), known(d)) for d in DIMENSIONS]),
+        lambda x: x.isNotNull()), ", ")
+    return F.array_join(F.concat(F.array(head), *told, F.filter(F.array(ratings, known("source_name"), known("canonical_url")),
+        lambda x: x.isNotNull() & (x != ""))), "\n")
 
 
 def reply_instructions(labels: list[str]) -> str:
@@ -63,15 +66,20 @@ def evaluation_report(metrics: DataFrame, matrix: DataFrame, checks: list[tuple[
     out += ["", f"exact: {m.exact_correct} of {m.n}; scored: {m.n_scored}", f"tp {m.tp}, fp {m.fp}, tn {m.tn}, fn {m.fn}"]
     out += [f"{name}: {number(m[name])}" for name in ("precision", "recall", "specificity", "balanced_accuracy", "f1", "hc_recall")]
     columns = [c for c in matrix.columns if c != "actual"]
-    out += ["", "\t".join(["actual", *columns]), *["\t".join([a, *[str(cells.get(a, {}).get(c, 0)) for c in columns]]) for a in ("INVESTIGATE_NOW", "WATCH", "PASS")]]
+    out += ["", "\t".join(["actual", *columns]), *["\t".join([a, *[str(cells.get(a, {}).get(c,
+        0)) for c in columns]]) for a in ("INVESTIGATE_NOW", "WATCH", "PASS")]]
     return "\n".join(out)
 
 
 def audit_report(summary: DataFrame, problem_rows: DataFrame, groups: DataFrame, at_most: int = 100) -> str:
     """The audit's report; at most at_most problem rows and groups are shown, with how many there are in all."""
     s = summary.first()
-    out = [f"official {s.n_official}, candidates {s.n_candidates}, superseded {s.n_superseded}, other {s.n_other}", f"unique ideas {s.n_unique}, valid and unique {s.n_valid_unique}, replacements needed {s.replacements_needed}", f"clean: {'yes' if s.clean else 'no'}"]
+    out = [f"official {s.n_official}, candidates {s.n_candidates}, superseded {s.n_superseded}, other {s.n_other}",
+        f"unique ideas {s.n_unique}, valid and unique {s.n_valid_unique}, replacements needed {s.replacements_needed}",
+        f"clean: {'yes' if s.clean else 'no'}"]
     bad = problem_rows.filter(F.size("problems") > 0)
-    out += ["", f"rows with problems: {bad.count()}", *[f"  FB {r.feedback_id}: {', '.join(r.problems)}" for r in bad.orderBy("feedback_id").limit(at_most).collect()]]
-    out += ["", f"groups of one idea: {groups.count()}", *[f"  {r.component}: {r.n_members} rows, {r.level} {r.value}" for r in groups.orderBy("component").limit(at_most).collect()]]
+    out += ["", f"rows with problems: {bad.count()}",
+        *[f"  FB {r.feedback_id}: {', '.join(r.problems)}" for r in bad.orderBy("feedback_id").limit(at_most).collect()]]
+    out += ["", f"groups of one idea: {groups.count()}",
+        *[f"  {r.component}: {r.n_members} rows, {r.level} {r.value}" for r in groups.orderBy("component").limit(at_most).collect()]]
     return "\n".join(out)

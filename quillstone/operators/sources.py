@@ -30,7 +30,8 @@ def ready_sources(sources: DataFrame, observations: DataFrame) -> DataFrame:
 
 def source_versions(sources: DataFrame) -> DataFrame:
     """Versions of each document: how many, first and last."""
-    return sources.groupBy(*DOCUMENT).agg(F.count("*").alias("n_versions"), F.min("source_id").alias("first_version"), F.max("source_id").alias("last_version"))
+    return sources.groupBy(*DOCUMENT).agg(F.count("*").alias("n_versions"), F.min("source_id").alias("first_version"),
+        F.max("source_id").alias("last_version"))
 
 
 def source_counters(sources: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def pending_extraction(sources: DataFrame, observations: DataFrame, source_name:
     return mine.join(current_pointers(observations).select("source_id"), "source_id", "left_semi")
 
 
-def missing_screening(sources: DataFrame, observations: DataFrame, screenings: DataFrame, taste_version: int, rules_sha256: str | None = None) -> DataFrame:
+def missing_screening(sources: DataFrame, observations: DataFrame, screenings: DataFrame, taste_version: int,
+        rules_sha256: str | None = None) -> DataFrame:
     """Ready sources without a screening of this version and, where it is given, these rules; whatever its prompt version: a new prompt alone re-screens nothing."""
     of = F.col("taste_version") == taste_version
     if rules_sha256 is not None:
@@ -61,7 +63,8 @@ def missing_screening(sources: DataFrame, observations: DataFrame, screenings: D
 
 
 def screened_sources_count(sources: DataFrame, screenings: DataFrame) -> DataFrame:
-    return sources.join(screenings.select("source_id").distinct(), "source_id", "left_semi").groupBy("source_name").agg(F.count("*").alias("n_screened"))
+    return sources.join(screenings.select("source_id").distinct(), "source_id",
+        "left_semi").groupBy("source_name").agg(F.count("*").alias("n_screened"))
 
 
 def latest_screening(screenings: DataFrame, *keys: str) -> DataFrame:
@@ -71,7 +74,8 @@ def latest_screening(screenings: DataFrame, *keys: str) -> DataFrame:
 
 def recent_screenings(sources: DataFrame, screenings: DataFrame, n: int) -> DataFrame:
     """The n newest screenings of any version with their source; the top comes before the join."""
-    top = screenings.join(sources.select("source_id"), "source_id", "left_semi").orderBy(F.desc("created_at"), F.desc("screening_id")).limit(n)
+    top = screenings.join(sources.select("source_id"), "source_id", "left_semi").orderBy(F.desc("created_at"),
+        F.desc("screening_id")).limit(n)
     return top.join(sources.select("source_id", "external_id", "ticker", "collection_status"), "source_id")
 
 
@@ -102,11 +106,13 @@ def resolve_fetched(fetched: DataFrame, sources: DataFrame, observations: DataFr
     now = current_pointers(observations).withColumnRenamed("source_id", "previous_version")
     case = (F.when(F.col("known_id").isNull(), "insert").when(F.col("collection_status") == "COLLECTED", "known_complete")
             .when(F.col("content_complete"), "promote").otherwise("refresh"))
-    return fetched.dropDuplicates([*DOCUMENT, "content_hash"]).join(have, [*DOCUMENT, "content_hash"], "left").join(now, DOCUMENT, "left").select(
+    return fetched.dropDuplicates([*DOCUMENT, "content_hash"]).join(have, [*DOCUMENT, "content_hash"], "left").join(now, DOCUMENT,
+        "left").select(
         *fetched.columns, "known_id", "previous_version", case.alias("action"))
 
 
 def content_versions(texts: DataFrame, document: str, text: str) -> DataFrame:
     """Distinct contents of each document by SHA-256, and whether all its versions agree."""
     hashed = texts.select(F.col(document).alias("document"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_hash"))
-    return hashed.groupBy("document").agg(F.count("*").alias("n_versions"), F.countDistinct("content_hash").alias("n_contents"), F.min("content_hash").alias("first_hash")).withColumn("same", F.col("n_contents") == 1)
+    return hashed.groupBy("document").agg(F.count("*").alias("n_versions"), F.countDistinct("content_hash").alias("n_contents"),
+        F.min("content_hash").alias("first_hash")).withColumn("same", F.col("n_contents") == 1)

@@ -26,7 +26,8 @@ def current_messages(messages: DataFrame, events: DataFrame, order: str = "seq")
     """messages with feedback_parse_status and error as the last STATUS event left them, attempt_count and last_attempt_at from ATTEMPT events."""
     status, attempt = F.col("kind") == "STATUS", F.col("kind") == "ATTEMPT"
     last = events.groupBy("message_id").agg(
-        _last(F.struct("status", "error"), status, order).alias("__now"), F.count_if(attempt).alias("__n"), F.max(F.when(attempt, F.col("at"))).alias("__at"))
+        _last(F.struct("status", "error"), status, order).alias("__now"), F.count_if(attempt).alias("__n"),
+        F.max(F.when(attempt, F.col("at"))).alias("__at"))
     own = [c for c in messages.columns if c not in ("feedback_parse_status", "error", "attempt_count", "last_attempt_at")]
     before = lambda c, t: F.col(c) if c in messages.columns else F.lit(None).cast(t)
     changed = F.col("__now").isNotNull()
@@ -40,21 +41,26 @@ def current_messages(messages: DataFrame, events: DataFrame, order: str = "seq")
 def current_feedback(feedback: DataFrame, events: DataFrame, order: str = "seq") -> DataFrame:
     """feedback without deleted rows, with excluded_from_learning (boolean) as the last EXCLUDE or INCLUDE event left it."""
     flag = F.col("kind").isin("EXCLUDE", "INCLUDE")
-    last = events.groupBy("feedback_id").agg(_last(F.col("kind") == "EXCLUDE", flag, order).alias("__excluded"), F.bool_or(F.col("kind") == "DELETE").alias("__deleted"))
+    last = events.groupBy("feedback_id").agg(_last(F.col("kind") == "EXCLUDE", flag, order).alias("__excluded"),
+        F.bool_or(F.col("kind") == "DELETE").alias("__deleted"))
     rows = feedback.join(last, "feedback_id", "left").filter(~F.coalesce("__deleted", F.lit(False)))
-    return rows.select(*[F.coalesce("__excluded", is_excluded()).alias(c) if c == "excluded_from_learning" else c for c in feedback.columns])
+    return rows.select(*[F.coalesce("__excluded",
+        is_excluded()).alias(c) if c == "excluded_from_learning" else c for c in feedback.columns])
 
 
 def current_source_state(sources: DataFrame, events: DataFrame, order: str = "seq") -> DataFrame:
     """sources with the collection status of their last STATUS or INVALID event, EXTRACTED if any such event came, the reason of the last INVALID one, and when they were last OBSERVED."""
     kind = F.col("kind")
     last = events.groupBy("source_id").agg(
-        _last(F.col("collection_status"), kind.isin("STATUS", "INVALID"), order).alias("__status"), F.bool_or(kind == "EXTRACTED").alias("__extracted"),
-        _last(F.col("reason"), kind == "INVALID", order).alias("invalid_reason"), F.max(F.when(kind == "OBSERVED", F.col("at"))).alias("last_observed_at"))
+        _last(F.col("collection_status"), kind.isin("STATUS", "INVALID"), order).alias("__status"),
+        F.bool_or(kind == "EXTRACTED").alias("__extracted"),
+        _last(F.col("reason"), kind == "INVALID", order).alias("invalid_reason"),
+        F.max(F.when(kind == "OBSERVED", F.col("at"))).alias("last_observed_at"))
     own = [c for c in sources.columns if c not in ("collection_status", "extraction_status")]
     return sources.join(last, "source_id", "left").select(
         *own, F.coalesce("__status", "collection_status").alias("collection_status"),
-        F.when(F.coalesce("__extracted", F.lit(False)), "EXTRACTED").otherwise(F.col("extraction_status")).alias("extraction_status"), "invalid_reason", "last_observed_at")
+        F.when(F.coalesce("__extracted", F.lit(False)), "EXTRACTED").otherwise(F.col("extraction_status")).alias("extraction_status"),
+        "invalid_reason", "last_observed_at")
 
 
 # Writers: rows of events, for EventLog.commit().
@@ -67,7 +73,8 @@ def attempts(messages: DataFrame, at: str) -> DataFrame:
 
 def status_changes(messages: DataFrame, status: Column | str, at: str, error: Column | None = None) -> DataFrame:
     status = F.lit(status) if isinstance(status, str) else status
-    return messages.select("message_id", F.lit("STATUS").alias("kind"), status.alias("status"), (F.lit(None).cast("string") if error is None else error).alias("error"), F.lit(at).alias("at"))
+    return messages.select("message_id", F.lit("STATUS").alias("kind"), status.alias("status"),
+        (F.lit(None).cast("string") if error is None else error).alias("error"), F.lit(at).alias("at"))
 
 
 def exclusions(feedback: DataFrame, at: str, about: str | None = None, ids: list[int] | None = None, excluded: bool = True) -> DataFrame:
@@ -76,7 +83,8 @@ def exclusions(feedback: DataFrame, at: str, about: str | None = None, ids: list
         raise ValueError("give either about or ids")
     rows = feedback_about(feedback, about) if about is not None else feedback.filter(F.col("feedback_id").isin(ids))
     changed = rows.filter(is_excluded() != F.lit(excluded))
-    return changed.select("feedback_id", F.lit("EXCLUDE" if excluded else "INCLUDE").alias("kind"), F.lit(None).cast("string").alias("reason"), F.lit(at).alias("at"))
+    return changed.select("feedback_id", F.lit("EXCLUDE" if excluded else "INCLUDE").alias("kind"),
+        F.lit(None).cast("string").alias("reason"), F.lit(at).alias("at"))
 
 
 def requeued(messages: DataFrame, feedback: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
@@ -94,19 +102,22 @@ def approved(messages: DataFrame, feedback: DataFrame, at: str) -> DataFrame:
 
 def invalidated(sources: DataFrame, at: str, reason: Column) -> DataFrame:
     """Source events for versions that turned out to hold no content; what was extracted from them stays as it is."""
-    return sources.select("source_id", F.lit("INVALID").alias("kind"), F.lit("INCOMPLETE_CONTENT").alias("collection_status"), reason.alias("reason"), F.lit(at).alias("at"))
+    return sources.select("source_id", F.lit("INVALID").alias("kind"), F.lit("INCOMPLETE_CONTENT").alias("collection_status"),
+        reason.alias("reason"), F.lit(at).alias("at"))
 
 
 def content_repairs(sources: DataFrame, pages: DataFrame, at: str) -> DataFrame:
     """Source events for complete versions whose stored page (source_id, html) is none: see functions.html.page_problem()."""
     from quillstone.functions import html
 
-    read = pages.select("source_id", html.parsed_page("html").alias("p")).select("source_id", html.page_problem(html.canonical_text(F.col("p.plain")), F.col("p.title")).alias("problem"))
+    read = pages.select("source_id", html.parsed_page("html").alias("p")).select("source_id",
+        html.page_problem(html.canonical_text(F.col("p.plain")), F.col("p.title")).alias("problem"))
     bad = sources.filter("collection_status = 'COLLECTED'").join(read.filter("problem IS NOT NULL"), "source_id")
     return invalidated(bad, at, F.col("problem"))
 
 
-def duplicate_repair(rows: DataFrame, exclude: int, retain: int, expected: dict, reason: str, at: str) -> tuple[list[str], DataFrame | None]:
+def duplicate_repair(rows: DataFrame, exclude: int, retain: int, expected: dict, reason: str, at: str) -> tuple[list[str],
+        DataFrame | None]:
     """(failures, EXCLUDE event): takes a confirmed duplicate out of the hold-out if all that is expected of both rows holds.
 
     rows: of audit.roles(), with assignment_id, ticker and company. expected: ref, ticker, company and verdict of the
@@ -118,24 +129,30 @@ def duplicate_repair(rows: DataFrame, exclude: int, retain: int, expected: dict,
     if not reason.strip():
         return ["REASON_IS_EMPTY"], None
     facts = rows.filter(F.col("feedback_id").isin(exclude, retain)).select(
-        "feedback_id", "role", "feedback_origin", is_excluded().alias("excluded"), F.upper("verdict").alias("verdict"), review_ref("BR", F.col("assignment_id")).alias("ref"),
-        norm_ticker(F.col("ticker")).alias("ticker"), norm_company(F.col("company")).alias("company"), norm_ticker(F.lit(expected["ticker"])).alias("want_ticker"), norm_company(F.lit(expected["company"])).alias("want_company"))
+        "feedback_id", "role", "feedback_origin", is_excluded().alias("excluded"), F.upper("verdict").alias("verdict"),
+        review_ref("BR", F.col("assignment_id")).alias("ref"),
+        norm_ticker(F.col("ticker")).alias("ticker"), norm_company(F.col("company")).alias("company"),
+        norm_ticker(F.lit(expected["ticker"])).alias("want_ticker"), norm_company(F.lit(expected["company"])).alias("want_company"))
     found = {r.feedback_id: r for r in facts.collect()}
     out, kept = found.get(exclude), found.get(retain)
     if out is not None and out.excluded and out.role == "superseded":
         return [], None
     checks = [("SAME_ROW", exclude != retain), ("EXCLUDED_ROW_UNKNOWN", out is not None), ("RETAINED_ROW_UNKNOWN", kept is not None)]
     if out is not None:
-        checks += [("EXCLUDED_ROW_NOT_OFFICIAL", out.role == "official"), ("EXCLUDED_ROW_NOT_BLIND", out.feedback_origin == "BLIND_REVIEW"), ("REF_DIFFERS", out.ref == expected["ref"].upper()),
-                   ("TICKER_DIFFERS", out.ticker == out.want_ticker), ("COMPANY_DIFFERS", out.company == out.want_company), ("LABEL_DIFFERS", out.verdict == expected["verdict"].upper())]
+        checks += [("EXCLUDED_ROW_NOT_OFFICIAL", out.role == "official"), ("EXCLUDED_ROW_NOT_BLIND", out.feedback_origin == "BLIND_REVIEW"),
+            ("REF_DIFFERS", out.ref == expected["ref"].upper()),
+                   ("TICKER_DIFFERS", out.ticker == out.want_ticker), ("COMPANY_DIFFERS", out.company == out.want_company),
+                   ("LABEL_DIFFERS", out.verdict == expected["verdict"].upper())]
     if kept is not None:
-        checks += [("RETAINED_ROW_NOT_OFFICIAL", kept.role == "official"), ("RETAINED_REF_DIFFERS", kept.ref == expected["retain_ref"].upper())]
+        checks += [("RETAINED_ROW_NOT_OFFICIAL", kept.role == "official"),
+            ("RETAINED_REF_DIFFERS", kept.ref == expected["retain_ref"].upper())]
     if out is not None and kept is not None:
         checks.append(("NOT_THE_SAME_IDEA", (out.ticker, out.company) == (kept.ticker, kept.company)))
     failures = [name for name, ok in checks if not ok]
     if failures:
         return failures, None
-    event = rows.filter(F.col("feedback_id") == exclude).select("feedback_id", F.lit("EXCLUDE").alias("kind"), F.lit(f"DUPLICATE_OF {retain}: {reason.strip()}").alias("reason"), F.lit(at).alias("at"))
+    event = rows.filter(F.col("feedback_id") == exclude).select("feedback_id", F.lit("EXCLUDE").alias("kind"),
+        F.lit(f"DUPLICATE_OF {retain}: {reason.strip()}").alias("reason"), F.lit(at).alias("at"))
     return [], event
 
 

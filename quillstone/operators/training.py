@@ -30,7 +30,8 @@ def record_texts(records: DataFrame) -> DataFrame:
     """(feedback_id, text): a record as a few lines of text, one for each thing that is known of it."""
     line = lambda name, v: F.concat(F.lit(f"{name} = "), v)
     several = lambda c: F.when(F.size(c) > 0, line(c, F.array_join(c, " | ")))
-    lines = F.array(line("idea", label_of("ticker", "company", missing="?")), line("kind", F.col("event_type")), line("verdict", label_of("verdict", missing="none")),
+    lines = F.array(line("idea", label_of("ticker", "company", missing="?")), line("kind", F.col("event_type")),
+        line("verdict", label_of("verdict", missing="none")),
                     line("comment", none_if_blank(F.col("user_comment"))), *[several(c) for c in DETAILS])
     return records.select("feedback_id", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("text"))
 
@@ -56,5 +57,6 @@ def preference_document(version: str, date: str, n_records: int, body: str) -> s
 def rules_document(version: str, date: str, rules: DataFrame) -> str:
     """Proposals for a person to take over or not; nothing reads this file back."""
     found = valid_rules(rules).collect()  # at most MOST_RULES
-    each = "".join(f"\n{i}. {r.rule}\n   seen in: {r.evidence}\n   holds elsewhere: {r.reusability}\n   confidence: {r.confidence}\n" for i, r in enumerate(found, 1))
+    each = "".join(f"\n{i}. {r.rule}\n   seen in: {r.evidence}\n   holds elsewhere: {r.reusability}\n   confidence: {r.confidence}\n" for i,
+        r in enumerate(found, 1))
     return f"# Proposed rules for {version}, {date}\n{each or chr(10) + 'None.' + chr(10)}"

@@ -68,7 +68,8 @@ class Workspace:
     def sources(self) -> DataFrame:
         """Versions with their state; ticker and company of the extraction where it found them."""
         found = self._table("extractions").drop("__seq").withColumnRenamed("ticker", "__ticker").withColumnRenamed("company", "__company")
-        rows = state.current_source_state(self._table("sources").drop("__seq"), self._table("source_events"), "__seq").join(found, "source_id", "left")
+        rows = state.current_source_state(self._table("sources").drop("__seq"), self._table("source_events"), "__seq").join(found,
+            "source_id", "left")
         first = {c: F.coalesce(F.when(F.length(f"__{c}") > 0, F.col(f"__{c}")), c) for c in ("ticker", "company")}
         return rows.withColumns(first).drop("__ticker", "__company")
 
@@ -82,7 +83,8 @@ class Workspace:
         """The latest record of each message's idea, with its extraction if there is one."""
         done = self._table("idea_extractions").drop("__seq")
         state_of = F.when(F.col("business_summary").isNotNull(), "EXTRACTED").otherwise("PENDING")
-        return self.log.current("ideas", ["message_id"]).drop("__seq").join(done, "idea_id", "left").withColumn("extraction_status", state_of)
+        return self.log.current("ideas", ["message_id"]).drop("__seq").join(done, "idea_id", "left").withColumn("extraction_status",
+            state_of)
 
     def assignments(self) -> DataFrame:
         """Assignments with judged_at, the first time a counted or excluded judgment named them."""
@@ -106,7 +108,8 @@ class Workspace:
 
     def check_mail(self, messages: DataFrame) -> int:
         """Stores messages that aren't known; returns how many."""
-        return self.log.append_new("messages", self._formed("messages", messages.withColumn("feedback_parse_status", F.lit("UNPARSED"))), ["message_id"]).count()
+        return self.log.append_new("messages", self._formed("messages", messages.withColumn("feedback_parse_status", F.lit("UNPARSED"))),
+            ["message_id"]).count()
 
     def parse_mail(self, allowed: list[str], at: str, reader: Callable | None = None) -> DataFrame:
         """Reads every pending message by the parser that its route names, and commits events, states and attempts together.
@@ -116,35 +119,46 @@ class Workspace:
         seen = self.log.seen()
         pending = feedback.pending_messages(self.messages())
         routed = materialize(feedback.route_messages(pending, self.feedback(), self._table("deliveries"), allowed).join(
-            digest.delivery_by_thread(self._table("deliveries")).select(F.col("provider_thread_id").alias("thread_id"), "delivery_id"), "thread_id", "left"))
+            digest.delivery_by_thread(self._table("deliveries")).select(F.col("provider_thread_id").alias("thread_id"), "delivery_id"),
+            "thread_id", "left"))
         of = lambda *r: routed.filter(F.col("route").isin(*r))
         mail = lambda r: of(r).select("message_id", F.col("body_raw").alias("body"), "delivery_id")
         items = digest.delivery_items(self._table("delivery_items"), self.sources()).select("delivery_id", "source_id", "ticker", "company")
         answers = materialize(replies.digest_replies(mail("DIGEST_REPLY"), items))
         blind = materialize(replies.blind_reviews(mail("BLIND_REVIEW"), self.assignments(), self.feedback()))
         seen_screens = materialize(replies.screen_reviews(mail("SCREEN_REVIEW"), self._table("screenings"), self.feedback()))
-        told = [replies.as_feedback(answers, "DIGEST_REPLY", True), replies.as_feedback(blind, "BLIND_REVIEW", True), replies.as_feedback(seen_screens, "SCREEN_REVIEW", False)]
-        refs = lambda r: r.filter("ok").select("message_id", F.posexplode("blocks").alias("event_index", "b")).select("message_id", "event_index", F.col("b.ref").alias("ref"))
+        told = [replies.as_feedback(answers, "DIGEST_REPLY", True), replies.as_feedback(blind, "BLIND_REVIEW", True),
+            replies.as_feedback(seen_screens, "SCREEN_REVIEW", False)]
+        refs = lambda r: r.filter("ok").select("message_id", F.posexplode("blocks").alias("event_index", "b")).select("message_id",
+            "event_index", F.col("b.ref").alias("ref"))
         told[1] = told[1].join(refs(blind).withColumnRenamed("ref", "assignment_id"), ["message_id", "event_index"])
         told[2] = told[2].join(refs(seen_screens).withColumnRenamed("ref", "screening_id"), ["message_id", "event_index"])
         named = self.sources().select("source_id", "ticker", "company")
-        rows = told[0].unionByName(told[1], allowMissingColumns=True).unionByName(told[2], allowMissingColumns=True).join(named, "source_id", "left")
-        outcome = lambda r: r.select("message_id", F.when(F.col("ok"), "PARSED").otherwise("NEEDS_REVIEW").alias("status"), F.col("reason").alias("error"))
+        rows = told[0].unionByName(told[1], allowMissingColumns=True).unionByName(told[2], allowMissingColumns=True).join(named,
+            "source_id", "left")
+        outcome = lambda r: r.select("message_id", F.when(F.col("ok"), "PARSED").otherwise("NEEDS_REVIEW").alias("status"),
+            F.col("reason").alias("error"))
         outcomes = outcome(answers).unionByName(outcome(blind)).unionByName(outcome(seen_screens))
-        skipped = of("SKIPPED_SENDER", "SKIPPED_UNAUTHENTICATED", "NEEDS_REVIEW").select("message_id", F.col("route").alias("status"), F.when(F.col("route") == "NEEDS_REVIEW", "UNMATCHED_DIGEST_REPLY").alias("error"))
+        skipped = of("SKIPPED_SENDER", "SKIPPED_UNAUTHENTICATED", "NEEDS_REVIEW").select("message_id", F.col("route").alias("status"),
+            F.when(F.col("route") == "NEEDS_REVIEW", "UNMATCHED_DIGEST_REPLY").alias("error"))
         # Messages that have events already, from a run that ended early: their state follows from these.
-        doubt = self.feedback().withColumn("__why", review_reason(F.col("event_type"), F.col("verdict"), F.col("confidence"))).groupBy("message_id").agg(F.bool_or(F.col("__why").isNotNull()).alias("doubt"))
-        resynced = of("RESYNC").join(doubt, "message_id").select("message_id", F.when(F.col("doubt"), "NEEDS_REVIEW").otherwise("PARSED").alias("status"), F.lit(None).cast("string").alias("error"))
+        doubt = self.feedback().withColumn("__why", review_reason(F.col("event_type"), F.col("verdict"),
+            F.col("confidence"))).groupBy("message_id").agg(F.bool_or(F.col("__why").isNotNull()).alias("doubt"))
+        resynced = of("RESYNC").join(doubt, "message_id").select("message_id",
+            F.when(F.col("doubt"), "NEEDS_REVIEW").otherwise("PARSED").alias("status"), F.lit(None).cast("string").alias("error"))
         outcomes = outcomes.unionByName(skipped).unionByName(resynced)
         tried = of("DIGEST_REPLY", "BLIND_REVIEW", "SCREEN_REVIEW")
         if reader is not None:
             events, read = models.feedback_events(of("MODEL").select("message_id", "body_raw"), "body_raw", reader)
-            rows = rows.unionByName(events.withColumns({"feedback_origin": F.lit("DIRECT"), "holdout_eligible": F.lit(True), "excluded_from_learning": F.lit(False)}), allowMissingColumns=True)
-            outcomes = outcomes.unionByName(read.withColumn("error", F.when(F.col("status").isin("ERROR", "RETRYABLE_ERROR"), F.col("status"))))
+            rows = rows.unionByName(events.withColumns({"feedback_origin": F.lit("DIRECT"), "holdout_eligible": F.lit(True),
+                "excluded_from_learning": F.lit(False)}), allowMissingColumns=True)
+            outcomes = outcomes.unionByName(read.withColumn("error", F.when(F.col("status").isin("ERROR", "RETRYABLE_ERROR"),
+                F.col("status"))))
             tried = of("DIGEST_REPLY", "BLIND_REVIEW", "SCREEN_REVIEW", "MODEL")
         outcomes, rows = materialize(outcomes), materialize(rows.withColumn("created_at", F.lit(at)))
         changed = state.status_changes(outcomes, F.col("status"), at, F.col("error"))
-        self.log.commit(expect=seen, feedback=self._new("feedback", rows, "feedback_id", ["message_id", "event_index"]), message_events=changed.unionByName(state.attempts(tried, at)))
+        self.log.commit(expect=seen, feedback=self._new("feedback", rows, "feedback_id", ["message_id", "event_index"]),
+            message_events=changed.unionByName(state.attempts(tried, at)))
         return outcomes.join(routed.select("message_id", "route"), "message_id").select("message_id", "route", "status")
 
     def exclude(self, at: str, about: str | None = None, ids: list[int] | None = None, excluded: bool = True) -> int:
@@ -183,14 +197,22 @@ class Workspace:
         docs = materialize(html.pitch_documents(pages).withColumn("source_name", F.lit(source_name)))
         whole = F.col("content_complete") & F.col("invalid_reason").isNull()
         fetched = docs.withColumn("content_complete", whole)
-        what = materialize(sources.resolve_fetched(fetched, self.sources().select("source_id", *sources.DOCUMENT, "content_hash", "collection_status"), self.observations()))
+        what = materialize(sources.resolve_fetched(fetched, self.sources().select("source_id", *sources.DOCUMENT, "content_hash",
+            "collection_status"), self.observations()))
         status = F.when(F.col("content_complete"), "COLLECTED").otherwise("INCOMPLETE_CONTENT")
-        own = what.filter("action = 'insert'").withColumns({"source_title": F.col("title"), "source_date": F.col("published_at"), "discovered_at": F.lit(at), "collection_status": status, "extraction_status": F.lit("PENDING")})
+        own = what.filter("action = 'insert'").withColumns({"source_title": F.col("title"), "source_date": F.col("published_at"),
+            "discovered_at": F.lit(at), "collection_status": status, "extraction_status": F.lit("PENDING")})
         made = materialize(self._new("sources", own, "source_id", sources.DOCUMENT))
-        seen_now = made.select("source_id", *sources.DOCUMENT).unionByName(what.filter("action <> 'insert'").select(F.col("known_id").alias("source_id"), *sources.DOCUMENT)).withColumn("observed_at", F.lit(at))
-        raised = what.filter("action = 'promote'").select(F.col("known_id").alias("source_id"), F.lit("STATUS").alias("kind"), F.lit("COLLECTED").alias("collection_status"), F.lit(None).cast("string").alias("reason"), F.lit(at).alias("at"))
-        invalid = made.join(what.select(*sources.DOCUMENT, "invalid_reason").filter("invalid_reason IS NOT NULL"), sources.DOCUMENT).select("source_id", F.lit("INVALID").alias("kind"), "collection_status", F.col("invalid_reason").alias("reason"), F.lit(at).alias("at"))
-        self.log.commit(expect=seen, sources=made, observations=self._formed("observations", seen_now), source_events=raised.unionByName(invalid))
+        seen_now = made.select("source_id",
+            *sources.DOCUMENT).unionByName(what.filter("action <> 'insert'").select(F.col("known_id").alias("source_id"),
+            *sources.DOCUMENT)).withColumn("observed_at", F.lit(at))
+        raised = what.filter("action = 'promote'").select(F.col("known_id").alias("source_id"), F.lit("STATUS").alias("kind"),
+            F.lit("COLLECTED").alias("collection_status"), F.lit(None).cast("string").alias("reason"), F.lit(at).alias("at"))
+        invalid = made.join(what.select(*sources.DOCUMENT, "invalid_reason").filter("invalid_reason IS NOT NULL"),
+            sources.DOCUMENT).select("source_id", F.lit("INVALID").alias("kind"), "collection_status",
+            F.col("invalid_reason").alias("reason"), F.lit(at).alias("at"))
+        self.log.commit(expect=seen, sources=made, observations=self._formed("observations", seen_now),
+            source_events=raised.unionByName(invalid))
         return what.select("external_id", "action")
 
     def repair_content(self, pages: DataFrame, at: str) -> int:
@@ -205,19 +227,24 @@ class Workspace:
         """Has a model read the versions that wait for it; returns source_id and status. Failures wait on."""
         todo = sources.pending_extraction(self.sources(), self.observations(), source_name).select("source_id", "raw_text")
         read = materialize(models.apply_model(todo, "raw_text", factory, models.EXTRACTED_IDEA))
-        good = read.filter("status = 'OK'").select("source_id", models.checked_json(F.col("answer"), models.EXTRACTED_IDEA).alias("i")).select("source_id", "i.*")
-        done = good.select("source_id", F.lit("EXTRACTED").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("collection_status", "reason")], F.lit(at).alias("at"))
+        good = read.filter("status = 'OK'").select("source_id", models.checked_json(F.col("answer"),
+            models.EXTRACTED_IDEA).alias("i")).select("source_id", "i.*")
+        done = good.select("source_id", F.lit("EXTRACTED").alias("kind"),
+            *[F.lit(None).cast("string").alias(c) for c in ("collection_status", "reason")], F.lit(at).alias("at"))
         self.log.commit(extractions=self._formed("extractions", good), source_events=done)
         return read.select("source_id", "status")
 
-    def screen(self, taste_version: int, rules_sha256: str, prompt: Column, factory: Callable, at: str, prompt_version: int = 1, external_id: str | None = None) -> DataFrame:
+    def screen(self, taste_version: int, rules_sha256: str, prompt: Column, factory: Callable, at: str, prompt_version: int = 1,
+            external_id: str | None = None) -> DataFrame:
         """Screens ready versions that have no screening of this version and rules, all or one document's; returns source_id and status."""
         seen = self.log.seen()
         todo = sources.missing_screening(self.sources(), self.observations(), self._table("screenings"), taste_version, rules_sha256)
         todo = todo if external_id is None else todo.filter(F.col("external_id") == external_id)
         read = materialize(models.apply_model(todo.select("source_id", prompt.alias("__prompt")), "__prompt", factory, models.PREDICTION))
-        good = read.filter("status = 'OK'").select("source_id", models.checked_json(F.col("answer"), models.PREDICTION).alias("p")).select("source_id", "p.*").withColumns(
-            {"created_at": F.lit(at), "taste_version": F.lit(taste_version), "screen_rules_sha256": F.lit(rules_sha256), "screening_prompt_version": F.lit(prompt_version)})
+        good = read.filter("status = 'OK'").select("source_id", models.checked_json(F.col("answer"),
+            models.PREDICTION).alias("p")).select("source_id", "p.*").withColumns(
+            {"created_at": F.lit(at), "taste_version": F.lit(taste_version), "screen_rules_sha256": F.lit(rules_sha256),
+            "screening_prompt_version": F.lit(prompt_version)})
         self.log.commit(expect=seen, screenings=self._new("screenings", good, "screening_id", ["source_id"]))
         return read.select("source_id", "status")
 
@@ -225,9 +252,11 @@ class Workspace:
         """One repair for each screening that lacks narrative and had none: the model gets the gaps' names; returns screening_id and status."""
         seen = self.log.seen()
         todo = narratives.repairable(self._table("screenings").drop("__seq"), self._table("repairs"))
-        rows = todo.withColumn("__prompt", F.concat_ws(" ", F.concat(F.lit("SCREENING "), F.col("screening_id").cast("string"), F.lit(" LACKS")), F.array_join("gaps", " ")))
+        rows = todo.withColumn("__prompt", F.concat_ws(" ", F.concat(F.lit("SCREENING "), F.col("screening_id").cast("string"),
+            F.lit(" LACKS")), F.array_join("gaps", " ")))
         read = materialize(models.apply_model(rows, "__prompt", factory, models.repair_fields(list(NARRATIVE))))
-        answered = read.withColumns({"answer": models.checked_json(F.col("answer"), models.repair_fields(list(NARRATIVE))), "code": F.col("status"), "detail": F.lit(None).cast("string")})
+        answered = read.withColumns({"answer": models.checked_json(F.col("answer"), models.repair_fields(list(NARRATIVE))),
+            "code": F.col("status"), "detail": F.lit(None).cast("string")})
         made = materialize(narratives.judged_repairs(answered).withColumn("attempted_at", F.lit(at)))
         self.log.commit(expect=seen, repairs=self._new("repairs", made, "repair_id", ["screening_id"]))
         return made.select("screening_id", "status")
@@ -255,16 +284,20 @@ class Workspace:
             return None
         key = chosen.agg(F.collect_list("source_id").alias("ids")).select(idempotency_key(F.lit(day), F.col("ids")).alias("k")).first().k
         thread = send(reports.digest_subject(day), reports.digest_body(chosen, digest.DIGEST_SIZE), key)
-        one = self.spark.range(1).select(F.lit(thread).alias("provider_thread_id"), F.lit(at).alias("sent_at"), F.lit(taste_version).alias("taste_version"), F.lit(key).alias("idempotency_key"))
+        one = self.spark.range(1).select(F.lit(thread).alias("provider_thread_id"), F.lit(at).alias("sent_at"),
+            F.lit(taste_version).alias("taste_version"), F.lit(key).alias("idempotency_key"))
         delivery = materialize(self._new("deliveries", one, "delivery_id", ["sent_at"]))
-        items = self._formed("delivery_items", chosen.select("source_id", "position").crossJoin(F.broadcast(delivery.select("delivery_id"))))  # one delivery
-        self.log.commit(expect=seen, deliveries=delivery, delivery_items=items, shown=self._formed("shown", chosen.select("source_id").withColumn("shown_at", F.lit(at))))
+        items = self._formed("delivery_items", chosen.select("source_id",
+            "position").crossJoin(F.broadcast(delivery.select("delivery_id"))))  # one delivery
+        self.log.commit(expect=seen, deliveries=delivery, delivery_items=items,
+            shown=self._formed("shown", chosen.select("source_id").withColumn("shown_at", F.lit(at))))
         return thread
 
     def assign_reviews(self, limit: int, at: str) -> DataFrame:
         """Assigns up to limit sources for blind review; returns assignment_id and source_id."""
         seen, src = self.log.seen(), self.sources().withColumn("discovered_seq", F.col("discovered_at"))
-        pool = digest.blind_review_pool(src, self.observations(), self._table("shown"), self._table("assignments"), self._table("screenings"), self.feedback())
+        pool = digest.blind_review_pool(src, self.observations(), self._table("shown"), self._table("assignments"),
+            self._table("screenings"), self.feedback())
         known = digest.identities(self._table("assignments").join(src, "source_id"))
         chosen = materialize(digest.greedy_assignments(pool, known, limit).withColumn("assigned_at", F.lit(at)))
         made = materialize(self._new("assignments", chosen, "assignment_id", ["position"]))
@@ -273,20 +306,24 @@ class Workspace:
 
     # Blind predictions of mailed ideas
 
-    def shadow_score(self, taste_version: int, checkpoint: int, rules_sha256: str, at: str, extractor: Callable, predictor: Callable) -> DataFrame:
+    def shadow_score(self, taste_version: int, checkpoint: int, rules_sha256: str, at: str, extractor: Callable,
+            predictor: Callable) -> DataFrame:
         """Isolates, extracts and predicts the ideas of hold-out messages, each step once; returns the counters."""
         seen = self.log.seen()
         pool = feedback.holdout_pool(self.feedback(), self.messages(), checkpoint)
         before = self.ideas()
-        fresh = materialize(ideas.isolated(self.messages(), pool, before.select("message_id", "source_status")).join(before.select("message_id", F.col("idea_id").alias("__known")), "message_id", "left"))
+        fresh = materialize(ideas.isolated(self.messages(), pool, before.select("message_id",
+            "source_status")).join(before.select("message_id", F.col("idea_id").alias("__known")), "message_id", "left"))
         new = self._new("ideas", fresh.filter("__known IS NULL"), "idea_id", ["message_id"])
         again = self._formed("ideas", fresh.filter("__known IS NOT NULL").withColumn("idea_id", F.col("__known")))
         self.log.commit(expect=seen, ideas=new.unionByName(again))
         read = materialize(ideas.extraction(self.ideas().drop(*models.EXTRACTED_IDEA), extractor))
         self.log.commit(idea_extractions=self._formed("idea_extractions", read.filter("status = 'OK'").select("idea_id", "idea.*")))
         seen = self.log.seen()
-        made = materialize(ideas.screening(self.ideas(), self._table("predictions"), "core_thesis", predictor, taste_version, rules_sha256).withColumn("created_at", F.lit(at)))
-        self.log.commit(expect=seen, predictions=self._new("predictions", ideas.new_predictions(made, self._table("predictions")), "prediction_id", ["idea_id"]))
+        made = materialize(ideas.screening(self.ideas(), self._table("predictions"), "core_thesis", predictor, taste_version,
+            rules_sha256).withColumn("created_at", F.lit(at)))
+        self.log.commit(expect=seen, predictions=self._new("predictions", ideas.new_predictions(made, self._table("predictions")),
+            "prediction_id", ["idea_id"]))
         return ideas.sweep_counters(self.ideas(), self._table("predictions"), self.feedback(), self.messages(), checkpoint, taste_version)
 
     def shadow_results(self) -> DataFrame:
@@ -309,14 +346,17 @@ class Workspace:
         decisions = self.log.current("decisions", ["version_number"])
         unused = None if latest is None else decisions.filter((F.col("version_number") == latest.version_number) & (F.col("decision") == "RETRAIN") & ~F.col("consumed"))
         allowed = unused is not None and unused.count() == 1
-        version = None if latest is None else governance.Version(latest.version_number, latest.checkpoint_feedback_id, latest.artifact_sha256, allowed)
+        version = None if latest is None else governance.Version(latest.version_number, latest.checkpoint_feedback_id,
+            latest.artifact_sha256, allowed)
         if why := governance.may_build(len(ids), held, version, allowed):
             raise PermissionError(why)
         number = 1 if latest is None else latest.version_number + 1
         corpus = training.corpus(training.training_records(rows), most_records)
         document = training.preference_document(f"v{number}", at[:10], len(ids), write(corpus))
-        rules = self.spark.createDataFrame([tuple(r.get(c, "") for c in models.CANDIDATE_RULE) for r in propose(corpus)], ", ".join(f"{c} string" for c in models.CANDIDATE_RULE))
-        row = [(number, at, len(ids), ids, max(ids), document, hashlib.sha256(document.encode()).hexdigest(), training.rules_document(f"v{number}", at[:10], rules))]
+        rules = self.spark.createDataFrame([tuple(r.get(c, "") for c in models.CANDIDATE_RULE) for r in propose(corpus)],
+            ", ".join(f"{c} string" for c in models.CANDIDATE_RULE))
+        row = [(number, at, len(ids), ids, max(ids), document, hashlib.sha256(document.encode()).hexdigest(),
+            training.rules_document(f"v{number}", at[:10], rules))]
         frames = {"versions": self.spark.createDataFrame(row, TABLES["versions"])}
         if allowed:
             frames["decisions"] = unused.drop("__seq").withColumn("consumed", F.lit(True))
@@ -328,25 +368,31 @@ class Workspace:
         seen = self.log.seen()
         if self._table("decisions").filter(F.col("version_number") == record["taste_version"]).limit(1).count():
             raise PermissionError(f"version {record['taste_version']} has a decision")
-        row = [(record["taste_version"], record["decision"], record["reason"], record["recorded_at"], record["evaluation_fingerprint"], False)]
+        row = [(record["taste_version"], record["decision"], record["reason"], record["recorded_at"],
+            record["evaluation_fingerprint"], False)]
         self.log.commit(expect=seen, decisions=self.spark.createDataFrame(row, TABLES["decisions"]))
 
     def audit(self, checkpoint: int) -> DataFrame:
         """One row of audit.audit_summary() over the store."""
         f = self.feedback()
-        newest = sources.latest_screening(self._table("screenings")).select("source_id", F.col("screening_id").alias("__newest"), F.col("created_at").alias("screened_at"))
+        newest = sources.latest_screening(self._table("screenings")).select("source_id", F.col("screening_id").alias("__newest"),
+            F.col("created_at").alias("screened_at"))
         of = self.sources().select("source_id", "source_name", "external_id")
-        rows = audit.roles(f, self.messages(), checkpoint, state.repaired_duplicates(self._table("feedback_events"))).join(of, "source_id", "left").join(newest, "source_id", "left")
-        rows = rows.withColumnRenamed("screening_id", "explicit_screening_id").withColumnRenamed("__newest", "screening_id").withColumnRenamed("created_at", "judged_at")
+        rows = audit.roles(f, self.messages(), checkpoint, state.repaired_duplicates(self._table("feedback_events"))).join(of, "source_id",
+            "left").join(newest, "source_id", "left")
+        rows = rows.withColumnRenamed("screening_id", "explicit_screening_id").withColumnRenamed("__newest",
+            "screening_id").withColumnRenamed("created_at", "judged_at")
         n = audit.usable_judgments(f, self.messages(), self._table("assignments"))
         shown = self._table("shown").groupBy("source_id").agg(F.min("shown_at").alias("shown_at"))
         exposed = audit.exposure_counts(f, f.filter(F.col("feedback_origin").isin("SCREEN_REVIEW", "DIGEST_REPLY")), "created_at")
         judged = rows.join(n, "assignment_id", "left").join(shown, "source_id", "left").join(exposed, "feedback_id", "left")
         before = f.filter(F.col("feedback_id") <= checkpoint).join(of, "source_id", "left")
-        judged = audit.validity_problems(judged.join(audit.training_overlap(rows, before).select("feedback_id", F.col("level").alias("training_level")), "feedback_id", "left"))
+        judged = audit.validity_problems(judged.join(audit.training_overlap(rows, before).select("feedback_id",
+            F.col("level").alias("training_level")), "feedback_id", "left"))
         return audit.audit_summary(judged, audit.duplicate_groups(rows.filter(F.col("role").isin("official", "candidate"))))
 
-    def exclude_duplicate(self, checkpoint: int, exclude: int, retain: int, expected: dict, reason: str, at: str, dry_run: bool = False) -> list[str]:
+    def exclude_duplicate(self, checkpoint: int, exclude: int, retain: int, expected: dict, reason: str, at: str,
+            dry_run: bool = False) -> list[str]:
         """Takes a confirmed duplicate out of the hold-out, after a snapshot; returns what speaks against it, and then nothing changes."""
         rows = audit.roles(self.feedback(), self.messages(), checkpoint, state.repaired_duplicates(self._table("feedback_events")))
         failures, event = state.duplicate_repair(rows, exclude, retain, expected, reason, at)

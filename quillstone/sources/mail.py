@@ -62,12 +62,14 @@ class _Reader(DataSourceReader):
 def with_authentication(listing: DataFrame, authenticated: DataFrame) -> DataFrame:
     """Listing rows with sender_authenticated, by whether the listing that leaves unauthenticated mail out has them too."""
     known = authenticated.select("message_id", F.lit("AUTHENTICATED").alias("sender_authenticated")).distinct()
-    return listing.join(known, "message_id", "left").withColumn("sender_authenticated", F.coalesce("sender_authenticated", F.lit("UNAUTHENTICATED")))
+    return listing.join(known, "message_id", "left").withColumn("sender_authenticated",
+        F.coalesce("sender_authenticated", F.lit("UNAUTHENTICATED")))
 
 
 def as_messages(fetched: DataFrame) -> DataFrame:
     """Fetched messages (text, html, recipients array) in the form they are stored."""
     body = body_of(F.col("text"), F.col("html"))
     return fetched.withColumn("__b", body).withColumns({
-        "body_raw": F.col("__b.body"), "body_format": F.col("__b.format"), "recipients": F.coalesce(F.array_join("recipients", ", "), F.lit("")), "size_bytes": F.octet_length(F.col("__b.body")),
+        "body_raw": F.col("__b.body"), "body_format": F.col("__b.format"),
+        "recipients": F.coalesce(F.array_join("recipients", ", "), F.lit("")), "size_bytes": F.octet_length(F.col("__b.body")),
         "feedback_parse_status": F.lit("UNPARSED")}).drop("__b", "text", "html")

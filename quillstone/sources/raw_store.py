@@ -24,6 +24,7 @@ def save_raw(pages: DataFrame, root: str) -> None:
     """Appends pages (source_name, external_id, html; content_hash optional) whose content isn't stored yet."""
     if "content_hash" not in pages.columns:
         pages = pages.withColumn("content_hash", F.sha2("html", 256))
-    named = pages.withColumn("path", artifact_path(F.col("source_name"), F.col("external_id"), F.col("content_hash"))).select("source_name", "external_id", "content_hash", "path", "html")
+    named = pages.withColumn("path", artifact_path(F.col("source_name"), F.col("external_id"), F.col("content_hash"))).select("source_name",
+        "external_id", "content_hash", "path", "html")
     new = named.dropDuplicates(KEY).join(read_raw(pages.sparkSession, root).select(*KEY), KEY, "left_anti")
     new.select("external_id", "content_hash", "path", "html", "source_name").write.mode("append").partitionBy("source_name").parquet(root)

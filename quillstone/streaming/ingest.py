@@ -21,12 +21,14 @@ def unique(stream: DataFrame, key: str, time: str | None = None, delay: str = "7
 
 def drain(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Writes everything that is there now as Parquet and ends; the checkpoint makes the next call go on from there."""
-    return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation",
+        checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Events by kind in tumbling windows; late ones count within the delay."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+    return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"),
+        kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
 def pointer_stream(observations: DataFrame, keys: list[str], version: str, order: str) -> DataFrame:

@@ -3,7 +3,8 @@
 
 class Client:
     def list_page(self, token, include_unauthenticated):
-        first = [{"message_id": "m1", "thread_id": "t", "received_at": "2026-01-01", "sender": "a@x.org", "recipients": ["b@x.org", "c@x.org"], "subject": "s"}]
+        first = [{"message_id": "m1", "thread_id": "t", "received_at": "2026-01-01", "sender": "a@x.org",
+            "recipients": ["b@x.org", "c@x.org"], "subject": "s"}]
         second = [{"message_id": "m2", "sender": "e@x.org"}] if include_unauthenticated else []
         return (first, "next") if token is None else (second, None)
 

@@ -17,12 +17,14 @@ def rows(spark, pairs):
 
 
 def test_metrics_by_hand(spark):
-    r = rows(spark, [("LIKE", "INVESTIGATE_NOW"), ("STRONG_LIKE", "PASS"), ("MAYBE", "WATCH"), ("PASS", "PASS"), ("STRONG_PASS", "WATCH"), ("LIKE", "INSUFFICIENT_INFORMATION"), (None, "PASS"), ("LIKE", None)])
+    r = rows(spark, [("LIKE", "INVESTIGATE_NOW"), ("STRONG_LIKE", "PASS"), ("MAYBE", "WATCH"), ("PASS", "PASS"), ("STRONG_PASS", "WATCH"),
+        ("LIKE", "INSUFFICIENT_INFORMATION"), (None, "PASS"), ("LIKE", None)])
     m = evaluation.metrics(r).first()
     assert (m.n, m.exact_correct, m.n_scored, m.tp, m.fp, m.tn, m.fn) == (6, 3, 5, 2, 1, 1, 1)
     assert (m.hc_actual, m.hc_hit) == (3, 1) and abs(m.precision - 2 / 3) < 1e-12 and m.specificity == 0.5
     kinds = {x.feedback_id: (x.kind, x.bucket) for x in r.collect()}
-    assert kinds == {0: ("correct", 8), 1: ("false_negative", 1), 2: ("correct", 8), 3: ("correct", 8), 4: ("false_positive", 6), 5: ("unscored", 7)}
+    assert kinds == {0: ("correct", 8), 1: ("false_negative", 1), 2: ("correct", 8), 3: ("correct", 8), 4: ("false_positive", 6),
+        5: ("unscored", 7)}
 
 
 def test_ratios_are_null_without_rows(spark):
@@ -44,7 +46,8 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_duplicate_groups_and_strongest_identity(spark):
-    rows_ = spark.createDataFrame([(1, "s", "9", "AB", None), (2, "s", "9", None, None), (3, None, None, " $ab", "Foo, Inc."), (4, None, None, None, "foo inc"), (5, "s", "8", None, None)],
+    rows_ = spark.createDataFrame([(1, "s", "9", "AB", None), (2, "s", "9", None, None), (3, None, None, " $ab", "Foo, Inc."),
+        (4, None, None, None, "foo inc"), (5, "s", "8", None, None)],
                                   "feedback_id long, source_name string, external_id string, ticker string, company string")
     groups = audit.duplicate_groups(rows_)
     assert {r.feedback_id: r.component for r in groups.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
@@ -68,16 +71,20 @@ def test_exposure_counts_agree_with_the_pairs(spark):
 
 
 def test_problems_come_in_order(spark):
-    r = spark.createDataFrame([(1, "official", "DIRECT", 0, 1, "ERROR", "xyz")], "feedback_id long, role string, feedback_origin string, holdout_eligible int, excluded_from_learning int, feedback_parse_status string, ticker string")
-    assert audit.validity_problems(r).first().problems == ["OFFICIAL_NOT_BLIND", "NOT_HOLDOUT_ELIGIBLE", "EXCLUDED", "NOT_PARSED", "NO_SOURCE", "SMOKE_TICKER"]
+    r = spark.createDataFrame([(1, "official", "DIRECT", 0, 1, "ERROR", "xyz")],
+        "feedback_id long, role string, feedback_origin string, holdout_eligible int, excluded_from_learning int, feedback_parse_status string, ticker string")
+    assert audit.validity_problems(r).first().problems == ["OFFICIAL_NOT_BLIND", "NOT_HOLDOUT_ELIGIBLE", "EXCLUDED", "NOT_PARSED",
+        "NO_SOURCE", "SMOKE_TICKER"]
 
 
 def test_theme_and_hurdle(spark):
-    t = spark.createDataFrame([(1, 0, "A 3x return; no  edge"), (1, 1, "three bagger at 100 %"), (2, 0, "large-cap, CYCLICAL"), (3, 0, "13x")], "id long, pos int, text string")
+    t = spark.createDataFrame([(1, 0, "A 3x return; no  edge"), (1, 1, "three bagger at 100 %"), (2, 0, "large-cap, CYCLICAL"),
+        (3, 0, "13x")], "id long, pos int, text string")
     themes = {r.theme: r.n_rows for r in evaluation.theme_counts(t, "id", "text").collect()}
     assert themes["large cap / well covered"] == 1 and themes["cyclical"] == 1 and themes["relative value"] == 0
     h = evaluation.hurdle_hits(t, "id", "pos", "text").collect()
-    assert [(r.id, r.categories, r.permanent_framing) for r in h] == [(1, "3x-style multiple, three-bagger", True)] and h[0].excerpt == "A 3x return; no edge"
+    assert [(r.id, r.categories, r.permanent_framing) for r in h] == [(1, "3x-style multiple, three-bagger",
+        True)] and h[0].excerpt == "A 3x return; no edge"
     assert t.select(evaluation.rule_excerpts(F.lit("a\n 5 % b \n\n7% c")).alias("x")).first().x == ["5 % b", "7% c"]
 
 
@@ -87,9 +94,12 @@ def test_asof_in_slices_gives_the_same_rows(spark, monkeypatch):
     from quillstone.operators import joins
 
     rng = random.Random(3)
-    left = spark.createDataFrame([(rng.choice("aaaab"), f"2026-01-{rng.randint(1, 28):02d}", i) for i in range(300)], "k string, t string, id long")
-    right = spark.createDataFrame([(rng.choice("aaab"), f"2026-01-{rng.randint(5, 28):02d}", i) for i in range(60)], "k string, at string, rid long")
-    for l, r in ((left, right), (left.withColumn("t", F.col("t").cast("timestamp")), right.withColumn("at", F.col("at").cast("timestamp"))), (left, right.limit(0))):
+    left = spark.createDataFrame([(rng.choice("aaaab"), f"2026-01-{rng.randint(1, 28):02d}", i) for i in range(300)],
+        "k string, t string, id long")
+    right = spark.createDataFrame([(rng.choice("aaab"), f"2026-01-{rng.randint(5, 28):02d}", i) for i in range(60)],
+        "k string, at string, rid long")
+    for l, r in ((left, right), (left.withColumn("t", F.col("t").cast("timestamp")), right.withColumn("at", F.col("at").cast("timestamp"))),
+            (left, right.limit(0))):
         monkeypatch.setattr(joins, "HOT_ROWS", 10**9)
         want = sorted(map(tuple, joins.asof_join(l, r, ["k"], "t", "at", ["rid"]).collect()), key=str)
         monkeypatch.setattr(joins, "HOT_ROWS", 50)
@@ -99,7 +109,8 @@ def test_asof_in_slices_gives_the_same_rows(spark, monkeypatch):
 
 def test_a_screening_exposes_its_source(spark):
     j = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "feedback_id long, source_id long").withColumn("at", F.col("feedback_id"))
-    e = spark.createDataFrame([(5, 1, 1), (6, 9, 1), (7, 2, None), (20, 3, 3)], "feedback_id long, source_id long, screened_source_id long").withColumn("at", F.col("feedback_id"))
+    e = spark.createDataFrame([(5, 1, 1), (6, 9, 1), (7, 2, None), (20, 3, 3)],
+        "feedback_id long, source_id long, screened_source_id long").withColumn("at", F.col("feedback_id"))
     got = {r.feedback_id: r.n_exposures for r in audit.exposure_counts(j, e, "at").collect()}
     assert {k: v or 0 for k, v in got.items()} == {10: 2, 11: 1, 12: 0}
     assert {(r.feedback_id, r.exposed_feedback_id) for r in audit.prior_exposure(j, e, "at").collect()} == {(10, 5), (10, 6), (11, 7)}

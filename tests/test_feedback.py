@@ -7,7 +7,8 @@ FEEDBACK = "feedback_id long, message_id string, verdict string, excluded_from_l
 
 
 def frames(spark):
-    messages = spark.createDataFrame([("a", "PARSED"), ("b", "NEEDS_REVIEW"), ("c", "NO_FEEDBACK"), ("d", "UNPARSED"), ("e", "PARSED"), ("f", "ERROR")], MESSAGES)
+    messages = spark.createDataFrame([("a", "PARSED"), ("b", "NEEDS_REVIEW"), ("c", "NO_FEEDBACK"), ("d", "UNPARSED"), ("e", "PARSED"),
+        ("f", "ERROR")], MESSAGES)
     feedback = spark.createDataFrame([
         (1, "a", "LIKE", False, True, "DIRECT"), (2, "a", None, True, True, "DIRECT"), (3, "b", "PASS", False, True, "DIRECT"),
         (4, "c", "MAYBE", False, True, "DIRECT"), (5, "a", "PASS", False, False, "SCREEN_REVIEW")], FEEDBACK)
@@ -59,14 +60,19 @@ def test_empty_id_list_selects_nothing(spark):
 
 def test_routing_order(spark):
     rows = [
-        ("k", "Joe <JOE@x.org>", "hello", "t1", "AUTHENTICATED"), ("l", "eve@x.org", "hello", "t1", "AUTHENTICATED"), ("m", "joe@x.org", "hello", "t1", None),
-        ("n", "joe@x.org", "Re: Quillstone Screen Review", "t1", "AUTHENTICATED"), ("o", "joe@x.org", "fwd: quillstone blind review ", "t1", "AUTHENTICATED"),
-        ("p", "joe@x.org", "whatever", "t1", "AUTHENTICATED"), ("q", "joe@x.org", "Re: Quillstone — New ideas worth attention", "t2", "AUTHENTICATED"), ("r", "joe@x.org", None, "t2", "AUTHENTICATED")]
-    messages = spark.createDataFrame(rows, "message_id string, sender string, subject string, thread_id string, sender_authenticated string")
+        ("k", "Joe <JOE@x.org>", "hello", "t1", "AUTHENTICATED"), ("l", "eve@x.org", "hello", "t1", "AUTHENTICATED"),
+        ("m", "joe@x.org", "hello", "t1", None),
+        ("n", "joe@x.org", "Re: Quillstone Screen Review", "t1", "AUTHENTICATED"),
+        ("o", "joe@x.org", "fwd: quillstone blind review ", "t1", "AUTHENTICATED"),
+        ("p", "joe@x.org", "whatever", "t1", "AUTHENTICATED"), ("q", "joe@x.org", "Re: Quillstone — New ideas worth attention", "t2",
+        "AUTHENTICATED"), ("r", "joe@x.org", None, "t2", "AUTHENTICATED")]
+    messages = spark.createDataFrame(rows,
+        "message_id string, sender string, subject string, thread_id string, sender_authenticated string")
     events = spark.createDataFrame([("k",)], "message_id string")
     deliveries = spark.createDataFrame([("t1",), ("",), (None,)], "provider_thread_id string")
     got = {r.message_id: r.route for r in fb.route_messages(messages, events, deliveries, ["Joe@x.org"]).collect()}
-    assert got == {"k": "RESYNC", "l": "SKIPPED_SENDER", "m": "SKIPPED_UNAUTHENTICATED", "n": "SCREEN_REVIEW", "o": "BLIND_REVIEW", "p": "DIGEST_REPLY", "q": "NEEDS_REVIEW", "r": "MODEL"}
+    assert got == {"k": "RESYNC", "l": "SKIPPED_SENDER", "m": "SKIPPED_UNAUTHENTICATED", "n": "SCREEN_REVIEW", "o": "BLIND_REVIEW",
+        "p": "DIGEST_REPLY", "q": "NEEDS_REVIEW", "r": "MODEL"}
 
 
 def test_feedback_about_ignores_case(spark):

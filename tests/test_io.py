@@ -20,25 +20,31 @@ def isolate(spark, body, comment=None):
 def test_source_isolation(spark):
     assert isolate(spark, f"LIKE\nSOURCE:\n{SOURCE}") == (True, "explicit_source_section", SOURCE, None)
     assert isolate(spark, f"hm\n---- Forwarded message ----\n{SOURCE}")[1] == "forwarded_email"
-    assert isolate(spark, f"SOURCE:\n{SOURCE}\nSOURCE:\nx")[3] == "AMBIGUOUS_MARKER" and isolate(spark, "SOURCE:\nshort")[3] == "NO_CONTENT_AFTER_MARKER"
-    assert isolate(spark, f"hm\n> {SOURCE}") == (True, "quoted_original", SOURCE, None) and isolate(spark, f"hm\n> {SOURCE}\nand")[3] == "INTERLEAVED_QUOTES"
+    assert isolate(spark, f"SOURCE:\n{SOURCE}\nSOURCE:\nx")[3] == "AMBIGUOUS_MARKER" and isolate(spark,
+        "SOURCE:\nshort")[3] == "NO_CONTENT_AFTER_MARKER"
+    assert isolate(spark, f"hm\n> {SOURCE}") == (True, "quoted_original", SOURCE, None) and isolate(spark,
+        f"hm\n> {SOURCE}\nand")[3] == "INTERLEAVED_QUOTES"
     assert isolate(spark, None)[3] == "EMPTY_BODY" and isolate(spark, "just text")[3] == "NO_BOUNDARY"
 
 
 def test_pasted_source_needs_an_aligned_comment(spark):
     body = f"LIKE\n\nLove the hidden asset value here, cheap stock.\n\n{SOURCE}\n\n{SOURCE}"
-    assert isolate(spark, body, "Like. Love the hidden asset value here, cheap stock") == (True, "inline_pasted_source", f"{SOURCE}\n\n{SOURCE}", None)
+    assert isolate(spark, body, "Like. Love the hidden asset value here, cheap stock") == (True, "inline_pasted_source",
+        f"{SOURCE}\n\n{SOURCE}", None)
     assert isolate(spark, body)[3] == "NO_COMMENT" and isolate(spark, body, "pass")[3] == "COMMENT_IS_VERDICT_ONLY"
     assert isolate(spark, body, "nothing in common with it whatsoever")[3] == "COMMENT_NOT_ALIGNED"
-    assert isolate(spark, "MAYBE.\nonly one", "only one")[3] == "NO_PARAGRAPH_BREAK" and isolate(spark, "LIKE\n\nfine words\n\ntiny", "fine words")[3] == "TOO_LITTLE_SOURCE"
+    assert isolate(spark, "MAYBE.\nonly one", "only one")[3] == "NO_PARAGRAPH_BREAK" and isolate(spark, "LIKE\n\nfine words\n\ntiny",
+        "fine words")[3] == "TOO_LITTLE_SOURCE"
 
 
 def test_mail_listing_and_messages(spark):
     spark.dataSource.register(mail.MailListing)
-    read = lambda u: spark.read.format("mail_listing").option("client", "tests.fake_mail:make").option("unauthenticated", u).load()
+    read = lambda u: spark.read.format("mail_listing").option("client", "tests.fake_mail:make").option("unauthenticated",
+        u).load()
     got = {r.message_id: r.sender_authenticated for r in mail.with_authentication(read("true"), read("false")).collect()}
     assert got == {"m1": "AUTHENTICATED", "m2": "UNAUTHENTICATED"}
-    df = spark.createDataFrame([("m", "", "<p>ü", ["a", "b"]), ("n", None, None, None)], "message_id string, text string, html string, recipients array<string>")
+    df = spark.createDataFrame([("m", "", "<p>ü", ["a", "b"]), ("n", None, None, None)],
+        "message_id string, text string, html string, recipients array<string>")
     rows = {r.message_id: r for r in mail.as_messages(df).collect()}
     assert (rows["m"].body_raw, rows["m"].body_format, rows["m"].recipients, rows["m"].size_bytes) == ("<p>ü", "html", "a, b", 5)
     assert (rows["n"].body_raw, rows["n"].body_format, rows["n"].recipients) == ("", "none", "")
@@ -46,7 +52,8 @@ def test_mail_listing_and_messages(spark):
 
 def test_raw_store_writes_once(spark, tmp_path):
     root = f"file://{tmp_path}/raw"
-    pages = spark.createDataFrame([("s/1", "a b", "<p>"), ("s/1", "a b", "<p>"), ("t", None, "<q>")], "source_name string, external_id string, html string")
+    pages = spark.createDataFrame([("s/1", "a b", "<p>"), ("s/1", "a b", "<p>"), ("t", None, "<q>")],
+        "source_name string, external_id string, html string")
     raw_store.save_raw(pages.limit(2), root)
     raw_store.save_raw(pages, root)
     stored = raw_store.read_raw(spark, root)
@@ -114,16 +121,19 @@ def answers():
 def test_model_answers_become_statuses(spark):
     df = spark.createDataFrame([("ok",), ("bad",), ("odd",), ("long",)], "p string")
     got = {r.p: (r.status, r.answer) for r in models.apply_model(df, "p", answers, {"a": str}).collect()}
-    assert got == {"ok": ("OK", '{"a": "y"}'), "bad": ("RESPONSE_PARSE_ERROR", None), "odd": ("VALIDATION_ERROR", None), "long": ("OK", '{"a": "x"}')}
+    assert got == {"ok": ("OK", '{"a": "y"}'), "bad": ("RESPONSE_PARSE_ERROR", None), "odd": ("VALIDATION_ERROR", None),
+        "long": ("OK", '{"a": "x"}')}
 
 
 def test_forms_are_checked_without_quoting_values():
     good = {"event_type": "FEEDBACK", "verdict": "LIKE", "confidence": 1, "extra": "gone", "concerns": ["x"]}
     assert models.problems_of(good, models.FEEDBACK_EVENT) == [] and "extra" not in models.filled(good, models.FEEDBACK_EVENT)
     bad = good | {"verdict": "secret", "confidence": True, "concerns": [1], "event_type": None}
-    assert models.problems_of(bad, models.FEEDBACK_EVENT) == ["event_type: missing", "verdict: not allowed", "concerns: no list of texts", "confidence: no float"]
+    assert models.problems_of(bad, models.FEEDBACK_EVENT) == ["event_type: missing", "verdict: not allowed", "concerns: no list of texts",
+        "confidence: no float"]
     schema = models.json_schema(models.PREDICTION)
-    assert "key_reasons" not in schema["required"] and schema["properties"]["confidence"] == {"type": "string", "enum": ["HIGH", "MEDIUM", "LOW"]}
+    assert "key_reasons" not in schema["required"] and schema["properties"]["confidence"] == {"type": "string",
+        "enum": ["HIGH", "MEDIUM", "LOW"]}
 
     class Broken(Exception):
         status_code = 503
@@ -133,8 +143,10 @@ def test_forms_are_checked_without_quoting_values():
             raise e
         return call
 
-    assert models.generate(raising(Broken("x")), "p", {}) == ("RETRYABLE_ERROR", None) and models.generate(raising(ValueError("secret")), "p", {}) == ("PROVIDER_ERROR", None)
-    assert models.generate(lambda p, b: " ", "p", {}) == ("EMPTY_RESPONSE", None) and models.provider_detail(Broken("secret")) == "Broken HTTP 503"
+    assert models.generate(raising(Broken("x")), "p", {}) == ("RETRYABLE_ERROR", None) and models.generate(raising(ValueError("secret")),
+        "p", {}) == ("PROVIDER_ERROR", None)
+    assert models.generate(lambda p, b: " ", "p", {}) == ("EMPTY_RESPONSE",
+        None) and models.provider_detail(Broken("secret")) == "Broken HTTP 503"
 
 
 def reader():
@@ -147,8 +159,10 @@ def reader():
 def test_messages_are_read_as_events(spark):
     df = spark.createDataFrame([(x, x) for x in ("one", "two", "none", "odd")], "message_id string, body string")
     events, outcomes = models.feedback_events(df, "body", reader)
-    assert sorted((r.message_id, r.event_index, r.verdict, r.review_reason) for r in events.collect()) == [("one", 0, "LIKE", None), ("two", 0, "LIKE", None), ("two", 1, "LIKE", "LOW_CONFIDENCE")]
-    assert {r.message_id: r.status for r in outcomes.collect()} == {"one": "PARSED", "two": "NEEDS_REVIEW", "none": "NO_FEEDBACK", "odd": "ERROR"}
+    assert sorted((r.message_id, r.event_index, r.verdict, r.review_reason) for r in events.collect()) == [("one", 0, "LIKE", None),
+        ("two", 0, "LIKE", None), ("two", 1, "LIKE", "LOW_CONFIDENCE")]
+    assert {r.message_id: r.status for r in outcomes.collect()} == {"one": "PARSED", "two": "NEEDS_REVIEW", "none": "NO_FEEDBACK",
+        "odd": "ERROR"}
 
 
 def test_a_store_is_made_once_and_guards_its_rows(spark, tmp_path):

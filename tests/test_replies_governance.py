@@ -12,8 +12,10 @@ def results(df):
 
 
 def test_digest_replies_resolve_or_fail_whole(spark):
-    items = spark.createDataFrame([(1, 10, "AB", "Foo, Inc."), (1, 11, "CD", "Bar"), (2, 12, None, "Solo Co"), (3, 13, "X", "Same"), (3, 14, "X", "same.")], "delivery_id long, source_id long, ticker string, company string")
-    rows = [("a", "$ab - LIKE\nfine\nbar: pass", 1), ("b", "AB - LIKE\nZZ - pass", 1), ("c", "Maybe\nhm\n> old", 2), ("d", "X - like", 3), ("e", "same - like", 3), ("f", "LIKE", 9), ("g", " ", 1), ("h", "solo co: STRONG PASS", 2)]
+    items = spark.createDataFrame([(1, 10, "AB", "Foo, Inc."), (1, 11, "CD", "Bar"), (2, 12, None, "Solo Co"), (3, 13, "X", "Same"),
+        (3, 14, "X", "same.")], "delivery_id long, source_id long, ticker string, company string")
+    rows = [("a", "$ab - LIKE\nfine\nbar: pass", 1), ("b", "AB - LIKE\nZZ - pass", 1), ("c", "Maybe\nhm\n> old", 2), ("d", "X - like", 3),
+        ("e", "same - like", 3), ("f", "LIKE", 9), ("g", " ", 1), ("h", "solo co: STRONG PASS", 2)]
     got = results(replies.digest_replies(spark.createDataFrame(rows, MESSAGES), items))
     assert got["a"] == (True, [(10, "LIKE", "fine"), (11, "PASS", "")], None) and got["b"] == (False, [], "UNKNOWN_LABEL")
     assert got["c"] == (True, [(12, "MAYBE", "hm")], None) and got["h"] == (True, [(12, "STRONG_PASS", "")], None)
@@ -23,9 +25,11 @@ def test_digest_replies_resolve_or_fail_whole(spark):
 
 
 def test_blind_reviews_are_final(spark):
-    assignments = spark.createDataFrame([(1, 10, None), (2, 20, "t"), (3, 30, "t"), (4, 40, None)], "assignment_id long, source_id long, judged_at string")
+    assignments = spark.createDataFrame([(1, 10, None), (2, 20, "t"), (3, 30, "t"), (4, 40, None)],
+        "assignment_id long, source_id long, judged_at string")
     judgments = spark.createDataFrame([(2,), (4,), (None,)], "assignment_id long")
-    rows = [("a", "BR-1 — LIKE\nwhy", None), ("b", "BR-1: like\nBR-2: like", None), ("c", "BR-3: like", None), ("d", "BR-4: like", None), ("e", "br-9: pass", None), ("f", "LIKE", None)]
+    rows = [("a", "BR-1 — LIKE\nwhy", None), ("b", "BR-1: like\nBR-2: like", None), ("c", "BR-3: like", None), ("d", "BR-4: like", None),
+        ("e", "br-9: pass", None), ("f", "LIKE", None)]
     got = results(replies.blind_reviews(spark.createDataFrame(rows, MESSAGES), assignments, judgments))
     assert got["a"] == (True, [(1, 10, "LIKE", "why")], None) and got["b"] == (False, [], "DUPLICATE_BLIND_REVIEW")
     assert got["c"][2] == got["d"][2] == "INCONSISTENT_BLIND_REVIEW_STATE" and got["e"][2] == "UNKNOWN_REFERENCE" and got["f"][2] == "VERDICT_WITHOUT_REFERENCE"
@@ -33,14 +37,19 @@ def test_blind_reviews_are_final(spark):
 
 def test_screen_reviews_respect_exclusion(spark):
     screenings = spark.createDataFrame([(1, 10), (2, 20)], "screening_id long, source_id long")
-    f = spark.createDataFrame([(1, "SCREEN_REVIEW", True), (2, "SCREEN_REVIEW", False)], "screening_id long, feedback_origin string, excluded_from_learning boolean")
-    got = results(replies.screen_reviews(spark.createDataFrame([("a", "SR-1: like", None), ("b", "SR-2: like", None), ("c", "SR-3: like", None)], MESSAGES), screenings, f))
-    assert got["a"] == (True, [(1, 10, "LIKE", "")], None) and got["b"][2] == "DUPLICATE_SCREEN_REVIEW" and got["c"][2] == "UNKNOWN_REFERENCE"
+    f = spark.createDataFrame([(1, "SCREEN_REVIEW", True), (2, "SCREEN_REVIEW", False)],
+        "screening_id long, feedback_origin string, excluded_from_learning boolean")
+    got = results(replies.screen_reviews(spark.createDataFrame([("a", "SR-1: like", None), ("b", "SR-2: like", None),
+        ("c", "SR-3: like", None)], MESSAGES), screenings, f))
+    assert got["a"] == (True, [(1, 10, "LIKE", "")],
+        None) and got["b"][2] == "DUPLICATE_SCREEN_REVIEW" and got["c"][2] == "UNKNOWN_REFERENCE"
 
 
 def frames(spark, n=20, bad=0):
-    summary = spark.createDataFrame([(n, 0, n, n, bad)], "n_official int, n_candidates int, n_unique int, n_valid_unique int, n_problem_rows int")
-    members = spark.createDataFrame([(i, "LIKE", "INVESTIGATE_NOW", "WATCH", 100 + i, 1, 1) for i in range(n)], "feedback_id long, verdict string, actual string, overall_prediction string, screening_id long, screening_prompt_version int, n_prompt_versions int")
+    summary = spark.createDataFrame([(n, 0, n, n, bad)],
+        "n_official int, n_candidates int, n_unique int, n_valid_unique int, n_problem_rows int")
+    members = spark.createDataFrame([(i, "LIKE", "INVESTIGATE_NOW", "WATCH", 100 + i, 1, 1) for i in range(n)],
+        "feedback_id long, verdict string, actual string, overall_prediction string, screening_id long, screening_prompt_version int, n_prompt_versions int")
     return summary, members
 
 
@@ -55,8 +64,10 @@ def test_gate(spark):
 
 def test_fingerprint_covers_the_evaluation_only(spark):
     v, (_, members) = governance.Version(3, 50, "h"), frames(spark)
-    m = spark.createDataFrame([(20, 0, 20, 0, 0, 0, 1.0, None, 0, 20)], "n int, exact_correct int, tp int, fp int, tn int, fn int, recall double, balanced_accuracy double, hc_hit int, hc_actual int")
-    make = lambda rules, decision, reason: governance.decision_record(v, members, m, rules, decision, reason, "now")["evaluation_fingerprint"]
+    m = spark.createDataFrame([(20, 0, 20, 0, 0, 0, 1.0, None, 0, 20)],
+        "n int, exact_correct int, tp int, fp int, tn int, fn int, recall double, balanced_accuracy double, hc_hit int, hc_actual int")
+    make = lambda rules, decision, reason: governance.decision_record(v, members, m, rules, decision, reason,
+        "now")["evaluation_fingerprint"]
     assert make("r", "RETRAIN", "a") == make("r", "ACCEPT", "b") != make("q", "RETRAIN", "a")
     with pytest.raises(ValueError):
         make("r", "MAYBE", "")
@@ -65,4 +76,5 @@ def test_fingerprint_covers_the_evaluation_only(spark):
 def test_when_a_version_may_be_built():
     v = governance.Version(1, 1, "h", True)
     assert governance.may_build(14, 99, None, False) == "TOO_FEW_RECORDS" and governance.may_build(15, 0, None, False) is None
-    assert governance.may_build(15, 19, v, True) == "HOLDOUT_INCOMPLETE" and governance.may_build(15, 20, v, False) == "NOT_AUTHORISED" and governance.may_build(15, 20, v, True) is None
+    assert governance.may_build(15, 19, v, True) == "HOLDOUT_INCOMPLETE" and governance.may_build(15, 20, v,
+        False) == "NOT_AUTHORISED" and governance.may_build(15, 20, v, True) is None

@@ -9,7 +9,8 @@ ITEM = "position int, source_name string, company string, ticker string, overall
 
 
 def item(spark, *rows):
-    return spark.createDataFrame([(i + 1, "src", c, t, "WATCH", "HIGH", ["a", "b", "c"], [], None, "x", "x", "x", "x", None, "http://u") for i, (c, t) in enumerate(rows)], ITEM)
+    return spark.createDataFrame([(i + 1, "src", c, t, "WATCH", "HIGH", ["a", "b", "c"], [], None, "x", "x", "x", "x", None,
+        "http://u") for i, (c, t) in enumerate(rows)], ITEM)
 
 
 def test_digest_body(spark):
@@ -18,15 +19,18 @@ def test_digest_body(spark):
     assert "For: c" not in one and "Against" not in one and "\n  <rating>\n" in one and "STRONG LIKE, LIKE" in one
     two = reports.digest_body(item(spark, (None, "AB"), ("Bar", None)), 5)
     assert two.startswith("AB / WATCH") and "\n\nBar / WATCH" in two and "\n  AB - <rating>\n" in two
-    reply = spark.createDataFrame([("AB - LIKE\nwhy", 2), ("LIKE\nwhy", 1)], "t string, n int").select(text.reply_blocks(F.col("t"), F.col("n")).alias("r"))
+    reply = spark.createDataFrame([("AB - LIKE\nwhy", 2), ("LIKE\nwhy", 1)],
+        "t string, n int").select(text.reply_blocks(F.col("t"), F.col("n")).alias("r"))
     assert [r.r.ok for r in reply.collect()] == [True, True]  # what the instructions ask for can be read
     assert reports.digest_subject("2026-01-02").startswith("Quillstone — new ideas worth attention")
 
 
 def test_evaluation_report_and_refusal(spark):
-    rows = evaluation.evaluation_rows(spark.createDataFrame([(1, "LIKE", "INVESTIGATE_NOW"), (2, "PASS", "PASS")], "feedback_id long, verdict string, overall_prediction string"))
+    rows = evaluation.evaluation_rows(spark.createDataFrame([(1, "LIKE", "INVESTIGATE_NOW"), (2, "PASS", "PASS")],
+        "feedback_id long, verdict string, overall_prediction string"))
     m, c = evaluation.metrics(rows), evaluation.confusion_matrix(rows)
-    assert "exact: 2 of 2" in reports.evaluation_report(m, c, [("x", True)]) and "precision: 1.000" in reports.evaluation_report(m, c, [("x", True)])
+    assert "exact: 2 of 2" in reports.evaluation_report(m, c, [("x", True)]) and "precision: 1.000" in reports.evaluation_report(m, c,
+        [("x", True)])
     assert "exact" not in reports.evaluation_report(m, c, [("x", False)])
 
 

@@ -9,7 +9,8 @@ def source(i, ext, ticker=None, company=None, status="COLLECTED", extraction="EX
 
 
 def observed(spark, *rows):
-    return spark.createDataFrame([(i, "s", e, n) for i, e, n in rows], "source_id long, source_name string, external_id string, observed_seq long")
+    return spark.createDataFrame([(i, "s", e, n) for i, e, n in rows],
+        "source_id long, source_name string, external_id string, observed_seq long")
 
 
 def ids(df):
@@ -31,17 +32,22 @@ def test_missing_screening_ignores_prompt_version(spark):
 
 
 def test_version_resolution(spark):
-    stored = spark.createDataFrame([(1, "s", "a", "h1", "COLLECTED"), (2, "s", "b", "h2", "INCOMPLETE_CONTENT")], "source_id long, source_name string, external_id string, content_hash string, collection_status string")
+    stored = spark.createDataFrame([(1, "s", "a", "h1", "COLLECTED"), (2, "s", "b", "h2", "INCOMPLETE_CONTENT")],
+        "source_id long, source_name string, external_id string, content_hash string, collection_status string")
     o = observed(spark, (1, "a", 1), (2, "b", 1))
-    fetched = spark.createDataFrame([("s", "a", "h1", True), ("s", "a", "h9", True), ("s", "b", "h2", True), ("s", "c", "h3", False)], "source_name string, external_id string, content_hash string, content_complete boolean")
+    fetched = spark.createDataFrame([("s", "a", "h1", True), ("s", "a", "h9", True), ("s", "b", "h2", True), ("s", "c", "h3", False)],
+        "source_name string, external_id string, content_hash string, content_complete boolean")
     got = {(r.external_id, r.content_hash): (r.action, r.previous_version) for r in sources.resolve_fetched(fetched, stored, o).collect()}
-    assert got == {("a", "h1"): ("known_complete", 1), ("a", "h9"): ("insert", 1), ("b", "h2"): ("promote", 2), ("c", "h3"): ("insert", None)}
+    assert got == {("a", "h1"): ("known_complete", 1), ("a", "h9"): ("insert", 1), ("b", "h2"): ("promote", 2),
+        ("c", "h3"): ("insert", None)}
 
 
 def pool(spark):
-    s = spark.createDataFrame([source(1, "a", " $ab "), source(2, "b", None, "Foo, Inc."), source(3, "c", "CD", "Foo Inc"), source(4, "d", "EF"), source(5, "e", "GH")], SOURCES)
+    s = spark.createDataFrame([source(1, "a", " $ab "), source(2, "b", None, "Foo, Inc."), source(3, "c", "CD", "Foo Inc"),
+        source(4, "d", "EF"), source(5, "e", "GH")], SOURCES)
     o = observed(spark, *[(i, e, 1) for i, e in zip(range(1, 6), "abcde", strict=True)])
-    sc = spark.createDataFrame([(1, 1, "t1", 2, "WATCH"), (2, 2, "t2", 2, "WATCH"), (3, 3, "t3", 2, "WATCH"), (4, 4, "t4", 2, "WATCH"), (5, 4, "t5", 2, "PASS"), (6, 5, "t9", 2, "INVESTIGATE_NOW")], SCREENINGS)
+    sc = spark.createDataFrame([(1, 1, "t1", 2, "WATCH"), (2, 2, "t2", 2, "WATCH"), (3, 3, "t3", 2, "WATCH"), (4, 4, "t4", 2, "WATCH"),
+        (5, 4, "t5", 2, "PASS"), (6, 5, "t9", 2, "INVESTIGATE_NOW")], SCREENINGS)
     return digest.digest_pool(s, o, sc, spark.createDataFrame([], "source_id long"), 2)
 
 
@@ -50,7 +56,8 @@ def test_newer_pass_hides_older_watch(spark):
 
 
 def test_suppression_is_ticker_first_and_order_holds(spark):
-    f = spark.createDataFrame([(1, "m", "AB", "foo inc", False)], "feedback_id long, message_id string, ticker string, company string, excluded_from_learning boolean")
+    f = spark.createDataFrame([(1, "m", "AB", "foo inc", False)],
+        "feedback_id long, message_id string, ticker string, company string, excluded_from_learning boolean")
     m = spark.createDataFrame([("m", "PARSED")], "message_id string, feedback_parse_status string")
     judged = digest.judged_pool(pool(spark), f, m)
     assert {r.source_id for r in judged.filter("judged").collect()} == {1, 2}  # 3 has another ticker, so its company doesn't count
@@ -59,7 +66,8 @@ def test_suppression_is_ticker_first_and_order_holds(spark):
 
 
 def test_greedy_assignment_depends_on_earlier_choices(spark):
-    s = spark.createDataFrame([source(1, "a", "AA", "X"), source(2, "b", "BB", "X"), source(3, "c", "BB", "Y"), source(4, "d", None, None), source(5, "e", "ZZ", "Q")], SOURCES)
+    s = spark.createDataFrame([source(1, "a", "AA", "X"), source(2, "b", "BB", "X"), source(3, "c", "BB", "Y"), source(4, "d", None, None),
+        source(5, "e", "ZZ", "Q")], SOURCES)
     known = digest.identities(spark.createDataFrame([("zz", None)], "ticker string, company string"))
     assert [r.source_id for r in digest.greedy_assignments(s, known, 10).orderBy("position").collect()] == [1, 3, 4]
     assert digest.greedy_assignments(s, known, 1).count() == 1

@@ -8,12 +8,14 @@ def one(spark, value, f):
 
 
 def test_normalisers(spark):
-    assert one(spark, "\n $tk7\t", exprs.norm_ticker) == "TK7" and one(spark, " $ ", exprs.norm_ticker) is None and one(spark, None, exprs.norm_ticker) is None
+    assert one(spark, "\n $tk7\t", exprs.norm_ticker) == "TK7" and one(spark, " $ ", exprs.norm_ticker) is None and one(spark, None,
+        exprs.norm_ticker) is None
     assert one(spark, "  Café,   Inc. ", exprs.norm_company) == "café inc" and one(spark, "...", exprs.norm_company) is None
 
 
 def test_categorical_match_is_null_when_unmapped(spark):
-    r = spark.createDataFrame([("LIKE", "INVESTIGATE_NOW"), ("LIKE", "PASS"), ("LIKE", "INSUFFICIENT_INFORMATION")], "v string, p string").select(exprs.categorical_match(F.col("v"), F.col("p")).alias("m")).collect()
+    r = spark.createDataFrame([("LIKE", "INVESTIGATE_NOW"), ("LIKE", "PASS"), ("LIKE", "INSUFFICIENT_INFORMATION")],
+        "v string, p string").select(exprs.categorical_match(F.col("v"), F.col("p")).alias("m")).collect()
     assert [x.m for x in r] == [True, False, None]
 
 
@@ -65,8 +67,10 @@ def test_review_headers_fail_closed(spark):
 
 def test_narratives(spark):
     df = spark.createDataFrame([(["", " N/A.", "ok", "...", None], [], None)], "a array<string>, b array<string>, c array<string>")
-    r = df.select(text.substantive(F.col("a")).alias("s"), text.narrative_gaps(F.lit("WATCH"), F.col("a"), F.col("b"), F.col("c")).alias("g"),
-                  text.narrative_gaps(F.lit("PASS"), F.col("a"), F.col("b"), F.col("c")).alias("p"), text.merged_narrative(F.col("b"), F.col("a")).alias("m")).first()
+    r = df.select(text.substantive(F.col("a")).alias("s"), text.narrative_gaps(F.lit("WATCH"), F.col("a"), F.col("b"),
+        F.col("c")).alias("g"),
+                  text.narrative_gaps(F.lit("PASS"), F.col("a"), F.col("b"), F.col("c")).alias("p"),
+                  text.merged_narrative(F.col("b"), F.col("a")).alias("m")).first()
     assert r.s == ["ok"] and r.g == ["key_concerns", "critical_questions"] and r.p == [] and r.m == ["ok"]
 
 
@@ -85,10 +89,13 @@ PAGE = "<html><head><title>A &amp; B</title><style>x</style></head><body><nav>me
 
 def test_html(spark):
     df = spark.createDataFrame([(PAGE,), ("",), (None,)], "h string").withColumn("p", html.parsed_page("h"))
-    r = df.select(F.col("p.title").alias("t"), html.canonical_text(F.col("p.plain")).alias("c"), html.pitch_links(F.col("p.links")).alias("l")).collect()
-    assert r[0].t == "A & B" and r[0].c == "A & B\nHello world\nTwelve\nagain\nno" and [tuple(x) for x in r[0].l] == [("12", "/sp/12/share", "Twelve")]
+    r = df.select(F.col("p.title").alias("t"), html.canonical_text(F.col("p.plain")).alias("c"),
+        html.pitch_links(F.col("p.links")).alias("l")).collect()
+    assert r[0].t == "A & B" and r[0].c == "A & B\nHello world\nTwelve\nagain\nno" and [tuple(x) for x in r[0].l] == [("12", "/sp/12/share",
+        "Twelve")]
     assert r[1].c == "" and r[2].c == ""
-    problems = spark.createDataFrame([("page NOT found " * 9, "x"), ("short", "x"), ("y" * 60, " Yellowbrick Investing"), ("y" * 60, "Foo")], "c string, t string").select(html.page_problem(F.col("c"), F.col("t")).alias("p")).collect()
+    problems = spark.createDataFrame([("page NOT found " * 9, "x"), ("short", "x"), ("y" * 60, " Yellowbrick Investing"),
+        ("y" * 60, "Foo")], "c string, t string").select(html.page_problem(F.col("c"), F.col("t")).alias("p")).collect()
     assert [x.p for x in problems] == ["PAGE_NOT_FOUND", "NO_PITCH_CONTENT", "NO_PITCH_CONTENT", None]
 
 
@@ -107,14 +114,17 @@ def test_pitches_come_with_their_own_cards(spark):
         (1, 2, "9", "OTH — Other & Sons", None, None, None, "OTH", "Other & Sons"),
         (1, 3, "10", None, None, None, None, None, None), (1, 4, "11", None, None, None, None, None, None),
     ]
-    assert [(r.k, r.position, r.external_id, r.title, r.author, r.published_at, r.added_at, r.ticker, r.company) for r in rows] == [(*w[:3], w[3] and w[3].strip(), *w[4:]) for w in want]
+    assert [(r.k, r.position, r.external_id, r.title, r.author, r.published_at, r.added_at, r.ticker, r.company) for r in rows] == [(*w[:3],
+        w[3] and w[3].strip(), *w[4:]) for w in want]
     assert rows[0].canonical_url.endswith("/sp/7") and html.discovered_pitches(df, "p", ["k"], limit=2).count() == 2
 
 
 def test_switches_decide_completeness(spark):
     one = "<span>Show full summary:</span><button role='switch' id='a' aria-checked='{}' data-state='{}'>x</button>"
-    pages = [("", True), (one.format("true", ""), True), (one.format("false", ""), False), (one.format("", "checked"), True), (one.format("", ""), False),
-             (one.format("true", "") + one.format("false", ""), True), (one.format("true", "") + "<i role=switch id=full-summary-switch aria-checked=false>", False),
+    pages = [("", True), (one.format("true", ""), True), (one.format("false", ""), False), (one.format("", "checked"), True),
+        (one.format("", ""), False),
+             (one.format("true", "") + one.format("false", ""), True), (one.format("true",
+             "") + "<i role=switch id=full-summary-switch aria-checked=false>", False),
              ("<i role=switch aria-checked=false></i>" + one.format("true", ""), True)]
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i long, h string").withColumn("p", html.parsed_page("h"))
     got = {r.i: r.c for r in df.select("i", html.content_complete(F.col("p")).alias("c")).collect()}
@@ -125,23 +135,31 @@ def test_documents_and_diagnostics(spark):
     import hashlib
 
     body = "<title>T &mdash; B&nbsp;&#8364;5</title><p>" + "content " * 20 + "</p>"
-    df = spark.createDataFrame([(1, body, "t", "d1"), (2, body + "<script>x</script>", None, None), (3, "<title>Yellowbrick Investing</title>gone", "kept?", "d3")], "id long, html string, title string, published_at string")
+    df = spark.createDataFrame([(1, body, "t", "d1"), (2, body + "<script>x</script>", None, None),
+        (3, "<title>Yellowbrick Investing</title>gone", "kept?", "d3")], "id long, html string, title string, published_at string")
     r = {x.id: x for x in html.pitch_documents(df).collect()}
     assert r[1].title == "T — B\u00a0€5" and r[1].content_hash == r[2].content_hash and r[1].raw_capture_hash != r[2].raw_capture_hash == hashlib.sha256((body + "<script>x</script>").encode()).hexdigest()
     assert r[1].published_at == "d1" and r[1].content_complete and r[1].invalid_reason is None and r[3].invalid_reason == "NO_PITCH_CONTENT"
     page = '<script id="n" type="application/json">window.__INITIAL_STATE__ = "ACM"</script><script>x</script><script>ACM</script>'
-    d = spark.createDataFrame([(page, "https://x.org/a?t=1#f", '<a href="/x?t=1" onclick="f()">Go</a>', "Please LOG IN\nShow full summary:\n show full summary")], "h string, u string, m string, t string")
-    x = d.select(html.hidden_blocks(F.col("h"), F.array(F.lit("ACM"))).alias("b"), html.bare_url(F.col("u")).alias("u"), html.bare_markup(F.col("m")).alias("m"), html.gating_signals(F.col("t")).alias("g"), html.collapsed_lines(F.col("t")).alias("n")).first()
-    assert [(b.block, b.type, b.markers, b.terms) for b in x.b] == [("n", "application/json", ["window.__INITIAL_STATE__"], ["ACM"]), ("script#2", None, [], ["ACM"])]
+    d = spark.createDataFrame([(page, "https://x.org/a?t=1#f", '<a href="/x?t=1" onclick="f()">Go</a>',
+        "Please LOG IN\nShow full summary:\n show full summary")], "h string, u string, m string, t string")
+    x = d.select(html.hidden_blocks(F.col("h"), F.array(F.lit("ACM"))).alias("b"), html.bare_url(F.col("u")).alias("u"),
+        html.bare_markup(F.col("m")).alias("m"), html.gating_signals(F.col("t")).alias("g"),
+        html.collapsed_lines(F.col("t")).alias("n")).first()
+    assert [(b.block, b.type, b.markers, b.terms) for b in x.b] == [("n", "application/json", ["window.__INITIAL_STATE__"], ["ACM"]),
+        ("script#2", None, [], ["ACM"])]
     assert (x.u, x.m, x.g, x.n) == ("https://x.org/a", '<a href="/x">Go</a>', ["log in"], 2)
-    login = spark.createDataFrame([("https://x/login?a", ""), ("https://x/feed", "<input type='a'>"), ("https://x", '<input type="password">'), (None, '<input type="password"><a href="/sp/1">')], "u string, h string")
+    login = spark.createDataFrame([("https://x/login?a", ""), ("https://x/feed", "<input type='a'>"),
+        ("https://x", '<input type="password">'), (None, '<input type="password"><a href="/sp/1">')], "u string, h string")
     assert [y.b for y in login.select(html.looks_blocked(F.col("u"), F.col("h")).alias("b")).collect()] == [True, False, True, False]
 
 
 def test_clicks_are_never_guessed(spark):
     node = "struct<tag:string,role:string,tabindex:string,has_onclick:boolean,cursor:string>"
-    rows = [(1, ("span", None, None, True, "pointer")), (1, ("BUTTON", None, None, None, None)), (2, ("div", "button", None, None, None)), (2, ("i", "Button", None, None, None)), (3, ("p", None, "", False, "auto"))]
-    got = {r.k: (r.tier, r.resolved and r.resolved.tag, r.n_equal) for r in html.resolved_click(spark.createDataFrame(rows, f"k long, n {node}"), ["k"], "n").collect()}
+    rows = [(1, ("span", None, None, True, "pointer")), (1, ("BUTTON", None, None, None, None)), (2, ("div", "button", None, None, None)),
+        (2, ("i", "Button", None, None, None)), (3, ("p", None, "", False, "auto"))]
+    got = {r.k: (r.tier, r.resolved and r.resolved.tag, r.n_equal) for r in html.resolved_click(spark.createDataFrame(rows,
+        f"k long, n {node}"), ["k"], "n").collect()}
     assert got == {1: ("button_tag", "BUTTON", 1), 2: ("role_button", None, 2)}
 
 
@@ -149,6 +167,8 @@ def test_keys_and_paths(spark):
     import hashlib
 
     df = spark.createDataFrame([([10, 9, 100],)], "ids array<long>")
-    assert df.select(exprs.idempotency_key(F.lit("2026-01-02"), F.col("ids")).alias("k")).first().k == hashlib.sha256(b"2026-01-02|9-10-100").hexdigest()[:32]
+    assert df.select(exprs.idempotency_key(F.lit("2026-01-02"),
+        F.col("ids")).alias("k")).first().k == hashlib.sha256(b"2026-01-02|9-10-100").hexdigest()[:32]
     assert one(spark, "a/b.c", exprs.safe_component) == "a_b_c" and one(spark, "", exprs.safe_component) == "unknown"
-    assert one(spark, "br-12", lambda c: exprs.parse_review_ref("BR", c)) == 12 and one(spark, "x", lambda c: exprs.parse_review_ref("BR", c)) is None
+    assert one(spark, "br-12", lambda c: exprs.parse_review_ref("BR", c)) == 12 and one(spark, "x",
+        lambda c: exprs.parse_review_ref("BR", c)) is None

@@ -84,17 +84,21 @@ def test_any_eligible_judgment_suppresses(spark, monkeypatch):
 
     named = [(1, "AA"), (2, "BB"), (3, "CC"), (4, "DD"), (5, "EE")]
     v = Tables(
-        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named], "source_id long, source_name string, external_id long, observed_seq long"),
-        screenings=([(i, i, "t", queries.TASTE, "WATCH") for i, _ in named], "screening_id long, source_id long, created_at string, taste_version int, overall_prediction string"),
+        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named],
+        "source_id long, source_name string, external_id long, observed_seq long"),
+        screenings=([(i, i, "t", queries.TASTE, "WATCH") for i, _ in named],
+        "screening_id long, source_id long, created_at string, taste_version int, overall_prediction string"),
         shown=([], "source_id long"), messages=([("m", "PARSED"), ("n", "UNPARSED")], "message_id string, feedback_parse_status string"),
         feedback=([(1, "m", 1, "aa", "DIRECT", 0), (2, "m", 45, "bb", "BLIND_REVIEW", 0), (3, "n", 3, "cc", "DIRECT", 0)],
                   "feedback_id long, message_id string, source_id long, ticker string, feedback_origin string, excluded_from_learning int"),
     )
     v.feedback = v.feedback.selectExpr("*", "cast(null as string) AS company")
     v.narratives = spark.createDataFrame([(i, ["r"], ["n/a"] if i > 3 else ["c"], ["q"]) for i, _ in named], f"screening_id long, {TOLD}")
-    v.repairs = spark.createDataFrame([(1, 4, "REPAIRED", [], ["c"], []), (2, 5, "FAILED", [], ["c"], [])], f"repair_id long, screening_id long, status string, {TOLD}")
+    v.repairs = spark.createDataFrame([(1, 4, "REPAIRED", [], ["c"], []), (2, 5, "FAILED", [], ["c"], [])],
+        f"repair_id long, screening_id long, status string, {TOLD}")
     monkeypatch.setattr(queries, "Views", lambda *_: v)
-    assert [(r.position, r.source_id) for r in QUERIES["digest_selection_top5"](spark, SF).orderBy("position").collect()] == [(1, 3), (2, 4)]
+    assert [(r.position, r.source_id) for r in QUERIES["digest_selection_top5"](spark, SF).orderBy("position").collect()] == [(1,
+        3), (2, 4)]
     assert tuple(QUERIES["digest_suppression_counters"](spark, SF).first()) == (5, 2, 1)  # 5's narrative stayed incomplete
 
 
@@ -103,8 +107,10 @@ def test_every_assignment_blocks_its_identities(spark, monkeypatch):
 
     named = [(1, "AA"), (2, "BB"), (3, "CC"), (45, "BB"), (55, "AA")]
     v = Tables(
-        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named], "source_id long, source_name string, external_id long, observed_seq long"),
-        screenings=([], "screening_id long, source_id long"), shown=([], "source_id long"), assignments=([(45, 45), (55, 55)], "assignment_id long, source_id long"),
+        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named],
+        "source_id long, source_name string, external_id long, observed_seq long"),
+        screenings=([], "screening_id long, source_id long"), shown=([], "source_id long"),
+        assignments=([(45, 45), (55, 55)], "assignment_id long, source_id long"),
         feedback=([], "source_id long, feedback_origin string, excluded_from_learning int"),
     )
     monkeypatch.setattr(queries, "Views", lambda *_: v)
@@ -118,11 +124,15 @@ def audited(spark):
     rows = [(*r[:4], "Same Ltd" if r[0] in (3, 4) else r[4], *r[5:]) for r in rows]
     f = [(1, 1), (2, 2), (11, 3), (12, 4), (13, 5), (14, 6), (15, 1), (16, 5), (17, 5)]
     return Tables(
-        spark, sources=(rows, schema), messages=([("m", "PARSED", "2020-01-05")], "message_id string, feedback_parse_status string, received_at string"),
-        feedback=([(i, "m", s, None, None, "DIRECT" if i == 14 else "BLIND_REVIEW", 0 if i == 14 else 1, 1 if i == 13 else 0) for i, s in f],
+        spark, sources=(rows, schema), messages=([("m", "PARSED", "2020-01-05")],
+        "message_id string, feedback_parse_status string, received_at string"),
+        feedback=([(i, "m", s, None, None, "DIRECT" if i == 14 else "BLIND_REVIEW", 0 if i == 14 else 1, 1 if i == 13 else 0) for i,
+        s in f],
                   "feedback_id long, message_id string, source_id long, ticker string, company string, feedback_origin string, holdout_eligible int, excluded_from_learning int"),
-        assignments=([(i, i, 50) for i in (1, 3, 4, 5)], "assignment_id long, source_id long, judged_seq long"), shown=([(3, 40), (4, 60)], "source_id long, shown_seq long"),
-        screenings=([(i, i, "2020-01-09" if i == 4 else "2020-01-01") for i in range(1, 7)], "screening_id long, source_id long, created_at string"),
+        assignments=([(i, i, 50) for i in (1, 3, 4, 5)], "assignment_id long, source_id long, judged_seq long"),
+        shown=([(3, 40), (4, 60)], "source_id long, shown_seq long"),
+        screenings=([(i, i, "2020-01-09" if i == 4 else "2020-01-01") for i in range(1, 7)],
+        "screening_id long, source_id long, created_at string"),
         exposures=([(10, 9, 6), (13, 3, 3)], "feedback_id long, source_id long, screened_source_id long"),
     )
 
@@ -133,11 +143,14 @@ def test_audit_sees_all_roles_components_and_problems(spark, monkeypatch):
     v = audited(spark)
     monkeypatch.setattr(queries, "Views", lambda *_: v)
     monkeypatch.setattr(queries, "CHECKPOINT", 10)
-    monkeypatch.setattr(queries, "_roles", lambda v: queries.audit.roles(v.feedback, v.messages, 10, v.feedback.filter("feedback_id = 13").select("feedback_id")))
+    monkeypatch.setattr(queries, "_roles", lambda v: queries.audit.roles(v.feedback, v.messages, 10,
+        v.feedback.filter("feedback_id = 13").select("feedback_id")))
     got = {r.feedback_id: r.problems for r in QUERIES["validity_problems"](spark, SF).collect()}
-    assert got == {11: "SHOWN_BEFORE", 12: "SCREENED_LATER", 15: "USABLE_JUDGMENTS,TRAINING_OVERLAP", 16: "USABLE_JUDGMENTS,SMOKE_TICKER", 17: "USABLE_JUDGMENTS,SMOKE_TICKER"}
+    assert got == {11: "SHOWN_BEFORE", 12: "SCREENED_LATER", 15: "USABLE_JUDGMENTS,TRAINING_OVERLAP", 16: "USABLE_JUDGMENTS,SMOKE_TICKER",
+        17: "USABLE_JUDGMENTS,SMOKE_TICKER"}
     r = QUERIES["audit_summary"](spark, SF).first()
-    assert (r.n_official, r.n_candidates, r.n_superseded, r.n_other, r.n_unique, r.n_valid_unique, r.n_problem_rows, r.n_questionable) == (5, 0, 1, 1, 3, 0, 5, 5)
+    assert (r.n_official, r.n_candidates, r.n_superseded, r.n_other, r.n_unique, r.n_valid_unique, r.n_problem_rows,
+        r.n_questionable) == (5, 0, 1, 1, 3, 0, 5, 5)
 
 
 def test_links_and_texts_of_pages_match_a_plain_parser(spark):
@@ -167,7 +180,8 @@ def test_links_and_texts_of_pages_match_a_plain_parser(spark):
         lines = [re.sub(r"[ \t]+", " ", x).strip() for t in p.texts for x in t.splitlines()]
         title = re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html)
         want[r.page_id] = ("\n".join(x for x in lines if x), title and unescape(title[1]).strip() or None, p.hrefs)
-    assert {r.page_id: (r.canonical, r.title) for r in QUERIES["html_canonical_text"](spark, SF).collect()} == {k: v[:2] for k, v in want.items()}
+    assert {r.page_id: (r.canonical, r.title) for r in QUERIES["html_canonical_text"](spark, SF).collect()} == {k: v[:2] for k,
+        v in want.items()}
     hrefs = {}
     for r in QUERIES["page_links"](spark, SF).orderBy("page_id", "position").collect():
         hrefs.setdefault(r.page_id, []).append(r.href)

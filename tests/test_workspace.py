@@ -28,7 +28,8 @@ def extractor():
 
 def screener():
     full = {f: t[0] for f, t in models.PREDICTION.items() if isinstance(t, tuple)}
-    return lambda prompt, budget: json.dumps(full | ({"key_reasons": ["r"], "key_concerns": ["c"], "critical_questions": ["q"]} if "1" in prompt else {"key_reasons": ["r"]}))
+    return lambda prompt, budget: json.dumps(full | ({"key_reasons": ["r"], "key_concerns": ["c"],
+        "critical_questions": ["q"]} if "1" in prompt else {"key_reasons": ["r"]}))
 
 
 def repairer():
@@ -36,7 +37,8 @@ def repairer():
 
 
 def reader():
-    return lambda prompt, budget: json.dumps({"events": [{"event_type": "FEEDBACK", "verdict": "LIKE", "ticker": "ZZ", "confidence": 0.2 if "unsure" in prompt else 0.9}]})
+    return lambda prompt, budget: json.dumps({"events": [{"event_type": "FEEDBACK", "verdict": "LIKE", "ticker": "ZZ",
+        "confidence": 0.2 if "unsure" in prompt else 0.9}]})
 
 
 def test_the_whole_workflow(spark, tmp_path):
@@ -44,11 +46,14 @@ def test_the_whole_workflow(spark, tmp_path):
     w.store.create()
 
     def mail(*rows):
-        return w.check_mail(spark.createDataFrame([(i, t, "2026-02-01", "Joe <joe@x.org>" if i != "m9" else "eve@x.org", s, b, "text", "AUTHENTICATED") for i, t, s, b in rows], MAIL))
+        return w.check_mail(spark.createDataFrame([(i, t, "2026-02-01", "Joe <joe@x.org>" if i != "m9" else "eve@x.org", s, b, "text",
+            "AUTHENTICATED") for i, t, s, b in rows], MAIL))
 
-    pages = spark.createDataFrame([page(1), page(2), page(3), ("4", "http://x/sp/4", "<p>Page not found</p>")], "external_id string, canonical_url string, html string")
+    pages = spark.createDataFrame([page(1), page(2), page(3), ("4", "http://x/sp/4", "<p>Page not found</p>")],
+        "external_id string, canonical_url string, html string")
     assert {r.external_id: r.action for r in w.collect(pages, "web", "2026-01-01").collect()} == {str(i): "insert" for i in range(1, 5)}
-    assert {r.external_id: (r.collection_status, r.invalid_reason) for r in w.sources().collect()}["4"] == ("INCOMPLETE_CONTENT", "PAGE_NOT_FOUND")
+    assert {r.external_id: (r.collection_status, r.invalid_reason) for r in w.sources().collect()}["4"] == ("INCOMPLETE_CONTENT",
+        "PAGE_NOT_FOUND")
     assert w.extract("web", extractor, "2026-01-03").filter("status = 'OK'").count() == 3
     assert w.screen(1, "rules", F.col("external_id"), screener, "2026-01-04").count() == 3
     assert {r.external_id: r.ticker for r in w.sources().collect()} == {"1": "T1", "2": "T2", "3": "T3", "4": None}
@@ -58,12 +63,16 @@ def test_the_whole_workflow(spark, tmp_path):
     thread = w.send_digest(1, "2026-01-06T00:00", lambda subject, body, key: sent.append((subject, body, key)) or "thread")
     assert thread == "thread" and all(f"Firm {i}" in sent[0][1] for i in (1, 2, 3)) and w.send_digest(1, "2026-01-07", None) is None
 
-    assert mail(("m1", "thread", f"Re: {PRODUCT} — new ideas worth attention", "T1 - LIKE\ngood\nFirm 2 - PASS\nno"), ("m2", "t2", "thoughts", "buy ZZ"), ("m3", "t3", "thoughts", "unsure of ZZ"),
-                ("m4", "t4", f"Re: {PRODUCT} - new ideas worth attention", "LIKE"), ("m9", "t9", "x", "x")) == 5 and mail(("m1", "thread", "x", "x")) == 0
+    assert mail(("m1", "thread", f"Re: {PRODUCT} — new ideas worth attention", "T1 - LIKE\ngood\nFirm 2 - PASS\nno"),
+        ("m2", "t2", "thoughts", "buy ZZ"), ("m3", "t3", "thoughts", "unsure of ZZ"),
+                ("m4", "t4", f"Re: {PRODUCT} - new ideas worth attention", "LIKE"),
+                ("m9", "t9", "x", "x")) == 5 and mail(("m1", "thread", "x", "x")) == 0
     got = {r.message_id: (r.route, r.status) for r in w.parse_mail(["joe@x.org"], "2026-02-02", reader).collect()}
-    assert got == {"m1": ("DIGEST_REPLY", "PARSED"), "m2": ("MODEL", "PARSED"), "m3": ("MODEL", "NEEDS_REVIEW"), "m4": ("NEEDS_REVIEW", "NEEDS_REVIEW"), "m9": ("SKIPPED_SENDER", "SKIPPED_SENDER")}
+    assert got == {"m1": ("DIGEST_REPLY", "PARSED"), "m2": ("MODEL", "PARSED"), "m3": ("MODEL", "NEEDS_REVIEW"),
+        "m4": ("NEEDS_REVIEW", "NEEDS_REVIEW"), "m9": ("SKIPPED_SENDER", "SKIPPED_SENDER")}
     f = {(r.message_id, r.event_index): r for r in w.feedback().collect()}
-    assert f["m1", 0].ticker == "T1" and f["m1", 1].verdict == "PASS" and f["m1", 1].source_id != f["m1", 0].source_id and len({r.feedback_id for r in f.values()}) == 4
+    assert f["m1", 0].ticker == "T1" and f["m1", 1].verdict == "PASS" and f["m1", 1].source_id != f["m1",
+        0].source_id and len({r.feedback_id for r in f.values()}) == 4
     assert w.status().first().n_violations == 1  # m4 is in review without events
     assert w.approve("m3", "2026-02-03") and not w.approve("m4", "2026-02-03") and w.requeue("2026-02-03", ["m4"]) == 1
     assert w.exclude("2026-02-04", about="zz") == 2 and w.exclude("2026-02-04", about="ZZ", excluded=False) == 2
@@ -72,8 +81,10 @@ def test_the_whole_workflow(spark, tmp_path):
     w.extract("web", extractor, "2026-02-05")
     assigned = w.assign_reviews(5, "2026-02-06").collect()
     assert len(assigned) == 2
-    mail(("m8", "t8", "thoughts", f"hm\n> {SOURCE}"), ("m5", "t5", f"Re: {PRODUCT} Blind Review", f"BR-{assigned[0].assignment_id} — MAYBE\nhm"), ("m6", "t6", f"{PRODUCT} screen review", "SR-1: pass\nno"))
-    assert {r.message_id: r.status for r in w.parse_mail(["joe@x.org"], "2026-02-07", reader).collect()} == {"m5": "PARSED", "m6": "PARSED", "m4": "NEEDS_REVIEW", "m8": "PARSED"}
+    mail(("m8", "t8", "thoughts", f"hm\n> {SOURCE}"), ("m5", "t5", f"Re: {PRODUCT} Blind Review",
+        f"BR-{assigned[0].assignment_id} — MAYBE\nhm"), ("m6", "t6", f"{PRODUCT} screen review", "SR-1: pass\nno"))
+    assert {r.message_id: r.status for r in w.parse_mail(["joe@x.org"], "2026-02-07", reader).collect()} == {"m5": "PARSED", "m6": "PARSED",
+        "m4": "NEEDS_REVIEW", "m8": "PARSED"}
     last = {r.message_id: r for r in w.feedback().collect()}
     assert last["m5"].assignment_id == assigned[0].assignment_id and last["m6"].screening_id == 1 and not last["m6"].holdout_eligible
     assert [r.judged_at for r in w.assignments().orderBy("assignment_id").collect()] == ["2026-02-07", None]
@@ -120,7 +131,8 @@ def test_manifests_are_put_together(spark, tmp_path, monkeypatch):
     log = EventLog(spark, f"file://{tmp_path}/log", {"t": "x long"})
     for i in range(8):
         assert log.commit(t=spark.range(i, i + 1).toDF("x")) == i + 1
-    assert sorted(r.x for r in log.table("t").collect()) == list(range(8)) and [m["seq"] for m in log.batches()] == list(range(1, 9)) and log.seen() == 8
+    assert sorted(r.x for r in log.table("t").collect()) == list(range(8)) and [m["seq"] for m in log.batches()] == list(range(1,
+        9)) and log.seen() == 8
     assert len(list((tmp_path / "log/_manifests").glob("*.json"))) < 8
     with pytest.raises(RuntimeError):
         log.commit(expect=3, t=spark.range(1).toDF("x"))
