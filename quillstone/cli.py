@@ -1,4 +1,4 @@
-"""python -m quillstone.cli: lists the registered queries, runs one, explains its plan, or prints a report."""
+"""python -m quillstone.cli: lists the registered queries, runs one, explains its plan, prints a report, or works on a store."""
 
 from __future__ import annotations
 
@@ -7,9 +7,52 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import audit, evaluation, reports
+from quillstone.operators import audit, evaluation, feedback, labels, reports
 from quillstone.plans.projections import projection
 from quillstone.plans.queries import CHECKPOINT, QUERIES, TASTE
+from quillstone.plans.workspace import Workspace
+
+#: Rows of a listing that are shown.
+SHOWN_ROWS = 200
+
+
+#: Commands on a store: what they do, and their arguments.
+STORE = {
+    "init": ("make a new store", {}),
+    "store-status": ("messages by state, judgments and broken invariants", {}),
+    "show-review": ("messages in review with their events", {}),
+    "exclude": ("take judgments out of learning", {"--about": str, "--feedback-id": int, "--at": str}),
+    "include": ("take judgments back into learning", {"--about": str, "--feedback-id": int, "--at": str}),
+    "requeue": ("put messages in error or review back in the queue", {"--message-id": str, "--at": str}),
+    "approve": ("approve a message in review", {"message_id": str, "--at": str}),
+    "show-repairs": ("narrative repairs of current screenings", {}),
+    "show-predictions": ("blind predictions beside the judgments that came after", {}),
+    "store-audit": ("the hold-out audit of a version's checkpoint", {"checkpoint": int}),
+    "backup": ("a routine snapshot, at most one a day", {"--at": str}),
+}
+
+
+def on_store(spark: SparkSession, args: argparse.Namespace) -> str:
+    """What a command of STORE says, after doing it."""
+    w, shown = Workspace(spark, args.root), lambda df: "\n".join(str(r.asDict(True)) for r in df.limit(SHOWN_ROWS).collect())
+    if args.command == "init":
+        w.store.create()
+        return f"made a store at {args.root}"
+    w.store.open()
+    if args.command in ("exclude", "include"):
+        ids = None if args.feedback_id is None else [args.feedback_id]
+        return f"changed: {w.exclude(args.at, args.about, ids, excluded=args.command == 'exclude')}"
+    if args.command == "requeue":
+        return f"requeued: {w.requeue(args.at, None if args.message_id is None else [args.message_id])}"
+    if args.command == "approve":
+        return "approved" if w.approve(args.message_id, args.at) else "nothing to approve"
+    if args.command == "backup":
+        return w.store.daily_snapshot(args.at) or "there is one of this day"
+    if args.command == "show-review":
+        waiting = feedback.under_review(w.messages(), w.feedback())
+        return "\n".join([shown(waiting), shown(feedback.events_of(w.feedback(), waiting).select(labels.feedback_label(True).alias("event")))])
+    views = {"store-status": w.status, "show-predictions": w.shadow_results, "store-audit": lambda: w.audit(args.checkpoint), "show-repairs": w.repairs}
+    return shown(views[args.command]())
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -23,6 +66,11 @@ def build_parser() -> argparse.ArgumentParser:
         q.add_argument("--limit", type=int, default=20)
     for name in ("status", "evaluate", "audit"):
         sub.add_parser(name, help=f"the {name} report").add_argument("--data", required=True)
+    for name, (what, arguments) in STORE.items():
+        q = sub.add_parser(name, help=what)
+        q.add_argument("--root", required=True, help="folder of the store")
+        for flag, kind in arguments.items():
+            q.add_argument(flag, type=kind, **({"required": flag == "--at"} if flag.startswith("--") else {}))
     return p
 
 
@@ -52,6 +100,8 @@ def main(argv: list[str] | None = None) -> int:
         QUERIES[args.query](spark, args.data).show(args.limit, truncate=80)
     elif args.command == "explain":
         QUERIES[args.query](spark, args.data).explain("formatted")
+    elif args.command in STORE:
+        print(on_store(spark, args))
     else:
         print(report(spark, args.command, args.data))
     return 0

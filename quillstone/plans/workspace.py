@@ -261,6 +261,10 @@ class Workspace:
         self.log.commit(expect=seen, repairs=self._new("repairs", made, "repair_id", ["screening_id"]))
         return made.select("screening_id", "status")
 
+    def repairs(self) -> DataFrame:
+        """Every repair of the newest screenings, with what came back and whether the narrative is whole now."""
+        return narratives.repair_listing(self._table("screenings").drop("__seq"), self._table("repairs").drop("__seq"))
+
     # Digests and blind reviews
 
     def digest(self, taste_version: int) -> DataFrame:

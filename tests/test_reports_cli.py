@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillstone import cli, config
 from quillstone.functions import text
 from quillstone.operators import evaluation, reports
+from quillstone.plans.workspace import Workspace
 
 ITEM = "position int, source_name string, company string, ticker string, overall_prediction string, confidence string, key_reasons array<string>, key_concerns array<string>, critical_questions array<string>, mispricing string, variant_perception string, upside string, business_quality string, downside string, canonical_url string"
 
@@ -49,3 +50,26 @@ def test_reports_run_on_the_projections(spark, name):
 
 def test_list(capsys):
     assert cli.main(["list"]) == 0 and "binary_metrics" in capsys.readouterr().out
+
+
+def test_store_commands(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+
+    def parsed(*args):
+        return cli.on_store(spark, cli.build_parser().parse_args([args[0], "--root", root, *args[1:]]))
+
+    assert "made a store" in parsed("init")
+    with pytest.raises(FileExistsError):
+        parsed("init")
+    w = Workspace(spark, root)
+    rows = [("m1", "PARSED"), ("m2", "NEEDS_REVIEW"), ("m3", "ERROR")]
+    messages = spark.createDataFrame(rows, "message_id string, feedback_parse_status string")
+    events = spark.createDataFrame([(1, "m1", 0, "XX", "FEEDBACK", False), (2, "m2", 0, "YY", "UNCLEAR", False)], "feedback_id long, message_id string, event_index int, ticker string, event_type string, excluded_from_learning boolean")
+    w.log.commit(messages=w._formed("messages", messages), feedback=w._formed("feedback", events))
+    assert "'n_messages': 3" in parsed("store-status") and "YY | UNCLEAR" in parsed("show-review")
+    assert parsed("exclude", "--about", "xx", "--at", "t") == "changed: 1" and parsed("include", "--feedback-id", "1", "--at", "t") == "changed: 1"
+    assert parsed("approve", "m2", "--at", "t") == "approved" and parsed("approve", "m3", "--at", "t") == "nothing to approve"
+    assert parsed("requeue", "--message-id", "m3", "--at", "t") == "requeued: 1" and "routine-d1" in parsed("backup", "--at", "d1") and "one of this day" in parsed("backup", "--at", "d1")
+    assert "'n_official': 0" in parsed("store-audit", "9") and parsed("show-repairs") == "" and parsed("show-predictions") == ""
+    with pytest.raises(ValueError, match="either"):
+        parsed("exclude", "--at", "t")
