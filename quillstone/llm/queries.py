@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontam, langid, lmscore, minhash, mixing, quality, sharding, toxicity, urlfilter
+from quillstone.llm import chat, decontam, langid, lmscore, minhash, mixing, quality, resampling, sharding, toxicity, urlfilter
 from quillstone.llm.common import fold, literal_rows, materialize, table
 
 
@@ -59,10 +59,14 @@ def op10_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_chat(messages)))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_counterfactual_toxicity, op2_segmentation_langid, op3_threshold_quality, op4_range_url_filter,
         op5_kdtree_sharding, op6_poisson_mixing, op7_cross_entropy_difference, op8_minmax_near_dedup, op9_pigeonhole_decontamination,
-        op10_typed_chat)}
+        op10_typed_chat, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
