@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import default_parallelism, literal_rows, materialize, short_batches, spread, whole
+from quillstone.llm.common import PLACE_BITS, in_order, literal_rows, materialize, short_batches, spread, whole
 
 BUCKETS, LONGEST, SEED = 10_000, 2, 7
 #: Documents with fewer words aren't drawn; percent of the others that are.
@@ -181,16 +181,11 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def _placed(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with place, 0, 1, ... in the order given. Rows are sorted by ranges and written with their place in the range;
-    a range's rows go on from the number of rows in the ranges before. Rows that are equal are dealt to several ranges."""
-    parts = default_parallelism(rows.sparkSession)
-    tie = F.monotonically_increasing_id()
-    ranged = rows.withColumn("__tie", tie).repartitionByRange(parts, *order, "__tie").sortWithinPartitions(*order, "__tie")
-    found = materialize(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33).cast("int")
+    """rows with place, 0, 1, ... in the order given: a range's rows go on from the number of rows in the ranges before."""
+    found, part = in_order(rows, *order), F.shiftright("__at", PLACE_BITS).cast("int")
     before, starts = 0, []
     for r in sorted(found.groupBy(part.alias("part")).count().collect()):  # one row for each range
-        starts.append((r[0], before - (r[0] << 33)))
+        starts.append((r[0], before - (r[0] << PLACE_BITS)))
         before += r[1]
     if not starts:
         return found.withColumn("place", F.lit(0).cast("long")).drop("__at")
@@ -224,3 +219,30 @@ def resample(docs: DataFrame, target: DataFrame, **how) -> DataFrame:
     """The drawn documents, whole rows of docs with all their columns, in no order."""
     packed = docs.select(whole(docs).alias("row"), "doc_id", "text")
     return spread(importance_resample(packed, target, keep=("row",), **how).filter("rank IS NOT NULL"))
+
+
+def oracle(percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    shift = "xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = "CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS BIGINT)"
+    # The CRC's table by its rule; each distinct run is hashed once.
+    return rf"""
+WITH RECURSIVE e(k, s, n) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT k, {shift}, n + 1 FROM e WHERE n < 8),
+tbl AS (SELECT list(s ORDER BY k) AS t FROM e WHERE n = 8),
+texts AS (SELECT row_number() OVER () AS id, doc_id, text, 0 AS side FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, 1 FROM benchmark),
+w AS (SELECT id, doc_id, side, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT id, side, unnest(w) AS f FROM w
+  UNION ALL SELECT id, side, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1),
+fs AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+crc AS (SELECT f, CAST(xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: {byte}), lambda s, x: xor(s >> 8, t[1 + (xor(s, x) & 255)]), 4294967295),
+  4294967295) % {buckets} AS BIGINT) AS b FROM fs, tbl),
+c AS (SELECT id, side, b, count(*) AS n FROM runs JOIN crc USING (f) GROUP BY id, side, b),
+g AS (SELECT b, sum(CASE side WHEN 0 THEN n ELSE 0 END) AS s, sum(CASE side WHEN 1 THEN n ELSE 0 END) AS t FROM c GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(CAST(s AS DOUBLE)) OVER () + {buckets}) / ((CAST(s AS DOUBLE) + 1) * (sum(CAST(t AS DOUBLE)) OVER () + {buckets})))) AS BIGINT) AS gain FROM g),
+m AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM c JOIN gain USING (b) WHERE side = 0 GROUP BY id),
+d AS (SELECT w.id, w.doc_id, len(w.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (id) WHERE side = 0),
+s AS (SELECT *, weight + CAST(floor(-1000.0 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS able FROM s WHERE words >= {least_words})
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN rank <= (able * {percent}) // 100 THEN CAST(rank AS BIGINT) END AS rank FROM s LEFT JOIN r USING (id)"""
