@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators.storage import literal_rows, materialize, release, shared_dir
 
-__all__ = ["byte_size", "default_parallelism", "fold", "in_order", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread",
+__all__ = ["byte_blocks", "byte_runs", "byte_size", "default_parallelism", "fold", "in_order", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread",
     "table", "whole", "words_of"]
 
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
@@ -67,3 +71,30 @@ def in_order(rows: DataFrame, *order: Column) -> DataFrame:
     ranged = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(default_parallelism(rows.sparkSession), *order,
         "__tie").sortWithinPartitions(*order, "__tie")
     return materialize(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
+
+
+def byte_blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The UTF-8 bytes of an Arrow column of texts in blocks of about size bytes (a longer text alone): the number of the
+    block's first text, its bytes, and where each of its texts ends in them. Null texts are empty. Nothing is copied."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, at = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+        at = to
+
+
+def byte_runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the longest runs of marked bytes start and stop, by differences; a run that goes on from one text into the next is two."""
+    edge, marked = np.zeros(len(inside) + 1, np.int8), inside.astype(np.int8)
+    edge[:-1] = marked
+    edge[1:] -= marked
+    cut = np.unique(ends[(ends > 0) & (ends < len(inside))])
+    cut = cut[inside[cut - 1] & inside[cut]]
+    return np.sort(np.concatenate([np.flatnonzero(edge == 1), cut])), np.sort(np.concatenate([np.flatnonzero(edge == -1), cut]))

@@ -389,12 +389,12 @@ g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn),
 d AS (SELECT *, list_reduce(codes, lambda s, x: [{', '.join(_sql_step())}], ['000000000', NULL, NULL, NULL]) AS s FROM g),
 b AS (SELECT *, least({', '.join(ends)}) AS best FROM d),
 a AS (SELECT * EXCLUDE (codes, s, best), CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM b),
-w AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS at, audit FROM a),
-y AS (SELECT conv_id, at, substr(audit, CAST(at AS INTEGER), 1) AS edit, length(replace(substr(audit, 1, CAST(at AS INTEGER)), 'I', '')) AS n FROM w),
-z AS (SELECT y.conv_id, at, edit, role, text, row_number() OVER (PARTITION BY y.conv_id ORDER BY at) AS j
+w AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS pos, audit FROM a),
+y AS (SELECT conv_id, pos, substr(audit, CAST(pos AS INTEGER), 1) AS edit, length(replace(substr(audit, 1, CAST(pos AS INTEGER)), 'I', '')) AS n FROM w),
+z AS (SELECT y.conv_id, pos, edit, role, text, row_number() OVER (PARTITION BY y.conv_id ORDER BY pos) AS j
   FROM y LEFT JOIN o ON edit <> 'I' AND y.conv_id IS NOT DISTINCT FROM o.conv_id AND y.n = o.n WHERE edit <> 'D'),
-v AS (SELECT conv_id, at, edit, role, coalesce(text, '') AS text, j + max(CASE WHEN j = 1 AND edit = 'K' AND role LIKE 's%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS j FROM z),
-t AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY at) AS whole FROM v GROUP BY conv_id)
+v AS (SELECT conv_id, pos, edit, role, coalesce(text, '') AS text, j + max(CASE WHEN j = 1 AND edit = 'K' AND role LIKE 's%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS j FROM z),
+t AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY pos) AS whole FROM v GROUP BY conv_id)
 SELECT q.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
   CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
   sha256(coalesce(whole, '')) AS repaired_sha256

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, conversations, decontam, langid, lmscore, minhash, mixing, quality, resampling, sharding, toxicity, urlfilter
+from quillstone.llm import chat, conversations, decontam, langid, lmscore, minhash, mixing, quality, resampling, secrets, sharding, toxicity, urlfilter
 from quillstone.llm.common import fold, literal_rows, materialize, table
 
 
@@ -63,6 +63,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversations.digests(conversations.damage(rows), rows)
@@ -71,7 +75,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (op1_counterfactual_toxicity, op2_segmentation_langid, op3_threshold_quality, op4_range_url_filter,
         op5_kdtree_sharding, op6_poisson_mixing, op7_cross_entropy_difference, op8_minmax_near_dedup, op9_pigeonhole_decontamination,
-        op10_typed_chat, op11_importance_resampling, op13_conversation_repair)}
+        op10_typed_chat, op11_importance_resampling, op12_secret_scan, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

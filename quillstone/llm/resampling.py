@@ -33,7 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import PLACE_BITS, in_order, literal_rows, materialize, short_batches, spread, whole
+from quillstone.llm.common import (
+    PLACE_BITS,
+    byte_blocks,
+    byte_runs,
+    in_order,
+    literal_rows,
+    materialize,
+    short_batches,
+    spread,
+    whole,
+)
 
 BUCKETS, LONGEST, SEED = 10_000, 2, 7
 #: Documents with fewer words aren't drawn; percent of the others that are.
@@ -69,15 +79,7 @@ class Words:
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         """data: the bytes of all texts; ends: where each text ends in them."""
         self.data = FOLDED[data]
-        edge = np.zeros(len(data) + 1, np.int8)
-        inside = (self.data != 0).astype(np.int8)
-        edge[:-1], edge[-1] = inside, 0
-        edge[1:] -= inside
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # A word that goes on from one text into the next is two.
-        cut = np.unique(ends[(ends > 0) & (ends < len(data))])
-        cut = cut[(inside[cut - 1] == 1) & (inside[cut] == 1)]
-        self.start, stop = np.sort(np.concatenate([first, cut])), np.sort(np.concatenate([last, cut]))
+        self.start, stop = byte_runs(self.data != 0, ends)
         self.length = stop - self.start
         upto = np.searchsorted(self.start, ends, side="left")
         self.per_text = np.diff(upto, prepend=0)
@@ -118,18 +120,8 @@ class Words:
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
-    """The texts in blocks of about BLOCK_BYTES, by the number of the first; null texts are empty."""
-    texts = texts.cast(pa.large_string())
-    if texts.null_count:
-        texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
-        yield at, Words(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at])
-        at = to
+    for first, data, ends in byte_blocks(texts, BLOCK_BYTES):
+        yield first, Words(data, ends)
 
 
 def _histogram(batches: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
