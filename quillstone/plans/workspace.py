@@ -163,24 +163,33 @@ class Workspace:
 
     def exclude(self, at: str, about: str | None = None, ids: list[int] | None = None, excluded: bool = True) -> int:
         """Takes judgments about an idea, or of given ids, out of learning or back in; returns how many changed."""
-        rows = materialize(state.exclusions(self.feedback(), at, about, ids, excluded))
-        if n := rows.count():
-            self.log.commit(feedback_events=rows)
-        return n
+        def work(seen: int) -> int:
+            rows = materialize(state.exclusions(self.feedback(), at, about, ids, excluded))
+            if n := rows.count():
+                self.log.commit(expect=seen, feedback_events=rows)
+            return n
+
+        return self.log.again(work)
 
     def requeue(self, at: str, message_ids: list[str] | None = None) -> int:
         """Puts messages in error or review, all or the given ones, back in the queue; returns how many."""
-        m = self.messages() if message_ids is None else self.messages().filter(F.col("message_id").isin(message_ids))
-        changed, gone = (materialize(x) for x in state.requeued(m, self.feedback(), at))
-        if n := changed.count():
-            self.log.commit(message_events=changed, feedback_events=gone)
-        return n
+        def work(seen: int) -> int:
+            m = self.messages() if message_ids is None else self.messages().filter(F.col("message_id").isin(message_ids))
+            changed, gone = (materialize(x) for x in state.requeued(m, self.feedback(), at))
+            if n := changed.count():
+                self.log.commit(expect=seen, message_events=changed, feedback_events=gone)
+            return n
+
+        return self.log.again(work)
 
     def approve(self, message_id: str, at: str) -> bool:
-        rows = materialize(state.approved(self.messages().filter(F.col("message_id") == message_id), self.feedback(), at))
-        if found := rows.count() > 0:
-            self.log.commit(message_events=rows)
-        return found
+        def work(seen: int) -> bool:
+            rows = materialize(state.approved(self.messages().filter(F.col("message_id") == message_id), self.feedback(), at))
+            if found := rows.count() > 0:
+                self.log.commit(expect=seen, message_events=rows)
+            return found
+
+        return self.log.again(work)
 
     def status(self) -> DataFrame:
         """One row: messages by state, judgments, and rows that break an invariant."""
@@ -218,20 +227,25 @@ class Workspace:
     def repair_content(self, pages: DataFrame, at: str) -> int:
         """Marks complete versions whose stored page (source_id, html) holds no content; returns how many. Nothing is deleted."""
         self.log.snapshot(f"before-content-repair-{at.replace(':', '')}")
-        rows = materialize(state.content_repairs(self.sources(), pages, at))
-        if n := rows.count():
-            self.log.commit(source_events=rows)
-        return n
+
+        def work(seen: int) -> int:
+            rows = materialize(state.content_repairs(self.sources(), pages, at))
+            if n := rows.count():
+                self.log.commit(expect=seen, source_events=rows)
+            return n
+
+        return self.log.again(work)
 
     def extract(self, source_name: str, factory: Callable, at: str) -> DataFrame:
         """Has a model read the versions that wait for it; returns source_id and status. Failures wait on."""
+        seen = self.log.seen()
         todo = sources.pending_extraction(self.sources(), self.observations(), source_name).select("source_id", "raw_text")
         read = materialize(models.apply_model(todo, "raw_text", factory, models.EXTRACTED_IDEA))
         good = read.filter("status = 'OK'").select("source_id", models.checked_json(F.col("answer"),
             models.EXTRACTED_IDEA).alias("i")).select("source_id", "i.*")
         done = good.select("source_id", F.lit("EXTRACTED").alias("kind"),
             *[F.lit(None).cast("string").alias(c) for c in ("collection_status", "reason")], F.lit(at).alias("at"))
-        self.log.commit(extractions=self._formed("extractions", good), source_events=done)
+        self.log.commit(expect=seen, extractions=self._formed("extractions", good), source_events=done)
         return read.select("source_id", "status")
 
     def screen(self, taste_version: int, rules_sha256: str, prompt: Column, factory: Callable, at: str, prompt_version: int = 1,
@@ -320,10 +334,10 @@ class Workspace:
             "source_status")).join(before.select("message_id", F.col("idea_id").alias("__known")), "message_id", "left"))
         new = self._new("ideas", fresh.filter("__known IS NULL"), "idea_id", ["message_id"])
         again = self._formed("ideas", fresh.filter("__known IS NOT NULL").withColumn("idea_id", F.col("__known")))
-        self.log.commit(expect=seen, ideas=new.unionByName(again))
+        seen = self.log.commit(expect=seen, ideas=new.unionByName(again))
         read = materialize(ideas.extraction(self.ideas().drop(*models.EXTRACTED_IDEA), extractor))
-        self.log.commit(idea_extractions=self._formed("idea_extractions", read.filter("status = 'OK'").select("idea_id", "idea.*")))
-        seen = self.log.seen()
+        seen = self.log.commit(expect=seen, idea_extractions=self._formed("idea_extractions", read.filter("status = 'OK'").select("idea_id",
+            "idea.*")))
         made = materialize(ideas.screening(self.ideas(), self._table("predictions"), "core_thesis", predictor, taste_version,
             rules_sha256).withColumn("created_at", F.lit(at)))
         self.log.commit(expect=seen, predictions=self._new("predictions", ideas.new_predictions(made, self._table("predictions")),
@@ -398,9 +412,10 @@ class Workspace:
     def exclude_duplicate(self, checkpoint: int, exclude: int, retain: int, expected: dict, reason: str, at: str,
             dry_run: bool = False) -> list[str]:
         """Takes a confirmed duplicate out of the hold-out, after a snapshot; returns what speaks against it, and then nothing changes."""
+        seen = self.log.seen()
         rows = audit.roles(self.feedback(), self.messages(), checkpoint, state.repaired_duplicates(self._table("feedback_events")))
         failures, event = state.duplicate_repair(rows, exclude, retain, expected, reason, at)
         if event is not None and not dry_run:
             self.log.snapshot(f"before-duplicate-repair-{exclude}")
-            self.log.commit(feedback_events=event)
+            self.log.commit(expect=seen, feedback_events=event)
         return failures
