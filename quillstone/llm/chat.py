@@ -5,6 +5,9 @@ struct<type, text, ref, width, height, millis, pages>. A visitor flattens the pa
 image, audio and document parts become one placeholder each, with a reference to the attachment and the number of
 tokens that it expands to. A turn is written as <|turn|>role<|text|>content<|end|>.
 
+Neighbouring text parts are one text: they are put together before they are escaped, as a control string may lie across
+several of them.
+
 Escaping: each control string in a text (or role) gets one backslash after its first character, and a control string
 that has k backslashes there already gets k + 1; taking one away restores the text. So no control string of the
 template, nor of other common templates, can come from a text.
@@ -56,15 +59,25 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *nothing))
 
 
-def _visit(part: Column) -> Column:
-    """Placeholder or escaped text of one part."""
-    kind = part["type"]
-    out = F.when(kind == "text", escape(F.coalesce(part["text"], F.lit(""))))
+def _mark(part: Column) -> Column:
+    """Placeholder of a part that is no text."""
+    kind, out = part["type"], F
     for name, mark in PLACEHOLDER.items():
         out = out.when(kind == name, F.lit(mark))
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(kind, F.lit("null")))).cast("string"))
 
 
+def _visit(parts: Column) -> Column:
+    """Placeholders and escaped texts of all parts in order. A text is escaped where it ends: at a part of another type, or behind the last."""
+    def step(s: Column, part: Column) -> Column:
+        more = F.struct(s["done"].alias("done"), F.concat(s["text"], F.coalesce(part["text"], F.lit(""))).alias("text"))
+        return F.when(part["type"] == "text", more).otherwise(F.struct(F.concat(s["done"], escape(s["text"]), _mark(part)).alias("done"),
+            F.lit("").alias("text")))
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("done"), F.lit("").alias("text")), step,
+        lambda s: F.concat(s["done"], escape(s["text"])))
+
+
 def _tokens(part: Column) -> Column:
     """Tokens that a placeholder expands to."""
     cells = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / PATCH)
@@ -79,7 +92,7 @@ def format_chat(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     raw = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], p["ref"], F.lit(""))), "")
-    m = m.select("conv_id", "turn", "role", raw.alias("raw"), F.array_join(F.transform("parts", _visit), "").alias("content"),
+    m = m.select("conv_id", "turn", "role", raw.alias("raw"), _visit(F.col("parts")).alias("content"),
         F.filter(F.transform("parts", lambda p, i: F.struct(
         i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))),
         lambda a: a["type"] != "text").alias("files"))

@@ -9,8 +9,8 @@ Items go through in blocks whose automaton stays below BLOCK_BYTES of pieces, a
 a stated query set against all rows. Only items are ever sent to the executors, a block at a time. The distinct texts
 of the items are read to the driver, in blocks as well.
 
-Cases: null and blank texts match nothing, and null or blank items are never found; an item whose text is so short that
-its pieces would fall below MIN_PIECE bytes gets a smaller budget, down to exact matching; several items with one text
+Cases: null and blank texts match nothing, and null or blank items are never found; an item of fewer than
+13 bytes is matched exactly, as its budget is 0; several items with one text
 are each reported; repeated documents are each reported; a text of any length is searched whole, in memory in
 proportion to it; an empty table of either kind gives an empty result. find_leaks() ignores other columns; decontaminate()
 carries them, whatever their names, and judges rows with a null or repeated id each by its own text.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import short_batches
 
-#: Edits allowed, per cent of an item's normalised length; least length of a piece; bytes of pieces in one automaton.
-ERROR_PERCENT, MIN_PIECE, BLOCK_BYTES = 8, 10, 8_000_000
+#: Edits allowed, per cent of an item's normalised length; bytes of pieces in one automaton.
+ERROR_PERCENT, BLOCK_BYTES = 8, 8_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -38,7 +38,7 @@ def normalise(text: bytes | None) -> bytes:
 
 
 def budget(length: int) -> int:
-    return max(0, min(length * ERROR_PERCENT // 100, length // MIN_PIECE - 1))
+    return length * ERROR_PERCENT // 100
 
 
 def pieces(item: bytes) -> list[tuple[int, bytes]]:

@@ -5,8 +5,8 @@ sum over all its segmentations into pieces of the product of their probabilities
 a text's log probability is the sum over its words. Words are runs of letters, lower-cased, with a leading word mark.
 Piece probabilities are learned by expectation maximisation with the same lattice (forward and backward).
 
-Fitting reads a bounded sample: about SAMPLE_DOCS documents a language, chosen by a hash of the id, and of those the
-SAMPLE_WORDS most frequent words a language, whatever their lengths. Every language that occurs is learned; a model takes
+Fitting reads a bounded sample: about SAMPLE_DOCS documents a language, chosen by a hash of the id, and
+all of their words. Every language that occurs is learned; a model takes
 some 0.3 MB for each of them. Scoring reads whole texts.
 
 The score is the posterior probability (equal priors) that EVIDENCE_WORDS words of the text's mean evidence would give,
@@ -27,14 +27,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillstone.llm.common import short_batches, whole
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
+SAMPLE_DOCS = 300
 EVIDENCE_WORDS, ROUNDS = 12, 4
 #: Probability of a character outside the vocabulary; shares of the pooled and the uniform distribution in each language's.
 UNKNOWN, POOLED, UNIFORM = 1e-7, 0.02, 0.002
@@ -243,8 +243,7 @@ def sample_counts(train: DataFrame) -> dict[str, dict[str, int]]:
     some = train.filter(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
     counted = some.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, dict[str, int]] = {x: {} for x in sizes}
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    for r in counted.withColumn("r", best).filter(F.col("r") <= SAMPLE_WORDS).select("lang", "word", "n").toArrow().to_pylist():
+    for r in counted.orderBy("lang", "word").toArrow().to_pylist():  # the words of the sampled rows
         out[r["lang"]][r["word"]] = r["n"]
     return {x: c for x, c in out.items() if c}
 

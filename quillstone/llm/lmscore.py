@@ -8,7 +8,8 @@ of target loss minus background loss: the lower, the more like the target.
 
 Counting: documents are dealt by a hash into blocks of about BLOCK_BYTES of text. Each block sends its distinct n-grams
 with their counts to the parts of the hash range; a part sums them over all blocks and sends each block the sums of its
-own n-grams, in the order in which it came with them. Blocks and parts grow in number with the input, not in size, and
+own n-grams, in the order in which it came with them. The vocabulary, over which the unigram prior is uniform, is the
+number of distinct words of all documents. Blocks and parts grow in number with the input, not in size, and
 an n-gram comes once from each block, however common it is. The driver receives three sums.
 
 Cases: null and blank texts have 0 tokens and null losses; repeated rows each count and are each scored; a text of any
@@ -25,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words over which the unigram prior is uniform; it bounds no count.
-WORD_SLOTS = 2**17
-#: Weight of the unigram model in tokens, and what each slot of that has from the start.
+#: Weight of the unigram model in tokens, and what each word of that has from the start.
 PRIOR, FLOOR = 20.0, 0.1
-#: Target ids that are broadcast; more are joined by shuffle. Words whose hashes a worker remembers.
-MAX_BROADCAST_IDS, CACHE = 2_000_000, 250_000
+#: Target ids that are broadcast; more are joined by shuffle. Words whose hashes a worker remembers, and those it holds for the vocabulary.
+MAX_BROADCAST_IDS, CACHE, HELD = 2_000_000, 250_000, 500_000
 #: Text of a block of documents, and blocks for each part of the hash range.
 BLOCK_BYTES, BLOCKS_PER_PART = 8_000_000, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -77,6 +76,18 @@ def _size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (size, background, target)], ["size", "background", "target"])
 
 
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of a task's words; a word comes again only after HELD others."""
+    hashes, held = _Hashes(), set()
+    for batch in batches:
+        for text in batch.column(0).cast(pa.large_binary()):
+            held.update(map(hashes.__getitem__, set((text.as_py() or b"").lower().split())))
+            if len(held) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64))], ["word"])
+                held = set()
+    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64))], ["word"])
+
+
 def _pack(rows: list[tuple]) -> pa.Table:
     names = [c.split()[0] for c in _COUNTS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -134,10 +145,10 @@ def _sum(rows: pa.Table) -> pa.Table:
     return _pack(out)
 
 
-def losses(c1: np.ndarray, c2: np.ndarray, total: float, scale: float) -> np.ndarray:
+def losses(c1: np.ndarray, c2: np.ndarray, total: float, scale: float, vocabulary: int) -> np.ndarray:
     """Minus log probability of each token, from the counts of words (the start mark first) and pairs without the document's own."""
     c1, c2, total = np.maximum(c1, 0) * scale, np.maximum(c2, 0) * scale, max(total, 0) * scale
-    word = (c1[1:] + FLOOR) / (total + FLOOR * WORD_SLOTS)
+    word = (c1[1:] + FLOOR) / (total + FLOOR * vocabulary)
     return -np.log((c2 + PRIOR * word) / (np.maximum(c1[:-1], c2) + PRIOR))
 
 
@@ -146,7 +157,7 @@ def _own(x: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def _score(rows: pa.Table, sums: pa.Table, all_b: int, all_t: int) -> pa.Table:
+def _score(rows: pa.Table, sums: pa.Table, all_b: int, all_t: int, vocabulary: int) -> pa.Table:
     docs, sums = _read(rows), sums.sort_by("part")
     found, at = np.unique(_keys(docs), return_inverse=True)
     background, target = (np.concatenate([np.zeros(0, np.uint64), *_unpacked(sums, c)]).astype(np.int64) for c in ("background", "target"))
@@ -163,8 +174,8 @@ def _score(rows: pa.Table, sums: pa.Table, all_b: int, all_t: int) -> pa.Table:
         i1, i2 = at[start : start + len(ids)], at[start + len(ids) : start + len(ids) + len(pairs)]
         start += len(ids) + len(pairs)
         o1, o2, out = _own(i1), _own(i2), int(is_target)
-        lt.append(float(losses(target[i1] - out * o1, target[i2] - out * o2, all_t - out * len(pairs), 1.0).mean()))
-        lb.append(float(losses(background[i1] - o1, background[i2] - o2, all_b - len(pairs), scale).mean()))
+        lt.append(float(losses(target[i1] - out * o1, target[i2] - out * o2, all_t - out * len(pairs), 1.0, vocabulary).mean()))
+        lb.append(float(losses(background[i1] - o1, background[i2] - o2, all_b - len(pairs), scale, vocabulary).mean()))
     diff = [None if t is None else t - b for t, b in zip(lt, lb, strict=True)]
     return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(lt, pa.float64()),
         "background_loss": pa.array(lb, pa.float64()), "score": pa.array(diff, pa.float64())})
@@ -178,9 +189,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__id").isNotNull().alias("is_target"))
     size = rows.select("text", "is_target").mapInArrow(_size, "size long, background long, target long").agg(*[F.coalesce(F.sum(c),
         F.lit(0)) for c in ("size", "background", "target")]).first()
+    vocabulary = rows.select("text").mapInArrow(_vocabulary, "word long").distinct().count()
     blocks = 1 + size[0] // BLOCK_BYTES
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     parts, (_, all_b, all_t) = 1 + blocks // BLOCKS_PER_PART, size
     counts = rows.groupBy("block").applyInArrow(lambda key, rows: _count(key, rows, parts), _COUNTS)
     sums = counts.groupBy("part").applyInArrow(_sum, _COUNTS)
-    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda rows, sums: _score(rows, sums, all_b, all_t), _SCORES)
+    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda rows, sums: _score(rows, sums, all_b, all_t, vocabulary), _SCORES)

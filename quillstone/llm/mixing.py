@@ -9,7 +9,8 @@ Cases: a null source is a source of its own; a null id hashes as an empty text;
 each (the same id draws the same count); weights of sources that have no rows are ignored and the rest rescaled;
 sources without a weight get none of the copies; an empty table gives an empty result. Rows are carried unchanged in a
 struct, so no name of theirs can clash, whatever their length. Only one row a source is ever joined to the documents; a hot source needs no salt, since counts
-are pre-aggregated and the join is a broadcast up to MAX_BROADCAST_SOURCES sources and a skew-split join beyond.
+are pre-aggregated and the join is a broadcast up to MAX_BROADCAST_SOURCES sources and a skew-split join beyond. Rows that
+share an id, null ones among them, have the same place; the global shuffle deals them out by their number as well.
 """
 
 from __future__ import annotations
@@ -67,22 +68,23 @@ def _with_tables(rates: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED, source: str = "source",
         doc_id: str = "doc_id") -> DataFrame:
-    """Once for each copy: row, a struct of all columns of docs; copy (1, 2, ...); place, its place in the global shuffle."""
+    """Once for each copy: row, a struct of all columns of docs; copy (1, 2, ...); place, its place in the global shuffle; number, the row's own."""
     rates = _with_tables(source_rates(docs, weights, source))
     many = rates.limit(MAX_BROADCAST_SOURCES + 1).count() > MAX_BROADCAST_SOURCES
     u = (hash_bits(F.lit(seed), docs[doc_id]) + F.lit(0.5)) / F.lit(float(2**BITS))
-    rows = docs.select(whole(docs).alias("row"), docs[source].alias("of"), docs[doc_id].alias("id"), u.alias("u"))
+    rows = docs.select(whole(docs).alias("row"), docs[source].alias("of"), docs[doc_id].alias("id"), u.alias("u"),
+        F.monotonically_increasing_id().alias("number"))
     drawn = rows.join(rates if many else F.broadcast(rates), F.col("of").eqNullSafe(F.col("source")))
     n = F.when(F.col("rate") > 0, F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(0)
-    copies = drawn.select("row", "id", n.alias("n")).filter("n > 0").select("row", "id",
+    copies = drawn.select("row", "id", "number", n.alias("n")).filter("n > 0").select("row", "id", "number",
         F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    return copies.select("row", "copy", hash_bits(F.lit(seed), F.col("id"), F.col("copy")).alias("place"))
+    return copies.select("row", "copy", hash_bits(F.lit(seed), F.col("id"), F.col("copy")).alias("place"), "number")
 
 
 def shuffled(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Deals mixed rows out by their hash and orders each part by it: a global shuffle, the same in each run."""
+    """Deals mixed rows out by a hash of place and number, and orders each part by place: a global shuffle."""
     n = default_parallelism(mixed.sparkSession)
-    return mixed.repartition(n, "place", "copy").sortWithinPartitions("place", F.col("row").getField(doc_id), "copy")
+    return mixed.repartition(n, "place", "copy", "number").sortWithinPartitions("place", F.col("row").getField(doc_id), "copy")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:

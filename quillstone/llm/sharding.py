@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import MAX_BROADCAST_IDS, byte_size, literal_rows, materialize, release
+from quillstone.llm.common import MAX_BROADCAST_IDS, PLACE_BITS, byte_size, in_order, literal_rows, materialize, release
 
 #: Bits of a dimension and of the text's hash in the order key; the widths of its digits and of those of a row's number.
 DIM_BITS, TEXT_BITS = 20, 42
@@ -135,27 +135,30 @@ def kd_tree_shards(meta: DataFrame, shards: int) -> DataFrame:
         cuts = literal_rows(spark, _cuts(rows, nodes), "node int, dim int, cut long, row_cut long, to int")
         key = _order_key()
         right = F.col("cut").isNotNull() & ((key > F.col("cut")) | (key == F.col("cut")) & (F.col("row") >= F.col("row_cut")))
-        rows = rows.join(F.broadcast(cuts), "node", "left").withColumn("node",
-            F.when(right, F.col("to")).otherwise(F.col("node"))).drop("dim", "cut", "row_cut", "to")
+        placed = materialize(rows.join(F.broadcast(cuts), "node", "left").withColumn("node",
+            F.when(right, F.col("to")).otherwise(F.col("node"))).drop("dim", "cut", "row_cut", "to"))  # each level is written once
+        release(rows)
+        rows = placed
         nodes = [c for n in nodes for c in ({"id": n["id"], "shards": n["shards"] // 2},
             {"id": n["id"] + n["shards"] // 2, "shards": n["shards"] - n["shards"] // 2})]
     return rows.withColumnRenamed("node", "shard")
 
 
-#: Rows that one task numbers; tasks are as many as it takes.
-ROWS_A_TASK = 200_000
+#: Rows of a shard that write_shards() puts in one file; (range, shard) pairs that are broadcast, more are joined by shuffle.
+ROWS_A_FILE, MAX_BROADCAST_PAIRS = 200_000, 1_000_000
 
 
 def number_slots(rows: DataFrame) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard: rows are numbered in parts of about ROWS_A_TASK, on top of the counts of the parts before."""
-    total = rows.count()
-    parts = max(32, -(-total // ROWS_A_TASK))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("c"))  # at most shards x parts rows
-    before = counts.select("shard", "part", (F.sum("c").over(Window.partitionBy("shard").orderBy("part")) - F.col("c")).alias("base"))
-    within = Window.partitionBy("shard", "part").orderBy("text_hash", "row")
-    return rows.withColumn("n", F.row_number().over(within)).join(before, ["shard", "part"]).withColumn("slot",
-        (F.col("base") + F.col("n") - 1).cast("long")).drop("part", "base", "n")
+    """Adds slot, gapless from 0 in each shard. Rows are sorted by ranges of (shard, text_hash, row): a range holds few shards or a
+    part of one, so there are at most ranges + shards pairs, and a pair's rows go on from those of its shard in the ranges before."""
+    found = in_order(rows, F.col("shard"), F.col("text_hash"), F.col("row"))
+    part = F.shiftright("__at", PLACE_BITS)
+    pairs = materialize(found.groupBy(part.alias("part"), "shard").agg(F.min("__at").alias("first"), F.count("*").alias("n")))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    base = pairs.select("part", "shard", (before - F.col("first")).alias("base"))
+    few = pairs.count() <= MAX_BROADCAST_PAIRS
+    return found.withColumn("part", part).join(F.broadcast(base) if few else base, ["part", "shard"]).withColumn("slot",
+        (F.col("__at") + F.col("base")).cast("long")).drop("part", "base", "__at")
 
 
 def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None,
@@ -180,5 +183,5 @@ def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Writes whole documents to path, a folder for each shard. The documents' id must be unique."""
     placed = assign_shards(docs, **how).select("doc_id", "shard", "slot")
     out = docs.join(placed, "doc_id")
-    out.repartition("shard", F.floor(F.col("slot") / ROWS_A_TASK)).sortWithinPartitions("shard",
+    out.repartition("shard", F.floor(F.col("slot") / ROWS_A_FILE)).sortWithinPartitions("shard",
         "slot").write.partitionBy("shard").parquet(path)

@@ -41,8 +41,8 @@ IDENTITY = {
 }
 GROUP_OF = {term: terms for terms in IDENTITY.values() for term in terms}
 PREFIXES = (4, 5, 6)
-#: Screening: least toxic documents, z value and ratio of frequencies; most features.
-LEAST_DOCS, LEAST_Z, LEAST_RATIO, MOST_FEATURES = 4, 5.0, 3.0, 4096
+#: Screening: least toxic documents, z value and ratio of frequencies.
+LEAST_DOCS, LEAST_Z, LEAST_RATIO = 4, 5.0, 3.0
 #: Bound of the sample the weights are fitted on; weights of the ridge and the counterfactual penalty.
 TRAIN_ROWS, RIDGE, COUNTERFACTUAL = 20_000, 2e-5, 4.0
 THRESHOLD = 0.7
@@ -93,7 +93,7 @@ def screen(train: DataFrame, n1: int, n0: int) -> list[str]:
     p1, p0, p = F.col("x") / n1, F.col("y") / n0, (F.col("x") + F.col("y")) / (n1 + n0)
     z = (p1 - p0) / F.sqrt(p * (1 - p + 1e-9) * (1 / n1 + 1 / n0))
     good = c.filter(F.col("x") >= LEAST_DOCS).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (p1 >= LEAST_RATIO * p0))
-    kept = [r[0] for r in good.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
+    kept = [r[0] for r in good.orderBy(F.desc("z"), "feature").collect()]  # all that pass: a part of the vocabulary
     return kept + sorted({"=" + t for t in GROUP_OF} - set(kept))
 
 

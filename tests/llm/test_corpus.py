@@ -141,6 +141,12 @@ def test_mixing_meets_the_target(spark):
     assert out.select("copy", "row.doc_id").distinct().count() == out.count()
 
 
+def test_mixing_spreads_rows_of_one_id(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "'s' AS source", "'t' AS text")
+    sizes = [len(p) for p in mixing.shuffled(mixing.mix(df)).select("place").rdd.glom().collect()]
+    assert max(sizes) < 1.3 * sum(sizes) / len(sizes)
+
+
 def shingles(text, k):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

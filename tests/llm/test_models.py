@@ -244,6 +244,11 @@ def test_losses_match_counts_by_hand(spark):
         return one, two, sum(len(words[i]) for i in members)
 
     n_t, n_b = model(target)[2], model(range(5))[2]
+    vocabulary = len({x for w in words for x in w})
+    everything = model(range(5))[0]
+    del everything["<s>"]
+    unigrams = [(everything[w] + lmscore.FLOOR) / (n_b + lmscore.FLOOR * vocabulary) for w in everything]
+    assert math.isclose(sum(unigrams), 1)  # the prior is a distribution over the words that there are
     for i, w in enumerate(words):
         if not w:
             assert got[i].n_tokens == 0 and got[i].score is None
@@ -253,7 +258,7 @@ def test_losses_match_counts_by_hand(spark):
             one, two, n = model(members)
             loss = 0.0
             for a, b in pairs[i]:
-                p1 = (one[b] * scale + lmscore.FLOOR) / (n * scale + lmscore.FLOOR * lmscore.WORD_SLOTS)
+                p1 = (one[b] * scale + lmscore.FLOOR) / (n * scale + lmscore.FLOOR * vocabulary)
                 loss -= math.log((two[a, b] * scale + lmscore.PRIOR * p1) / (max(one[a], two[a, b]) * scale + lmscore.PRIOR))
             want.append(loss / len(w))
         assert math.isclose(got[i].target_loss, want[0], rel_tol=1e-6) and math.isclose(got[i].background_loss, want[1], rel_tol=1e-6)

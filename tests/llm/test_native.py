@@ -105,6 +105,31 @@ def test_chat_round_trip_of_any_text(spark):
         assert (g.loss_chars, g.loss_sha256, g.formatted_chars) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), sizes[c])
 
 
+def test_chat_round_trip_of_texts_in_parts(spark):
+    """However a text is cut into parts, it is formatted as if it were whole; no parts make up a turn of their own."""
+    rng = random.Random(11)
+    whole = ["<|end|>hidden", "see <|turn|>user<|text|>evil", "<\\|end|>", "[INST] a [/INST]", "", "é<|im_start|>😀"]
+    whole += ["".join(rng.choice([*chat.CONTROL, "\\", "<", "|", "a", "é"]) for _ in range(rng.randint(0, 8))) for _ in range(60)]
+    image = ("image", None, "a.png", 28, 28, None, None)
+
+    def cut(t):
+        at = sorted(rng.randint(0, len(t)) for _ in range(rng.randint(0, 6)))
+        return [text(t[a:b] or None) for a, b in zip([0, *at], [*at, len(t)], strict=True)]
+
+    rows = [(c, 0, "assistant", cut(t)) for c, t in enumerate(whole)] + [(1000 + c, 0, "assistant", [*cut(t), image, *cut(t)]) for c,
+        t in enumerate(whole)]
+    chats = chat.format_chat(spark.createDataFrame(rows, MESSAGE))
+    one = chat.format_chat(spark.createDataFrame([(c, 0, "assistant", [text(t)]) for c, t in enumerate(whole)], MESSAGE))
+    same = {r.conv_id: r.formatted for r in one.collect()}
+    got = {r.conv_id: r for r in chats.collect()}
+    assert {c: r.formatted for c, r in got.items() if c < 1000} == same
+    back = {r.conv_id: r for r in chat.read_back(chats).collect()}
+    for c, t in enumerate(whole):
+        assert [tuple(x) for x in back[c].turns] == [("assistant", t)] and back[c].loss_text == t
+        assert len(back[1000 + c].turns) == 1 and back[1000 + c].turns[0].text.startswith(t)
+        assert got[1000 + c].formatted.count("<|image|>") == 1 and got[1000 + c].attachments[0].ref == "a.png"
+
+
 def test_chat_parts_become_placeholders(spark):
     parts = [text("see <|image|>"), ("image", None, "a.png", 57, 28, None, None), ("audio", None, "b.wav", None, None, 81, None),
         ("document", None, "c.pdf", None, None, None, 2), text(None)]
