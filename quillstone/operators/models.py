@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,11 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 ATTEMPTS, BUDGET_GROWTH = 3, 1.5
+#: What is added to a prompt whose answer was of no use.
+REMINDER = "\n\nYour last answer could not be used: it was cut short or had another form. Be brief and keep to the form."
+
+
+@dataclass(frozen=True)
+class Items:
+    """A list of at most most texts of at most chars characters each."""
+
+    most: int
+    chars: int
+
+
+class Answer(NamedTuple):
+    """What came of a call: OK and the checked JSON, or a category and a detail made of names of types and fields."""
+
+    status: str
+    answer: str | None = None
+    detail: str | None = None
+
 
 _RATING = ("Strong", "Plausible", "Weak", "Unknown")
 _TEXTS = ("company", "ticker", "business_summary", "core_thesis", "why_mispriced", "future_earnings_change", "upside_case",
           "downside_or_key_risks", "catalysts", "what_must_be_true", "evidence_of_market_misunderstanding", "known_unknowns")
-# What models are asked for. A field is a type, a tuple of allowed texts, list (of texts), or a pair (one of those, default).
+# What models are asked for. A field is a type, a tuple of allowed texts, list (of texts), Items, or a pair (one of those, default).
 EXTRACTED_IDEA = dict.fromkeys(_TEXTS, str)
 PREDICTION = {
     "overall_prediction": ("INVESTIGATE_NOW", "WATCH", "PASS", "INSUFFICIENT_INFORMATION"), "mispricing": _RATING,
@@ -47,6 +68,10 @@ class Transient(RuntimeError):
     """A failure that a later run may not meet."""
 
 
+class SchemaRejected(RuntimeError):
+    """The provider doesn't take the schema, as too complex, say; the same request can't succeed."""
+
+
 class ModelFailure(RuntimeError):
     """A call that failed for good. code is a category; detail holds names of types and fields, never a provider's text."""
 
@@ -68,17 +93,23 @@ def provider_detail(e: BaseException) -> str:
 
 def repair_fields(missing: list[str]) -> dict:
     """The form of a narrative repair that asks for the missing fields alone."""
-    return {f: [list, []] for f in missing}
+    return {f: [Items(REPAIR_ITEMS, REPAIR_CHARS), []] for f in missing}
 
 
-def json_schema(fields: dict) -> dict:
-    """A strict JSON schema of a form, for models that take one."""
+def json_schema(fields: dict, simple: bool = False) -> dict:
+    """A strict JSON schema of a form, for models that take one. simple: without bounds and lists of allowed values; answers are
+    checked against the form in any case."""
     def kind(t) -> dict:
+        if isinstance(t, _Nested):
+            return {"type": "array", "items": json_schema(t.fields, simple)}
+        if isinstance(t, Items):
+            return {"type": "array", "items": {"type": "string"} if simple else {"type": "string", "maxLength": t.chars}} | (
+                {} if simple else {"maxItems": t.most})
         if isinstance(t, list):
             inner = kind(t[0])
             return {"anyOf": [inner, {"type": "null"}]} if t[1] is None else inner
         if isinstance(t, tuple):
-            return {"type": "string", "enum": list(t)}
+            return {"type": "string"} if simple else {"type": "string", "enum": list(t)}
         return {list: {"type": "array", "items": {"type": "string"}}, str: {"type": "string"}, float: {"type": "number"},
             int: {"type": "integer"}, bool: {"type": "boolean"}, dict: {"type": "object"}}[t]
 
@@ -98,6 +129,10 @@ def problems_of(answer: dict, fields: dict) -> list[str]:
             whole = isinstance(value, list) and all(isinstance(x, dict) for x in value)
             out += [f"{name}.{i}.{p}" for i, x in enumerate(value) for p in problems_of(x,
                 t.fields)] if whole else [f"{name}: no list of objects"]
+        elif isinstance(t, Items):
+            whole = isinstance(value, list) and all(isinstance(x, str) for x in value)
+            out += [f"{name}: no list of texts"] if not whole else [f"{name}: too many items"] if len(value) > t.most else [
+                f"{name}.{i}: too long" for i, x in enumerate(value) if len(x) > t.chars]
         elif isinstance(t, tuple):
             out += [] if value in t else [f"{name}: not allowed"]
         elif t is list:
@@ -118,40 +153,77 @@ def filled(answer: dict, fields: dict) -> dict:
     return {f: value(f, t) for f, t in fields.items()}
 
 
-def generate(call: Callable[[str, int], str], prompt: str, fields: dict, budget: int = 1024) -> tuple[str, str | None]:
-    """(status, JSON): up to ATTEMPTS calls, again only for truncated answers, with a larger budget, or for answers of another form.
+def checked(text: str | None, fields: dict) -> Answer:
+    """A text held against a form. It is taken as it is or not at all; nothing is mended."""
+    if not (text or "").strip():
+        return Answer("EMPTY_RESPONSE")
+    try:
+        answer = json.loads(text)
+    except json.JSONDecodeError:
+        return Answer("RESPONSE_PARSE_ERROR", None, "malformed JSON")
+    bad = problems_of(answer, fields) if isinstance(answer, dict) else ["no object"]
+    if bad:
+        return Answer("VALIDATION_ERROR", None, "; ".join(bad[:3]))
+    return Answer("OK", json.dumps(filled(answer, fields), sort_keys=True, ensure_ascii=False))
+
+
+def _asked(call: Callable, prompt: str, budget: int, fields: dict) -> str:
+    """The text of one call. A call that takes schemas (takes_schema) gets the form's, and where that is rejected a simpler one, then none."""
+    if not getattr(call, "takes_schema", False):
+        return call(prompt, budget)
+    for schema in (json_schema(fields), json_schema(fields, simple=True)):
+        try:
+            return call(prompt, budget, schema)
+        except SchemaRejected:
+            continue
+    return call(prompt, budget, None)
+
+
+def generate(call: Callable[..., str], prompt: str, fields: dict, budget: int = 1024, attempts: int = ATTEMPTS) -> Answer:
+    """Up to attempts calls, again only for truncated answers, with a larger budget, or for answers of another form.
 
     status: OK; EMPTY_RESPONSE, RESPONSE_PARSE_ERROR, VALIDATION_ERROR or TRUNCATED of the last attempt; RETRYABLE_ERROR
     for what a later run may not meet; PROVIDER_ERROR for anything else that the call raises.
     """
-    status = "UNKNOWN_ERROR"
-    for _ in range(ATTEMPTS):
+    last = Answer("UNKNOWN_ERROR")
+    for _ in range(attempts):
         try:
-            text = call(prompt, budget)
+            last = checked(_asked(call, prompt, budget, fields), fields)
         except Truncated:
-            status, budget = "TRUNCATED", int(budget * BUDGET_GROWTH)
-            continue
+            last, budget = Answer("TRUNCATED", None, "output limit reached"), int(budget * BUDGET_GROWTH)
         except Exception as e:  # whatever a provider raises becomes a status; the row isn't lost
-            return ("RETRYABLE_ERROR" if is_transient(e) else "PROVIDER_ERROR"), None
-        if not (text or "").strip():
-            status = "EMPTY_RESPONSE"
-            continue
+            return Answer("RETRYABLE_ERROR" if is_transient(e) else "PROVIDER_ERROR", None, provider_detail(e))
+        if last.status == "OK":
+            return last
+    return last
+
+
+def drafted(call: Callable[..., str], prompt: str, fields: dict | None = None, budget: int = 4096, attempts: int = ATTEMPTS,
+        tried: Callable[[int, str], None] | None = None) -> str | dict:
+    """One text, or with fields one checked object, on the driver: up to attempts calls for answers that are truncated, empty or of
+    another form, with a reminder after the same prompt. A failed call is not repeated. Raises ModelFailure; tried(attempt, category)
+    hears of each attempt that was of no use."""
+    last = Answer("UNKNOWN_ERROR")
+    for attempt in range(1, attempts + 1):
         try:
-            answer = json.loads(text)
-        except json.JSONDecodeError:
-            status = "RESPONSE_PARSE_ERROR"
-            continue
-        if not isinstance(answer, dict) or problems_of(answer, fields):
-            status = "VALIDATION_ERROR"
-            continue
-        return "OK", json.dumps(filled(answer, fields), sort_keys=True, ensure_ascii=False)
-    return status, None
+            asked = prompt if attempt == 1 else prompt + REMINDER
+            text = _asked(call, asked, budget, fields) if fields else call(asked, budget)
+            last = checked(text, fields) if fields else Answer("OK", (text or "").strip()) if (text or "").strip() else Answer("EMPTY_RESPONSE")
+        except Truncated:
+            last = Answer("TRUNCATED", None, "output limit reached")
+        except Exception as e:
+            raise ModelFailure("PROVIDER_ERROR", provider_detail(e)) from e
+        if last.status == "OK":
+            return json.loads(last.answer) if fields else last.answer
+        if tried:
+            tried(attempt, last.status)
+    raise ModelFailure(last.status, "; ".join(filter(None, [last.detail, f"{attempts} attempts"])))
 
 
 def _ddl(fields: dict) -> str:
     def kind(t) -> str:
         t = t[0] if isinstance(t, list) else t
-        return "string" if isinstance(t, tuple) else {list: "array<string>", str: "string", float: "double", int: "long", bool: "boolean",
+        return "array<string>" if isinstance(t, Items) else "string" if isinstance(t, tuple) else {list: "array<string>", str: "string", float: "double", int: "long", bool: "boolean",
             dict: "map<string,string>"}[t]
 
     return ", ".join(f"{f} {kind(t)}" for f, t in fields.items())
@@ -192,18 +264,22 @@ class _Nested:
 
 
 _EVENTS = _Nested(FEEDBACK_EVENT)
+CANDIDATE_RULES = {"rules": _Nested(CANDIDATE_RULE)}
 
 
-def apply_model(rows: DataFrame, prompt: str, factory: Callable[[], Callable[[str, int], str]], fields: dict) -> DataFrame:
-    """rows with status and answer (JSON). Put the anti-join against what is already answered before this, not after."""
-    schema = StructType([*rows.schema.fields, StructField("status", StringType()), StructField("answer", StringType())])
+def apply_model(rows: DataFrame, prompt: str, factory: Callable[[], Callable[..., str]], fields: dict | Callable[[dict], dict],
+        attempts: int = ATTEMPTS, budget: int = 1024) -> DataFrame:
+    """rows with status, answer (JSON) and detail. fields: the form, or a function that gives that of a row. Put the anti-join against
+    what is already answered before this, not after."""
+    schema = StructType([*rows.schema.fields, *[StructField(c, StringType()) for c in Answer._fields]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None
         for b in batches:
             call = call or factory()
-            made = [generate(call, p, fields) for p in b[prompt]]
-            yield b.assign(status=[s for s, _ in made], answer=[a for _, a in made])
+            forms = [fields(r) for r in b.to_dict("records")] if callable(fields) else [fields] * len(b)
+            made = [generate(call, p, f, budget, attempts) for p, f in zip(b[prompt], forms, strict=True)]
+            yield b.assign(**{c: [m[i] for m in made] for i, c in enumerate(Answer._fields)})
 
     return rows.mapInPandas(run, schema)
 

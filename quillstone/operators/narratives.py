@@ -15,8 +15,6 @@ from quillstone.operators.sources import latest_repairs, latest_screening
 #: Most characters of a stored reason, and the categories whose text may be shown.
 REASON_CHARS = 200
 REASON_CODES = ("PROVIDER_ERROR", "RESPONSE_PARSE_ERROR", "VALIDATION_ERROR", "EMPTY_RESPONSE", "UNKNOWN_ERROR", "STILL_INCOMPLETE")
-#: Most items of a field and characters of an item in a repair's answer.
-MOST_ITEMS, ITEM_CHARS = 2, 300
 
 
 def effective(screenings: DataFrame, repairs: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import html
 from quillstone.functions.exprs import review_reason
-from quillstone.functions.text import NARRATIVE
+from quillstone.functions.text import NARRATIVE, canonical_thresholds, threshold_conflicts
 from quillstone.operators import audit, digest, feedback, governance, ideas, models, narratives, replies, reports, sources, state, training
-from quillstone.operators.log import Store
-from quillstone.operators.storage import materialize
+from quillstone.operators.log import EventLog, Migration, Store, consume_authorisation
+from quillstone.operators.storage import literal_rows, materialize
 
 _IDEA = ", ".join(f"{c} string" for c in models.EXTRACTED_IDEA)
 _PREDICTED = "overall_prediction string, mispricing string, variant_perception string, upside string, business_quality string, downside string"
@@ -41,17 +41,45 @@ TABLES = {
     "shown": "source_id long, shown_at string",
     "deliveries": "delivery_id long, provider_thread_id string, sent_at string, taste_version int, idempotency_key string",
     "delivery_items": "delivery_id long, source_id long, position int",
-    "versions": "version_number int, generated_at string, training_count long, training_feedback_ids array<long>, checkpoint_feedback_id long, artifact string, artifact_sha256 string, rules_document string",
+    "versions": "version_number int, generated_at string, training_count long, checkpoint_feedback_id long, artifact string, artifact_sha256 string, rules_document string, permanent_rules_sha256 string",
+    "version_training": "version_number int, feedback_id long",
+    "rejected": "version_number int, rejected_at string, part string, content string, line int, excerpt string, reason string",
+    "artifacts": "sha256 string, kind string, content string",
     "decisions": "version_number int, decision string, reason string, recorded_at string, evaluation_fingerprint string, consumed boolean",
 }
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+
+
+def _training_rows(log: EventLog) -> dict[str, DataFrame]:
+    """The training ids of versions of schema 1, which had them in one array, as rows."""
+    old = log.legacy("versions", "training_feedback_ids array<long>")
+    return {"version_training": old.select("version_number", F.explode("training_feedback_ids").alias("feedback_id"))}
+
+
+MIGRATIONS = (Migration(2, "training ids as rows", repair=_training_rows),)
+
+
+class Unavailable(LookupError):
+    """A frozen input that isn't there."""
+
+
+class Tampered(RuntimeError):
+    """A frozen input whose content isn't that of its hash."""
+
+
+class Refused(PermissionError):
+    """A draft that states a threshold which the permanent rules don't; conflicts has the findings."""
+
+    def __init__(self, conflicts: list):
+        super().__init__("; ".join(f"{c.part}, line {c.line}: {c.reason}" for c in conflicts))
+        self.conflicts = conflicts
 
 
 class Workspace:
     """A store of TABLES and what can be done with it."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root, TABLES, guarded="messages", version=SCHEMA_VERSION)
+        self.spark, self.store = spark, Store(spark, root, TABLES, guarded="messages", version=SCHEMA_VERSION, migrations=MIGRATIONS)
         self.log = self.store.log
 
     # Views
@@ -250,7 +278,9 @@ class Workspace:
 
     def screen(self, taste_version: int, rules_sha256: str, prompt: Column, factory: Callable, at: str, prompt_version: int = 1,
             external_id: str | None = None) -> DataFrame:
-        """Screens ready versions that have no screening of this version and rules, all or one document's; returns source_id and status."""
+        """Screens ready versions that have no screening of this version and rules, all or one document's; returns source_id and status.
+        The version's document and the rules must be there, unchanged: frozen()."""
+        self.frozen(taste_version, rules_sha256)
         seen = self.log.seen()
         todo = sources.missing_screening(self.sources(), self.observations(), self._table("screenings"), taste_version, rules_sha256)
         todo = todo if external_id is None else todo.filter(F.col("external_id") == external_id)
@@ -267,10 +297,10 @@ class Workspace:
         seen = self.log.seen()
         todo = narratives.repairable(self._table("screenings").drop("__seq"), self._table("repairs"))
         rows = todo.withColumn("__prompt", F.concat_ws(" ", F.concat(F.lit("SCREENING "), F.col("screening_id").cast("string"),
-            F.lit(" LACKS")), F.array_join("gaps", " ")))
-        read = materialize(models.apply_model(rows, "__prompt", factory, models.repair_fields(list(NARRATIVE))))
+            F.lit(" LACKS")), F.array_join("gaps", " "), F.lit(f"GIVE EACH AT MOST {models.REPAIR_ITEMS} ITEMS OF AT MOST {models.REPAIR_CHARS} CHARACTERS, AND NOTHING ELSE")))
+        read = materialize(models.apply_model(rows, "__prompt", factory, lambda r: models.repair_fields(list(r["gaps"])), attempts=1))
         answered = read.withColumns({"answer": models.checked_json(F.col("answer"), models.repair_fields(list(NARRATIVE))),
-            "code": F.col("status"), "detail": F.lit(None).cast("string")})
+            "code": F.col("status")})
         made = materialize(narratives.judged_repairs(answered).withColumn("attempted_at", F.lit(at)))
         self.log.commit(expect=seen, repairs=self._new("repairs", made, "repair_id", ["screening_id"]))
         return made.select("screening_id", "status")
@@ -326,7 +356,8 @@ class Workspace:
 
     def shadow_score(self, taste_version: int, checkpoint: int, rules_sha256: str, at: str, extractor: Callable,
             predictor: Callable) -> DataFrame:
-        """Isolates, extracts and predicts the ideas of hold-out messages, each step once; returns the counters."""
+        """Isolates, extracts and predicts the ideas of hold-out messages, each step once; returns the counters. Inputs are frozen()."""
+        self.frozen(taste_version, rules_sha256)
         seen = self.log.seen()
         pool = feedback.holdout_pool(self.feedback(), self.messages(), checkpoint)
         before = self.ideas()
@@ -349,38 +380,94 @@ class Workspace:
 
     # Versions
 
-    def build_version(self, at: str, write: Callable[[str], str], propose: Callable[[str], list[dict]], most_records: int = 100_000) -> int:
-        """Builds the next version from all eligible judgments: write(corpus) gives the document, propose(corpus) candidate rules.
+    def freeze(self, kind: str, content: str) -> str:
+        """Stores a text under the hash of its content and returns that; a text is stored once."""
+        import hashlib
+
+        sha = hashlib.sha256(content.encode()).hexdigest()
+        self.log.append_new("artifacts", self.spark.createDataFrame([(sha, kind, content)], TABLES["artifacts"]), ["sha256"])
+        return sha
+
+    def _intact(self, content: str | None, sha: str, what: str) -> str:
+        import hashlib
+
+        if content is None:
+            raise Unavailable(f"{what} isn't in the store")
+        if hashlib.sha256(content.encode()).hexdigest() != sha:
+            raise Tampered(f"{what} isn't what its hash says")
+        return content
+
+    def artifact(self, sha: str) -> str:
+        """A frozen text, checked against its hash."""
+        row = self._table("artifacts").filter(F.col("sha256") == sha).first()
+        return self._intact(None if row is None else row.content, sha, f"the artifact {sha[:12]}")
+
+    def frozen(self, taste_version: int, rules_sha256: str) -> tuple[str, str]:
+        """The document of a version and the rules of a hash, both checked as they are read; Unavailable or Tampered otherwise."""
+        row = self._table("versions").filter(F.col("version_number") == taste_version).first()
+        document = self._intact(None if row is None else row.artifact, "" if row is None else row.artifact_sha256, f"version {taste_version}")
+        return document, self.artifact(rules_sha256)
+
+    def conflicts(self, parts: list[tuple[str, str]], permanent_rules: str) -> list:
+        """part, line, excerpt and reason of each hard threshold in the parts (name, text) that the permanent rules don't have."""
+        texts, rules = literal_rows(self.spark, parts, "part string, text string"), F.lit(permanent_rules)
+        found = texts.select("part", F.explode(threshold_conflicts(F.col("text"), canonical_thresholds(rules, "%"),
+            canonical_thresholds(rules, "x"))).alias("c"))
+        return found.select("part", "c.*").orderBy("part", "line", "reason").collect()  # a document's lines
+
+    def build_version(self, at: str, write: Callable[..., str], propose: Callable[..., str], permanent_rules: str,
+            most_records: int = 100_000, tried: Callable[[int, str], None] | None = None) -> int:
+        """Builds the next version from all eligible judgments: write(prompt, budget) gives the document's text, propose(prompt, budget)
+        candidate rules as JSON. Both are asked again a few times if an answer is of no use: models.drafted().
 
         The first version needs enough judgments; each later one a full hold-out and a recorded RETRAIN that no build has
-        used. The version and the use of its authorisation are one batch.
+        used. The permanent rules come first in the prompt, and a draft that states a threshold of its own is kept as
+        rejected and Refused. The version, its training ids and the use of its authorisation are one batch.
         """
         import hashlib
 
+        if not permanent_rules.strip():
+            raise PermissionError("NO_PERMANENT_RULES")
         seen, latest = self.log.seen(), self.latest_version()
         rows = feedback.eligible_feedback(self.feedback(), self.messages())
-        ids = [r.feedback_id for r in rows.select("feedback_id").orderBy("feedback_id").limit(most_records + 1).collect()]
+        n = rows.agg(F.count("*").alias("n"), F.max("feedback_id").alias("last")).first()
         held = 0 if latest is None else feedback.holdout_pool(self.feedback(), self.messages(), latest.checkpoint_feedback_id).count()
-        decisions = self.log.current("decisions", ["version_number"])
-        unused = None if latest is None else decisions.filter((F.col("version_number") == latest.version_number) & (F.col("decision") == "RETRAIN") & ~F.col("consumed"))
-        allowed = unused is not None and unused.count() == 1
+        unlocked = latest is not None and self.decision(latest.version_number) == ("RETRAIN", False)
         version = None if latest is None else governance.Version(latest.version_number, latest.checkpoint_feedback_id,
-            latest.artifact_sha256, allowed)
-        if why := governance.may_build(len(ids), held, version, allowed):
+            latest.artifact_sha256, unlocked)
+        if why := governance.may_build(n.n, held, version, unlocked):
             raise PermissionError(why)
         number = 1 if latest is None else latest.version_number + 1
-        corpus = training.corpus(training.training_records(rows), most_records)
-        document = training.preference_document(f"v{number}", at[:10], len(ids), write(corpus))
-        rules = self.spark.createDataFrame([tuple(r.get(c, "") for c in models.CANDIDATE_RULE) for r in propose(corpus)],
+        prompt = f"PERMANENT RULES, WHICH STAND ABOVE ALL ELSE\n\n{permanent_rules.strip()}\n\n{n.n} JUDGMENTS\n\n" + training.corpus(
+            training.training_records(rows), most_records)
+        body = models.drafted(write, prompt, tried=tried)
+        proposed = models.drafted(propose, prompt, models.CANDIDATE_RULES, tried=tried)["rules"]
+        rules = self.spark.createDataFrame([tuple(r[c] for c in models.CANDIDATE_RULE) for r in proposed],
             ", ".join(f"{c} string" for c in models.CANDIDATE_RULE))
-        row = [(number, at, len(ids), ids, max(ids), document, hashlib.sha256(document.encode()).hexdigest(),
-            training.rules_document(f"v{number}", at[:10], rules))]
-        frames = {"versions": self.spark.createDataFrame(row, TABLES["versions"])}
-        if allowed:
-            frames["decisions"] = unused.drop("__seq").withColumn("consumed", F.lit(True))
-        self.log.commit(expect=seen, **frames)
+        kept = training.valid_rules(rules).collect()  # at most MOST_RULES
+        parts = [("document", body), *((f"rule {i}", "\n".join((r.rule, r.evidence, r.reusability))) for i, r in enumerate(kept, 1))]
+        if bad := self.conflicts(parts, permanent_rules):
+            texts = dict(parts)
+            self.log.commit(expect=seen, rejected=self.spark.createDataFrame([(number, at, c.part, texts[c.part], c.line, c.excerpt,
+                c.reason) for c in bad], TABLES["rejected"]))
+            raise Refused(bad)
+        document = training.preference_document(f"v{number}", at[:10], n.n, body)
+        rules_sha = hashlib.sha256(permanent_rules.encode()).hexdigest()
+        row = [(number, at, n.n, n.last, document, hashlib.sha256(document.encode()).hexdigest(),
+            training.rules_document(f"v{number}", at[:10], rules), rules_sha)]
+        frames = {"versions": self.spark.createDataFrame(row, TABLES["versions"]),
+            "version_training": rows.select(F.lit(number).alias("version_number"), "feedback_id")}
+        if latest is None:
+            self.log.commit(expect=seen, **frames)
+        else:
+            consume_authorisation(self.log, "decisions", latest.version_number, seen, **frames)
         return number
 
+    def decision(self, version: int) -> tuple[str, bool] | None:
+        """The decision on a version and whether a build has used it."""
+        row = self.log.current("decisions", ["version_number"]).filter(F.col("version_number") == version).first()
+        return None if row is None else (row.decision, row.consumed)
+
     def record_decision(self, record: dict) -> None:
         """Records a decision of governance.decision_record() for its version; a version takes one."""
         seen = self.log.seen()

@@ -143,10 +143,61 @@ def test_forms_are_checked_without_quoting_values():
             raise e
         return call
 
-    assert models.generate(raising(Broken("x")), "p", {}) == ("RETRYABLE_ERROR", None) and models.generate(raising(ValueError("secret")),
-        "p", {}) == ("PROVIDER_ERROR", None)
-    assert models.generate(lambda p, b: " ", "p", {}) == ("EMPTY_RESPONSE",
-        None) and models.provider_detail(Broken("secret")) == "Broken HTTP 503"
+    assert models.generate(raising(Broken("x")), "p", {}) == ("RETRYABLE_ERROR", None,
+        "Broken HTTP 503") and models.generate(raising(ValueError("secret")), "p", {}) == ("PROVIDER_ERROR", None, "ValueError")
+    assert models.generate(lambda p, b: " ", "p", {}).status == "EMPTY_RESPONSE" and models.provider_detail(Broken("secret")) == "Broken HTTP 503"
+
+
+def test_forms_have_bounds():
+    form = models.repair_fields(["key_reasons"])
+    assert models.problems_of({"key_reasons": ["x" * 300] * 2}, form) == [] and models.problems_of({}, form) == []
+    assert models.problems_of({"key_reasons": ["x"] * 3}, form) == ["key_reasons: too many items"]
+    assert models.problems_of({"key_reasons": ["x", "y" * 301]}, form) == ["key_reasons.1: too long"]
+    assert models.problems_of({"key_reasons": "x"}, form) == ["key_reasons: no list of texts"]
+    schema = models.json_schema(form)
+    assert schema["properties"] == {"key_reasons": {"type": "array", "items": {"type": "string", "maxLength": 300}, "maxItems": 2}}
+    assert models.json_schema(form, simple=True)["properties"]["key_reasons"] == {"type": "array", "items": {"type": "string"}}
+    worst = json.dumps({f: ["x" * models.REPAIR_CHARS] * models.REPAIR_ITEMS for f in models.PREDICTION if f.startswith("key") or f.startswith("crit")})
+    assert len(worst) / 4 < 1024 / 2  # some four characters a token: it fits the budget twice
+
+
+def test_schemas_that_are_rejected_become_simpler():
+    seen = []
+
+    def call(prompt, budget, schema):
+        seen.append(schema)
+        if schema is not None and "enum" in json.dumps(schema):
+            raise models.SchemaRejected
+        return json.dumps({"confidence": "HIGH" if schema else "?"})
+
+    call.takes_schema = True
+    form = {"confidence": ("HIGH", "LOW")}
+    assert models.generate(call, "p", form).status == "OK" and len(seen) == 2 and "enum" not in json.dumps(seen[1])
+
+    def none(prompt, budget, schema):
+        if schema is not None:
+            raise models.SchemaRejected
+        return '{"confidence": "MIDDLE"}'  # what a schema would have ruled out is still found
+
+    none.takes_schema = True
+    assert models.generate(none, "p", form) == ("VALIDATION_ERROR", None, "confidence: not allowed")
+
+
+def test_repairs_are_asked_once_for_what_is_missing(spark):
+    def long():
+        calls = []
+
+        def call(prompt, budget):
+            calls.append(prompt)
+            if prompt == "cut" or len(calls) > 9:
+                raise models.Truncated
+            return json.dumps({"key_reasons": ["r" * 5000] * 50 if prompt == "long" else ["r"], "key_concerns": ["c"]})
+        return call
+
+    df = spark.createDataFrame([("ok", ["key_reasons"]), ("long", ["key_reasons", "key_concerns"]), ("cut", ["key_reasons"])], "p string, gaps array<string>")
+    got = {r.p: r for r in models.apply_model(df.coalesce(1), "p", long, lambda r: models.repair_fields(list(r["gaps"])), attempts=1).collect()}
+    assert json.loads(got["ok"].answer) == {"key_reasons": ["r"]} and (got["long"].status, got["long"].detail) == ("VALIDATION_ERROR",
+        "key_reasons: too many items") and got["cut"].status == "TRUNCATED"
 
 
 def reader():

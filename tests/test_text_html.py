@@ -84,6 +84,15 @@ def test_threshold_conflicts(spark):
     assert found("must be 100% or more", percents=(100,)) == [] and len(found("must be 90% or more", percents=(100,))) == 1
 
 
+def test_thresholds_are_walked_match_by_match(spark):
+    a = lambda xs: F.array(*[F.lit(float(x)) for x in xs]) if xs else F.array().cast("array<double>")
+    found = lambda t, multiples=(): [(c.line, c.reason) for c in one(spark, t, lambda c: text.threshold_conflicts(c, a(()), a(multiples)))]
+    assert found("amust reach 3x; we do not say it must reach 3x") == []  # the first one is no match, the second is denied
+    assert found("must reach 3x; we do not say it must reach 3x") == [(1, "MULTIPLE_REQUIRED")]
+    assert found("we do not say it must reach 3x, although for us in all of these many cases it must reach 3x") == [(1, "MULTIPLE_REQUIRED")]
+    assert found("must reach 3x; must reach 4x", (3,)) == [(1, "MULTIPLE_REQUIRED")] and found("must reach 3x; must reach 3x", (3,)) == []
+
+
 PAGE = "<html><head><title>A &amp; B</title><style>x</style></head><body><nav>menu</nav><p>Hello   world</p><script>var a;</script><p>Share this pitch!</p><a href='/sp/12/share'><b>Twelve</b></a><a href='/sp/12'>again</a><a href='/x'>no</a></body></html>"
 
 

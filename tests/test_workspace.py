@@ -1,5 +1,6 @@
 """The whole workflow on one small store: pages, screenings, a digest, replies, reviews, predictions, a version."""
 
+import hashlib
 import json
 
 import pytest
@@ -9,7 +10,7 @@ from quillstone.functions.text import PRODUCT
 from quillstone.operators import log as event_log
 from quillstone.operators import models
 from quillstone.operators.log import EventLog
-from quillstone.plans.workspace import Workspace
+from quillstone.plans.workspace import TABLES, Refused, Tampered, Unavailable, Workspace
 
 MAIL = "message_id string, thread_id string, received_at string, sender string, subject string, body_raw string, body_format string, sender_authenticated string"
 SOURCE = "The quick brown fox jumps over the lazy dog near the river bank today."
@@ -41,6 +42,13 @@ def reader():
         "confidence": 0.2 if "unsure" in prompt else 0.9}]})
 
 
+def adopt(w, document="likes cheap stocks", sha=None):
+    """Version 1 of a document, and frozen rules; returns the rules' hash."""
+    row = (1, "2026-01-01", 15, 0, document, sha or hashlib.sha256(document.encode()).hexdigest(), "", "")
+    w.log.commit(versions=w.spark.createDataFrame([row], TABLES["versions"]))
+    return w.freeze("rules", "upside above 100%")
+
+
 def test_the_whole_workflow(spark, tmp_path):
     w = Workspace(spark, f"file://{tmp_path}/w")
     w.store.create()
@@ -55,7 +63,8 @@ def test_the_whole_workflow(spark, tmp_path):
     assert {r.external_id: (r.collection_status, r.invalid_reason) for r in w.sources().collect()}["4"] == ("INCOMPLETE_CONTENT",
         "PAGE_NOT_FOUND")
     assert w.extract("web", extractor, "2026-01-03").filter("status = 'OK'").count() == 3
-    assert w.screen(1, "rules", F.col("external_id"), screener, "2026-01-04").count() == 3
+    rules = adopt(w)
+    assert w.screen(1, rules, F.col("external_id"), screener, "2026-01-04").count() == 3
     assert {r.external_id: r.ticker for r in w.sources().collect()} == {"1": "T1", "2": "T2", "3": "T3", "4": None}
     assert [r.status for r in w.repair_narratives(repairer, "2026-01-05").collect()] == ["REPAIRED", "REPAIRED"]  # two narratives have gaps
 
@@ -91,39 +100,133 @@ def test_the_whole_workflow(spark, tmp_path):
 
     s = w.audit(0).first()
     assert (s.n_official, s.n_candidates, s.clean) == (6, 0, False)
-    assert tuple(w.shadow_score(1, 0, "rules", "2026-02-10", extractor, screener).first())[1:] == (1, 4, 1)
+    assert tuple(w.shadow_score(1, 0, rules, "2026-02-10", extractor, screener).first())[1:] == (1, 4, 1)
     assert [(r.message_id, r.verdict) for r in w.shadow_results().collect()] == [("m8", "LIKE")]
 
     with pytest.raises(PermissionError, match="TOO_FEW_RECORDS"):
-        w.build_version("2026-02-11", str.upper, lambda corpus: [])
+        w.build_version("2026-02-11", lambda p, b: "x", propose(), "rules")
 
 
-def test_versions_need_a_decision(spark, tmp_path, monkeypatch):
+RULE = {"rule": "Buy low", "evidence": "e", "reusability": "r", "confidence": "HIGH"}
+
+
+def propose(*rules):
+    return lambda prompt, budget: json.dumps({"rules": list(rules)})
+
+
+def judged(spark, tmp_path, monkeypatch, n=2):
+    """A store with n parsed judgments, of which one is enough for a build and for a hold-out."""
     from quillstone.operators import governance
 
     monkeypatch.setattr(governance, "LEAST_TRAINING_RECORDS", 1)
     monkeypatch.setattr(governance, "HOLDOUT_SIZE", 1)
     w = Workspace(spark, f"file://{tmp_path}/w")
     w.store.create()
-    w.check_mail(spark.createDataFrame([(f"m{i}", "t", "d", "joe@x.org", "x", "buy", "text", "AUTHENTICATED") for i in range(2)], MAIL))
+    w.check_mail(spark.createDataFrame([(f"m{i}", "t", "d", "joe@x.org", "x", "buy", "text", "AUTHENTICATED") for i in range(n)], MAIL))
     w.parse_mail(["joe@x.org"], "2026-01-01", reader)
-    rule = {"rule": "Buy low", "evidence": "e", "reusability": "r", "confidence": "HIGH"}
-    assert w.build_version("2026-01-02", lambda corpus: f"{corpus.count('idea = ZZ')} ideas", lambda corpus: [rule]) == 1
+    return w
+
+
+def test_drafts_are_asked_again_and_held_against_the_rules(spark, tmp_path, monkeypatch):
+    w, asked, heard = judged(spark, tmp_path, monkeypatch), [], []
+
+    def answers(*each):
+        left = list(each)
+
+        def call(prompt, budget):
+            asked.append(prompt)
+            a = left.pop(0)
+            if isinstance(a, Exception):
+                raise a
+            return a
+        return call
+
+    good, rules = json.dumps({"rules": [RULE] * 7}), "Upside above 100% is asked for."
+    # Truncated and empty texts, and JSON that is broken or of another form, are asked for again, with the same corpus and a reminder.
+    with pytest.raises(models.ModelFailure, match="TRUNCATED.*3 attempts"):
+        w.build_version("d", answers(*[models.Truncated()] * 3), propose(), rules)
+    assert len(asked) == 3 and asked[1] == asked[2] == asked[0] + models.REMINDER and asked[0].startswith("PERMANENT RULES") and rules in asked[0]
+    with pytest.raises(models.ModelFailure, match="RESPONSE_PARSE_ERROR: malformed JSON"):
+        w.build_version("d", lambda p, b: "text", answers('{"rules": [', "```json", '{"rules": [}'), rules)
+    asked.clear()
+    with pytest.raises(models.ModelFailure, match="PROVIDER_ERROR: ValueError"):  # a failed call isn't repeated, nor is its text told
+        w.build_version("d", answers(ValueError("key 123")), propose(), rules)
+    assert len(asked) == 1 and w.latest_version() is None and w.log.table("rejected").count() == 0
+    # A threshold that the rules don't have is refused and kept aside, in the document or in a rule.
+    for write, made, part in ((lambda p, b: "fine\nIt must reach 3x.", good, "document"),
+            (lambda p, b: "fine", json.dumps({"rules": [RULE | {"evidence": "a hard 2x floor"}]}), "rule 1")):
+        with pytest.raises(Refused, match=part):
+            w.build_version("d", write, answers(made), rules)
+    kept = w.log.table("rejected").orderBy("__seq").collect()
+    assert [(r.part, r.line, r.reason) for r in kept][0] == ("document", 2, "MULTIPLE_REQUIRED") and {r.part for r in kept} == {"document", "rule 1"}
+    assert w.latest_version() is None
+    with pytest.raises(PermissionError, match="NO_PERMANENT_RULES"):
+        w.build_version("d", lambda p, b: "x", propose(), " ")
+    # One that they have may be restated; the second attempt succeeds, and at most five rules are taken.
+    write = answers(models.Truncated(), "We require at least 100% upside; 3x isn't required.")
+    assert w.build_version("2026-01-02", write, answers("{", good), rules, tried=lambda i, code: heard.append((i, code))) == 1
+    v = w.latest_version()
+    assert heard == [(1, "TRUNCATED"), (1, "RESPONSE_PARSE_ERROR")] and v.rules_document.count("Buy low") == 5
+    assert w.log.table("version_training").count() == 2 and v.permanent_rules_sha256 == hashlib.sha256(rules.encode()).hexdigest()
+
+
+def test_screening_refuses_inputs_that_changed(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}/w")
+    w.store.create()
+    screen = lambda sha: w.screen(1, sha, F.col("external_id"), screener, "d")
+    with pytest.raises(Unavailable, match="version 1"):
+        screen("none")
+    rules = adopt(w)
+    assert w.freeze("rules", "upside above 100%") == rules and w.log.table("artifacts").count() == 1
+    assert w.frozen(1, rules) == ("likes cheap stocks", "upside above 100%") and screen(rules).count() == 0
+    with pytest.raises(Unavailable, match="artifact none"):
+        screen("none")
+    w.log.commit(artifacts=spark.createDataFrame([("f" * 64, "rules", "other")], TABLES["artifacts"]))
+    for f in (screen, lambda sha: w.shadow_score(1, 0, sha, "d", extractor, screener)):
+        with pytest.raises(Tampered, match="fff"):
+            f("f" * 64)
+    other = Workspace(spark, f"file://{tmp_path}/v")
+    other.store.create()
+    sha = adopt(other, sha="0" * 64)
+    with pytest.raises(Tampered, match="version 1"):
+        other.screen(1, sha, F.col("external_id"), screener, "d")
+
+
+def test_training_ids_of_old_versions_become_rows(spark, tmp_path):
+    old = TABLES["versions"].replace(", permanent_rules_sha256 string", ", training_feedback_ids array<long>")
+    root = f"file://{tmp_path}/w"
+    w = Workspace(spark, root)
+    w.store.version = w.log.version = 1
+    w.log.schemas = TABLES | {"versions": old}
+    w.store.create()
+    w.log.commit(versions=spark.createDataFrame([(1, "d", 2, 9, "doc", "sha", "", [4, 9])], old))
+    now = Workspace(spark, root)
+    now.store.open()
+    now.store.open()
+    assert sorted(tuple(r)[:2] for r in now.log.table("version_training").collect()) == [(1, 4), (1, 9)]
+    assert now.latest_version().permanent_rules_sha256 is None and now.latest_version().artifact == "doc"
+
+
+def test_versions_need_a_decision(spark, tmp_path, monkeypatch):
+    w = judged(spark, tmp_path, monkeypatch)
+    build = lambda at: w.build_version(at, lambda prompt, budget: f"{prompt.count('idea = ZZ')} ideas", propose(RULE), "rules")
+    assert build("2026-01-02") == 1
     v = w.latest_version()
-    assert "2 ideas" in v.artifact and "Buy low" in v.rules_document and v.training_feedback_ids == [1, 2] and v.checkpoint_feedback_id == 2
+    assert "2 ideas" in v.artifact and "Buy low" in v.rules_document and v.checkpoint_feedback_id == 2
+    assert sorted(r.feedback_id for r in w.log.table("version_training").collect()) == [1, 2]
     with pytest.raises(PermissionError, match="HOLDOUT_INCOMPLETE"):
-        w.build_version("2026-01-03", str, lambda c: [])
+        build("2026-01-03")
     w.check_mail(spark.createDataFrame([("m3", "t", "d", "joe@x.org", "x", "buy", "text", "AUTHENTICATED")], MAIL))
     w.parse_mail(["joe@x.org"], "2026-01-04", reader)
     with pytest.raises(PermissionError, match="NOT_AUTHORISED"):
-        w.build_version("2026-01-05", str, lambda c: [])
+        build("2026-01-05")
     record = {"taste_version": 1, "decision": "RETRAIN", "reason": "r", "recorded_at": "d", "evaluation_fingerprint": "f"}
     w.record_decision(record)
     with pytest.raises(PermissionError, match="has a decision"):
         w.record_decision(record)
-    assert w.build_version("2026-01-06", str, lambda c: []) == 2
+    assert build("2026-01-06") == 2 and w.decision(1) == ("RETRAIN", True)
     with pytest.raises(PermissionError):
-        w.build_version("2026-01-07", str, lambda c: [])
+        build("2026-01-07")
 
 
 def test_manifests_are_put_together(spark, tmp_path, monkeypatch):
