@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import norm_company, norm_ticker
 from quillstone.operators.feedback import holdout_pool, is_excluded
-from quillstone.operators.joins import components_of, link_by_keys
+from quillstone.operators.joins import components_of, counts_before, link_by_keys
 from quillstone.operators.storage import materialize
 
 #: Levels from the strongest identity down, with their ranks, and those that count against training rows.
@@ -76,6 +76,59 @@ def group_report(groups: DataFrame, keys: DataFrame) -> DataFrame:
         F.coalesce("b.value", F.lit("linked transitively")).alias("value"))
 
 
+#: Members of a group that are named in a report; the others are counted.
+NAMED_REFS = 20
+
+
+def identity_display(level, value):
+    """What members of a group share, for people. Both are columns."""
+    after = F.substring_index(value, ":", -1)
+    return (F.when(level == "A", F.concat(F.lit("blind assignment BR-"), after)).when(level == "D",
+        F.concat(F.lit("source "), F.regexp_replace(value, "^([^:]*):", "$1/"))).when(level == "C", F.concat(F.lit("screening SR-"), after))
+        .when(level == "E", F.concat(F.lit("ticker "), value)).when(level == "F", F.concat(F.lit("company "), value)).otherwise(value))
+
+
+def member_ref():
+    """A row's short name: its assignment's, or else the judgment's."""
+    return F.when(F.col("assignment_id").isNotNull(), F.concat(F.lit("BR-"), F.col("assignment_id").cast("string"))).otherwise(
+        F.concat(F.lit("FB "), F.col("feedback_id").cast("string")))
+
+
+def remediation(rows: DataFrame, groups: DataFrame, report: DataFrame) -> DataFrame:
+    """One row for each group of report (group_report()): what its members share, the row to retain, those to go, and whether labels differ.
+
+    rows: official and candidate rows with role, verdict, assignment_id and problems; groups: duplicate_groups() of them. An
+    official row is retained before a candidate, one without problems before others, then the earliest. refs names the
+    first NAMED_REFS of the group in that order, the retained one first; n_members counts them all.
+    """
+    rank = F.struct((F.col("role") != "official").alias("candidate"), (F.size("problems") > 0).alias("bad"), F.col("feedback_id").alias("id"))
+    members = rows.join(groups, "feedback_id").join(report.select("component"), "component", "left_semi")
+    m = members.select("component", rank.alias("rank"), member_ref().alias("ref"), "verdict", (F.col("role") == "official").alias("official"))
+    first = m.withColumn("n", F.row_number().over(Window.partitionBy("component").orderBy("rank"))).filter(F.col("n") <= NAMED_REFS)  # limited before its shuffle
+    refs = first.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "ref"))), lambda x: x["ref"]),
+        " / ").alias("refs"))
+    whole = m.groupBy("component").agg(F.min("rank").alias("kept"), F.count_if("official").alias("n_official"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("verdict", F.lit("-")))), ", ").alias("labels"))
+    out = report.join(whole, "component").join(refs, "component")
+    return out.select("component", "n_members", "n_official", identity_display(F.col("level"), F.col("value")).alias("shared"),
+        F.col("kept.id").alias("retained"), (F.col("n_members") - 1).alias("n_to_go"), "labels",
+        F.col("labels").contains(",").alias("labels_differ"), "refs")
+
+
+def remediation_plan(summary, plan: DataFrame, problem_rows: DataFrame, at_most: int = NAMED_REFS) -> list[str]:
+    """Lines of what a person should do, from a row of audit_summary(); at most at_most groups and rows are named, with how many there are."""
+    out = [f"{summary.replacements_needed} more blind judgments are needed"] if summary.replacements_needed else []
+    if summary.n_official > HOLDOUT_SIZE:
+        out.append(f"{summary.n_official} official rows, {HOLDOUT_SIZE} expected")
+    groups, bad = plan.count(), problem_rows.filter(F.size("problems") > 0)
+    out += [f"one idea ({r.shared}): keep FB {r.retained}, exclude the other {r.n_to_go}, and judge as many new ones: {r.refs}" for r in
+        plan.orderBy("component").limit(at_most).collect()]
+    out += [f"... and {groups - at_most} more groups"] if groups > at_most else []
+    n = bad.count()
+    out += [f"FB {r.feedback_id} ({r.role}): {', '.join(r.problems)}; decide by hand" for r in bad.orderBy("feedback_id").limit(at_most).collect()]
+    return out + ([f"... and {n - at_most} more rows"] if n > at_most else [])
+
+
 def training_overlap(holdout: DataFrame, training: DataFrame) -> DataFrame:
     """Hold-out rows that share a document, ticker or company with a training row: the strongest such level and the first training row there."""
     of = lambda rows: identity_keys(rows).filter(F.col("level").isin(*TRAINING_LEVELS))
@@ -109,20 +162,15 @@ def prior_exposure(judgments: DataFrame, exposures: DataFrame, order: str) -> Da
 
 
 def exposure_counts(judgments: DataFrame, exposures: DataFrame, order: str) -> DataFrame:
-    """(feedback_id, n_exposures) by running counts in each source's time order: linear where prior_exposure() lists every pair.
+    """(feedback_id, n_exposures) by counts_before(): linear where prior_exposure() lists every pair, hot sources in slices.
 
     An exposure counts once for its own source and once for the one of its screening (screened_source_id), if that is another.
     """
     if "screened_source_id" in exposures.columns:
         ways = F.filter(F.array_distinct(F.array("source_id", "screened_source_id")), lambda x: x.isNotNull())
         exposures = exposures.withColumn("source_id", F.explode(ways))
-    mine = judgments.select("source_id", "feedback_id", F.col(order).alias("__at"), F.lit(0).alias("__is"))
-    theirs = exposures.select("source_id", F.lit(None).cast("long").alias("feedback_id"), F.col(order).alias("__at"),
-        F.lit(1).alias("__is"))
-    running = Window.partitionBy("source_id").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_now = Window.partitionBy("source_id", "__at")
-    both = mine.unionByName(theirs).withColumn("n_exposures", F.sum("__is").over(running) - F.sum("__is").over(at_now))
-    return both.filter("__is = 0").select("feedback_id", "n_exposures")
+    return counts_before(judgments.select("source_id", "feedback_id", order), exposures.select("source_id", order), ["source_id"],
+        order).select("feedback_id", F.col("n").alias("n_exposures"))
 
 
 def validity_problems(rows: DataFrame) -> DataFrame:

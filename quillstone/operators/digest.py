@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import norm_company, norm_ticker
+from quillstone.operators.joins import greedy_distinct
 from quillstone.operators.feedback import eligible_feedback, is_excluded
 from quillstone.operators.sources import current_sources, latest_screening, ready_sources
 
@@ -82,25 +83,16 @@ def blind_review_pool(sources: DataFrame, observations: DataFrame, shown: DataFr
 
 
 def greedy_assignments(pool: DataFrame, known: DataFrame, limit: int) -> DataFrame:
-    """Up to limit sources in order of discovery, each with a ticker and a company that no known or earlier chosen one has.
+    """(position, source_id): up to limit sources in order of discovery, each with a ticker and a company that no known or earlier chosen one has."""
+    fresh = with_hits(pool, known).filter(~F.col("hit_ticker") & ~F.col("hit_company"))
+    chosen = greedy_distinct(fresh.select("source_id", "discovered_seq", "norm_ticker", "norm_company"), ["discovered_seq", "source_id"],
+        ["norm_ticker", "norm_company"], limit)
+    return chosen.select(F.col("position").cast("int").alias("position"), "source_id")
 
-    Whether a source is chosen depends on those chosen before, so the scan itself is sequential. It runs on the driver over
-    a stream of candidates, already freed of known identities, that stops at limit chosen ones.
-    """
-    from quillstone.operators.storage import materialize
 
-    fresh = with_hits(pool, known).filter(~F.col("hit_ticker") & ~F.col("hit_company"))
-    ordered = materialize(fresh.select("source_id", "discovered_seq", "norm_ticker", "norm_company")).orderBy("discovered_seq", "source_id")
-    tickers, companies, chosen = set(), set(), []
-    for r in ordered.toLocalIterator(prefetchPartitions=False):
-        if len(chosen) == limit:
-            break
-        if r.norm_ticker in tickers or r.norm_company in companies:
-            continue
-        tickers |= {r.norm_ticker} - {None}
-        companies |= {r.norm_company} - {None}
-        chosen.append((len(chosen) + 1, r.source_id))
-    return pool.sparkSession.createDataFrame(chosen, "position int, source_id long")
+def judged_or_assigned(feedback: DataFrame, messages: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Identities that a new blind review must not repeat: of every eligible judgment, and of every source ever assigned (rows with ticker and company)."""
+    return identities(eligible_feedback(feedback, messages).select("ticker", "company").unionByName(assigned.select("ticker", "company")))
 
 
 def delivery_by_thread(deliveries: DataFrame) -> DataFrame:

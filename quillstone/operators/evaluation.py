@@ -5,11 +5,13 @@ A judgment is held against the newest screening of its source and version that e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import POSITIVE, PREDICTIONS, categorical_match, ratio, verdict_class
+from quillstone.functions.text import NARRATIVE
 from quillstone.operators.joins import asof_join
+from quillstone.operators.storage import literal_rows
 
 ACTUAL = PREDICTIONS[:3]
 INSUFFICIENT = "INSUFFICIENT_INFORMATION"
@@ -110,15 +112,45 @@ def error_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "kind").agg(F.count("*").alias("n"), F.min("feedback_id").alias("first_feedback_id"))
 
 
+def text_items(rows: DataFrame, row_id: str, fields: tuple[str, ...] = NARRATIVE) -> DataFrame:
+    """(row_id, field, field_no, item_no, text): the non-blank texts of several list columns with their place, in one pass over the rows."""
+    def placed(n: int, name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda t, i: F.struct(F.lit(n).alias("field_no"),
+            i.alias("item_no"), F.lit(name).alias("field"), t.alias("text")))
+
+    each = F.flatten(F.array(*[placed(n, f) for n, f in enumerate(fields)]))
+    return rows.select(row_id, F.inline(each)).filter("text IS NOT NULL AND NOT text RLIKE '(?U)^\\\\s*$'")
+
+
+def _has_theme(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.rlike(text, F.lit("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
+
+
+def theme_rows(items: DataFrame, row_id: str) -> DataFrame:
+    """(theme_no, theme, row_id): which rows have a text with one of a theme's patterns, each once. Every text is matched once a theme."""
+    hits = F.filter(F.array(*[F.when(_has_theme(F.col("text"), p), F.struct(F.lit(i).alias("theme_no"), F.lit(name).alias("theme")))
+        for i, (name, p) in enumerate(THEMES)]), lambda x: x.isNotNull())
+    return items.select(row_id, F.inline(hits)).distinct()
+
+
 def theme_counts(texts: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(theme, n_rows): in how many rows some text has one of the theme's patterns. Each text is matched once a theme, then counted in one pass."""
-    hit = [F.rlike(F.col(text), F.lit("(?i)" + "|".join(f"(?:{p})" for p in patterns))) for _, patterns in THEMES]
-    rows = texts.groupBy(row_id).agg(*[F.bool_or(h).alias(f"t{i}") for i, h in enumerate(hit)])
-    one = rows.agg(*[F.count_if(f"t{i}").alias(f"t{i}") for i in range(len(THEMES))])
+    """(theme, n_rows): in how many rows of a table with one text a row, and a unique row_id, a theme is found. One pass, no shuffle of rows."""
+    one = texts.agg(*[F.count_if(_has_theme(F.col(text), p)).alias(f"t{i}") for i, (_, p) in enumerate(THEMES)])
     pairs = F.array(*[F.struct(F.lit(name).alias("theme"), F.col(f"t{i}").alias("n_rows")) for i, (name, _) in enumerate(THEMES)])
     return one.select(F.explode(pairs).alias("x")).select("x.*")
 
 
+def theme_report(items: DataFrame, row_id: str, named: int = 20) -> DataFrame:
+    """(theme_no, theme, n_rows, refs): every theme with the number of its rows, and the first named of their ids in order."""
+    rows = theme_rows(items, row_id)
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("theme_no").orderBy(row_id))).filter(F.col("n") <= named)
+    refs = first.groupBy("theme_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row_id)), lambda x: x.cast("string")), ", ").alias("refs"))
+    every = literal_rows(items.sparkSession, [(i, name) for i, (name, _) in enumerate(THEMES)], "theme_no int, theme string")
+    n = rows.groupBy("theme_no").agg(F.count("*").alias("n_rows"))
+    return every.join(n, "theme_no", "left").join(refs, "theme_no", "left").select("theme_no", "theme", F.coalesce("n_rows",
+        F.lit(0)).alias("n_rows"), F.coalesce("refs", F.lit("")).alias("refs"))
+
+
 def excerpt(text: Column, start: Column, length: Column, radius: int = 80, limit: int = 180) -> Column:
     """The text around a match (start counts from 1), white space collapsed, with an ellipsis where it is cut."""
     a = F.greatest(start - radius, F.lit(1))
@@ -127,19 +159,23 @@ def excerpt(text: Column, start: Column, length: Column, radius: int = 80, limit
     return F.substring(F.concat(F.when(a > 1, "…").otherwise(""), bare, F.when(b <= F.length(text), "…").otherwise("")), 1, limit)
 
 
-def hurdle_hits(texts: DataFrame, row_id: str, position: str, text: str) -> DataFrame:
-    """Rows with a hurdle: its categories, the excerpt of the first match by position then category, and whether any text frames it as permanent."""
-    t = F.col(text)
+def hurdle_hits(items: DataFrame, row_id: str) -> DataFrame:
+    """Rows of text_items() with a hurdle: categories in the order in which they are met (by place, then pattern), the field and excerpt of the
+    first match, and whether any text of the row frames it as permanent."""
+    t, place = F.col("text"), [F.col("field_no"), F.col("item_no")]
     at = lambda p: F.regexp_instr(t, F.lit(p))
-    found = F.filter(F.array(*[F.when(at(p) > 0, F.struct(F.lit(i).alias("i"), F.lit(name).alias("category"),
-        excerpt(t, at(p), F.length(F.regexp_substr(t, F.lit(p)))).alias("excerpt"))) for i, (name, p) in enumerate(HURDLES)]),
-        lambda x: x.isNotNull())
-    rows = texts.select(row_id, position, found.alias("found"), F.rlike(t, F.lit(PERMANENT_FRAMING)).alias("framed"))
+    found = F.filter(F.array(*[F.when(at(p) > 0, F.struct(*place, F.lit(i).alias("i"), F.lit(name).alias("category"),
+        F.col("field").alias("field"), excerpt(t, at(p), F.length(F.regexp_substr(t, F.lit(p)))).alias("excerpt"))) for i, (name, p) in
+        enumerate(HURDLES)]), lambda x: x.isNotNull())
+    rows = items.select(row_id, found.alias("found"), F.rlike(t, F.lit(PERMANENT_FRAMING)).alias("framed"))
+    # At most one hit of each category is kept of a row, so what meets in a group is bounded.
+    hit = F.struct("x.field_no", "x.item_no", "x.i", "x.category", "x.field", "x.excerpt")
+    best = rows.select(row_id, F.explode("found").alias("x")).groupBy(row_id, "x.i").agg(F.min(hit).alias("h"))
+    hits = best.groupBy(row_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list("h")), lambda h: h["category"]), ", ").alias("categories"),
+        F.min("h").alias("first"))
     framed = rows.groupBy(row_id).agg(F.bool_or("framed").alias("permanent_framing"))
-    hits = rows.select(row_id, position, F.explode("found").alias("x")).groupBy(row_id).agg(
-        F.array_join(F.array_sort(F.collect_set("x.category")), ", ").alias("categories"),
-        F.min_by("x.excerpt", F.struct(position, "x.i")).alias("excerpt"))
-    return hits.join(framed, row_id)
+    return hits.join(framed, row_id).select(row_id, "categories", F.col("first.field").alias("field"), F.col("first.excerpt").alias("excerpt"),
+        "permanent_framing")
 
 
 def rule_excerpts(text: Column) -> Column:
@@ -154,5 +190,3 @@ def prompt_versions(predictions: DataFrame, screenings: DataFrame, taste_version
     first = s.groupBy("source_id", "screening_prompt_version").agg(F.min("created_at").alias("first_at"))
     seen = predictions.join(first, "source_id").filter("first_at <= judged_at").groupBy("feedback_id").agg(F.count("*").alias("n_prompt_versions"))
     return seen.filter("n_prompt_versions > 1")
-
-

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text
 from quillstone.functions.exprs import norm_company, norm_ticker
 from quillstone.operators.feedback import is_excluded
+from quillstone.operators.storage import materialize
 
 
 def _exploded(messages: DataFrame, parsed: str) -> DataFrame:
@@ -43,7 +44,8 @@ def digest_replies(messages: DataFrame, items: DataFrame) -> DataFrame:
     parsed = reply.withColumn("__b", F.when(F.col("__r.ok"), blocks).otherwise(F.struct(F.lit(False).alias("ok"),
         F.lit(None).cast("array<struct<label:string,verdict:string,comment:string>>").alias("blocks"),
         F.col("__r.reason").alias("reason"))))
-    rows = _exploded(parsed, "__b").join(messages.select("message_id", "delivery_id"), "message_id")
+    parsed = materialize(parsed.select("message_id", "delivery_id", "__b"))  # read twice, parsed once
+    rows = _exploded(parsed, "__b").join(parsed.select("message_id", "delivery_id"), "message_id")
     named = items.select("delivery_id", F.col("source_id").alias("item"), norm_ticker(F.col("ticker")).alias("t"),
         norm_company(F.col("company")).alias("c"))
     # A message has few blocks and a digest few items, so this join is bounded by both.
@@ -63,7 +65,7 @@ def _reviews(messages: DataFrame, prefix: str) -> DataFrame:
     headers = text.review_headers(F.col("__r.text"), prefix)
     none = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("array<struct<ref:bigint,verdict:string,comment:string>>").alias("blocks"),
         F.col("__r.reason").alias("reason"))
-    return reply.withColumn("__b", F.when(F.col("__r.ok"), headers).otherwise(none))
+    return materialize(reply.select("message_id", F.when(F.col("__r.ok"), headers).otherwise(none).alias("__b")))  # read twice, parsed once
 
 
 def blind_reviews(messages: DataFrame, assignments: DataFrame, judgments: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,15 @@ def _at(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes with the session."""
+    path = f"{shared_dir(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
+    target, fs = _at(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
@@ -58,3 +67,16 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
     made = F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in schema.split(', '))}>>")
     return spark.range(0, 1, 1, 1).select(F.inline(made))
+
+
+#: Bits of a place written by in_order() that count rows within a range; those above number the range.
+PLACE_BITS = 33
+
+
+def in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows sorted by ranges and written, with __at: it grows in the order given, over all ranges, and numbers the rows of each
+    range without gaps. A range is one task's share, whatever the keys: equal rows are dealt to several, in any order."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "__tie").sortWithinPartitions(
+        *order, "__tie")
+    return materialize(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()))

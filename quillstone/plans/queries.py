@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import exprs, html, text
-from quillstone.operators import audit, digest, evaluation, feedback, ideas, labels, narratives, sources, state, training
+from quillstone.operators import audit, digest, evaluation, feedback, ideas, labels, narratives, replies, sources, state, training
+from quillstone.operators.joins import latest_per_key
+from quillstone.operators.log import EventLog
+from quillstone.operators.storage import materialize, scratch_dir
 from quillstone.plans.projections import projection, with_projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,10 +382,19 @@ def blind_review_pool(v: Views) -> DataFrame:
     return _blind_pool(v).select("source_id", "external_id", "discovered_seq")
 
 
-@query()
+#: Reviews that are assigned at once.
+ASSIGNED = 60
+PROSPECTS = f"SELECT source_id, discovered_seq, {NORM_TICKER.format('ticker')} AS t, {NORM_COMPANY.format('company')} AS c, assigned FROM p_prospects"
+
+
+@query(f"""WITH RECURSIVE p AS ({PROSPECTS}), known AS (SELECT * FROM p WHERE assigned = 1), f AS (SELECT row_number() OVER (ORDER BY discovered_seq, source_id) AS n, source_id, coalesce(t, '') AS t, coalesce(c, '') AS c FROM p
+ WHERE assigned = 0 AND (t IS NULL OR t NOT IN (SELECT t FROM known WHERE t IS NOT NULL)) AND (c IS NULL OR c NOT IN (SELECT c FROM known WHERE c IS NOT NULL))),
+ g(position, source_id, n, ts, cs) AS (SELECT 0, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+ UNION ALL SELECT * FROM (SELECT g.position + 1, f.source_id, f.n, list_append(g.ts, f.t), list_append(g.cs, f.c) FROM g JOIN f ON f.n > g.n AND (f.t = '' OR NOT list_contains(g.ts, f.t)) AND (f.c = '' OR NOT list_contains(g.cs, f.c))
+ WHERE g.position < {ASSIGNED} ORDER BY f.n LIMIT 1)) SELECT position, source_id FROM g WHERE position > 0""")
 def greedy_blind_assignment(v: Views) -> DataFrame:
-    known = digest.identities(v.assignments.join(v.sources, "source_id"))
-    return digest.greedy_assignments(_blind_pool(v), known, 20)
+    known = digest.identities(v.prospects.filter("assigned = 1"))
+    return digest.greedy_assignments(v.prospects.filter("assigned = 0"), known, ASSIGNED)
 
 
 @query("SELECT assignment_id, source_id, ticker, assigned_seq FROM p_assignments JOIN p_sources USING (source_id) WHERE judged_seq IS NULL")
@@ -455,10 +467,11 @@ def error_buckets(v: Views) -> DataFrame:
     return evaluation.error_table(_evaluated(v))
 
 
-@query(f"""WITH m AS ({METRICS}) SELECT 'ALMOST_ALL_PASS' AS warning FROM m WHERE pass_predicted_share >= 0.9 UNION ALL SELECT 'FEW_POSITIVES' FROM m WHERE positive_actual_share < 0.25
+@query(f"""WITH m AS ({METRICS.replace('p_judgments', 'p_harsh_judgments')}) SELECT 'ALMOST_ALL_PASS' AS warning FROM m WHERE pass_predicted_share >= 0.9 UNION ALL SELECT 'FEW_POSITIVES' FROM m WHERE positive_actual_share < 0.25
  UNION ALL SELECT 'MANY_POSITIVES' FROM m WHERE positive_actual_share > 0.75""")
 def class_balance_warnings(v: Views) -> DataFrame:
-    return evaluation.balance_warnings(evaluation.metrics(_evaluated(v)))
+    """Of judgments of which few are positive."""
+    return evaluation.balance_warnings(evaluation.metrics(evaluation.evaluation_rows(evaluation.asof_predictions(v.harsh_judgments, v.screenings, TASTE))))
 
 
 @query(f"""SELECT feedback_id, verdict, overall_prediction, CASE WHEN verdict IN ('STRONG_LIKE', 'LIKE') THEN 'positive' WHEN verdict = 'MAYBE' THEN 'neutral' WHEN verdict IN ('PASS', 'STRONG_PASS') THEN 'negative' END
@@ -489,7 +502,8 @@ def holdout_roles(v: Views) -> DataFrame:
 
 
 @query(f"""SELECT *, 0 = n_different AS reconciles, n_official + n_candidate + n_superseded + n_other = n_after AS reconciles_total FROM (SELECT {', '.join(f"count(*) FILTER (role = '{r}') AS n_{r}" for r in ('official', 'candidate', 'superseded', 'other'))},
- CAST(0 AS BIGINT) AS n_different, (SELECT count(*) FROM p_feedback WHERE feedback_id > {CHECKPOINT}) AS n_after FROM ({ROLE}))""")
+ (SELECT count(*) FROM (SELECT feedback_id FROM ({ROLE}) WHERE role = 'official') a FULL JOIN (SELECT feedback_id FROM ({ELIGIBLE}) WHERE feedback_id > {CHECKPOINT} AND holdout_eligible = 1) b ON a.feedback_id = b.feedback_id WHERE a.feedback_id IS NULL OR b.feedback_id IS NULL) AS n_different,
+ (SELECT count(*) FROM p_feedback WHERE feedback_id > {CHECKPOINT}) AS n_after FROM ({ROLE}))""")
 def audit_reconciliation(v: Views) -> DataFrame:
     return audit.reconciliation(_roles(v), feedback.holdout_pool(v.feedback, v.messages, CHECKPOINT), v.feedback, CHECKPOINT)
 
@@ -561,18 +575,26 @@ AUDITED = f"""WITH rows AS (SELECT * FROM p_feedback), i AS ({IDENTIFIED}) SELEC
  LEFT JOIN ({EXPOSED}) x ON x.feedback_id = r.feedback_id LEFT JOIN ({OVERLAP}) t ON t.feedback_id = r.feedback_id"""
 
 
-def _audited(v: Views) -> DataFrame:
-    """Feedback of every role after the checkpoint, with its identities and problems. Feedback has no time of its own: its message's stands for it, and shown and judged have sequence numbers."""
-    exposed = audit.exposure_counts(v.feedback.withColumn("at", F.col("feedback_id")), _exposures(v), "at")
-    rows = _identified(v, _roles(v).withColumn("explicit_screening_id", F.expr("CASE WHEN feedback_id % 50 = 0 THEN feedback_id END"))).join(usable_judgments(v), "assignment_id", "left").join(v.shown.select("source_id", "shown_seq"), "source_id", "left")
-    rows = rows.join(v.messages.select("message_id", F.col("received_at").alias("judged_at")), "message_id", "left")
-    overlap = training_overlap(v).select("feedback_id", F.col("level").alias("training_level"))
+def _judged(v: Views) -> DataFrame:
+    """All feedback with its identities, message's time and role, aggregated and joined once and written: the audit reads it many times."""
+    rows = _identified(v, v.feedback).join(v.messages.select("message_id", F.col("received_at").alias("judged_at")), "message_id", "left")
+    role = audit.roles(v.feedback, v.messages, CHECKPOINT, v.feedback.filter("feedback_id % 3 = 0").select("feedback_id"))
+    return materialize(rows.join(role.select("feedback_id", "feedback_parse_status", "role"), "feedback_id", "left"))
+
+
+def _audited(v: Views, judged: DataFrame) -> DataFrame:
+    """Feedback of every role after the checkpoint, with its problems. Feedback has no time of its own: its message's stands for it, and shown and judged have sequence numbers."""
+    exposed = audit.exposure_counts(judged.withColumn("at", F.col("feedback_id")), _exposures(v), "at")
+    usable = audit.usable_judgments(judged.filter("feedback_origin = 'BLIND_REVIEW'"), v.messages, v.assignments)
+    rows = judged.filter("role IS NOT NULL").withColumn("explicit_screening_id", F.expr("CASE WHEN feedback_id % 50 = 0 THEN feedback_id END")).join(usable, "assignment_id", "left").join(v.shown.select("source_id", "shown_seq"), "source_id", "left")
+    overlap = audit.training_overlap(judged.filter(F.col("feedback_id") > CHECKPOINT), judged.filter(F.col("feedback_id") <= CHECKPOINT))
+    overlap = overlap.select("feedback_id", F.col("level").alias("training_level"))
     return audit.validity_problems(rows.join(exposed, "feedback_id", "left").join(overlap, "feedback_id", "left"))
 
 
 @query(f"SELECT feedback_id, role, problems FROM ({AUDITED}) WHERE role IN ('official', 'candidate')")
 def validity_problems(v: Views) -> DataFrame:
-    return _audited(v).filter(F.col("role").isin("official", "candidate")).select("feedback_id", "role", F.array_join("problems", ",").alias("problems"))
+    return _audited(v, _judged(v)).filter(F.col("role").isin("official", "candidate")).select("feedback_id", "role", F.array_join("problems", ",").alias("problems"))
 
 
 @query(f"""WITH RECURSIVE judged AS ({AUDITED}), rows AS (SELECT * FROM ({ROLE}) WHERE role IN ('official', 'candidate')), {COMPONENTS}, g AS (SELECT feedback_id, component, count(*) OVER (PARTITION BY component) AS n FROM i JOIN c USING (d))
@@ -581,8 +603,108 @@ def validity_problems(v: Views) -> DataFrame:
  count(*) FILTER (role = 'official' AND problems = '' AND n = 1) AS n_valid_unique, count(*) FILTER (role = 'official' AND problems <> '') AS n_problem_rows,
  count(*) FILTER (role IN ('official', 'candidate') AND (problems <> '' OR n > 1)) AS n_questionable FROM judged LEFT JOIN g USING (feedback_id))""")
 def audit_summary(v: Views) -> DataFrame:
-    rows = _audited(v)
-    return audit.audit_summary(rows, audit.duplicate_groups(_identified(v, _roles(v).filter(F.col("role").isin("official", "candidate")))))
+    judged = _judged(v)
+    return audit.audit_summary(_audited(v, judged), audit.duplicate_groups(judged.filter(F.col("role").isin("official", "candidate"))))
+
+
+REMEDIATION = f"""WITH RECURSIVE judged AS ({AUDITED}), rows AS (SELECT * FROM ({ROLE}) WHERE role IN ('official', 'candidate')), {COMPONENTS}, w AS (SELECT i.feedback_id, component, i.d, i.e, i.f, role, verdict, problems, a.assignment_id, s.screening_id, row_number() OVER
+ (PARTITION BY component ORDER BY role <> 'official', problems <> '', i.feedback_id) AS n, CASE WHEN a.assignment_id IS NULL THEN 'FB ' || i.feedback_id ELSE 'BR-' || a.assignment_id END AS ref FROM i JOIN c USING (d) JOIN judged USING (feedback_id)
+ JOIN (SELECT feedback_id, verdict FROM p_feedback) USING (feedback_id) LEFT JOIN p_assignments a ON a.source_id = judged.source_id LEFT JOIN (SELECT source_id, max(screening_id) AS screening_id FROM p_screenings GROUP BY 1) s ON s.source_id = judged.source_id),
+ k AS (SELECT component, rank, value FROM (SELECT component, feedback_id, unnest([0, 1, 2, 3, 4]) AS rank, unnest(['assignment:' || assignment_id, d, 'screening:' || screening_id, e, f]) AS value FROM w) WHERE value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1),
+ best AS (SELECT component, rank, value FROM k QUALIFY row_number() OVER (PARTITION BY component ORDER BY rank, value) = 1)
+ SELECT component, count(*) AS n_members, count(*) FILTER (role = 'official') AS n_official, max(CASE rank WHEN 0 THEN 'blind assignment BR-' || split_part(value, ':', 2) WHEN 1 THEN 'source ' || regexp_replace(value, '^([^:]*):', '\\1/')
+ WHEN 2 THEN 'screening SR-' || split_part(value, ':', 2) WHEN 3 THEN 'ticker ' || value WHEN 4 THEN 'company ' || value ELSE 'linked transitively' END) AS shared, max(CASE WHEN n = 1 THEN feedback_id END) AS retained, count(*) - 1 AS n_to_go,
+ string_agg(DISTINCT coalesce(verdict, '-'), ', ' ORDER BY coalesce(verdict, '-')) AS labels, count(DISTINCT coalesce(verdict, '-')) > 1 AS labels_differ, string_agg(ref, ' / ' ORDER BY n) FILTER (n <= {audit.NAMED_REFS}) AS refs
+ FROM w LEFT JOIN best USING (component) GROUP BY component HAVING count(*) > 1"""
+
+
+@query(REMEDIATION)
+def holdout_remediation(v: Views) -> DataFrame:
+    """Which row of each group of one idea stays, and which go."""
+    judged = _judged(v)
+    rows = materialize(_audited(v, judged).filter(F.col("role").isin("official", "candidate")))
+    groups = materialize(audit.duplicate_groups(rows))
+    return audit.remediation(rows, groups, audit.group_report(groups, audit.identity_keys(rows)))
+
+
+# Replies and reviews against what they answer
+
+@query("""WITH i AS (SELECT delivery_id, source_id, upper(trim(replace(ticker, '$', ''))) AS t FROM p_delivery_items JOIN p_sources USING (source_id)), n AS (SELECT delivery_id, count(*) AS n, min(source_id) AS lone FROM i GROUP BY 1),
+ h AS (SELECT message_id, count(*) AS hits, min(i.source_id) AS source_id FROM p_answers a JOIN i ON i.delivery_id = a.delivery_id AND i.t = 'TK' || a.tk GROUP BY 1),
+ r AS (SELECT a.message_id, form, line, n, lone, coalesce(hits, 0) AS hits, h.source_id, CASE WHEN form = 0 AND n > 1 OR form = 3 AND n > 1 THEN 'NO_LABELLED_HEADER' WHEN form = 3 THEN 'NO_VERDICT_LINE' WHEN form = 4 THEN 'UNKNOWN_LABEL'
+ WHEN form IN (1, 2) AND coalesce(hits, 0) = 0 THEN 'UNKNOWN_LABEL' WHEN form IN (1, 2) AND hits > 1 THEN 'AMBIGUOUS_LABEL' END AS reason FROM p_answers a JOIN n ON n.delivery_id = a.delivery_id LEFT JOIN h ON h.message_id = a.message_id)
+ SELECT message_id, reason IS NULL AS ok, CASE WHEN reason IS NULL THEN CASE form WHEN 0 THEN lone ELSE source_id END END AS source_id, CASE WHEN reason IS NULL THEN CASE form WHEN 0 THEN 'LIKE' WHEN 1 THEN 'PASS' ELSE 'STRONG_LIKE' END END AS verdict,
+ CASE WHEN reason IS NULL THEN 'so it is ' || line END AS comment, reason FROM r""")
+def digest_replies(v: Views) -> DataFrame:
+    """One-block answers to digests of one or several ideas: bare, by ticker in two spellings, by no idea's name, or without a verdict."""
+    items = digest.delivery_items(v.delivery_items, v.sources).select("delivery_id", "source_id", "ticker", "company")
+    found = replies.digest_replies(v.answers.select("message_id", "body", "delivery_id"), items)
+    one = F.get("blocks", F.lit(0))
+    return found.select("message_id", "ok", *[one.getField(c).alias(c) for c in ("source_id", "verdict", "comment")], "reason")
+
+
+@query("""WITH s AS (SELECT a.assignment_id AS ref, a.judged_seq IS NOT NULL AS marked, a.assignment_id IN (SELECT source_id FROM p_feedback WHERE feedback_origin = 'BLIND_REVIEW') AS has FROM p_assignments a),
+ w AS (SELECT ref, CASE WHEN marked <> has THEN 'INCONSISTENT_BLIND_REVIEW_STATE' WHEN marked THEN 'DUPLICATE_BLIND_REVIEW' END AS reason FROM s),
+ r AS (SELECT b.message_id, b.ref, b.next_ref, p_name, CASE WHEN x.ref IS NULL THEN 'UNKNOWN_REFERENCE' ELSE coalesce(x.reason, CASE WHEN y.ref IS NULL THEN 'UNKNOWN_REFERENCE' ELSE y.reason END) END AS reason
+ FROM p_blind_answers b LEFT JOIN w x ON x.ref = b.ref LEFT JOIN w y ON y.ref = b.next_ref)
+ SELECT message_id, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN ref || ' LIKE ' || p_name || ', ' || next_ref || ' STRONG_PASS ' END AS blocks FROM r""")
+def blind_reviews(v: Views) -> DataFrame:
+    """Reviews of two assignments each; one that is unknown, judged or in doubt fails its message."""
+    judged = v.feedback.filter("feedback_origin = 'BLIND_REVIEW'").select(F.col("source_id").alias("assignment_id"))
+    found = replies.blind_reviews(v.blind_answers.select("message_id", "body"), v.assignments.withColumnRenamed("judged_seq", "judged_at"), judged)
+    told = F.array_join(F.transform("blocks", lambda b: F.concat_ws(" ", b["ref"].cast("string"), b["verdict"], b["comment"])), ", ")
+    return found.select("message_id", "ok", "reason", told.alias("blocks"))
+
+
+@query("""WITH c AS (SELECT DISTINCT feedback_id % 5000 AS ref FROM p_feedback WHERE feedback_origin = 'SCREEN_REVIEW' AND excluded_from_learning = 0),
+ r AS (SELECT a.message_id, a.event_type, s.source_id, CASE WHEN a.ref % 6 = 5 THEN 'UNKNOWN_VERDICT' WHEN s.screening_id IS NULL THEN 'UNKNOWN_REFERENCE' WHEN c.ref IS NOT NULL THEN 'DUPLICATE_SCREEN_REVIEW' END AS reason
+ FROM p_screen_answers a LEFT JOIN p_screenings s ON s.screening_id = a.ref LEFT JOIN c ON c.ref = a.ref)
+ SELECT message_id, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN source_id END AS source_id, CASE WHEN reason IS NULL THEN event_type END AS comment FROM r""")
+def screen_reviews(v: Views) -> DataFrame:
+    counted = v.feedback.withColumn("screening_id", F.col("feedback_id") % 5000)
+    one = F.get("blocks", F.lit(0))
+    return replies.screen_reviews(v.screen_answers.select("message_id", "body"), v.screenings, counted).select("message_id", "ok", "reason", one["source_id"].alias("source_id"), one["comment"].alias("comment"))
+
+
+@query("""SELECT message_id, CASE WHEN message_id IN (SELECT message_id FROM p_feedback WHERE feedback_id % 9 = 0) THEN 'RESYNC' WHEN sender LIKE '%eve%' THEN 'SKIPPED_SENDER' WHEN sender_authenticated IS NULL THEN 'SKIPPED_UNAUTHENTICATED'
+ WHEN subject LIKE '%Screen Review' THEN 'SCREEN_REVIEW' WHEN subject LIKE '%blind review' THEN 'BLIND_REVIEW' WHEN thread_id IN (SELECT provider_thread_id FROM p_deliveries WHERE provider_thread_id <> '') THEN 'DIGEST_REPLY'
+ WHEN subject LIKE 'Re: RE: %' THEN 'NEEDS_REVIEW' ELSE 'MODEL' END AS route FROM p_mail""")
+def mail_routes(v: Views) -> DataFrame:
+    return feedback.route_messages(v.mail, v.feedback.filter("feedback_id % 9 = 0"), v.deliveries, ["Joe@x.org"]).select("message_id", "route")
+
+
+@query(f"""WITH s AS (SELECT source_id, source_name, external_id, 'h' || (source_id % 4) AS content_hash, collection_status FROM p_sources), c AS ({CURRENT})
+ SELECT f.external_id, f.content_hash, s.source_id AS known_id, c.source_id AS previous_version, CASE WHEN s.source_id IS NULL THEN 'insert' WHEN s.collection_status = 'COLLECTED' THEN 'known_complete' WHEN f.content_complete THEN 'promote' ELSE 'refresh' END AS action
+ FROM p_fetched f LEFT JOIN s USING (source_name, external_id, content_hash) LEFT JOIN c USING (source_name, external_id)""")
+def fetched_versions(v: Views) -> DataFrame:
+    known = v.sources.withColumn("content_hash", F.concat(F.lit("h"), (F.col("source_id") % 4).cast("string")))
+    return sources.resolve_fetched(v.fetched, known, v.observations).select("external_id", "content_hash", "known_id", "previous_version", "action")
+
+
+# A store over several batches
+
+@query("""WITH e AS (SELECT *, seq % 4 AS batch FROM p_message_events WHERE kind = 'STATUS'),
+ now AS (SELECT 'now' AS state, message_id, status, error FROM e WHERE batch <> 2 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY batch DESC, seq DESC) = 1),
+ before AS (SELECT 'as of the snapshot' AS state, message_id, status, error FROM e WHERE batch < 2 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY batch DESC, seq DESC) = 1),
+ lost AS (SELECT 'as of the restored' AS state, message_id, status, error FROM e WHERE batch < 3 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY batch DESC, seq DESC) = 1)
+ SELECT * FROM now UNION ALL SELECT * FROM before UNION ALL SELECT * FROM lost""")
+def restored_states(v: Views) -> DataFrame:
+    """States of messages in a store that gets all events in four batches, and is restored to the second before the fourth comes: now, as of
+    the snapshot, and as of the last batch before the restore."""
+    events = v.message_events
+    log = EventLog(v.spark, scratch_dir(v.spark, "log"), {"events": events.schema})
+    for batch in range(4):
+        if batch == 3:
+            log.restore("kept")
+        log.commit(events=events.filter(F.col("seq") % 4 == batch))
+        if batch == 1:
+            log.snapshot("kept")
+    def states(name: str, as_of: int | None) -> DataFrame:
+        rows = log.table("events", as_of).filter("kind = 'STATUS'")
+        return latest_per_key(rows, ["message_id"], "__seq", "seq").select(F.lit(name).alias("state"), "message_id", "status", "error")
+
+    return states("now", None).unionByName(states("as of the snapshot", 2)).unionByName(states("as of the restored", 3))
+
 
 
 # Texts and pages
@@ -597,10 +719,36 @@ def theme_counts(v: Views) -> DataFrame:
     return evaluation.theme_counts(v.table("documents"), "doc_id", "text")
 
 
-@query("""SELECT note_id, CASE note_id % 8 WHEN 2 THEN 'effective hurdle' WHEN 5 THEN '3-bagger' WHEN 7 THEN 'effective hurdle, three-bagger' ELSE '3x-style multiple' END AS categories,
- CASE note_id % 8 WHEN 0 THEN 'We require at least 3x here' WHEN 1 THEN 'It does not require 3x' WHEN 2 THEN 'an effective hurdle of sorts' ELSE 'three bagger, effective hurdle' END || ' and more' AS excerpt, false AS permanent_framing FROM p_notes WHERE note_id % 8 IN (0, 1, 2, 7)""")
+#: Every text of a narrative with its place; blank ones are none.
+ITEMS = """SELECT screening_id, field_no, field, item_no - 1 AS item_no, t[item_no] AS text FROM (SELECT screening_id, field_no, field, t, unnest(range(1, len(t) + 1)) AS item_no FROM (
+ SELECT screening_id, 0 AS field_no, 'key_reasons' AS field, key_reasons AS t FROM p_narratives UNION ALL SELECT screening_id, 1, 'key_concerns', key_concerns FROM p_narratives
+ UNION ALL SELECT screening_id, 2, 'critical_questions', critical_questions FROM p_narratives)) WHERE trim(t[item_no]) <> ''"""
+
+
+@query(f"SELECT screening_id, field, CAST(field_no AS INTEGER) AS field_no, CAST(item_no AS INTEGER) AS item_no, text FROM ({ITEMS})")
+def text_items(v: Views) -> DataFrame:
+    return evaluation.text_items(v.narratives, "screening_id").select("screening_id", "field", "field_no", "item_no", "text")
+
+
+# The second pattern engine has no look-around, so the SQL has what may stand beside a multiple spelled out. The texts are short: an excerpt is all of one.
+HITS = f"""SELECT * FROM (SELECT screening_id, field_no, item_no, field, text, unnest([0, 1, 2]) AS i, unnest(['3x-style multiple', 'three-bagger', 'effective hurdle']) AS category,
+ unnest([regexp_matches(text, '(?i)(^|[^\\w.])~?\\s*(2\\s*-\\s*)?3\\s*x([^a-z]|$)'), regexp_matches(text, '(?i)three[\\s-]+bagger'), regexp_matches(text, '(?i)effective\\s+hurdle')]) AS hit FROM ({ITEMS})) WHERE hit"""
+
+
+@query(f"""WITH h AS ({HITS}), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY screening_id, i ORDER BY field_no, item_no) = 1),
+ r AS (SELECT screening_id, bool_or(regexp_matches(text, '100\\s*%')) AS framed FROM ({ITEMS}) GROUP BY 1)
+ SELECT screening_id, string_agg(category, ', ' ORDER BY field_no, item_no, i) AS categories, arg_min(field, field_no * 1000000 + item_no * 10 + i) AS field,
+ trim(regexp_replace(arg_min(text, field_no * 1000000 + item_no * 10 + i), '\\s+', ' ', 'g')) AS excerpt, bool_or(framed) AS permanent_framing FROM b JOIN r USING (screening_id) GROUP BY 1""")
 def hurdle_hits(v: Views) -> DataFrame:
-    return evaluation.hurdle_hits(v.notes.withColumn("place", F.lit(0)), "note_id", "place", "text")
+    return evaluation.hurdle_hits(evaluation.text_items(v.narratives, "screening_id"), "screening_id")
+
+
+@query("WITH items AS (" + ITEMS + "), t AS (" + " UNION ALL ".join(f"SELECT DISTINCT {i} AS theme_no, screening_id FROM items WHERE regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in ps)}')" for i, (_, ps) in enumerate(evaluation.THEMES))
+    + "), n AS (SELECT *, row_number() OVER (PARTITION BY theme_no ORDER BY screening_id) AS n FROM t), g AS (SELECT theme_no, count(*) AS n_rows, string_agg(CAST(screening_id AS VARCHAR), ', ' ORDER BY screening_id) FILTER (n <= 20) AS refs FROM n GROUP BY 1)"
+    + " SELECT a.theme_no, a.theme, coalesce(n_rows, 0) AS n_rows, coalesce(refs, '') AS refs FROM (" + " UNION ALL ".join(f"SELECT {i} AS theme_no, '{name}' AS theme" for i, (name, _) in enumerate(evaluation.THEMES)) + ") a LEFT JOIN g USING (theme_no)")
+def theme_report(v: Views) -> DataFrame:
+    return evaluation.theme_report(evaluation.text_items(v.narratives, "screening_id"), "screening_id")
+
 
 
 @query()

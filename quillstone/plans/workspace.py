@@ -346,7 +346,7 @@ class Workspace:
         seen, src = self.log.seen(), self.sources().withColumn("discovered_seq", F.col("discovered_at"))
         pool = digest.blind_review_pool(src, self.observations(), self._table("shown"), self._table("assignments"),
             self._table("screenings"), self.feedback())
-        known = digest.identities(self._table("assignments").join(src, "source_id"))
+        known = digest.judged_or_assigned(self.feedback(), self.messages(), self._table("assignments").join(src, "source_id"))
         chosen = materialize(digest.greedy_assignments(pool, known, limit).withColumn("assigned_at", F.lit(at)))
         made = materialize(self._new("assignments", chosen, "assignment_id", ["position"]))
         self.log.commit(expect=seen, assignments=made)
