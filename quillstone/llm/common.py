@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.storage import literal_rows, materialize, release, shared_dir
+from quillstone.operators.storage import PLACE_BITS, in_order, literal_rows, materialize, release, shared_dir
 
-__all__ = ["byte_blocks", "byte_runs", "byte_size", "default_parallelism", "fold", "in_order", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread",
+__all__ = ["PLACE_BITS", "byte_blocks", "byte_runs", "byte_size", "default_parallelism", "fold", "in_order", "literal_rows", "materialize", "release", "shared_dir", "short_batches", "spread",
     "table", "whole", "words_of"]
 
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
@@ -61,18 +61,6 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bits of a place written by in_order() that count rows within a range; those above number the range.
-PLACE_BITS = 33
-
-
-def in_order(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows sorted by ranges and written, with __at: it grows in the order given, over all ranges, and numbers the rows of each
-    range without gaps. A range is one task's share, whatever the keys: equal rows are dealt to several, in any order."""
-    ranged = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(default_parallelism(rows.sparkSession), *order,
-        "__tie").sortWithinPartitions(*order, "__tie")
-    return materialize(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
-
-
 def byte_blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The UTF-8 bytes of an Arrow column of texts in blocks of about size bytes (a longer text alone): the number of the
     block's first text, its bytes, and where each of its texts ends in them. Null texts are empty. Nothing is copied."""
