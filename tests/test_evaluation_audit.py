@@ -77,15 +77,83 @@ def test_problems_come_in_order(spark):
         "NO_SOURCE", "SMOKE_TICKER"]
 
 
-def test_theme_and_hurdle(spark):
-    t = spark.createDataFrame([(1, 0, "A 3x return; no  edge"), (1, 1, "three bagger at 100 %"), (2, 0, "large-cap, CYCLICAL"),
-        (3, 0, "13x")], "id long, pos int, text string")
-    themes = {r.theme: r.n_rows for r in evaluation.theme_counts(t, "id", "text").collect()}
-    assert themes["large cap / well covered"] == 1 and themes["cyclical"] == 1 and themes["relative value"] == 0
-    h = evaluation.hurdle_hits(t, "id", "pos", "text").collect()
-    assert [(r.id, r.categories, r.permanent_framing) for r in h] == [(1, "3x-style multiple, three-bagger",
-        True)] and h[0].excerpt == "A 3x return; no edge"
-    assert t.select(evaluation.rule_excerpts(F.lit("a\n 5 % b \n\n7% c")).alias("x")).first().x == ["5 % b", "7% c"]
+def test_text_items_themes_and_hurdles_by_place(spark):
+    told = "id long, key_reasons array<string>, key_concerns array<string>, critical_questions array<string>"
+    rows = spark.createDataFrame([
+        (1, ["fine", " "], ["a three bagger; A 3x return; no edge"], ["three-bagger at 100 %"]), (2, ["large-cap, CYCLICAL"], None, [None, ""]),
+        (3, ["13x", "3xy"], [], ["an effective  hurdle", "about 3x, effective hurdle", "three bagger"]), (4, None, None, None)], told)
+    items = evaluation.text_items(rows, "id")
+    assert sorted((r.id, r.field, r.field_no, r.item_no) for r in items.collect()) == [(1, "critical_questions", 2, 0), (1, "key_concerns", 1, 0),
+        (1, "key_reasons", 0, 0), (2, "key_reasons", 0, 0), (3, "critical_questions", 2, 0), (3, "critical_questions", 2, 1),
+        (3, "critical_questions", 2, 2), (3, "key_reasons", 0, 0), (3, "key_reasons", 0, 1)]
+    h = {r.id: r for r in evaluation.hurdle_hits(items, "id").collect()}
+    # In the order in which they are met: by field, by item, and of one text by pattern.
+    assert (h[1].categories, h[1].field, h[1].permanent_framing) == ("3x-style multiple, three-bagger", "key_concerns", True)
+    assert (h[3].categories, h[3].field, h[3].excerpt) == ("effective hurdle, 3x-style multiple, three-bagger", "critical_questions", "an effective hurdle")
+    assert set(h) == {1, 3} and not h[3].permanent_framing
+    themes = {r.theme: (r.n_rows, r.refs) for r in evaluation.theme_report(items, "id").collect()}
+    assert themes["no edge"] == (1, "1") and themes["cyclical"] == (1, "2") and themes["relative value"] == (0, "") and len(themes) == 8
+    many = evaluation.text_items(spark.range(50).selectExpr("id", "array('cyclical', 'Cyclical') AS a", "array('x') AS b"), "id", ("a", "b"))
+    assert {r.theme: (r.n_rows, r.refs) for r in evaluation.theme_report(many, "id", named=3).collect()}["cyclical"] == (50, "0, 1, 2")
+    one = evaluation.theme_counts(spark.createDataFrame([(1, "no edge"), (2, "CYCLICAL"), (3, None)], "id long, t string"), "id", "t")
+    assert {r.theme for r in one.filter("n_rows = 1").collect()} == {"no edge", "cyclical"}
+    assert rows.select(evaluation.rule_excerpts(F.lit("a\n 5 % b \n\n7% c")).alias("x")).first().x == ["5 % b", "7% c"]
+
+
+def test_counts_before_in_slices_agree_with_a_plain_count(spark, monkeypatch):
+    import random
+
+    from quillstone.operators import joins
+
+    rng = random.Random(4)
+    key = lambda: rng.choice(["a", "a", "a", "b", "b", "c", None])
+    rows, events = [(i, key(), rng.randint(0, 60)) for i in range(200)], [(key(), rng.randint(0, 60)) for _ in range(300)]
+    want = {i: sum(k is not None and e == k and u < t for e, u in events) for i, k, t in rows}
+    r, e = spark.createDataFrame(rows, "id long, k string, t int"), spark.createDataFrame(events, "k string, t int")
+    for hot in (10**9, 40):  # two hot keys at different times, each cut where its own rows are
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
+        assert {x.id: x.n for x in joins.counts_before(r, e, ["k"], "t").collect()} == want
+    stream, cut = joins.in_slices(spark.range(4000).selectExpr("CAST(id % 2 AS STRING) AS k", "id AS t"), ["k"], "t")
+    sizes = [x["count"] for x in stream.groupBy("k", "__slice").count().collect()]
+    assert cut and sum(sizes) == 4000 and max(sizes) < 1500
+
+
+def test_greedy_rounds_choose_what_a_scan_does(spark):
+    import random
+
+    from quillstone.operators.joins import greedy_distinct
+
+    rng = random.Random(7)
+    for n, keys, limit in ((60, 8, 100), (200, 60, 15), (300, 300, 40), (40, 3, 2), (30, 1000, 0)):
+        key = lambda: rng.choice([None, *(f"k{rng.randint(0, keys)}" for _ in range(6))])  # noqa: B023, E731
+        rows = [(rng.randint(0, 20), i, key(), key()) for i in range(n)]
+        seen, want = ({}, {}), []
+        for at, i, t, c in sorted(rows):
+            if len(want) < limit and not (t is not None and t in seen[0] or c is not None and c in seen[1]):
+                want.append(i)
+                seen[0][t] = seen[1][c] = True
+        df = spark.createDataFrame(rows, "at int, id long, t string, c string")
+        assert [r.id for r in greedy_distinct(df, ["at", "id"], ["t", "c"], limit).orderBy("position").collect()] == want
+    chain = spark.createDataFrame([(i, f"t{i // 2}", f"c{(i + 1) // 2}") for i in range(40)], "id long, t string, c string")  # each blocks the next
+    assert [r.id for r in greedy_distinct(chain, ["id"], ["t", "c"], 9).orderBy("position").collect()] == list(range(0, 18, 2))
+
+
+def test_remediation_names_what_stays_and_what_goes(spark):
+    schema = "feedback_id long, role string, verdict string, assignment_id long, ticker string, company string, source_name string, external_id string"
+    rows = spark.createDataFrame([(5, "candidate", "LIKE", 1, "AB", None, None, None), (6, "official", "PASS", 2, "$ab", "x", None, None),
+        (7, "official", "PASS", None, None, "X", None, None), (8, "official", "LIKE", 3, None, None, "web", "a:1"), (9, "official", "LIKE", 4, None, None, "web", "a:1"),
+        (10, "official", None, 5, "ZZ", None, None, None)], schema)
+    bad = rows.withColumn("problems", F.when(F.col("feedback_id") == 8, F.array(F.lit("NO_SOURCE"))).otherwise(F.array().cast("array<string>")))
+    groups = audit.duplicate_groups(bad)
+    plan = audit.remediation(bad, groups, audit.group_report(groups, audit.identity_keys(bad)))
+    got = {r.component: r for r in plan.collect()}
+    assert set(got) == {5, 8}
+    assert (got[5].retained, got[5].n_to_go, got[5].n_official, got[5].shared, got[5].refs) == (6, 2, 2, "ticker AB", "BR-2 / FB 7 / BR-1")
+    assert got[5].labels == "LIKE, PASS" and got[5].labels_differ and not got[8].labels_differ
+    assert (got[8].retained, got[8].shared, got[8].refs) == (9, "source web/a:1", "BR-4 / BR-3")  # 8 has a problem
+    lines = audit.remediation_plan(audit.audit_summary(bad, groups).first(), plan, bad, at_most=1)
+    assert lines[0] == "15 more blind judgments are needed" and lines[1].startswith("one idea (ticker AB): keep FB 6, exclude the other 2") and lines[
+        2] == "... and 1 more groups" and lines[3] == "FB 8 (official): NO_SOURCE; decide by hand"
 
 
 def test_asof_in_slices_gives_the_same_rows(spark, monkeypatch):
@@ -103,7 +171,6 @@ def test_asof_in_slices_gives_the_same_rows(spark, monkeypatch):
         monkeypatch.setattr(joins, "HOT_ROWS", 10**9)
         want = sorted(map(tuple, joins.asof_join(l, r, ["k"], "t", "at", ["rid"]).collect()), key=str)
         monkeypatch.setattr(joins, "HOT_ROWS", 50)
-        monkeypatch.setattr(joins, "SLICE_ROWS", 40)
         assert sorted(map(tuple, joins.asof_join(l, r, ["k"], "t", "at", ["rid"]).collect()), key=str) == want
 
 
