@@ -17,6 +17,7 @@ from quillstone.functions.text import NARRATIVE, canonical_thresholds, threshold
 from quillstone.operators import audit, digest, feedback, governance, ideas, models, narratives, replies, reports, sources, state, training
 from quillstone.operators.log import EventLog, Migration, Store, consume_authorisation
 from quillstone.operators.storage import literal_rows, materialize
+from quillstone.sources import mail
 
 _IDEA = ", ".join(f"{c} string" for c in models.EXTRACTED_IDEA)
 _PREDICTED = "overall_prediction string, mispricing string, variant_perception string, upside string, business_quality string, downside string"
@@ -24,6 +25,7 @@ _TOLD = ", ".join(f"{c} array<string>" for c in NARRATIVE)
 TABLES = {
     "messages": "message_id string, thread_id string, received_at string, sender string, subject string, body_raw string, body_format string, sender_authenticated string, feedback_parse_status string",
     "message_events": state.MESSAGE_EVENT,
+    "fetch_failures": "message_id string, thread_id string, received_at string, sender string, recipients array<string>, subject string, sender_authenticated string, error string, failed_at string",
     "feedback": "feedback_id long, message_id string, event_index int, event_type string, verdict string, ticker string, company string, user_comment string, parsed_json string, confidence double, created_at string, "
                 "excluded_from_learning boolean, feedback_origin string, holdout_eligible boolean, source_id long, screening_id long, assignment_id long",
     "feedback_events": state.FEEDBACK_EVENT,
@@ -129,7 +131,7 @@ class Workspace:
         return self._formed(name, made)
 
     def _formed(self, name: str, rows: DataFrame) -> DataFrame:
-        fields = [c.split(" ", 1) for c in TABLES[name].replace(", ", ",").split(",")]
+        fields = [c.split(" ", 1) for c in TABLES[name].split(", ")]
         return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields])
 
     # Mail and judgments
@@ -139,6 +141,49 @@ class Workspace:
         return self.log.append_new("messages", self._formed("messages", messages.withColumn("feedback_parse_status", F.lit("UNPARSED"))),
             ["message_id"]).count()
 
+    def intake(self, client: str, checkpoint: str, at: str) -> dict[str, int]:
+        """Stores all mail that a client lists and the store hasn't: a stream that goes on where its checkpoint ended, and one batch of the
+        store for each of its batches, however often that is run. Bodies are fetched by tasks, for new ids alone. What can't be fetched is
+        recorded and tried again by the next intake. Returns counts of stored and failed messages."""
+        self.spark.dataSource.register(mail.MailListing)
+        known = self.spark.read.format("mail_listing").option("client", client).option("unauthenticated", "false").load()
+        counts = {"stored": 0, "failed": 0}
+
+        def store(batch: DataFrame, number: int) -> None:
+            listed = materialize(mail.with_authentication(batch, known))
+            for k, n in self._take_in(listed, client, f"{checkpoint}#{number}", at).items():
+                counts[k] += n
+
+        waiting = self._waiting()
+        if waiting.limit(1).count():
+            for k, n in self._take_in(materialize(waiting), client, None, at).items():
+                counts[k] += n
+        stream = self.spark.readStream.format("mail_listing").option("client", client).load()
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return counts
+
+    def _waiting(self) -> DataFrame:
+        """Listed messages whose fetch failed, and that no later one stored."""
+        failed = self.log.current("fetch_failures", ["message_id"]).drop("__seq", "error", "failed_at")
+        return failed.join(self._table("messages").select("message_id"), "message_id", "left_anti")
+
+    def _take_in(self, listed: DataFrame, client: str, once: str | None, at: str) -> dict[str, int]:
+        fresh = lambda rows: rows.join(self._table("messages").select("message_id"), "message_id", "left_anti")
+        got = materialize(mail.fetched(fresh(listed.dropDuplicates(["message_id"])), client))  # each is fetched once
+        bad = got.filter("error IS NOT NULL").withColumn("failed_at", F.lit(at))
+
+        def work(seen: int) -> dict[str, int]:
+            if once is not None and any(m.get("once") == once for m in self.log.batches()):
+                return {"stored": 0, "failed": 0}
+            good = fresh(mail.as_messages(got.filter("error IS NULL").drop("error")))
+            n = {"stored": good.count(), "failed": bad.count()}
+            if any(n.values()) or once is not None:
+                self.log.commit(expect=seen, note={"once": once} if once else None, messages=self._formed("messages", good),
+                    fetch_failures=self._formed("fetch_failures", bad))
+            return n
+
+        return self.log.again(work)
+
     def parse_mail(self, allowed: list[str], at: str, reader: Callable | None = None) -> DataFrame:
         """Reads every pending message by the parser that its route names, and commits events, states and attempts together.
 
@@ -150,11 +195,11 @@ class Workspace:
             digest.delivery_by_thread(self._table("deliveries")).select(F.col("provider_thread_id").alias("thread_id"), "delivery_id"),
             "thread_id", "left"))
         of = lambda *r: routed.filter(F.col("route").isin(*r))
-        mail = lambda r: of(r).select("message_id", F.col("body_raw").alias("body"), "delivery_id")
+        bodies = lambda r: of(r).select("message_id", F.col("body_raw").alias("body"), "delivery_id")
         items = digest.delivery_items(self._table("delivery_items"), self.sources()).select("delivery_id", "source_id", "ticker", "company")
-        answers = materialize(replies.digest_replies(mail("DIGEST_REPLY"), items))
-        blind = materialize(replies.blind_reviews(mail("BLIND_REVIEW"), self.assignments(), self.feedback()))
-        seen_screens = materialize(replies.screen_reviews(mail("SCREEN_REVIEW"), self._table("screenings"), self.feedback()))
+        answers = materialize(replies.digest_replies(bodies("DIGEST_REPLY"), items))
+        blind = materialize(replies.blind_reviews(bodies("BLIND_REVIEW"), self.assignments(), self.feedback()))
+        seen_screens = materialize(replies.screen_reviews(bodies("SCREEN_REVIEW"), self._table("screenings"), self.feedback()))
         told = [replies.as_feedback(answers, "DIGEST_REPLY", True), replies.as_feedback(blind, "BLIND_REVIEW", True),
             replies.as_feedback(seen_screens, "SCREEN_REVIEW", False)]
         refs = lambda r: r.filter("ok").select("message_id", F.posexplode("blocks").alias("event_index", "b")).select("message_id",
