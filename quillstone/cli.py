@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import audit, evaluation, feedback, labels, reports
+from quillstone.operators import audit, digest, evaluation, feedback, labels, reports
+from quillstone.operators.storage import materialize
 from quillstone.plans.projections import projection
 from quillstone.plans.queries import CHECKPOINT, QUERIES, TASTE
 from quillstone.plans.workspace import Workspace
@@ -16,43 +19,84 @@ from quillstone.plans.workspace import Workspace
 SHOWN_ROWS = 200
 
 
-#: Commands on a store: what they do, and their arguments.
+def _loaded(name: str):
+    """What module:name names, as a model's factory."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+#: Commands on a store: what they do, their arguments, and what does it, as (workspace, arguments) to a text.
 STORE = {
-    "init": ("make a new store", {}),
-    "store-status": ("messages by state, judgments and broken invariants", {}),
-    "show-review": ("messages in review with their events", {}),
-    "exclude": ("take judgments out of learning", {"--about": str, "--feedback-id": int, "--at": str}),
-    "include": ("take judgments back into learning", {"--about": str, "--feedback-id": int, "--at": str}),
-    "requeue": ("put messages in error or review back in the queue", {"--message-id": str, "--at": str}),
-    "approve": ("approve a message in review", {"message_id": str, "--at": str}),
-    "show-repairs": ("narrative repairs of current screenings", {}),
-    "show-predictions": ("blind predictions beside the judgments that came after", {}),
-    "store-audit": ("the hold-out audit of a version's checkpoint", {"checkpoint": int}),
-    "backup": ("a routine snapshot, at most one a day", {"--at": str}),
+    "init": ("make a new store", {}, None),
+    "store-status": ("messages by state, judgments and broken invariants", {}, lambda w, a: shown(w.status())),
+    "take-in": ("store new mail of a client", {"--client": str, "--checkpoint": str, "--at": str}, lambda w, a: str(w.intake(a.client, a.checkpoint, a.at))),
+    "parse-mail": ("read pending messages; --model reads those that no form fits", {"--sender": str, "--at": str, "--model": _loaded},
+        lambda w, a: shown(w.parse_mail([a.sender], a.at, a.model))),
+    "collect": ("store fetched pages, a Parquet table", {"--pages": str, "--source": str, "--at": str},
+        lambda w, a: shown(w.collect(w.spark.read.parquet(a.pages), a.source, a.at).groupBy("action").count())),
+    "extract": ("have a model read new documents", {"--source": str, "--at": str, "--model": _loaded},
+        lambda w, a: shown(w.extract(a.source, a.model, a.at).groupBy("status").count())),
+    "freeze-rules": ("store the permanent rules, a text file; says their hash", {"--rules": str}, lambda w, a: w.freeze("rules", Path(a.rules).read_text())),
+    "screen": ("have a model screen ready documents, or one of them", {"version": int, "--rules-sha256": str, "--at": str, "--model": _loaded, "--external-id": str},
+        lambda w, a: shown(w.screen(a.version, a.rules_sha256, F.col("raw_text"), a.model, a.at, external_id=a.external_id).groupBy("status").count())),
+    "preview-digest": ("the digest that would be sent now", {"version": int}, lambda w, a: preview(w, a.version)),
+    "show-review": ("messages in review with their events", {}, lambda w, a: under_review(w)),
+    "exclude": ("take judgments out of learning", {"--about": str, "--feedback-id": int, "--at": str}, lambda w, a: excluded(w, a, True)),
+    "include": ("take judgments back into learning", {"--about": str, "--feedback-id": int, "--at": str}, lambda w, a: excluded(w, a, False)),
+    "requeue": ("put messages in error or review back in the queue", {"--message-id": str, "--at": str},
+        lambda w, a: f"requeued: {w.requeue(a.at, None if a.message_id is None else [a.message_id])}"),
+    "approve": ("approve a message in review", {"message_id": str, "--at": str}, lambda w, a: "approved" if w.approve(a.message_id, a.at) else "nothing to approve"),
+    "show-repairs": ("narrative repairs of current screenings", {}, lambda w, a: shown(w.repairs())),
+    "show-predictions": ("blind predictions beside the judgments that came after", {}, lambda w, a: shown(w.shadow_results())),
+    "store-audit": ("the hold-out audit of a version's checkpoint", {"checkpoint": int}, lambda w, a: shown(w.audit(a.checkpoint))),
+    "remediation": ("what to do about the hold-out", {"checkpoint": int}, lambda w, a: "\n".join(w.remediation(a.checkpoint))),
+    "version-status": ("the newest version, its hold-out and what may be built", {}, lambda w, a: "\n".join(f"{k}: {v}" for k, v in w.version_status().items())),
+    "evaluate-version": ("hold a version against its hold-out", {"version": int, "--rules": str},
+        lambda w, a: w.evaluation_report(a.version, Path(a.rules).read_text())),
+    "decide": ("record what an evaluation led to", {"version": int, "--decision": str, "--reason": str, "--rules-sha256": str, "--at": str},
+        lambda w, a: str(w.decide(a.version, a.decision, a.reason, a.rules_sha256, a.at))),
+    "backup": ("a routine snapshot, at most one a day", {"--at": str}, lambda w, a: w.store.daily_snapshot(a.at) or "there is one of this day"),
+    "snapshots": ("what can be restored, newest first", {}, lambda w, a: "\n".join(f"{s['label']} (batch {s['seq']})" for s in w.log.snapshots())),
+    "restore": ("go back to a snapshot; what came since is kept aside", {"label": str}, None),
 }
+#: Arguments that may be left out.
+OPTIONAL = ("--about", "--feedback-id", "--message-id", "--external-id", "--model")
+
+
+def shown(df: DataFrame) -> str:
+    """Rows as text, and how many more there are."""
+    rows = df.limit(SHOWN_ROWS + 1).collect()
+    more = [f"... {df.count() - SHOWN_ROWS} more rows"] if len(rows) > SHOWN_ROWS else []
+    return "\n".join([*(str(r.asDict(True)) for r in rows[:SHOWN_ROWS]), *more])
+
+
+def under_review(w: Workspace) -> str:
+    waiting = feedback.under_review(w.messages(), w.feedback())
+    return "\n".join([shown(waiting), shown(feedback.events_of(w.feedback(), waiting).select(labels.feedback_label(True).alias("event")))])
+
+
+def excluded(w: Workspace, args: argparse.Namespace, how: bool) -> str:
+    ids = None if args.feedback_id is None else [args.feedback_id]
+    return f"changed: {w.exclude(args.at, args.about, ids, excluded=how)}"
+
+
+def preview(w: Workspace, version: int) -> str:
+    """The next digest; nothing is sent or recorded."""
+    chosen = materialize(w.digest(version))
+    return reports.digest_body(chosen, digest.DIGEST_SIZE) if chosen.limit(1).count() else "nothing to send"
 
 
 def on_store(spark: SparkSession, args: argparse.Namespace) -> str:
     """What a command of STORE says, after doing it."""
-    w, shown = Workspace(spark, args.root), lambda df: "\n".join(str(r.asDict(True)) for r in df.limit(SHOWN_ROWS).collect())
+    w = Workspace(spark, args.root)
     if args.command == "init":
         w.store.create()
         return f"made a store at {args.root}"
+    if args.command == "restore":  # before the row guard, which may be why
+        w.store.restore(args.label)
+        return f"restored {args.label}"
     w.store.open()
-    if args.command in ("exclude", "include"):
-        ids = None if args.feedback_id is None else [args.feedback_id]
-        return f"changed: {w.exclude(args.at, args.about, ids, excluded=args.command == 'exclude')}"
-    if args.command == "requeue":
-        return f"requeued: {w.requeue(args.at, None if args.message_id is None else [args.message_id])}"
-    if args.command == "approve":
-        return "approved" if w.approve(args.message_id, args.at) else "nothing to approve"
-    if args.command == "backup":
-        return w.store.daily_snapshot(args.at) or "there is one of this day"
-    if args.command == "show-review":
-        waiting = feedback.under_review(w.messages(), w.feedback())
-        return "\n".join([shown(waiting), shown(feedback.events_of(w.feedback(), waiting).select(labels.feedback_label(True).alias("event")))])
-    views = {"store-status": w.status, "show-predictions": w.shadow_results, "store-audit": lambda: w.audit(args.checkpoint), "show-repairs": w.repairs}
-    return shown(views[args.command]())
+    return STORE[args.command][2](w, args)
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -66,11 +110,11 @@ def build_parser() -> argparse.ArgumentParser:
         q.add_argument("--limit", type=int, default=20)
     for name in ("status", "evaluate", "audit"):
         sub.add_parser(name, help=f"the {name} report").add_argument("--data", required=True)
-    for name, (what, arguments) in STORE.items():
+    for name, (what, arguments, _) in STORE.items():
         q = sub.add_parser(name, help=what)
         q.add_argument("--root", required=True, help="folder of the store")
         for flag, kind in arguments.items():
-            q.add_argument(flag, type=kind, **({"required": flag == "--at"} if flag.startswith("--") else {}))
+            q.add_argument(flag, type=kind, **({"required": flag not in OPTIONAL} if flag.startswith("--") else {}))
     return p
 
 

@@ -102,7 +102,7 @@ def label_distribution(rows: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))
     worth = F.coalesce(F.col("verdict").isin(*VERDICTS[:3]), F.lit(False))
     return rows.agg(*[count(v).alias(f"n_{v.lower()}") for v in VERDICTS], F.count_if(~known).alias("n_other"), F.count("*").alias("total"),
-                    F.count_if(worth).alias("worth_watching"), ratio(F.count_if(worth), F.count_if(known)).alias("positive_share"))
+                    F.count_if(worth).alias("worth_watching"), F.count_if(known & ~worth).alias("pass_family"), ratio(F.count_if(worth), F.count_if(known)).alias("positive_share"))
 
 
 def requeue_decision(messages: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from quillstone.operators.audit import HOLDOUT_SIZE
 
 DECISIONS = ("RETRAIN", "ACCEPT")
 LEAST_TRAINING_RECORDS = 15
+#: Members of a hold-out that an evaluation takes.
+MOST_MEMBERS = 10 * HOLDOUT_SIZE
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,14 @@ def decision_record(latest: Version, members: DataFrame, metrics: DataFrame, rul
         recorded_at: str) -> dict:
     """The record of a decision, with a fingerprint of the evaluation's inputs and results; decision and reason aren't part of it.
 
-    members: at most the hold-out's rows (feedback_id, actual, overall_prediction, screening_id, screening_prompt_version).
+    members: the hold-out's rows (feedback_id, actual, overall_prediction, screening_id, screening_prompt_version), all of
+    which the fingerprint covers; more than MOST_MEMBERS are refused.
     """
     if decision not in DECISIONS:
         raise ValueError(f"unknown decision {decision!r}")
-    rows = members.orderBy("feedback_id").limit(10 * HOLDOUT_SIZE).collect()
+    rows = members.orderBy("feedback_id").limit(MOST_MEMBERS + 1).collect()
+    if len(rows) > MOST_MEMBERS:
+        raise ValueError(f"more than {MOST_MEMBERS} members of a hold-out")
     prompts = {r.screening_prompt_version for r in rows}
     m = metrics.first().asDict()
     found = {k: m[k] for k in ("n", "exact_correct", "tp", "fp", "tn", "fn", "recall", "balanced_accuracy", "hc_hit", "hc_actual")}

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import VERDICTS, first_of
-from quillstone.functions.text import PRODUCT
+from quillstone.functions.text import PRODUCT, substantive
+from quillstone.operators.evaluation import rule_excerpts
 
 RULE = "=" * 24
 DIMENSIONS = ("mispricing", "variant_perception", "upside", "business_quality", "downside")
@@ -57,6 +58,47 @@ def number(x: float | None) -> str:
     return "N/A" if x is None else f"{x:.3f}"
 
 
+def evaluated_line() -> Column:
+    """One line of a judgment and the prediction that it is held against."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return F.concat_ws(" | ", F.concat(F.lit("FB "), known("feedback_id")), F.concat(known("company"), F.lit(" ("), known("ticker"), F.lit(")")),
+        F.concat(F.lit("SR-"), known("screening_id"), F.lit(", prompt "), known("screening_prompt_version")),
+        F.concat(F.lit("said "), known("overall_prediction")), F.concat(F.lit("judged "), known("verdict"), F.lit(" = "), known("actual")), F.col("kind"))
+
+
+def rationale_lines() -> Column:
+    """What the judgment and the screening gave as their reasons: the comment, the ratings and the narrative, a line each."""
+    ratings = F.concat_ws(", ", *[F.concat(F.lit(f"{d.replace('_', ' ')} "), F.coalesce(F.col(d), F.lit("-"))) for d in (*DIMENSIONS, "confidence")])
+    told = [F.concat(F.lit(f"    {name}: "), F.when(F.size(substantive(F.col(c))) > 0, F.array_join(substantive(F.col(c)), " | ")).otherwise("none stored"))
+        for c, name, _ in SHOWN]
+    comment = F.coalesce(F.when(F.col("user_comment") != "", F.col("user_comment")), F.lit("none recorded"))
+    return F.concat_ws("\n", F.concat(F.lit("    comment: "), comment), F.concat(F.lit("    ratings: "), ratings), *told)
+
+
+def error_report(rows: DataFrame, hits: DataFrame, themes: DataFrame, rules_text: str, at_most: int = 200) -> str:
+    """Errors of an evaluation, costliest first, with the rationale of false negatives and positives, and what their texts have in common.
+
+    rows: evaluation_rows() with the screening's ratings and narrative; hits: hurdle_hits() of them; themes: theme_report()
+    of the false negatives. At most at_most rows of each part are shown, with how many there are.
+    """
+    def part(title: str, texts: DataFrame, *order) -> list[str]:
+        n = texts.count()
+        shown = [r.text for r in texts.orderBy(*order).limit(at_most).select("text").collect()]
+        return ["", f"{title}: {n}", *shown, *([f"... and {n - at_most} more"] if n > at_most else [])]
+
+    line = rows.withColumn("text", F.concat(F.lit("  "), evaluated_line()))
+    out = part("rows by cost", line, "bucket", "feedback_id")
+    for kind in ("false_negative", "false_positive"):
+        out += part(kind.replace("_", " "), line.filter(F.col("kind") == kind).withColumn("text", F.concat("text", F.lit("\n"), rationale_lines())), "feedback_id")
+    met = hits.join(rows.select("feedback_id", "kind"), "feedback_id").withColumn("text", F.concat(F.lit("  FB "), F.col("feedback_id").cast("string"),
+        F.lit(" | "), "kind", F.lit(" | "), "categories", F.lit(" in "), F.col("field"), F.lit(': "'), "excerpt", F.lit('"'),
+        F.when(F.col("permanent_framing"), " (beside a percentage of 100)").otherwise("")))
+    out += ["", "thresholds of the rules:", *(f"  > {x}" for x in rows.sparkSession.range(1).select(rule_excerpts(F.lit(rules_text)).alias("x")).first().x)]
+    out += part("screenings that speak of a hurdle", met, "feedback_id")
+    found = themes.filter("n_rows > 0").orderBy("theme_no").collect()  # a row for each theme
+    return "\n".join([*out, "", "themes of the false negatives:", *(f"  {r.theme}: {r.n_rows} (FB {r.refs})" for r in found)])
+
+
 def evaluation_report(metrics: DataFrame, matrix: DataFrame, checks: list[tuple[str, bool]]) -> str:
     """The evaluation's report, or only its checks where one fails. One row of metrics and three of the matrix reach the driver."""
     out = ["CHECKS", *[f"  {'ok' if ok else 'FAILED'}  {name}" for name, ok in checks]]

@@ -83,7 +83,7 @@ def holdout_pool(v: Views) -> DataFrame:
 
 @query(f"""SELECT *, CAST(worth_watching AS DOUBLE) / nullif(n_strong_like + n_like + n_maybe + n_pass + n_strong_pass, 0) AS positive_share FROM (SELECT
  {', '.join(f"count(*) FILTER (verdict = '{x}') AS n_{x.lower()}" for x in exprs.VERDICTS)}, count(*) FILTER (verdict IS NULL) AS n_other, count(*) AS total,
- count(*) FILTER (verdict IN ('STRONG_LIKE', 'LIKE', 'MAYBE')) AS worth_watching FROM ({ELIGIBLE}))""")
+ count(*) FILTER (verdict IN ('STRONG_LIKE', 'LIKE', 'MAYBE')) AS worth_watching, count(*) FILTER (verdict IN ('PASS', 'STRONG_PASS')) AS pass_family FROM ({ELIGIBLE}))""")
 def label_distribution(v: Views) -> DataFrame:
     return feedback.label_distribution(feedback.eligible_feedback(v.feedback, v.messages))
 

@@ -7,6 +7,7 @@ models are factories that the caller gives. Times are ISO texts that the caller
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import html
 from quillstone.functions.exprs import review_reason
 from quillstone.functions.text import NARRATIVE, canonical_thresholds, threshold_conflicts
-from quillstone.operators import audit, digest, feedback, governance, ideas, models, narratives, replies, reports, sources, state, training
+from quillstone.operators import audit, digest, evaluation, feedback, governance, ideas, models, narratives, replies, reports, sources, state, training
 from quillstone.operators.log import EventLog, Migration, Store, consume_authorisation
 from quillstone.operators.storage import literal_rows, materialize
 from quillstone.sources import mail
@@ -77,6 +78,19 @@ class Refused(PermissionError):
         self.conflicts = conflicts
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """Checks, which must all hold, and rows: judgments with prediction, kind, bucket, and the screening's ratings and narrative."""
+
+    version: governance.Version
+    checks: list[tuple[str, bool]]
+    rows: DataFrame
+
+    @property
+    def passed(self) -> bool:
+        return all(ok for _, ok in self.checks)
+
+
 class Workspace:
     """A store of TABLES and what can be done with it."""
 
@@ -522,8 +536,8 @@ class Workspace:
             record["evaluation_fingerprint"], False)]
         self.log.commit(expect=seen, decisions=self.spark.createDataFrame(row, TABLES["decisions"]))
 
-    def audit(self, checkpoint: int) -> DataFrame:
-        """One row of audit.audit_summary() over the store."""
+    def _audited(self, checkpoint: int) -> tuple[DataFrame, DataFrame]:
+        """Rows after a checkpoint with role and problems, and the duplicate groups of official and candidate ones. Both are written."""
         f = self.feedback()
         newest = sources.latest_screening(self._table("screenings")).select("source_id", F.col("screening_id").alias("__newest"),
             F.col("created_at").alias("screened_at"))
@@ -532,6 +546,7 @@ class Workspace:
             "left").join(newest, "source_id", "left")
         rows = rows.withColumnRenamed("screening_id", "explicit_screening_id").withColumnRenamed("__newest",
             "screening_id").withColumnRenamed("created_at", "judged_at")
+        rows = materialize(rows)
         n = audit.usable_judgments(f, self.messages(), self._table("assignments"))
         shown = self._table("shown").groupBy("source_id").agg(F.min("shown_at").alias("shown_at"))
         exposed = audit.exposure_counts(f, f.filter(F.col("feedback_origin").isin("SCREEN_REVIEW", "DIGEST_REPLY")), "created_at")
@@ -539,7 +554,85 @@ class Workspace:
         before = f.filter(F.col("feedback_id") <= checkpoint).join(of, "source_id", "left")
         judged = audit.validity_problems(judged.join(audit.training_overlap(rows, before).select("feedback_id",
             F.col("level").alias("training_level")), "feedback_id", "left"))
-        return audit.audit_summary(judged, audit.duplicate_groups(rows.filter(F.col("role").isin("official", "candidate"))))
+        return materialize(judged), materialize(audit.duplicate_groups(rows.filter(F.col("role").isin("official", "candidate"))))
+
+    def audit(self, checkpoint: int) -> DataFrame:
+        """One row of audit.audit_summary() over the store."""
+        return audit.audit_summary(*self._audited(checkpoint))
+
+    def remediation(self, checkpoint: int) -> list[str]:
+        """What a person should do about the hold-out; nothing is changed."""
+        rows, groups = self._audited(checkpoint)
+        held = rows.filter(F.col("role").isin("official", "candidate"))
+        plan = audit.remediation(held, groups, audit.group_report(groups, audit.identity_keys(held)))
+        return audit.remediation_plan(audit.audit_summary(rows, groups).first(), plan, held)
+
+    def evaluation(self, version: int) -> Evaluation:
+        """Holds the official hold-out of the newest version against the predictions that existed before each judgment. Reads only."""
+        latest = self.latest_version()
+        if latest is None:
+            raise Unavailable("there is no version")
+        rows, groups = self._audited(latest.checkpoint_feedback_id)
+        official = rows.filter("role = 'official'").select("feedback_id", "source_id", "judged_at", "verdict", "user_comment", "ticker", "company")
+        told = self._table("screenings")
+        held = evaluation.asof_predictions(official, told, latest.version_number)
+        mixed = evaluation.prompt_versions(official, told, latest.version_number)
+        members = materialize(held.join(mixed, "feedback_id", "left"))
+        decided = self.decision(latest.version_number)
+        found = governance.Version(latest.version_number, latest.checkpoint_feedback_id, latest.artifact_sha256, decided == ("RETRAIN", False))
+        twice = groups.groupBy("component").count().filter("count > 1").count()
+        checks = governance.gate_checks(found, version, latest.artifact.encode(), audit.audit_summary(rows, groups), twice, members, decided is not None)
+        facts = self.screenings().select("screening_id", *reports.DIMENSIONS, "confidence", *NARRATIVE)
+        return Evaluation(found, checks, evaluation.evaluation_rows(members).join(facts, "screening_id", "left"))
+
+    def evaluation_report(self, version: int, rules_text: str) -> str:
+        """The checks, and where all hold the metrics, the errors with their reasons and what their texts have in common."""
+        e = self.evaluation(version)
+        out = reports.evaluation_report(evaluation.metrics(e.rows), evaluation.confusion_matrix(e.rows), e.checks)
+        if not e.passed:
+            return out
+        warnings = [r.warning for r in evaluation.balance_warnings(evaluation.metrics(e.rows)).collect()]
+        wrong = evaluation.theme_report(evaluation.text_items(e.rows.filter("kind = 'false_negative'"), "feedback_id"), "feedback_id")
+        hits = evaluation.hurdle_hits(evaluation.text_items(e.rows, "feedback_id"), "feedback_id")
+        return "\n".join([out, *(f"warning: {w}" for w in warnings), reports.error_report(e.rows, hits, wrong, rules_text)])
+
+    def decide(self, version: int, decision: str, reason: str, rules_sha256: str, at: str, dry_run: bool = False) -> dict:
+        """Records what an evaluation led to, after a snapshot: RETRAIN lets one build, ACCEPT none. Refused unless the evaluation's checks
+        all hold and the rules are intact; a version takes one decision. Returns the record."""
+        if not reason.strip():
+            raise ValueError("a decision needs a reason")
+        self.artifact(rules_sha256)
+        if self.decision(version) is not None:
+            raise PermissionError(f"version {version} has a decision")
+        e = self.evaluation(version)
+        if not e.passed:
+            raise PermissionError("; ".join(name for name, ok in e.checks if not ok))
+        record = governance.decision_record(e.version, e.rows, evaluation.metrics(e.rows), rules_sha256, decision, reason.strip(), at)
+        if not dry_run:
+            self.log.snapshot(f"before-decision-{version}")
+            self.record_decision(record)
+        return record
+
+    def version_status(self) -> dict:
+        """The newest version: its judgments, hold-out, decision, what may be built, labels, and whether its document is intact."""
+        v = self.latest_version()
+        if v is None:
+            return {"version": None, "least_training_records": governance.LEAST_TRAINING_RECORDS}
+        f, m, decided = self.feedback(), self.messages(), self.decision(v.version_number)
+        able = feedback.eligible_feedback(f, m)
+        held = feedback.holdout_pool(f, m, v.checkpoint_feedback_id).count()
+        trained = f.join(self._table("version_training").filter(F.col("version_number") == v.version_number).select("feedback_id"), "feedback_id", "left_semi")
+        labels_of = lambda rows: feedback.label_distribution(rows).first().asDict()
+        try:
+            intact = bool(self._intact(v.artifact, v.artifact_sha256, "the document"))
+        except Tampered:
+            intact = False
+        building = "LOCKED" if decided is None or decided[0] != "RETRAIN" else "USED" if decided[1] else "ONE_BUILD_AUTHORISED"
+        return {"version": v.version_number, "training_judgments": v.training_count, "holdout": held, "holdout_complete": held >= audit.HOLDOUT_SIZE,
+            "decision": decided and decided[0], "building": building, "awaiting_evaluation": held >= audit.HOLDOUT_SIZE and decided is None,
+            "eligible": able.count(), "by_origin": {r[0]: r[1] for r in feedback.count_by_origin(f).collect()},
+            "unjudged_assignments": self.assignments().filter("judged_at IS NULL").count(), "intact": intact,
+            "labels_of_training": labels_of(trained), "labels_of_next": labels_of(able)}
 
     def exclude_duplicate(self, checkpoint: int, exclude: int, retain: int, expected: dict, reason: str, at: str,
             dry_run: bool = False) -> list[str]:

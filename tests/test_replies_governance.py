@@ -71,6 +71,8 @@ def test_fingerprint_covers_the_evaluation_only(spark):
     assert make("r", "RETRAIN", "a") == make("r", "ACCEPT", "b") != make("q", "RETRAIN", "a")
     with pytest.raises(ValueError):
         make("r", "MAYBE", "")
+    with pytest.raises(ValueError, match="more than 200 members"):  # the fingerprint covers all of them or none is made
+        governance.decision_record(v, frames(spark, 201)[1], m, "r", "ACCEPT", "x", "now")
 
 
 def test_when_a_version_may_be_built():

@@ -48,6 +48,12 @@ def test_reports_run_on_the_projections(spark, name):
     assert len(cli.report(spark, name, "/root/testdata/sf0.001").splitlines()) >= 5
 
 
+def test_listings_say_what_they_leave_out(spark, monkeypatch):
+    monkeypatch.setattr(cli, "SHOWN_ROWS", 3)
+    assert cli.shown(spark.range(5)).splitlines() == ["{'id': 0}", "{'id': 1}", "{'id': 2}", "... 2 more rows"]
+    assert len(cli.shown(spark.range(3)).splitlines()) == 3
+
+
 def test_list(capsys):
     assert cli.main(["list"]) == 0 and "binary_metrics" in capsys.readouterr().out
 
@@ -73,3 +79,9 @@ def test_store_commands(spark, tmp_path):
     assert "'n_official': 0" in parsed("store-audit", "9") and parsed("show-repairs") == "" and parsed("show-predictions") == ""
     with pytest.raises(ValueError, match="either"):
         parsed("exclude", "--at", "t")
+    assert parsed("version-status").startswith("version: None") and parsed("snapshots").splitlines()[-1].startswith("routine-d1")
+    rules = tmp_path / "rules.txt"
+    rules.write_text("100% upside")
+    sha = parsed("freeze-rules", "--rules", str(rules))
+    assert w.artifact(sha) == "100% upside" and parsed("restore", "routine-d1") == "restored routine-d1" and w.log.table("artifacts").count() == 0
+    assert parsed("preview-digest", "1") == "nothing to send"

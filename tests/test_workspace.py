@@ -239,3 +239,58 @@ def test_manifests_are_put_together(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "log/_manifests").glob("*.json"))) < 8
     with pytest.raises(RuntimeError):
         log.commit(expect=3, t=spark.range(1).toDF("x"))
+
+
+def held_out(spark, tmp_path, monkeypatch):
+    """A store whose version 1 has a clean hold-out of three: one right, one missed and one false alarm."""
+    from quillstone.operators import audit, governance
+
+    monkeypatch.setattr(governance, "HOLDOUT_SIZE", 3)
+    monkeypatch.setattr(audit, "HOLDOUT_SIZE", 3)
+    w = Workspace(spark, f"file://{tmp_path}/w")
+    w.store.create()
+    rules = adopt(w)
+    rows = [(1, "AB", "LIKE", "INVESTIGATE_NOW", ["cheap"]), (2, "CD", "MAYBE", "PASS", ["no edge here", "needs 3x"]), (3, "EF", "PASS", "WATCH", ["cyclical"])]
+    frame = lambda name, schema, made: w._formed(name, spark.createDataFrame(made, schema))
+    w.log.commit(
+        messages=frame("messages", "message_id string, feedback_parse_status string", [(f"m{i}", "PARSED") for i, *_ in rows]),
+        sources=frame("sources", "source_id long, source_name string, external_id string, ticker string, collection_status string", [(i, "web", str(i), t, "COLLECTED") for i, t, *_ in rows]),
+        screenings=frame("screenings", "screening_id long, source_id long, created_at string, taste_version int, screening_prompt_version int, overall_prediction string, upside string, key_reasons array<string>",
+            [(10 + i, i, "2026-01-05", 1, 7, p, "Unknown", why) for i, _, _, p, why in rows]),
+        assignments=frame("assignments", "assignment_id long, source_id long, assigned_at string", [(20 + i, i, "2026-01-06") for i, *_ in rows]),
+        feedback=frame("feedback", "feedback_id long, message_id string, event_index int, event_type string, verdict string, ticker string, user_comment string, created_at string, excluded_from_learning boolean, feedback_origin string, holdout_eligible boolean, source_id long, assignment_id long",
+            [(i, f"m{i}", 0, "FEEDBACK", v, t, f"said {t}", "2026-01-07", False, "BLIND_REVIEW", True, i, 20 + i) for i, t, v, *_ in rows]))
+    return w, rules
+
+
+def test_an_evaluation_counts_only_if_its_checks_hold(spark, tmp_path, monkeypatch):
+    w, rules = held_out(spark, tmp_path, monkeypatch)
+    e = w.evaluation(1)
+    assert e.passed, e.checks
+    text = w.evaluation_report(1, "upside above 100% please")
+    assert "exact: 1 of 3" in text and "tp 1, fp 1, tn 0, fn 1" in text and "> upside above 100% please" in text
+    assert "false negative: 1\n  FB 2 | - (CD) | SR-12, prompt 7 | said PASS | judged MAYBE = WATCH | false_negative\n    comment: said CD\n    ratings: " in text
+    assert "For: no edge here | needs 3x" in text and '3x-style multiple in key_reasons: "needs 3x"' in text and "no edge: 1 (FB 2)" in text and "cyclical:" not in text
+    status = w.version_status()
+    assert (status["holdout"], status["holdout_complete"], status["building"], status["awaiting_evaluation"], status["intact"]) == (3, True, "LOCKED", True, True)
+    assert status["labels_of_next"]["pass_family"] == 1 and status["by_origin"] == {"BLIND_REVIEW": 3}
+    record = w.decide(1, "RETRAIN", " misses ", rules, "2026-01-09")
+    assert record["reason"] == "misses" and record["screening_prompt_version"] == 7 and record["holdout_count"] == 3
+    assert w.version_status()["building"] == "ONE_BUILD_AUTHORISED" and "before-decision-1" in {s["label"] for s in w.log.snapshots()}
+    with pytest.raises(PermissionError, match="has a decision"):
+        w.decide(1, "ACCEPT", "no", rules, "2026-01-10")
+    with pytest.raises(Unavailable):
+        w.decide(1, "ACCEPT", "no", "unknown", "2026-01-10")
+    # A second screening before a judgment, by another prompt, makes the prediction doubtful; a duplicate spoils the hold-out.
+    more = spark.createDataFrame([(19, 1, "2026-01-06", 1, 8, "WATCH")], "screening_id long, source_id long, created_at string, taste_version int, screening_prompt_version int, overall_prediction string")
+    w.log.commit(screenings=w._formed("screenings", more))
+    failed = lambda: [name for name, ok in w.evaluation(1).checks if not ok]
+    assert failed() == ["every member has a label and one earlier prediction", "one prompt version"]
+    assert "exact" not in w.evaluation_report(1, "rules")
+    w.log.commit(sources=w._formed("sources", spark.createDataFrame([(4, "web", "1", "AB")], "source_id long, source_name string, external_id string, ticker string")),
+        messages=w._formed("messages", spark.createDataFrame([("m4", "PARSED")], "message_id string, feedback_parse_status string")),
+        feedback=w._formed("feedback", spark.createDataFrame([(4, "m4", "PASS", "AB", False, "BLIND_REVIEW", True, 4, "2026-01-09")],
+            "feedback_id long, message_id string, verdict string, ticker string, excluded_from_learning boolean, feedback_origin string, holdout_eligible boolean, source_id long, created_at string")))
+    assert {"hold-out is complete", "no duplicate groups", "no problems"} <= set(failed())
+    lines = w.remediation(0)
+    assert any("keep FB 1, exclude the other 1" in x for x in lines) and any(x.startswith("FB 4 (official): NO_ASSIGNMENT") for x in lines)
