@@ -765,7 +765,8 @@ def page_validity(v: Views) -> DataFrame:
 
 @query()
 def page_links(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", html.parsed_page("html").alias("p")).select("page_id", F.posexplode("p.links").alias("position", "a")).select("page_id", "position", "a.href", "a.text")
+    pages = v.table("pages").select("page_id", html.parsed_page("html").alias("p"))
+    return html.exploded(pages, F.col("p.links"), "page_id").select("page_id", "position", "item.href", "item.text")
 
 
 LETTERS = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZABCD', CAST(p_partkey % 26 + 1 AS INT), {0})"

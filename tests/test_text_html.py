@@ -181,3 +181,11 @@ def test_keys_and_paths(spark):
     assert one(spark, "a/b.c", exprs.safe_component) == "a_b_c" and one(spark, "", exprs.safe_component) == "unknown"
     assert one(spark, "br-12", lambda c: exprs.parse_review_ref("BR", c)) == 12 and one(spark, "x",
         lambda c: exprs.parse_review_ref("BR", c)) is None
+
+
+def test_a_page_is_parsed_once(spark):
+    from quillstone.plans.queries import QUERIES
+
+    for name in ("page_links", "discover_pitches", "html_canonical_text", "page_validity", "pitch_documents"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, (name, plan)
