@@ -11,7 +11,7 @@ of the items are read to the driver, in blocks as well.
 
 Cases: null and blank texts match nothing, and null or blank items are never found; an item of fewer than
 13 bytes is matched exactly, as its budget is 0; several items with one text
-are each reported; repeated documents are each reported; a text of any length is searched whole, in memory in
+are each reported, as is each item with the least of its distances in a document, whatever places have it; repeated documents are each reported; a text of any length is searched whole, in memory in
 proportion to it; an empty table of either kind gives an empty result. find_leaks() ignores other columns; decontaminate()
 carries them, whatever their names, and judges rows with a null or repeated id each by its own text.
 """

@@ -11,7 +11,8 @@ document counts cover all of them. Scoring reads whole texts.
 
 Cases: null and empty texts have no feature and get the score of the intercept; rows whose label is null are not
 learned from; several labels of one id count as that many rows; with no labels, or labels of one class, every score is
-the share of toxic labels (0 if there are none); repeated rows are scored alike; other columns are ignored. Labels,
+the share of toxic labels (0 if there are none); a text of any length is read whole; equal scores have no order; repeated rows
+are scored alike; an empty documents table gives an empty result; other columns are ignored. Labels,
 language, source and id are never inputs of a score.
 """
 
