@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from logging.handlers import RotatingFileHandler
+from pathlib import Path
 
 
 class ConfigError(ValueError):
@@ -43,3 +46,21 @@ def load_config(needs: tuple[str, ...] = (), env: Mapping[str, str] | None = Non
     if missing:
         raise ConfigError("missing settings: " + ", ".join(f"QUILLSTONE_{k.upper()}" for k in missing))
     return c
+
+
+def setup_logging(folder: str | None = None, level: int = logging.INFO) -> logging.Logger:
+    """The package's logger: to the console, and with a folder to a file that is turned over at a megabyte, five of which are kept. Calling it
+    again changes nothing, and what it writes goes to no other logger."""
+    log = logging.getLogger("quillstone")
+    log.setLevel(level)
+    log.propagate = False
+    kinds = {type(h) for h in log.handlers}
+    form = logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s")
+    made = [] if logging.StreamHandler in kinds else [logging.StreamHandler()]
+    if folder is not None and RotatingFileHandler not in kinds:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        made.append(RotatingFileHandler(Path(folder) / "quillstone.log", maxBytes=1_000_000, backupCount=5, encoding="utf-8"))
+    for h in made:
+        h.setFormatter(form)
+        log.addHandler(h)
+    return log

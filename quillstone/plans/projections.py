@@ -67,6 +67,9 @@ PROJECTIONS = {
     "p_mail": """SELECT concat('m', cast(o_orderkey AS varchar(20))) AS message_id, concat('t', cast(o_custkey AS varchar(20))) AS thread_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Eve <eve@x.org>' WHEN o_orderkey % 2 = 0 THEN 'JOE@x.org' ELSE 'Joe <joe@X.org>' END AS sender,
  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'AUTHENTICATED' END AS sender_authenticated, CASE o_orderkey % 6 WHEN 0 THEN 'Re: Fwd: quillstone blind review' WHEN 1 THEN 'quillstone  Screen Review' WHEN 2 THEN 'Re: RE: quillstone — new ideas worth attention, 1 May' WHEN 3 THEN 'new ideas worth attention' ELSE NULL END AS subject FROM {orders}""",
     "p_fetched": """SELECT 'catalog' AS source_name, cast(floor(p_partkey / 2) AS bigint) AS external_id, concat('h', cast(p_partkey % 2 * 3 + p_partkey % 3 AS varchar(20))) AS content_hash, p_partkey % 2 = 0 AS content_complete FROM {part}""",
+    "p_reviewed": """SELECT p_partkey AS feedback_id, CASE WHEN p_partkey % 5 = 0 THEN 'candidate' ELSE 'official' END AS role, CASE p_size % 4 WHEN 0 THEN 'LIKE' WHEN 1 THEN 'MAYBE' WHEN 2 THEN 'PASS' ELSE NULL END AS verdict,
+ CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END AS assignment_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('$t', cast(cast(floor(p_partkey / 3) AS bigint) AS varchar(20))) END AS ticker,
+ CASE WHEN p_partkey % 7 < 2 THEN concat('House, ', cast(cast(floor(p_partkey / 5) AS bigint) AS varchar(20))) ELSE NULL END AS company, p_size % 9 = 0 AS doubtful FROM {part}""",
     "p_exposures": """SELECT l_orderkey * 8 + l_linenumber AS feedback_id, min(l_partkey) AS source_id, (min(l_partkey) * 7) % (SELECT count(*) FROM {part}) AS screened_source_id FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING min(l_returnflag) NOT IN ('A', 'N')""",
 }
 

@@ -607,22 +607,17 @@ def audit_summary(v: Views) -> DataFrame:
     return audit.audit_summary(_audited(v, judged), audit.duplicate_groups(judged.filter(F.col("role").isin("official", "candidate"))))
 
 
-REMEDIATION = f"""WITH RECURSIVE judged AS ({AUDITED}), rows AS (SELECT * FROM ({ROLE}) WHERE role IN ('official', 'candidate')), {COMPONENTS}, w AS (SELECT i.feedback_id, component, i.d, i.e, i.f, role, verdict, problems, a.assignment_id, s.screening_id, row_number() OVER
- (PARTITION BY component ORDER BY role <> 'official', problems <> '', i.feedback_id) AS n, CASE WHEN a.assignment_id IS NULL THEN 'FB ' || i.feedback_id ELSE 'BR-' || a.assignment_id END AS ref FROM i JOIN c USING (d) JOIN judged USING (feedback_id)
- JOIN (SELECT feedback_id, verdict FROM p_feedback) USING (feedback_id) LEFT JOIN p_assignments a ON a.source_id = judged.source_id LEFT JOIN (SELECT source_id, max(screening_id) AS screening_id FROM p_screenings GROUP BY 1) s ON s.source_id = judged.source_id),
- k AS (SELECT component, rank, value FROM (SELECT component, feedback_id, unnest([0, 1, 2, 3, 4]) AS rank, unnest(['assignment:' || assignment_id, d, 'screening:' || screening_id, e, f]) AS value FROM w) WHERE value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1),
- best AS (SELECT component, rank, value FROM k QUALIFY row_number() OVER (PARTITION BY component ORDER BY rank, value) = 1)
- SELECT component, count(*) AS n_members, count(*) FILTER (role = 'official') AS n_official, max(CASE rank WHEN 0 THEN 'blind assignment BR-' || split_part(value, ':', 2) WHEN 1 THEN 'source ' || regexp_replace(value, '^([^:]*):', '\\1/')
- WHEN 2 THEN 'screening SR-' || split_part(value, ':', 2) WHEN 3 THEN 'ticker ' || value WHEN 4 THEN 'company ' || value ELSE 'linked transitively' END) AS shared, max(CASE WHEN n = 1 THEN feedback_id END) AS retained, count(*) - 1 AS n_to_go,
- string_agg(DISTINCT coalesce(verdict, '-'), ', ' ORDER BY coalesce(verdict, '-')) AS labels, count(DISTINCT coalesce(verdict, '-')) > 1 AS labels_differ, string_agg(ref, ' / ' ORDER BY n) FILTER (n <= {audit.NAMED_REFS}) AS refs
- FROM w LEFT JOIN best USING (component) GROUP BY component HAVING count(*) > 1"""
-
-
-@query(REMEDIATION)
+@query(f"""WITH RECURSIVE i AS (SELECT feedback_id, role, coalesce(verdict, '-') AS verdict, doubtful, CASE WHEN assignment_id IS NULL THEN 'FB ' || feedback_id ELSE 'BR-' || assignment_id END AS ref, {NORM_TICKER.format('ticker')} AS e, {NORM_COMPANY.format('company')} AS f FROM p_reviewed),
+ v AS (SELECT feedback_id, 3 AS k, e AS x FROM i WHERE e IS NOT NULL UNION ALL SELECT feedback_id, 4, f FROM i WHERE f IS NOT NULL), hub AS (SELECT k, x, min(feedback_id) AS h FROM v GROUP BY 1, 2), link AS (SELECT DISTINCT feedback_id AS a, h AS b FROM v JOIN hub USING (k, x)),
+ u AS (SELECT a, b FROM link UNION SELECT b, a FROM link), r(a, b) AS (SELECT feedback_id, feedback_id FROM i UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), c AS (SELECT a AS feedback_id, min(b) AS component FROM r GROUP BY 1),
+ w AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY role <> 'official', doubtful, feedback_id) AS n FROM i JOIN c USING (feedback_id)),
+ best AS (SELECT component, k, x FROM v JOIN c USING (feedback_id) GROUP BY 1, 2, 3 HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY component ORDER BY k, x) = 1)
+ SELECT component, count(*) AS n_members, count(*) FILTER (role = 'official') AS n_official, max(CASE k WHEN 3 THEN 'ticker ' || x ELSE 'company ' || x END) AS shared, max(CASE WHEN n = 1 THEN feedback_id END) AS retained, count(*) - 1 AS n_to_go,
+ string_agg(DISTINCT verdict, ', ' ORDER BY verdict) AS labels, count(DISTINCT verdict) > 1 AS labels_differ, string_agg(ref, ' / ' ORDER BY n) FILTER (n <= {audit.NAMED_REFS}) AS refs FROM w LEFT JOIN best USING (component) GROUP BY component HAVING count(*) > 1""")
 def holdout_remediation(v: Views) -> DataFrame:
     """Which row of each group of one idea stays, and which go."""
-    judged = _judged(v)
-    rows = materialize(_audited(v, judged).filter(F.col("role").isin("official", "candidate")))
+    problems = F.when(F.col("doubtful"), F.array(F.lit("DOUBTFUL"))).otherwise(F.array().cast("array<string>"))
+    rows = v.reviewed.withColumn("problems", problems)
     groups = materialize(audit.duplicate_groups(rows))
     return audit.remediation(rows, groups, audit.group_report(groups, audit.identity_keys(rows)))
 

@@ -28,3 +28,11 @@ def save_raw(pages: DataFrame, root: str) -> None:
         "external_id", "content_hash", "path", "html")
     new = named.dropDuplicates(KEY).join(read_raw(pages.sparkSession, root).select(*KEY), KEY, "left_anti")
     new.select("external_id", "content_hash", "path", "html", "source_name").write.mode("append").partitionBy("source_name").parquet(root)
+
+
+def intact(pages: DataFrame) -> DataFrame:
+    """Stored pages, each checked against the hash that it is filed under as it is read; one that differs fails the job and is named."""
+    what = F.concat_ws("/", "source_name", "external_id", "content_hash")
+    checked = F.when(F.sha2("html", 256) == F.col("content_hash"), F.col("html")).otherwise(F.raise_error(F.concat(
+        F.lit("a stored page isn't what its hash says: "), what)).cast("string"))
+    return pages.withColumn("html", checked)

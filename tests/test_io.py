@@ -57,6 +57,9 @@ def test_raw_store_writes_once(spark, tmp_path):
     raw_store.save_raw(pages.limit(2), root)
     raw_store.save_raw(pages, root)
     stored = raw_store.read_raw(spark, root)
+    assert {r.html for r in raw_store.intact(stored).collect()} == {"<p>", "<q>"}
+    with pytest.raises(Exception, match="isn't what its hash says: s"):
+        raw_store.intact(stored.withColumn("html", F.concat("html", F.when(F.col("source_name") == "s/1", "!").otherwise("")))).collect()
     assert stored.count() == 2 and stored.filter(F.col("path").startswith("s_1/a_b/")).count() == 1
 
 

@@ -43,6 +43,16 @@ def test_config():
         config.load_config(("mail_client",), env)
 
 
+def test_logging_is_set_up_once(tmp_path):
+    log = config.setup_logging(str(tmp_path / "logs"))
+    assert config.setup_logging(str(tmp_path / "logs")) is log and len(log.handlers) == 2 and not log.propagate
+    log.warning("hello")
+    assert "WARNING quillstone: hello" in (tmp_path / "logs/quillstone.log").read_text()
+    for h in list(log.handlers):
+        h.close()
+        log.removeHandler(h)
+
+
 @pytest.mark.parametrize("name", ["status", "evaluate", "audit"])
 def test_reports_run_on_the_projections(spark, name):
     assert len(cli.report(spark, name, "/root/testdata/sf0.001").splitlines()) >= 5
