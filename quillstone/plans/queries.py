@@ -578,8 +578,7 @@ AUDITED = f"""WITH rows AS (SELECT * FROM p_feedback), i AS ({IDENTIFIED}) SELEC
 def _judged(v: Views) -> DataFrame:
     """All feedback with its identities, message's time and role, aggregated and joined once and written: the audit reads it many times."""
     rows = _identified(v, v.feedback).join(v.messages.select("message_id", F.col("received_at").alias("judged_at")), "message_id", "left")
-    role = audit.roles(v.feedback, v.messages, CHECKPOINT, v.feedback.filter("feedback_id % 3 = 0").select("feedback_id"))
-    return materialize(rows.join(role.select("feedback_id", "feedback_parse_status", "role"), "feedback_id", "left"))
+    return materialize(rows.join(_roles(v).select("feedback_id", "feedback_parse_status", "role"), "feedback_id", "left"))
 
 
 def _audited(v: Views, judged: DataFrame) -> DataFrame:

@@ -105,14 +105,9 @@ def test_any_eligible_judgment_suppresses(spark, monkeypatch):
 def test_every_assignment_blocks_its_identities(spark, monkeypatch):
     from quillstone.plans import queries
 
-    named = [(1, "AA"), (2, "BB"), (3, "CC"), (45, "BB"), (55, "AA")]
-    v = Tables(
-        spark, sources=sources_of(*named), observations=([(i, "s", i, 1) for i, _ in named],
-        "source_id long, source_name string, external_id long, observed_seq long"),
-        screenings=([], "screening_id long, source_id long"), shown=([], "source_id long"),
-        assignments=([(45, 45), (55, 55)], "assignment_id long, source_id long"),
-        feedback=([], "source_id long, feedback_origin string, excluded_from_learning int"),
-    )
+    named = [(1, "AA", 0), (2, "BB", 0), (3, "CC", 0), (45, "BB", 1), (55, "AA", 1)]
+    v = Tables(spark, prospects=([(i, t, None, i, a) for i, t, a in named],
+        "source_id long, ticker string, company string, discovered_seq long, assigned int"))
     monkeypatch.setattr(queries, "Views", lambda *_: v)
     assert [tuple(r) for r in QUERIES["greedy_blind_assignment"](spark, SF).collect()] == [(1, 3)]  # 45's ticker is assigned, as is 55's
 
