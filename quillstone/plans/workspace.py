@@ -16,6 +16,7 @@ from quillstone.functions import html
 from quillstone.functions.exprs import review_reason
 from quillstone.functions.text import NARRATIVE, canonical_thresholds, threshold_conflicts
 from quillstone.operators import audit, digest, evaluation, feedback, governance, ideas, models, narratives, replies, reports, sources, state, training
+from quillstone.operators.joins import left_join_known
 from quillstone.operators.log import EventLog, Migration, Store, consume_authorisation
 from quillstone.operators.storage import literal_rows, materialize
 from quillstone.sources import mail
@@ -550,7 +551,7 @@ class Workspace:
         n = audit.usable_judgments(f, self.messages(), self._table("assignments"))
         shown = self._table("shown").groupBy("source_id").agg(F.min("shown_at").alias("shown_at"))
         exposed = audit.exposure_counts(f, f.filter(F.col("feedback_origin").isin("SCREEN_REVIEW", "DIGEST_REPLY")), "created_at")
-        judged = rows.join(n, "assignment_id", "left").join(shown, "source_id", "left").join(exposed, "feedback_id", "left")
+        judged = left_join_known(left_join_known(rows, n, "assignment_id"), shown, "source_id").join(exposed, "feedback_id", "left")
         before = f.filter(F.col("feedback_id") <= checkpoint).join(of, "source_id", "left")
         judged = audit.validity_problems(judged.join(audit.training_overlap(rows, before).select("feedback_id",
             F.col("level").alias("training_level")), "feedback_id", "left"))

@@ -191,3 +191,27 @@ def test_reconciliation_sees_rows_on_one_side_only(spark):
     other = audit.reconciliation(rows, feedback.filter("feedback_id IN (11, 13)"), feedback, 1).first()
     assert (other.reconciles, other.n_different) == (False, 2)
     assert not audit.reconciliation(rows, feedback.limit(0), feedback, 0).first().reconciles_total
+
+
+def shares(df):
+    """How many rows each task has of df, with every shuffle as it falls."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_rows_without_a_key_are_spread_by_their_join(spark):
+    from quillstone.operators.joins import left_join_known
+
+    left = spark.range(4000).select("id", F.when(F.col("id") % 40 == 0, F.col("id")).alias("k"))
+    right = spark.createDataFrame([(0, "a"), (40, "b"), (1, "c"), (None, "d")], "k long, v string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, x in conf.items():
+            spark.conf.set(c, x)
+        got = left_join_known(left, right, "k")
+        assert sorted(got.columns) == ["id", "k", "v"] and {(r.id, r.v) for r in got.filter("v IS NOT NULL").collect()} == {(0, "a"), (40, "b")}
+        each = shares(got)
+        assert sum(each) == 4000 and max(each) < 2000
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
