@@ -215,3 +215,17 @@ def test_rows_without_a_key_are_spread_by_their_join(spark):
     finally:
         for c, x in before.items():
             spark.conf.set(c, x)
+
+
+def test_summary_gathers_no_group_in_one_task(spark):
+    """Most rows are one idea: they are counted, not sent to one task, and a lone row is still told from them."""
+    problems = "CASE WHEN id % 7 = 0 THEN array('EXCLUDED') ELSE cast(array() AS array<string>) END AS problems"
+    held = spark.range(3000).selectExpr("id AS feedback_id", "CASE WHEN id % 3 = 0 THEN 'candidate' ELSE 'official' END AS role", problems)
+    groups = spark.range(3000).selectExpr("id AS feedback_id", "CASE WHEN id < 2990 THEN 0 ELSE id END AS component")
+    other = spark.createDataFrame([(9000, "other", [])], "feedback_id long, role string, problems array<string>")
+    out = audit.audit_summary(held.unionByName(other), groups)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r, own = out.first(), [i for i in range(3000) if i % 3]
+    assert (r.n_official, r.n_candidates, r.n_other, r.n_unique) == (len(own), 1000, 1, 1 + sum(i >= 2990 for i in own))
+    assert r.n_valid_unique == sum(i >= 2990 and i % 7 > 0 for i in own) and r.n_problem_rows == sum(i % 7 == 0 for i in own)
+    assert r.n_questionable == sum(i < 2990 or i % 7 == 0 for i in range(3000)) and not r.clean
