@@ -138,3 +138,36 @@ def test_model_of_the_corpus_leaves_addresses_alone(spark):
     assert secrets.fit(docs).thresholds == fitted.thresholds  # the same each time
     got = secrets.digests(secrets.scan(docs, fitted)).filter("spans LIKE '%learned%'")
     assert got.count() == 0 and secrets.fit(docs.limit(0)).thresholds
+
+
+def test_every_candidate_of_the_corpus_counts(spark, monkeypatch):
+    """More candidates than any sample would take are all trained on or held out, over several shards; copies are one."""
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    texts = [f"token = {key(30)} and so" if i % 2 else f"see mail{i}.{key(8)}.example.com here" for i in range(1600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:400])] + [(9999, None)], "doc_id long, text string")
+    monkeypatch.setattr(secrets, "SHARD_WINDOWS", 300)
+    monkeypatch.setattr(secrets, "ROUNDS", 2)
+    monkeypatch.setattr(secrets, "EPOCHS", 4)
+    corpus = secrets.Corpus(docs)
+    plain = set()
+    for t in texts:
+        raw = t.encode()
+        for a, b in secrets.candidates(np.frombuffer(raw, np.uint8), np.array([len(raw)])):
+            plain.add((raw[max(0, a - secrets.BEFORE) : b + secrets.BEHIND], b - a))
+    assert {(bytes(r.context), r.end - r.start) for r in corpus.found.collect()} == plain and len(plain) >= 1600
+    held = corpus.held.count()
+    assert held > 400 and held + corpus.windows.select("key").distinct().count() == len(plain) and corpus.shards >= 4
+    model = secrets.Model(secrets.made_findings(random.Random(1), 300), 1, corpus)
+    step, labels, _, weights = corpus.calibration(model.p)
+    assert abs(weights[labels == 1].sum() - min(secrets.CORPUS_WEIGHT / 3, corpus.held.filter("label = 1").count())) < 1e-6
+    again = secrets.Model(secrets.made_findings(random.Random(1), 300), 1, secrets.Corpus(docs))
+    assert model.thresholds == again.thresholds and len(step)
+
+
+def test_weights_count_as_repeats():
+    score, labels, lengths = np.array([0.9, 0.8, 0.3, 0.7, 0.1]), np.array([1, 1, 1, 0, 0]), np.array([15] * 5)
+    n = np.array([30, 5, 1, 4, 9])
+    full = tuple(np.repeat(x, n) for x in (score, labels, lengths))
+    assert secrets.thresholds(score, labels, lengths, weights=n.astype(float)) == secrets.thresholds(*full)
+    assert np.allclose(secrets.platt(score, labels, n.astype(float)), secrets.platt(full[0], full[1]))
