@@ -110,7 +110,7 @@ def content_repairs(sources: DataFrame, pages: DataFrame, at: str) -> DataFrame:
     """Source events for complete versions whose stored page (source_id, html) is none: see functions.html.page_problem()."""
     from quillstone.functions import html
 
-    read = pages.select("source_id", html.parsed_page("html").alias("p")).select("source_id",
+    read = html.dealt(pages).select("source_id", html.parsed_page("html", "plain", "title").alias("p")).select("source_id",
         html.page_problem(html.canonical_text(F.col("p.plain")), F.col("p.title")).alias("problem"))
     bad = sources.filter("collection_status = 'COLLECTED'").join(read.filter("problem IS NOT NULL"), "source_id")
     return invalidated(bad, at, F.col("problem"))

@@ -189,3 +189,12 @@ def test_a_page_is_parsed_once(spark):
     for name in ("page_links", "discover_pitches", "html_canonical_text", "page_validity", "pitch_documents"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1, (name, plan)
+
+
+def test_fields_of_a_page_are_those_of_the_whole(spark):
+    for page in (PAGE, FEED, "", None):
+        whole = dict(zip(html.PAGE.names, html.read_page(page), strict=True))
+        for fields in (("plain", "title"), ("links",), ("cards",), ("plain", "title", "switches", "label_at")):
+            assert html.read_page(page, fields) == tuple(whole[f] for f in fields)
+    df = spark.createDataFrame([(PAGE,), (None,)], "h string").select(html.parsed_page("h", "title", "label_at").alias("p"))
+    assert df.schema["p"].dataType.names == ["title", "label_at"] and [r.p.title for r in df.collect()] == ["A & B", None]
