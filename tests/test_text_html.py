@@ -191,6 +191,22 @@ def test_a_page_is_parsed_once(spark):
         assert plan.count("ArrowEvalPython") == 1, (name, plan)
 
 
+def test_pages_of_a_small_file_are_parsed_by_many_tasks(spark):
+    """The feed is made of one small file: its pages are dealt out, and a batch of them stays small."""
+    from quillstone.plans.queries import QUERIES
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for query in ("page_links", "discover_pitches", "html_canonical_text", "page_validity", "pitch_documents"):
+            spark.conf.set(name, "10000")
+            found = QUERIES[query](spark, "/root/testdata/sf0.01")
+            assert found.select(F.spark_partition_id().alias("i")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")), query
+            assert int(spark.conf.get(name)) == html.PAGES_AT_ONCE, query
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_fields_of_a_page_are_those_of_the_whole(spark):
     for page in (PAGE, FEED, "", None):
         whole = dict(zip(html.PAGE.names, html.read_page(page), strict=True))
