@@ -15,10 +15,10 @@ from quillstone.operators.feedback import is_excluded
 from quillstone.operators.storage import materialize
 
 
-def _exploded(messages: DataFrame, parsed: str) -> DataFrame:
-    """(message_id, position, block...) of messages whose parse is ok."""
-    return messages.filter(F.col(f"{parsed}.ok")).select("message_id",
-        F.posexplode(f"{parsed}.blocks").alias("position", "b")).select("message_id", "position", "b.*")
+def _exploded(messages: DataFrame, parsed: str, *keep: str) -> DataFrame:
+    """(message_id, keep, position, block...) of messages whose parse is ok."""
+    return messages.filter(F.col(f"{parsed}.ok")).select("message_id", *keep,
+        F.posexplode(f"{parsed}.blocks").alias("position", "b")).select("message_id", *keep, "position", "b.*")
 
 
 def _whole_messages(messages: DataFrame, parsed: str, resolved: DataFrame, fields: list[str]) -> DataFrame:
@@ -45,14 +45,14 @@ def digest_replies(messages: DataFrame, items: DataFrame) -> DataFrame:
         F.lit(None).cast("array<struct<label:string,verdict:string,comment:string>>").alias("blocks"),
         F.col("__r.reason").alias("reason"))))
     parsed = materialize(parsed.select("message_id", "delivery_id", "__b"))  # read twice, parsed once
-    rows = _exploded(parsed, "__b").join(parsed.select("message_id", "delivery_id"), "message_id")
+    # Labels are normalised here, once a block, and not once for each item of its digest.
+    rows = _exploded(parsed, "__b", "delivery_id").withColumns({"label_t": norm_ticker(F.col("label")), "label_c": norm_company(F.col("label"))})
     named = items.select("delivery_id", F.col("source_id").alias("item"), norm_ticker(F.col("ticker")).alias("t"),
         norm_company(F.col("company")).alias("c"))
     # A message has few blocks and a digest few items, so this join is bounded by both.
-    label_t, label_c = norm_ticker(F.col("label")), norm_company(F.col("label"))
     hits = rows.join(named, "delivery_id").groupBy("message_id", "position", "label", "verdict", "comment").agg(
-        F.collect_list(F.when(label_t == F.col("t"), F.col("item"))).alias("by_t"),
-        F.collect_list(F.when(label_c == F.col("c"), F.col("item"))).alias("by_c"), F.min("item").alias("only"))
+        F.collect_list(F.when(F.col("label_t") == F.col("t"), F.col("item"))).alias("by_t"),
+        F.collect_list(F.when(F.col("label_c") == F.col("c"), F.col("item"))).alias("by_c"), F.min("item").alias("only"))
     one_t, one_c = F.size("by_t") == 1, (F.size("by_t") == 0) & (F.size("by_c") == 1)
     source = F.when(F.col("label").isNull(), F.col("only")).when(one_t, F.get("by_t", F.lit(0))).when(one_c, F.get("by_c", F.lit(0)))
     reason = F.when(source.isNull(), F.when((F.size("by_t") > 1) | (F.size("by_c") > 1), "AMBIGUOUS_LABEL").otherwise("UNKNOWN_LABEL"))

@@ -2,6 +2,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillstone.operators import governance, replies
 
 MESSAGES = "message_id string, body string, delivery_id long"
@@ -80,3 +82,26 @@ def test_when_a_version_may_be_built():
     assert governance.may_build(14, 99, None, False) == "TOO_FEW_RECORDS" and governance.may_build(15, 0, None, False) is None
     assert governance.may_build(15, 19, v, True) == "HOLDOUT_INCOMPLETE" and governance.may_build(15, 20, v,
         False) == "NOT_AUTHORISED" and governance.may_build(15, 20, v, True) is None
+
+
+def test_labels_are_normalised_before_they_meet_items(spark):
+    """Each message is joined once with its digest's items, and the plan above that join has no pattern to match."""
+    items = spark.createDataFrame([(1, 10, "AB", "Acme"), (1, 11, "CD", "Beta, Inc.")], "delivery_id long, source_id long, ticker string, company string")
+    sent = spark.createDataFrame([("m1", "$ab - LIKE\nwell", 1), ("m2", "beta inc: strong  pass.\nno", 1), ("m3", "like\n", 1)],
+        "message_id string, body string, delivery_id long")
+    found = replies.digest_replies(sent, items)
+    got = {r.message_id: [(b.source_id, b.verdict, b.comment) for b in r.blocks] if r.ok else r.reason for r in found.collect()}
+    assert got == {"m1": [(10, "LIKE", "well")], "m2": [(11, "STRONG_PASS", "no")], "m3": "NO_LABELLED_HEADER"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and not any("regexp" in line for line in plan.splitlines() if "Aggregate [message_id" in line)
+
+
+def test_heads_of_lines(spark):
+    from quillstone.functions import text
+
+    lines = ["like", " Strong\u00a0 Like !", "AB - pass", "A: B -- maybe.", "like it", "", "- like", ": pass", "likely", "x — LIKE:"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, line string")
+    got = [tuple(r.h)[1:] for r in df.select("n", text._head(F.col("line"), F.col("n")).alias("h")).orderBy("n").collect()]
+    none = (None, None, None)
+    assert got[:6] == [("bare", None, "LIKE"), ("bare", None, "STRONG_LIKE"), ("labelled", "AB", "PASS"), ("labelled", "A: B", "MAYBE"), none, none]
+    assert got[8] == none and got[9] == ("labelled", "x", "LIKE")
