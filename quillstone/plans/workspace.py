@@ -555,7 +555,7 @@ class Workspace:
         before = f.filter(F.col("feedback_id") <= checkpoint).join(of, "source_id", "left")
         judged = audit.validity_problems(judged.join(audit.training_overlap(rows, before).select("feedback_id",
             F.col("level").alias("training_level")), "feedback_id", "left"))
-        return materialize(judged), materialize(audit.duplicate_groups(rows.filter(F.col("role").isin("official", "candidate"))))
+        return materialize(judged), audit.duplicate_groups(rows.filter(F.col("role").isin("official", "candidate")))
 
     def audit(self, checkpoint: int) -> DataFrame:
         """One row of audit.audit_summary() over the store."""

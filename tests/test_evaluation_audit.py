@@ -229,3 +229,30 @@ def test_summary_gathers_no_group_in_one_task(spark):
     assert (r.n_official, r.n_candidates, r.n_other, r.n_unique) == (len(own), 1000, 1, 1 + sum(i >= 2990 for i in own))
     assert r.n_valid_unique == sum(i >= 2990 and i % 7 > 0 for i in own) and r.n_problem_rows == sum(i % 7 == 0 for i in own)
     assert r.n_questionable == sum(i < 2990 or i % 7 == 0 for i in range(3000)) and not r.clean
+
+
+def test_rows_of_one_id_unite_their_identities(spark):
+    schema = "feedback_id long, source_name string, external_id string, ticker string, company string"
+    r = spark.createDataFrame([(3, "s", "9", None, None), (5, "s", "8", None, None), (5, "s", "9", None, None), (6, None, None, None, None),
+        (6, "s", "8", None, None), (7, None, None, None, None)], schema)
+    assert sorted(tuple(x) for x in audit.duplicate_groups(r).collect()) == [(3, 3), (5, 3), (6, 3), (7, 7)]
+
+
+def test_training_overlap_is_the_same_by_a_shuffle(spark, monkeypatch):
+    schema = "feedback_id long, source_name string, external_id string, ticker string, company string"
+    training = spark.createDataFrame([(i, "s", str(i), f"T{i % 5}", None) for i in range(40)], schema)
+    holdout = spark.createDataFrame([(100 + i, "s", str(i), f"T{i % 7}", None) for i in range(30, 50)], schema)
+    few = sorted(audit.training_overlap(holdout, training).collect())
+    monkeypatch.setattr(audit, "MAX_BROADCAST_IDENTITIES", 3)
+    assert few == sorted(audit.training_overlap(holdout, training).collect()) and {x.level for x in few} == {"D", "E"}
+
+
+def test_first_exposures_tell_whether_there_are_any_before(spark):
+    j = spark.createDataFrame([(1, 7), (4, 7), (9, 7), (9, 8), (3, 9), (2, None)], "feedback_id long, source_id long")
+    e = spark.createDataFrame([(4, 7, 7), (6, 7, 8), (8, 8, None), (5, None, 7)], "feedback_id long, source_id long, screened_source_id long")
+    at = lambda x: x.withColumn("at", F.col("feedback_id"))
+    first = j.join(audit.first_exposures(at(e), "at"), "source_id", "left").selectExpr("feedback_id", "source_id",
+        "coalesce(first_exposed < feedback_id, false) AS some")
+    counts = audit.exposure_counts(at(j).withColumn("feedback_id", F.struct("feedback_id", "source_id")), at(e), "at")
+    want = {tuple(r.feedback_id): r.n_exposures > 0 for r in counts.collect()}
+    assert {(r.feedback_id, r.source_id): r.some for r in first.collect()} == want and set(want.values()) == {True, False}

@@ -148,6 +148,25 @@ def test_audit_sees_all_roles_components_and_problems(spark, monkeypatch):
         r.n_questionable) == (5, 0, 1, 1, 3, 0, 5, 5)
 
 
+def test_audit_leaves_no_shuffles_of_its_steps_on_disk(spark):
+    """The steps are written, so what the disk holds is the shuffles of one step, not of all."""
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    summary = QUERIES["audit_summary"](spark, SF)
+    for _ in range(50):  # removed in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and summary.count() == 1
+
+
 def test_links_and_texts_of_pages_match_a_plain_parser(spark):
     import re
     from html import unescape
